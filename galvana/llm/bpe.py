@@ -14,14 +14,15 @@ from __future__ import annotations
 import base64
 import heapq
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from galvana.llm import vectext
 from galvana.llm.vectext import U64
 
-#: Characters that a task encodes at once, and the most pre-tokens its memo holds.
-BLOCK_CHARS = 2_000_000
-MEMO_WORDS = 1_000_000
+#: Bytes of text that a task encodes at once, and the most pre-tokens of a memo's generation.
+BLOCK_BYTES = 1_000_000
+MEMO_WORDS = 200_000
 #: Vocabularies are broadcast; larger files are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -167,24 +168,40 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in part if x is not None]
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Encoder:
-    """Encodes blocks of texts; ``miss`` gives the ids of pre-tokens that are no vocabulary words."""
+    """Encodes blocks of texts; ``miss`` gives the packed ids of pre-tokens that are no vocabulary words.
+
+    The memo has two generations: a full one becomes the older, and what is used
+    again moves to the newer.
+    """
 
     def __init__(self, vocabulary: Vocabulary, miss=None):
         self.v = vocabulary
-        self.miss = miss or (lambda words: [tuple(merge(w.encode(), vocabulary.ranks)) for w in words])
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _resolve(self, words: list[str], h: np.ndarray) -> list[tuple[int, ...]]:
-        place, known, ids = self.v.whole.find(h).tolist(), self.v.words, self.v.word_ids.tolist()
-        memo = self.memo
-        out = [(ids[p],) if p >= 0 and known[p] == w else memo.get(w) for p, w in zip(place, words, strict=True)]
+        self.miss = miss or (lambda words: [pack(merge(w.encode(), vocabulary.ranks)) for w in words])
+        self.ids = [pack([k]) for k in vocabulary.word_ids.tolist()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _resolve(self, words: list[str], h: np.ndarray) -> list[bytes]:
+        known, ids, new, old = self.v.words, self.ids, self.new, self.old
+        place = self.v.whole.find(h).tolist()
+        out = [ids[p] if p >= 0 and known[p] == w else new.get(w) for p, w in zip(place, words, strict=True)]
         if missing := [k for k, x in enumerate(out) if x is None]:
-            new = [words[k] for k in missing]
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-            for k, w, x in zip(missing, new, self.miss(new), strict=True):
-                out[k] = memo[w] = x
+            if len(new) > MEMO_WORDS:
+                self.old, self.new = new, {}
+                new, old = self.new, self.old
+            never = []
+            for k in missing:
+                if (x := old.get(words[k])) is not None:
+                    out[k] = new[words[k]] = x
+                else:
+                    never.append(k)
+            for k, x in zip(never, self.miss([words[k] for k in never]), strict=True):
+                out[k] = new[words[k]] = x
         return out
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +217,8 @@ class Encoder:
         joined = "".join(texts)
         words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         found = self._resolve(words, distinct)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+        flat = np.frombuffer(b"".join(found), np.int32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         firsts = np.cumsum(lengths) - lengths
         taken = lengths[codes]
         places = np.zeros(len(taken) + 1, np.int64)
@@ -211,9 +228,9 @@ class Encoder:
 
     def blocks(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``block`` over all of an Arrow column's texts, some at a time."""
-        values = [x or "" for x in texts.to_pylist()]
-        for a, b in vectext.chunks(np.fromiter(map(len, values), np.int64, len(values)), BLOCK_CHARS):
-            yield self.block(values[a:b])
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        for a, b in vectext.chunks(sizes, BLOCK_BYTES):
+            yield self.block([x or "" for x in texts.slice(a, b - a).to_pylist()])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -264,13 +281,13 @@ class Tokenizer:
             lengths, data = tokens.value
             firsts = np.cumsum(lengths) - lengths
             sizes = np.array(column.value_lengths().fill_null(0), np.int64)
-            ids = np.asarray(column.flatten(), np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                raise ValueError("ids that the vocabulary lacks")
+            ids = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(sizes)
             out = []
-            for a, b in vectext.chunks(sizes, BLOCK_CHARS):
-                own = ids[ends[a] - sizes[a] : ends[b - 1]]
+            for a, b in vectext.chunks(sizes, BLOCK_BYTES // 4):
+                own = ids[ends[a] - sizes[a] : ends[b - 1]].astype(np.int64)
+                if len(own) and (own.min() < 0 or own.max() >= len(lengths) or not lengths[own].all()):
+                    raise ValueError("ids that the vocabulary lacks")
                 taken = lengths[own]
                 places = np.zeros(len(own) + 1, np.int64)
                 np.cumsum(taken, out=places[1:])
