@@ -310,11 +310,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tokenizer(spark)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """The digest columns of ``encode_documents``."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """The digest columns of ``encode_documents``, and more of its columns."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

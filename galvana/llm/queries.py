@@ -1,9 +1,20 @@
 """The queries of this subpackage, and SQL where it can express one."""
 
-from galvana.llm import bpe
+from galvana.llm import bpe, chat_format, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_chat_format": chat_format.op2_chat_format,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_hmm": hmm.op4_hmm,
     "op5_bpe": bpe.op5_bpe,
+    "op6_quality_knn": quality_knn.op6_quality_knn,
+    "op7_lsh_dedup": lsh_dedup.op7_lsh_dedup,
+    "op8_license_scan": license_scan.op8_license_scan,
+    "op9_topk_search": topk_search.op9_topk_search,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_chat_format": chat_format.OP2_SQL,
+}
