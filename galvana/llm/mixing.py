@@ -97,7 +97,8 @@ def _pair(level: int, last: bool, seed: int):
         group = group.select(["doc_id", "source", "size", "key", "whole", "part"])
         group = group.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
         key = group["key"].to_numpy()
-        order = np.argsort(_draws(key, 2 * level, seed), kind="stable")
+        # Long documents first, so that what remains is rather a short one.
+        order = np.lexsort((_draws(key, 2 * level, seed), -group["size"].to_numpy()))
         part, size = group["part"].to_numpy()[order], group["size"].to_numpy()[order].astype(np.float64)
         done = settle(part, size, _draws(key[order], 2 * level + 1, seed), last)
         table = group.take(pa.array(order)).set_column(5, "part", pa.array(done))
