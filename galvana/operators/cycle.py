@@ -126,3 +126,9 @@ def quality(samples: DataFrame, v_low: float = 2.5, v_high: float = 4.2, keys: S
     found = found.select(*keys, "quant_step", ratio("n", span * 1000).alias("samples_per_mv"), F.least(F.lit(1.0), span / (v_high - v_low)).alias("completeness"))
     a, b = F.least(F.lit(1.0), F.col("samples_per_mv")), F.col("completeness")
     return found.withColumn("quality_score", F.when((a <= 0) | (b <= 0), F.lit(0.0)).otherwise(F.exp(0.4 * F.ln(a) + 0.6 * F.ln(b))))
+
+
+def step_features(steps: DataFrame, keys: Sequence[str] = ("cell_id", "cycle")) -> DataFrame:
+    """``chgCapa, dchgCapa, n_steps`` from step-end rows: each leg's primary row is that of the largest capacity."""
+    pick = lambda leg: F.max(F.when(F.col("step_type") == leg, F.col("capacity")))
+    return steps.groupBy(*keys).agg(pick("charge").alias("chgCapa"), pick("discharge").alias("dchgCapa"), F.count("*").alias("n_steps"))

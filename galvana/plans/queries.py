@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, cycle, diagnose, doe, protocol, regime, score, segment, trajectory
+from galvana.operators import asof, curves, cycle, diagnose, doe, isolation, mechanism, peaks, protocol, regime, score, segment, trajectory
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -259,9 +260,9 @@ def _flags(spark, sf_dir):
     return protocol.protocol_flags(steps, routine_steps=6, dchg_routine_min=100.0)
 
 
-@query("protocol_flags", f"SELECT cell_id, cycle, n_steps, {R('dchg', 'i_median', digits=4)}, rpt, capacheck, capa_full FROM v_flags", **_PROTOCOL)
+@query("protocol_flags", f"SELECT cell_id, cycle, n_steps, {R('dchg')}, rpt, capacheck, capa_full FROM v_flags", **_PROTOCOL)
 def protocol_flags(spark, sf_dir):
-    return rounded(_flags(spark, sf_dir), 4)
+    return _flags(spark, sf_dir).drop("i_median")
 
 
 @query("protocol_kinds", "SELECT cell_id, cycle, protocol_kind, protocol_kind <> 'routine' AS protocol_excluded FROM v_kind", **_PROTOCOL)
@@ -519,3 +520,138 @@ def mode_diagnosis(spark, sf_dir):
     table = _health(spark, sf_dir).withColumnsRenamed({"R10_inc": "EoC_dchgR_10s_inc", "delta_hyst": "hyst_frac_low"})
     found = diagnose.diagnose(table, diagnose.ASSB_SI)
     return found.select("cell_id", "cycle", *(f"{m}_{c}" for m in diagnose.ASSB_SI.modes for c in ("score", "confidence", "status", "eligible", "reasons")))
+
+
+# Curves: no SQL; tests compare them with direct computation.
+
+
+@query("derivative_curves")
+def derivative_curves(spark, sf_dir):
+    return curves.derivative_curves(views.legs(spark, sf_dir), 64, order=ORDER)
+
+
+@query("robust_peaks")
+def robust_peaks(spark, sf_dir):
+    return curves.robust_peak_table(views.legs(spark, sf_dir), order=ORDER)
+
+
+_BANDS = ((2.5, 2.7, "low"), (2.7, 3.0, "mid"), (3.0, 5.0, "high"))
+
+
+def _banded(spark, sf_dir):
+    return curves.peak_table(views.legs(spark, sf_dir), {"charge": _BANDS, "discharge": _BANDS}, order=ORDER)
+
+
+@query("banded_peaks")
+def banded_peaks(spark, sf_dir):
+    return _banded(spark, sf_dir).dropna(subset=["band"])
+
+
+@query("shape_features")
+def shape_features(spark, sf_dir):
+    return curves.shape_features(views.legs(spark, sf_dir), order=ORDER)
+
+
+@query("hysteresis")
+def hysteresis(spark, sf_dir):
+    return curves.hysteresis(views.legs(spark, sf_dir), order=ORDER)
+
+
+def _monthly(spark, sf_dir):
+    """Line items as curves: a supplier's quantities of a month in order, summed, against their prices."""
+    items = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("cell_id"),
+        F.year("l_shipdate").alias("cycle"),
+        F.lit("discharge").alias("leg"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("row_id"),
+        F.col("l_quantity").alias("inc"),
+        (F.col("l_extendedprice") / 1e4).alias("inc_v"),
+    )
+    w = Window.partitionBy("cell_id", "cycle").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = items.withColumns({"capacity": F.sum("inc").over(w), "voltage": F.sum("inc_v").over(w), "place": F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return summed.select("cell_id", "cycle", "leg", F.col("place").alias("row_id"), "capacity", "voltage")
+
+
+@query("shape_distance")
+def shape_distance(spark, sf_dir):
+    return curves.shape_distance(curves.normalised_curves(_monthly(spark, sf_dir), 64), baseline_cycle=1995)
+
+
+@query("peak_evolution")
+def peak_evolution(spark, sf_dir):
+    return curves.evolution(curves.normalised_curves(_monthly(spark, sf_dir), 64), window=8)
+
+
+@query("health_inflections")
+def health_inflections(spark, sf_dir):
+    return curves.inflections(_health(spark, sf_dir).select("cell_id", "cycle", "SoHQ"))
+
+
+@query("rest_time_constants")
+def rest_time_constants(spark, sf_dir):
+    return curves.rest_taus(views.legs(spark, sf_dir), ["cell_id", "leg"], ORDER)
+
+
+@query("pulse_parameters")
+def pulse_parameters(spark, sf_dir):
+    s = views.legs(spark, sf_dir)
+    start = s.groupBy("cell_id", "leg").agg(F.min("time").alias("t0"))
+    pulses = s.join(start, ["cell_id", "leg"]).select("cell_id", "leg", "time", "row_id", ((F.col("time") - F.col("t0")) / 86400).alias("t"), (F.col("capacity") / 100).alias("r_mohm"))
+    return curves.pulse_parameters(pulses, ["cell_id", "leg"], ORDER)
+
+
+# Peaks over cycles
+
+
+@query("golden_peaks")
+def golden_peaks(spark, sf_dir):
+    return peaks.golden_references(_banded(spark, sf_dir).dropna(subset=["band"]))
+
+
+@query("tracked_peaks")
+def tracked_peaks(spark, sf_dir):
+    found = _banded(spark, sf_dir).dropna(subset=["band"])
+    return peaks.track(found, peaks.golden_references(found))
+
+
+@query("assigned_peaks")
+def assigned_peaks(spark, sf_dir):
+    found = _banded(spark, sf_dir).dropna(subset=["band"])
+    refs = peaks.golden_references(found).select("leg", F.col("band").alias("peak_id"), F.col("V_ref").alias("V"), F.col("H_ref").alias("H"))
+    return curves.assign_peaks(found, refs, most=5.0)
+
+
+@query("peak_derivatives", f"""SELECT cell_id, cycle, {R('dV', 'dH', digits=5)} FROM (SELECT cell_id, cycle, (SoHQ - lag(SoHQ) OVER w) / nullif(cycle - lag(cycle) OVER w, 0) AS dV, (hyst - lag(hyst) OVER w) / nullif(cycle - lag(cycle) OVER w, 0) AS dH FROM v_traj WINDOW w AS (PARTITION BY cell_id ORDER BY cycle))""", **_V)
+def peak_derivatives(spark, sf_dir):
+    t = _health(spark, sf_dir).select("cell_id", "cycle", F.col("SoHQ").alias("V"), F.col("hyst").alias("H"))
+    return rounded(peaks.derivatives(t, ["cell_id"]).select("cell_id", "cycle", "dV", "dH"), 5)
+
+
+@query("peak_fade_correlation", f"""SELECT feature, target, n, {R('r', digits=5)} FROM (SELECT feature, target, count(*) AS n, {_corr('value', 'goal')} AS r FROM (
+  SELECT unnest(['R10', 'hyst']) AS feature, unnest([R10, hyst]) AS value, SoHQ, dchgCapa FROM v_traj), LATERAL (SELECT unnest(['SoHQ', 'dchgCapa']) AS target, unnest([SoHQ, dchgCapa]) AS goal) WHERE value IS NOT NULL AND goal IS NOT NULL GROUP BY ALL HAVING count(*) >= 8)""", **_V)
+def peak_fade_correlation(spark, sf_dir):
+    return rounded(peaks.correlate_with_fade(_health(spark, sf_dir), ["R10", "hyst"], ["SoHQ", "dchgCapa"]), 5)
+
+
+# Mechanisms, steps, models
+
+
+@query("mechanism")
+def mechanism_query(spark, sf_dir):
+    return mechanism.mechanism_indicators(_health(spark, sf_dir).withColumnsRenamed({"R10": "resistance", "hyst": "cliff"}), {"resistance": ("impedance", 1.0), "cliff": ("silicon", 1.0), "CE": ("graphite", -1.0)})
+
+
+@query("isolation_scores")
+def isolation_scores(spark, sf_dir):
+    table = _health(spark, sf_dir)
+    return isolation.predict(table, isolation.train(table, ["R10", "hyst", "CE"]), ["cell_id", "cycle"])
+
+
+@query("fade_regression", f"SELECT n, {R('b0', 'b1', 'b2', 'r2', digits=3)} FROM (SELECT *, my - b1 * mx - b2 * mz AS b0, (b1 * xy + b2 * zy) / nullif(yy, 0) AS r2 FROM (SELECT *, (xy * zz - zy * xz) / nullif(xx * zz - xz * xz, 0) AS b1, (zy * xx - xy * xz) / nullif(xx * zz - xz * xz, 0) AS b2 FROM (SELECT count(*) AS n, avg(SoHQ) AS my, avg(R10) AS mx, avg(CE) AS mz, var_pop(R10) AS xx, var_pop(CE) AS zz, var_pop(SoHQ) AS yy, covar_pop(R10, CE) AS xz, covar_pop(R10, SoHQ) AS xy, covar_pop(CE, SoHQ) AS zy FROM v_traj WHERE SoHQ IS NOT NULL AND R10 IS NOT NULL AND CE IS NOT NULL)))", **_V)
+def fade_regression(spark, sf_dir):
+    return rounded(mechanism.two_variable_fit(_health(spark, sf_dir), "R10", "CE", "SoHQ"), 3)
+
+
+@query("step_features", """SELECT cell_id, cycle, round(chg, 6) AS chgCapa, round(dchg, 6) AS dchgCapa, n_steps FROM (SELECT cell_id, cycle, max(inc) FILTER (step_type = 'charge') AS chg, max(inc) FILTER (step_type = 'discharge') AS dchg, count(*) AS n_steps FROM v_samples GROUP BY ALL)""")
+def step_features(spark, sf_dir):
+    return cycle.step_features(views.samples(spark, sf_dir).withColumnRenamed("inc", "capacity"))
