@@ -315,11 +315,13 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     """``docs`` with one row of each class of near duplicates; texts without words all stay."""
     found = ngram_join(docs, plan).where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("_rows"), F.max("n_grams").alias("_grams"))
     kept = cut(found, "kept").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    same = (F.xxhash64(docs["text"]) == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id"))
+    same = (F.xxhash64(docs["text"]) == kept["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(kept["_id"])
     if kept.where("_rows > 1 and _grams > 0").isEmpty():
         return docs.join(kept, same, "left_semi")
+    # A row that repeats stays once. The row is one column here, so no name of it can clash.
+    rows = docs.join(kept, same).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), kept["_id"], kept["_hash"], kept["_grams"])
     number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return docs.join(kept, same).withColumn("_number", number).where("_number = 1 or _grams = 0").select(*docs.columns)
+    return rows.withColumn("number", number).where("number = 1 or _grams = 0").select("row.*")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,7 @@ def _pack(scale: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         asked: dict[int, list] = {}
+        own_id, own_names = None, set()  # a query row that repeats follows at once, but for others of its id
 
         def batch_of(rows):
             return pack("batch", np.array([x[0] for x in rows], np.int64), np.stack([x[1] for x in rows]), np.array([x[2] for x in rows], np.int64), [x[3] for x in rows])
@@ -101,6 +102,11 @@ def _pack(scale: int, k: int):
                     continue
                 d, own = len(x), _NO_ID if i is None else i
                 name = hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() if query else None
+                if query:
+                    if own != own_id:
+                        own_id, own_names = own, set()
+                    query = name not in own_names
+                    own_names.add(name)
                 held.setdefault(d, []).append((own, np.floor(scale * x), bool(query), name))
                 if len(held[d]) % BLOCK_ROWS == 0:
                     close_block(d)
