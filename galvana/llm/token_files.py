@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,7 @@ BLOCK_IDS = 256
 #: Ids of a segment, and segments of a file: they bound what a task holds.
 SEGMENT_IDS, FILE_SEGMENTS = 1 << 21, 8
 PERCENTILE = 90
-BLOCK_BYTES, MEMO_WORDS = 1_000_000, 200_000
+BLOCK_BYTES, MEMO_WORDS = 1_000_000, 500_000
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK_IDS, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
@@ -162,19 +163,30 @@ def segments(content: bytes) -> Iterator[dict]:
         at += size + 1
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the code points
+    from 256 on, in order.
+    """
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Words:
-    """Encodes texts with a tokenizers file: the library encodes each distinct pre-token, once in a while.
+    """Encodes texts with a tokenizers file: the library's model merges each distinct pre-token, once in a while.
 
     A byte-level BPE encodes every match of its pattern by itself, so a text's ids
-    are those of its pre-tokens in order.
+    are those of its pre-tokens in order. Strings of special tokens are text.
     """
 
     def __init__(self, json: str, classes: np.ndarray):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
-        self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_str(json).model
+        self.letters = byte_letters()
         self.classes = classes
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -186,15 +198,11 @@ class Words:
         if missing and len(new) > MEMO_WORDS:
             self.old, self.new = new, {}
             new = self.new
-        never = []
         for k in missing:
-            if (x := self.old.get(words[k])) is not None:
-                out[k] = new[words[k]] = x
-            else:
-                never.append(k)
-        if never:
-            for k, x in zip(never, self.tokenizer.encode_batch_fast([words[k] for k in never], add_special_tokens=False), strict=True):
-                out[k] = new[words[k]] = np.array(x.ids, np.int32).tobytes()
+            if (x := self.old.get(words[k])) is None:
+                letters = words[k].encode().decode("latin-1").translate(self.letters)
+                x = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            out[k] = new[words[k]] = x
         return out
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
