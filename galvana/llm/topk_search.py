@@ -54,11 +54,11 @@ _LOW = np.iinfo(np.int64).min + 1
 _NO_ID = np.iinfo(np.int64).max
 
 
-def _pack(scale: int, k: int):
+def _pack(scale: int, k: int, block_rows: int, page_blocks: int):
     """Pages of blocks and batches of queries out of one partition's ordered rows."""
 
     def pack(kind, ids, rows, floor=None, names=None):
-        cut_at = np.arange(0, len(ids), BLOCK_ROWS)
+        cut_at = np.arange(0, len(ids), block_rows)
         least = np.minimum.reduceat(rows, cut_at, axis=0) if kind == "page" else None
         greatest = np.maximum.reduceat(rows, cut_at, axis=0) if kind == "page" else None
         raw = [None if x is None else x.tobytes() for x in (ids, rows, least, greatest, floor)]
@@ -74,7 +74,7 @@ def _pack(scale: int, k: int):
 
         def close_block(d):
             """The queries of the block that ends here get their floors from it."""
-            block = held[d][-(((len(held[d]) - 1) % BLOCK_ROWS) + 1) :]
+            block = held[d][-(((len(held[d]) - 1) % block_rows) + 1) :]
             queries = [x for x in block if x[2]]
             if queries:
                 ids, rows = np.array([x[0] for x in block], np.int64), np.stack([x[1] for x in block])
@@ -108,9 +108,9 @@ def _pack(scale: int, k: int):
                     query = name not in own_names
                     own_names.add(name)
                 held.setdefault(d, []).append((own, np.floor(scale * x), bool(query), name))
-                if len(held[d]) % BLOCK_ROWS == 0:
+                if len(held[d]) % block_rows == 0:
                     close_block(d)
-                if len(held[d]) == BLOCK_ROWS * PAGE_BLOCKS:
+                if len(held[d]) == block_rows * page_blocks:
                     done.append(close_page(d))
                 while len(asked.get(d, [])) >= BATCH_QUERIES:
                     done.append(batch_of(asked[d][:BATCH_QUERIES]))
@@ -119,7 +119,7 @@ def _pack(scale: int, k: int):
                 yield out(done)
         done = []
         for d in list(held):
-            if len(held[d]) % BLOCK_ROWS:
+            if len(held[d]) % block_rows:
                 close_block(d)
             done.append(close_page(d))
         done += [batch_of(rows) for rows in asked.values() if rows]
@@ -133,7 +133,7 @@ def _matrix(row, name: str) -> np.ndarray:
     return np.frombuffer(row[name], np.float64).reshape(-1, row["dimension"])
 
 
-def search_page(page: dict, batch: dict, k: int) -> Iterator[tuple[str, int, int, int]]:
+def search_page(page: dict, batch: dict, k: int, block_rows: int = BLOCK_ROWS) -> Iterator[tuple[str, int, int, int]]:
     """``name, query_id, vec_id, score`` of all that a page's blocks add to a batch's ranks."""
     rows, ids = _matrix(page, "matrix"), np.frombuffer(page["ids"], np.int64)
     queries, own = _matrix(batch, "matrix"), np.frombuffer(batch["ids"], np.int64)
@@ -149,7 +149,7 @@ def search_page(page: dict, batch: dict, k: int) -> Iterator[tuple[str, int, int
             break
         for b in np.unique(block[alive]).tolist():
             asks = np.flatnonzero(alive & (block == b))
-            a, z = b * BLOCK_ROWS, min((b + 1) * BLOCK_ROWS, len(ids))
+            a, z = b * block_rows, min((b + 1) * block_rows, len(ids))
             scores = products(queries[asks], rows[a:z])
             scores[ids[None, a:z] == own[asks][:, None]] = _LOW
             gains = scores.max(axis=1) >= floor[asks]
@@ -166,17 +166,17 @@ def search_page(page: dict, batch: dict, k: int) -> Iterator[tuple[str, int, int
         yield batch["names"][q], int(own[q]), int(top_ids[q, r]), int(top[q, r])
 
 
-def _search(k: int):
+def _search(k: int, block_rows: int):
     def run(pages: pa.Table, batches: pa.Table) -> pa.Table:
         asked = batches.to_pylist()
-        rows = [x for page in pages.to_pylist() for batch in asked for x in search_page(page, batch, k)]
+        rows = [x for page in pages.to_pylist() for batch in asked for x in search_page(page, batch, k, block_rows)]
         name, query, vec, score = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"name": pa.array(name, pa.string()), "query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
 
     return run
 
 
-def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
+def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, page_blocks: int = PAGE_BLOCKS) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of ``embeddings`` that is a query, against all rows."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))
     # Signs of the first components: neighbours in this order share them.
@@ -184,7 +184,7 @@ def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int
     ordered = rows.withColumn("sign", F.array_join(sign, ""))
     n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = ordered.repartitionByRange(n, "sign", "vec_id").sortWithinPartitions("sign", "vec_id").select("vec_id", "embedding", "is_query")
-    packed = cut(ordered.mapInArrow(_pack(scale, k), _PACKED).withColumn("number", F.monotonically_increasing_id()), "blocks")
+    packed = cut(ordered.mapInArrow(_pack(scale, k, block_rows, page_blocks), _PACKED).withColumn("number", F.monotonically_increasing_id()), "blocks")
     pages = packed.where("kind = 'page'").select("dimension", F.col("number").alias("page"), "ids", "matrix", "least", "greatest")
     batches = packed.where("kind = 'batch'").select("dimension", "number", "ids", "matrix", "floor", "names")
     # Numbers of pages and of groups of batches, one row for each partition of blocks.
@@ -195,7 +195,7 @@ def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int
     pages = pages.withColumn("lane", F.pmod(F.xxhash64("page"), F.lit(lanes))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     batches = batches.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
     cells = pages.groupBy("dimension", "lane", "part").cogroup(batches.groupBy("dimension", "lane", "part"))
-    found = cells.applyInArrow(_search(k), "name string, query_id long, vec_id long, score long")
+    found = cells.applyInArrow(_search(k, block_rows), "name string, query_id long, vec_id long, score long")
     ranks = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(ranks))
