@@ -3,8 +3,10 @@
 Each table gives a vector the signs of its products with random hyperplanes, and
 vectors of equal label and signs share a bucket. Bits follow from the number of
 vectors, tables from the bits and the recall asked for. Equal vectors form one
-class from the start. All pairs of a bucket are verified by their exact cosine
-in double precision, in pairs of blocks; a pair counts in its first table only.
+class from the start. Within buckets, the signs of all tables together split off
+what is clearly below the cosine; what remains hangs together in clusters, and
+all pairs of a cluster are verified by their exact cosine in double precision,
+in pairs of blocks. So vectors move once for each cluster, not for each table.
 
 A vector that is null or zero, or that holds null or non-finite components, and
 one without a label, links with nothing. Vectors of unlike length don't link.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galvana.llm.blocks import block_pairs
-from galvana.llm.components import linked_classes
+from galvana.llm.components import components, linked_classes
 from galvana.llm.ngram_join import _meets, forest
 from galvana.shared import cut
 
@@ -47,6 +49,12 @@ class Plan:
         agree = (1 - math.acos(cosine) / math.pi) ** bits
         return cls(bits, math.ceil(math.log(1 - recall) / math.log1p(-agree)), cosine)
 
+    @property
+    def likely(self) -> float:
+        """Share of equal signs from which a pair is verified: 5 standard deviations below that at the cosine."""
+        agree = 1 - math.acos(self.cosine) / math.pi
+        return agree - 5 * math.sqrt(agree * (1 - agree) / (self.bits * self.tables))
+
     def planes(self, dimension: int) -> np.ndarray:
         return np.random.default_rng([self.seed, dimension]).standard_normal((dimension, self.bits * self.tables))
 
@@ -114,19 +122,37 @@ def _buckets(plan: Plan):
     return run
 
 
+def _clusters(plan: Plan):
+    """Links between vectors whose signs agree well enough, as a forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = plan.bits * plan.tables
+        shifts = np.arange(plan.bits, dtype=np.int32)
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                rows = [*left, *(right or [])]
+                sign = np.frombuffer(b"".join(x["signs"] for x in rows), np.int32).reshape(len(rows), -1, 1)
+                bits = (2 * ((sign >> shifts) & 1) - 1).reshape(len(rows), n).astype(np.float32)
+                root = forest((bits @ bits.T + n >= 2 * n * plan.likely) & _meets(len(left), len(rows)))
+                for k in np.flatnonzero(root != np.arange(len(rows))).tolist():
+                    a.append(rows[root[k]]["key"])
+                    b.append(rows[k]["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
 def _verify(plan: Plan):
+    """Of each vector: the copies that its verified links reach in this pair of blocks, and its root in their forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, links, root = [], [], []
-            for table, left, right in zip(*(batch.column(c).to_pylist() for c in ("table", "left", "right")), strict=True):
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 rows = [*left, *(right or [])]
                 unit = np.frombuffer(b"".join(x["unit"] for x in rows), np.float64).reshape(len(rows), -1)
-                sign = np.frombuffer(b"".join(x["signs"] for x in rows), np.int32).reshape(len(rows), -1)
                 linked = (unit @ unit.T >= plan.cosine) & _meets(len(left), len(rows))
-                if not linked.any():
-                    continue
-                for t in range(table):
-                    linked &= sign[:, t][:, None] != sign[:, t][None, :]
                 copies = linked @ np.array([x["copies"] for x in rows], np.int64)
                 label = forest(linked)
                 for k in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -153,7 +179,7 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
     bucket = ["label", "length", "table", "sign"]
     members = classes.select("key", "label", "unit", "signs").mapInArrow(_buckets(plan), f"key binary, label {label}, length int, table int, sign int")
     marks = F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit(1), "key"))
-    # Of buckets with the same members the one of the first table stays.
+    # Buckets with the same members count once.
     buckets = (
         members.groupBy(*bucket)
         .agg(F.count("*").alias("size"), marks[0].alias("x"), marks[1].alias("y"))
@@ -162,9 +188,13 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
         .agg(F.min(F.struct("table", "sign")).alias("first"))
         .select("label", "length", "size", "first.table", "first.sign")
     )
-    held = members.join(buckets, bucket).join(classes.select("key", "copies", "unit", "signs"), "key")
-    pairs = block_pairs(held, bucket, F.col("size"), block, ["key"], ["key", "copies", "unit", "signs"])
-    found = cut(pairs.select("table", "left", "right").mapInArrow(_verify(plan), "key binary, links long, root binary"), "links")
+    held = members.join(buckets, bucket).join(classes.select("key", "signs"), "key")
+    pairs = block_pairs(held, bucket, F.col("size"), block, ["key"], ["key", "signs"])
+    cluster = components(pairs.select("left", "right").mapInArrow(_clusters(plan), "a binary, b binary"), "a", "b")
+    sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
+    wanted = cluster.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", "unit"), "key")
+    pairs = block_pairs(wanted, ["component"], F.col("size"), block, ["key"], ["key", "copies", "unit"])
+    found = cut(pairs.select("left", "right").mapInArrow(_verify(plan), "key binary, links long, root binary"), "links")
     named = linked_classes(classes, found)
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("class_id"))
     return (
