@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, curves, cycle, diagnose, doe, isolation, mechanism, peaks, protocol, regime, score, segment, trajectory
+from galvana.operators import asof, curves, cycle, diagnose, doe, isolation, mechanism, peaks, protocol, pulses, regime, score, segment, trajectory
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -655,3 +655,79 @@ def fade_regression(spark, sf_dir):
 @query("step_features", """SELECT cell_id, cycle, round(chg, 6) AS chgCapa, round(dchg, 6) AS dchgCapa, n_steps FROM (SELECT cell_id, cycle, max(inc) FILTER (step_type = 'charge') AS chg, max(inc) FILTER (step_type = 'discharge') AS dchg, count(*) AS n_steps FROM v_samples GROUP BY ALL)""")
 def step_features(spark, sf_dir):
     return cycle.step_features(views.samples(spark, sf_dir).withColumnRenamed("inc", "capacity"))
+
+
+# Pulses and tails
+
+
+_TIMED = "SELECT *, (time - min(time) OVER (PARTITION BY cell_id, leg)) / 86400 AS t, capacity / 100 AS r_mohm FROM v_leg"
+
+
+@query("root_time_slopes", f"""SELECT cell_id, leg, lo, hi, n, {R('slope', 'r2', digits=5)} FROM (SELECT cell_id, leg, lo, hi, count(*) AS n, CASE WHEN count(*) > 1 THEN regr_slope(r_mohm, sqrt(t)) END AS slope, covar_pop(r_mohm, sqrt(t)) * covar_pop(r_mohm, sqrt(t)) / nullif(var_pop(r_mohm) * var_pop(sqrt(t)), 0) AS r2
+  FROM v_timed JOIN (VALUES (1.0::DOUBLE, 10.0::DOUBLE), (10.0, 30.0)) w(lo, hi) ON t BETWEEN lo AND hi GROUP BY ALL)""", v_leg=views.LEGS, v_timed=_TIMED)
+def root_time_slopes(spark, sf_dir):
+    s = views.legs(spark, sf_dir)
+    start = s.groupBy("cell_id", "leg").agg(F.min("time").alias("t0"))
+    timed = s.join(start, ["cell_id", "leg"]).select("cell_id", "leg", ((F.col("time") - F.col("t0")) / 86400).alias("t"), (F.col("capacity") / 100).alias("r_mohm"))
+    return rounded(pulses.root_time_slopes(timed, keys=["cell_id", "leg"]), 5)
+
+
+@query("cv_start", """SELECT cell_id, cycle, leg, min(p) FILTER (ok) AS cv_start, max(n) AS n FROM (SELECT *, min(low) OVER a = 1 AND count(*) OVER a = 3 AND p > n * 0.1 AS ok FROM (
+  SELECT l.*, CASE WHEN abs(current) < 0.92 * cc THEN 1 ELSE 0 END AS low FROM v_placed l JOIN (SELECT cell_id, leg, median(abs(current)) AS cc FROM v_placed WHERE p <= ceil(n / 2) GROUP BY ALL) USING (cell_id, leg))
+  WINDOW a AS (PARTITION BY cell_id, leg ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) GROUP BY ALL""", v_leg=views.LEGS,
+    v_placed="SELECT *, row_number() OVER (PARTITION BY cell_id, leg ORDER BY time, row_id) AS p, count(*) OVER (PARTITION BY cell_id, leg) AS n FROM v_leg")
+def cv_start(spark, sf_dir):
+    return pulses.cv_start(views.legs(spark, sf_dir), sustained=3, order=ORDER)
+
+
+@query("cv_runs", """SELECT cell_id, cycle, leg, arg_max(first, (n, -first)) AS first, max(n) AS n FROM (SELECT cell_id, cycle, leg, min(p) AS first, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY cell_id, leg ORDER BY p) AS g FROM (
+  SELECT *, row_number() OVER w AS p, voltage >= quantile_cont(voltage, 0.99) OVER (PARTITION BY cell_id, leg) - 0.2 AND abs(current) < lag(abs(current)) OVER w AS inside FROM v_leg WINDOW w AS (PARTITION BY cell_id, leg ORDER BY time, row_id)) WHERE inside) GROUP BY cell_id, cycle, leg, g) GROUP BY ALL""", v_leg=views.LEGS)
+def cv_runs(spark, sf_dir):
+    return pulses.cv_runs(views.legs(spark, sf_dir), margin=0.2, least=1, order=ORDER)
+
+
+@query("curvature_onset", """SELECT cell_id, min(cycle) FILTER (p > 20 AND abs(d) > 3 * s) AS onset_cycle FROM (SELECT *, stddev_pop(d) FILTER (p <= 20) OVER (PARTITION BY cell_id) AS s FROM (
+  SELECT cell_id, cycle, lead(SoHQ) OVER w - 2 * SoHQ + lag(SoHQ) OVER w AS d, row_number() OVER w AS p FROM v_traj WINDOW w AS (PARTITION BY cell_id ORDER BY cycle))) GROUP BY cell_id""", **_V)
+def curvature_onset(spark, sf_dir):
+    return pulses.curvature_onset(_health(spark, sf_dir), "SoHQ")
+
+
+@query("rank_correlation", f"""SELECT feature, count(*) AS n, {R('rho', digits=5)} FROM (SELECT feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS x, rank() OVER (PARTITION BY feature ORDER BY health) + (count(*) OVER (PARTITION BY feature, health) - 1) / 2 AS y FROM (
+  SELECT cell_id, feature, round(avg(value), 6) AS value, round(avg(health), 6) AS health FROM v_long WHERE feature IN ('R10', 'hyst') GROUP BY ALL)) GROUP BY feature""".replace(R("rho", digits=5), "round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 5) AS rho"), **_S)
+def rank_correlation(spark, sf_dir):
+    cells = _health(spark, sf_dir).groupBy("cell_id").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("R10", "hyst", "SoHQ")))
+    return rounded(pulses.rank_correlation(cells, ["R10", "hyst"], "SoHQ"), 5)
+
+
+@query("track_lifecycle", """SELECT cell_id, cycle, observed, CASE WHEN dead THEN 'terminated' WHEN was AND miss >= 3 THEN 'coasting' WHEN was THEN 'confirmed' ELSE 'tentative' END AS state FROM (SELECT *, bool_or(hits >= 3) OVER p AS was, bool_or(miss >= 5) OVER p AS dead FROM (
+  SELECT *, count(*) FILTER (NOT observed) OVER (PARTITION BY cell_id, run ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS miss FROM (SELECT *, count(*) FILTER (observed) OVER (PARTITION BY cell_id ORDER BY cycle ROWS 4 PRECEDING) AS hits, count(*) FILTER (observed) OVER (PARTITION BY cell_id ORDER BY cycle ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT cell_id, cycle, n_steps >= 6 AS observed FROM v_cycle))) WINDOW p AS (PARTITION BY cell_id ORDER BY cycle ROWS UNBOUNDED PRECEDING))""")
+def track_lifecycle(spark, sf_dir):
+    return pulses.lifecycle(views.cycles(spark, sf_dir).select("cell_id", "cycle", (F.col("n_steps") >= 6).alias("observed")), keys=["cell_id"])
+
+
+@query("noise_by_voltage", f"""SELECT cell_id, bin, count(*) AS n, {R('median')} FROM (SELECT s.*, CAST(coalesce(least(5, floor((voltage - lo) / nullif(hi - lo, 0) * 5) + 1), 1) AS INTEGER) AS bin FROM v_samples s JOIN (SELECT cell_id, min(voltage) AS lo, max(voltage) AS hi FROM v_samples GROUP BY ALL) USING (cell_id)) GROUP BY ALL""".replace(R("median"), "round(median(inc), 6) + 0.0 AS median"))
+def noise_by_voltage(spark, sf_dir):
+    return pulses.noise_by_voltage(views.samples(spark, sf_dir), "inc")
+
+
+@query("temperature_corrected", f"SELECT cell_id, cycle, {R('r25')} FROM (SELECT cell_id, cycle, R10 * 1000 * exp(20000 / 8.314462618 * (1 / 298.15 - 1 / (20.0 + n_steps + 273.15))) AS r25 FROM v_cycle)")
+def temperature_corrected(spark, sf_dir):
+    return views.cycles(spark, sf_dir).select("cell_id", "cycle", pulses.temperature_corrected(F.col("R10") * 1000, 20.0 + F.col("n_steps"), 20000.0).alias("r25"))
+
+
+@query("load_window", f"""SELECT cell_id, cycle, time, row_id, CAST(floor(t) AS BIGINT) AS t, {R('voltage', 'current', 'v_ref', digits=4)} FROM (SELECT s.*, time - t0 AS t, v_ref FROM v_samples s JOIN (SELECT cell_id, cycle, arg_min(time, p) AS t0, arg_min(coalesce(ref, -1), p) AS v_ref FROM v_rested WHERE current < -1 GROUP BY ALL) USING (cell_id, cycle)) WHERE abs(t) <= 7200""".replace("cycle, time, row_id", "cycle, row_id").replace("arg_min(time, p) AS t0, arg_min(coalesce(ref, -1), p) AS v_ref", "arg_min(time, p) AS t0, nullif(arg_min(coalesce(ref, -1), p), -1) AS v_ref"),
+    v_samples=views.SAMPLES, v_rested="SELECT *, last_value(CASE WHEN abs(current) <= 0.5 THEN voltage END IGNORE NULLS) OVER (PARTITION BY cell_id, cycle ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY time, row_id) AS p FROM v_samples")
+def load_window(spark, sf_dir):
+    return rounded(pulses.load_window(views.samples(spark, sf_dir), 7200.0, order=ORDER).drop("time").withColumn("t", F.floor("t")), 4)
+
+
+@query("block_recoveries")
+def block_recoveries(spark, sf_dir):
+    c = views.cycles(spark, sf_dir)
+    return pulses.block_recoveries(c, segment.consecutive_blocks(c.where("n_steps = 9"), min_len=2), "dchgCapa")
+
+
+@query("self_discharge")
+def self_discharge(spark, sf_dir):
+    return pulses.self_discharge(views.legs(spark, sf_dir), (0.0, 1e7), ["cell_id", "leg"], ORDER)
