@@ -26,7 +26,7 @@ def pearson(y: Column | str, x: Column | str) -> Column:
     both = col(y).isNotNull() & col(x).isNotNull()
     a, b = F.when(both, col(y).cast("double")), F.when(both, col(x).cast("double"))
     r = F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clip(r, -1.0, 1.0)
 
 
 def slope(y: Column | str, x: Column | str, least: int = 2) -> Column:
@@ -41,6 +41,11 @@ def quantile(c: Column | str, p: float) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """The value within bounds; null stays null (greatest and least skip nulls)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
+
+
+def at_most(c: Column, hi: float) -> Column:
+    return F.when(c.isNotNull(), F.least(F.lit(hi), c))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions.expr import ratio
+from galvana.functions.expr import at_most, ratio
 from galvana.operators.asof import sample_at
 from galvana.operators.segment import continuity_reason, counter_reason
 
@@ -123,8 +123,8 @@ def quality(samples: DataFrame, v_low: float = 2.5, v_high: float = 4.2, keys: S
     step = F.nullif(F.abs(F.col("voltage") - F.lag("voltage").over(w)), F.lit(0.0))
     found = samples.withColumn("_step", step).groupBy(*keys).agg(F.count("*").alias("n"), F.min("voltage").alias("lo"), F.max("voltage").alias("hi"), F.min("_step").alias("quant_step"))
     span = F.col("hi") - F.col("lo")
-    found = found.select(*keys, "quant_step", ratio("n", span * 1000).alias("samples_per_mv"), F.least(F.lit(1.0), span / (v_high - v_low)).alias("completeness"))
-    a, b = F.least(F.lit(1.0), F.col("samples_per_mv")), F.col("completeness")
+    found = found.select(*keys, "quant_step", ratio("n", span * 1000).alias("samples_per_mv"), at_most(span / (v_high - v_low), 1.0).alias("completeness"))
+    a, b = at_most(F.col("samples_per_mv"), 1.0), F.col("completeness")
     return found.withColumn("quality_score", F.when((a <= 0) | (b <= 0), F.lit(0.0)).otherwise(F.exp(0.4 * F.ln(a) + 0.6 * F.ln(b))))
 
 

@@ -43,8 +43,8 @@ def arm_trajectories(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Arms' means by cycle, and with exactly two arms their differences on shared cycles."""
     means = to_long(features, columns, KEYS).groupBy("arm", "cycle", "feature").agg(F.avg("value").alias("value"))
     both = means.groupBy("cycle", "feature").agg(F.array_sort(F.collect_list(F.struct("arm", "value"))).alias("_a"))
-    n_arms = features.agg(F.count_distinct("arm").alias("_n"))
-    pairs = both.join(F.broadcast(n_arms)).where((F.col("_n") == 2) & (F.size("_a") == 2))
+    n_arms = features.agg(F.count_distinct("arm")).scalar()
+    pairs = both.where((n_arms == 2) & (F.size("_a") == 2))
     a, b = F.col("_a")[0], F.col("_a")[1]
     delta = pairs.select(F.concat(F.lit("delta:"), b["arm"], F.lit("-"), a["arm"]).alias("arm"), "cycle", "feature", (b["value"] - a["value"]).alias("value"))
     return means.unionByName(delta)
@@ -52,8 +52,8 @@ def arm_trajectories(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def late_spread(features: DataFrame, columns: Sequence[str], late: float = 0.2) -> DataFrame:
     """Spread of arms' late means by indicator, and the arms of the largest and smallest."""
-    edge = features.agg(quantile("cycle", 1 - late).alias("_hi"))
-    rows = features.join(F.broadcast(edge)).where(F.col("cycle") >= F.col("_hi"))
+    edge = features.agg(quantile("cycle", 1 - late)).scalar()
+    rows = features.where(F.col("cycle") >= edge)
     means = to_long(rows, columns, KEYS).groupBy("feature", "arm").agg(F.avg("value").alias("m")).where("m is not null")
     return means.groupBy("feature").agg(
         F.count("*").alias("n_arms"),

@@ -44,17 +44,15 @@ def wide(long: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("cell_id"
 
 def usable(quality: DataFrame, column: str, spread: float = 2.0) -> DataFrame:
     """Add ``usable``: at most the median plus ``spread`` robust deviations over all rows."""
-    center = quality.agg(F.median(column).alias("_m"))
-    off = quality.join(F.broadcast(center)).withColumn("_d", F.abs(F.col(column) - F.col("_m")))
-    mad = off.agg((1.4826 * F.median("_d")).alias("_s"))
-    return off.join(F.broadcast(mad)).withColumn("usable", F.col(column) <= F.col("_m") + spread * F.col("_s")).drop("_m", "_d", "_s")
+    off = quality.withColumn("_m", quality.agg(F.median(column)).scalar())
+    robust = off.agg(1.4826 * F.median(F.abs(F.col(column) - F.col("_m")))).scalar()
+    return off.withColumn("usable", F.col(column) <= F.col("_m") + spread * robust).drop("_m")
 
 
 def good_cycle_deltas(table: DataFrame, good: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``delta_*``: each column less its median over the good cycles."""
-    base = table.join(good, ["cell_id", "cycle"], "left_semi").agg(*(F.median(c).alias(f"_b_{c}") for c in columns))
-    joined = table.join(F.broadcast(base))
-    return joined.withColumns({f"delta_{c}": F.col(c) - F.col(f"_b_{c}") for c in columns}).drop(*(f"_b_{c}" for c in columns))
+    base = table.join(good, ["cell_id", "cycle"], "left_semi").agg(F.struct(*(F.median(c).alias(c) for c in columns))).scalar()
+    return table.withColumn("_b", base).withColumns({f"delta_{c}": F.col(c) - F.col(f"_b.{c}") for c in columns}).drop("_b")
 
 
 def correlate_with_fade(table: DataFrame, columns: Sequence[str], targets: Sequence[str], least: int = 8) -> DataFrame:

@@ -69,11 +69,8 @@ def attach_protocol(features: DataFrame, kinds: DataFrame) -> DataFrame:
 
 def scoring_rows(features: DataFrame) -> DataFrame:
     """Rows to score: not excluded, and routine; all rows where no kind is known, none where kinds hold no routine one."""
-    seen = features.agg(F.bool_or(F.col("protocol_kind") != "unknown").alias("_known"))
-    # One row; its size does not depend on the input.
-    marked = features.join(F.broadcast(seen))
-    keep = F.when(F.coalesce("_known", F.lit(False)), F.col("protocol_kind") == "routine").otherwise(F.lit(True))
-    return marked.where(keep & ~F.col("protocol_excluded")).select(*features.columns)
+    known = features.agg(F.coalesce(F.bool_or(F.col("protocol_kind") != "unknown"), F.lit(False))).scalar()
+    return features.where((~known | (F.col("protocol_kind") == "routine")) & ~F.col("protocol_excluded"))
 
 
 def rpt_checkpoints(flags: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galvana.functions import kernels
-from galvana.functions.expr import pearson, ratio
+from galvana.functions.expr import at_most, pearson, ratio
 from galvana.operators.curves import _grouped
 from galvana.operators.score import to_long
 
@@ -177,5 +177,5 @@ def lifecycle(seen: DataFrame, confirm: int = 3, of: int = 5, coast: int = 3, en
 def noise_by_voltage(samples: DataFrame, column: str, bins: int = 5, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
     """Median of a column in equal-width bins of each group's voltages."""
     edges = samples.groupBy(*keys).agg(F.min("voltage").alias("_lo"), F.max("voltage").alias("_hi"))
-    place = F.least(F.lit(bins), F.floor(ratio(F.col("voltage") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins) + 1)
+    place = at_most(F.floor(ratio(F.col("voltage") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins) + 1, bins)
     return samples.join(edges, list(keys)).withColumn("bin", F.coalesce(place, F.lit(1)).cast("int")).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.median(column).alias("median"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions.expr import clip, pearson, quantile, ratio, slope
+from galvana.functions.expr import at_most, clip, pearson, quantile, ratio, slope
 from galvana.operators import registry
 
 WATCH, ALERT = 0.55, 0.75
@@ -70,11 +70,11 @@ def predict(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("ce
 
 def summarize(table: DataFrame, columns: Sequence[str], health: str, keys: Sequence[str] = ("cell_id",), early: float = 0.2) -> DataFrame:
     """One row for each indicator over all cells: coverage, correlations, early and late means, score."""
-    edge = table.agg(quantile("cycle", early).alias("_lo"), quantile("cycle", 1 - early).alias("_hi"))
+    edge = table.agg(F.struct(quantile("cycle", early).alias("_lo"), quantile("cycle", 1 - early).alias("_hi"))).scalar()
     long = score_long(table.select(*{*keys, "cycle", *columns, health}), columns, keys)
     healths = table.select(*keys, "cycle", F.col(health).cast("double").alias("_health"))
-    rows = long.join(healths, [*keys, "cycle"]).join(F.broadcast(edge))
-    first, last = F.col("cycle") <= F.col("_lo"), F.col("cycle") >= F.col("_hi")
+    rows = long.join(healths, [*keys, "cycle"]).withColumn("_edge", edge)
+    first, last = F.col("cycle") <= F.col("_edge._lo"), F.col("cycle") >= F.col("_edge._hi")
     found = rows.groupBy("feature").agg(
         (F.count("value") / F.count("*")).alias("coverage"),
         pearson("value", "cycle").alias("r_cycle"),
@@ -93,8 +93,8 @@ def top_per_family(summary: DataFrame, by: str, n: int = 15, least: float = 0.35
     names = [r[0] for r in summary.select(column).distinct().limit(10_000).collect()]  # feature names, not data
     family = F.create_map(*[F.lit(x) for c in names for x in (c, registry.family_of(c))]) if names else F.create_map()
     rows = summary.where(F.col(by).isNotNull()).withColumn("family", family[F.col(column)] if names else F.col(column))
-    any_high = rows.agg(F.coalesce(F.max(by) >= least, F.lit(False)).alias("_any"))
-    rows = rows.join(F.broadcast(any_high)).where(~F.col("_any") | (F.col(by) >= least)).drop("_any")
+    any_high = rows.agg(F.coalesce(F.max(by) >= least, F.lit(False))).scalar()
+    rows = rows.where(~any_high | (F.col(by) >= least))
     w = Window.partitionBy("family").orderBy(F.desc(by), column)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy(F.desc(by), column).limit(n)
 
@@ -119,7 +119,7 @@ def screen(table: DataFrame, columns: Sequence[str], health: str, keys: Sequence
     )
     found = found.where((F.col("coverage") >= least_coverage) & (F.col("spread") >= 1e-12))
     relation = F.coalesce(F.abs("r_health"), F.abs("r_cycle") * 0.85, F.lit(0.0))
-    moved = F.lit(0.7) * F.least(F.lit(1.0), F.abs(ratio("change", "spread")))
+    moved = F.lit(0.7) * at_most(F.abs(ratio("change", "spread")), 1.0)
     return found.withColumn("severity", F.greatest(relation, F.coalesce(moved, F.lit(0.0))))
 
 
@@ -129,8 +129,8 @@ def compare_cells(table: DataFrame, columns: Sequence[str], late: float = 0.2) -
     The spread of cells' means in each late cycle, its mean and relation to the
     cycle, the range of cells' means, and a score of both as average ranks.
     """
-    edge = table.agg(quantile("cycle", 1 - late).alias("_hi"))
-    rows = table.join(F.broadcast(edge)).where(F.col("cycle") >= F.col("_hi"))
+    edge = table.agg(quantile("cycle", 1 - late)).scalar()
+    rows = table.where(F.col("cycle") >= edge)
     by_cell = to_long(rows, columns, ["cell_id", "cycle"]).groupBy("feature", "cycle", "cell_id").agg(F.avg("value").alias("value"))
     spread = by_cell.groupBy("feature", "cycle").agg(F.stddev_samp("value").alias("s")).groupBy("feature").agg(F.avg("s").alias("mean_spread"), pearson("s", "cycle").alias("r_spread_cycle"))
     cells = by_cell.groupBy("feature", "cell_id").agg(F.avg("value").alias("m")).groupBy("feature").agg((F.max("m") - F.min("m")).alias("cell_range"), F.count("m").alias("n_cells"))
@@ -156,5 +156,5 @@ def screen_peaks(table: DataFrame, health: str, keys: Sequence[str] = ("cell_id"
     pick = lambda k: F.create_map(*[F.lit(x) for c in columns for x in (c, str(parts[c][k]))])[F.col("feature")]
     found = found.withColumns({name: pick(k) for k, name in enumerate(("leg", "kind", "peak", "metric"))})
     shift_mv = F.when(F.col("metric") == "V", F.col("change") * 1000)
-    raised = F.greatest("severity", F.coalesce(F.least(F.lit(1.0), F.abs(shift_mv) / 50), F.lit(0.0)))
+    raised = F.greatest("severity", F.coalesce(at_most(F.abs(shift_mv) / 50, 1.0), F.lit(0.0)))
     return found.withColumns({"slope_per_100": F.col("slope") * 100, "shift_mv": shift_mv, "severity": raised})

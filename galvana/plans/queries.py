@@ -330,7 +330,8 @@ _REF = """SELECT cell_id, feature, median(value) AS center, stddev_samp(value) A
   SELECT l.*, cycle <= p AS early, n FROM v_long l JOIN (SELECT cell_id, quantile_cont(cycle, 0.2) AS p, count(*) AS n FROM v_cycle GROUP BY cell_id) USING (cell_id))) WHERE n < 5 OR m < 3 OR early GROUP BY ALL"""
 _Z = "SELECT cell_id, cycle, feature, value, health, abs(value - center) / nullif(scale, 0) AS z FROM v_long JOIN v_ref USING (cell_id, feature)"
 _S = {"v_cycle": views.CYCLES, "v_traj": views.TRAJECTORY, "v_long": _LONG, "v_ref": _REF, "v_z": _Z}
-_CORR = "greatest(-1, least(1, covar_pop({y}, {x}) / nullif(stddev_pop({y}) FILTER ({x} IS NOT NULL) * stddev_pop({x}) FILTER ({y} IS NOT NULL), 0)))"
+_RAW = "covar_pop({y}, {x}) / nullif(stddev_pop({y}) FILTER ({x} IS NOT NULL) * stddev_pop({x}) FILTER ({y} IS NOT NULL), 0)"
+_CORR = "CASE WHEN " + _RAW + " IS NOT NULL THEN greatest(-1, least(1, " + _RAW + ")) END"
 
 
 def _corr(y: str, x: str) -> str:
@@ -349,14 +350,14 @@ def indicator_scores(spark, sf_dir):
     return rounded(score.score_rows(_health(spark, sf_dir), INDICATORS), 5)
 
 
-@query("indicator_summary", f"""SELECT feature, {R('coverage', 'r_cycle', 'r_health', 'early_mean', 'late_mean', 'median', 'late_z', 'score', digits=5)} FROM (SELECT *, greatest(coalesce(abs(r_health), abs(r_cycle) * 0.85, 0), coalesce(greatest(0, least(1, late_z / 3)), 0)) AS score FROM (
+@query("indicator_summary", f"""SELECT feature, {R('coverage', 'r_cycle', 'r_health', 'early_mean', 'late_mean', 'median', 'late_z', 'score', digits=5)} FROM (SELECT *, greatest(coalesce(abs(r_health), abs(r_cycle) * 0.85, 0), CASE WHEN late_z IS NULL THEN 0 ELSE greatest(0, least(1, late_z / 3)) END) AS score FROM (
   SELECT feature, count(value) / count(*) AS coverage, {_corr('value', 'cycle')} AS r_cycle, {_corr('value', 'health')} AS r_health, avg(value) FILTER (cycle <= lo) AS early_mean, avg(value) FILTER (cycle >= hi) AS late_mean, median(value) AS median, avg(z) FILTER (cycle >= hi) AS late_z
   FROM v_z, (SELECT quantile_cont(cycle, 0.2) AS lo, quantile_cont(cycle, 0.8) AS hi FROM v_cycle) GROUP BY feature))""", **_S)
 def indicator_summary(spark, sf_dir):
     return rounded(score.summarize(_health(spark, sf_dir), INDICATORS, "SoHQ"), 5)
 
 
-_SCREEN = f"""SELECT *, greatest(coalesce(abs(r_health), abs(r_cycle) * 0.85, 0), coalesce(0.7 * least(1, abs(change / nullif(spread, 0))), 0)) AS severity FROM (
+_SCREEN = f"""SELECT *, greatest(coalesce(abs(r_health), abs(r_cycle) * 0.85, 0), CASE WHEN change IS NULL THEN 0 ELSE 0.7 * least(1, abs(change / spread)) END) AS severity FROM (
   SELECT cell_id, feature, count(value) / count(*) AS coverage, stddev_samp(value) AS spread, {_corr('value', 'cycle')} AS r_cycle, {_corr('value', 'health')} AS r_health,
     avg(value) FILTER (cycle >= hi) - avg(value) FILTER (cycle <= lo) AS change, regr_slope(value, cycle) AS slope FROM v_long JOIN (SELECT cell_id, quantile_cont(cycle, 0.2) AS lo, quantile_cont(cycle, 0.8) AS hi FROM v_cycle GROUP BY cell_id) USING (cell_id) GROUP BY cell_id, feature) WHERE coverage >= 0.05 AND spread >= 1e-12"""
 
@@ -706,7 +707,7 @@ def track_lifecycle(spark, sf_dir):
     return pulses.lifecycle(views.cycles(spark, sf_dir).select("cell_id", "cycle", (F.col("n_steps") >= 6).alias("observed")), keys=["cell_id"])
 
 
-@query("noise_by_voltage", f"""SELECT cell_id, bin, count(*) AS n, {R('median')} FROM (SELECT s.*, CAST(coalesce(least(5, floor((voltage - lo) / nullif(hi - lo, 0) * 5) + 1), 1) AS INTEGER) AS bin FROM v_samples s JOIN (SELECT cell_id, min(voltage) AS lo, max(voltage) AS hi FROM v_samples GROUP BY ALL) USING (cell_id)) GROUP BY ALL""".replace(R("median"), "round(median(inc), 6) + 0.0 AS median"))
+@query("noise_by_voltage", f"""SELECT cell_id, bin, count(*) AS n, {R('median')} FROM (SELECT s.*, CAST(least(5, coalesce(floor((voltage - lo) / nullif(hi - lo, 0) * 5) + 1, 1)) AS INTEGER) AS bin FROM v_samples s JOIN (SELECT cell_id, min(voltage) AS lo, max(voltage) AS hi FROM v_samples GROUP BY ALL) USING (cell_id)) GROUP BY ALL""".replace(R("median"), "round(median(inc), 6) + 0.0 AS median"))
 def noise_by_voltage(spark, sf_dir):
     return pulses.noise_by_voltage(views.samples(spark, sf_dir), "inc")
 
