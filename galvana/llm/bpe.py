@@ -12,8 +12,8 @@ bytes. Rows are neither merged nor dropped, and other columns pass unchanged.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -116,7 +116,7 @@ class Vocabulary:
     word_ids: np.ndarray
     whole: PerfectHash
     classes: np.ndarray
-    key: str  # names this vocabulary within a worker
+    key: bytes  # a digest of the ranks: names this vocabulary within a worker
 
     @classmethod
     def build(cls, ranks: dict[bytes, int]) -> Vocabulary:
@@ -127,7 +127,7 @@ class Vocabulary:
             except UnicodeDecodeError:  # part of a character: never a whole pre-token
                 continue
             ids.append(rank)
-        return cls(ranks, words, np.array(ids, np.int32), PerfectHash.build(hash_words(words)), vectext.character_classes(), uuid.uuid4().hex)
+        return cls(ranks, words, np.array(ids, np.int32), PerfectHash.build(hash_words(words)), vectext.character_classes(), hashlib.blake2b(repr(sorted(ranks.items())).encode()).digest())
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -233,13 +233,14 @@ class Encoder:
             yield self.block([x or "" for x in texts.slice(a, b - a).to_pylist()])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
 def encoder(vocabulary: Broadcast) -> Encoder:
-    """This worker's encoder of a broadcast vocabulary: its memo outlives a task."""
+    """This worker's encoder of a broadcast vocabulary: its memo outlives a task; the worker holds one at a time."""
     v = vocabulary.value
     if v.key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[v.key] = Encoder(v)
     return _ENCODERS[v.key]
 
