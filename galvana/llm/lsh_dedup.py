@@ -208,3 +208,16 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
 def op7_lsh_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label at cosine 0.98 or more."""
     return lsh_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.98),
+reach AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT s, y FROM reach JOIN links ON x = t)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY s) LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) USING (vec_id)
+"""

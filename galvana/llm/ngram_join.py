@@ -327,3 +327,18 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: word 5-grams, Jaccard 0.8 or more."""
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE k / (a.n + b.n - k) >= 0.8),
+reach AS (SELECT doc_id AS s, doc_id AS t FROM documents UNION SELECT s, y FROM reach JOIN links ON x = t)
+SELECT doc_id, coalesce(n, 0) AS n_grams, class_id, coalesce(k, 0) AS n_links, doc_id = class_id AS kept
+FROM (SELECT s AS doc_id, min(t) AS class_id FROM reach GROUP BY s) LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM links GROUP BY x) USING (doc_id)
+"""

@@ -17,4 +17,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_chat_format": chat_format.OP2_SQL,
+    "op7_lsh_dedup": lsh_dedup.OP7_SQL,
+    "op9_topk_search": topk_search.OP9_SQL,
+    "op10_ngram_join": ngram_join.OP10_SQL,
 }
