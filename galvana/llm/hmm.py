@@ -152,8 +152,8 @@ def lockstep(lengths: np.ndarray) -> Iterator[np.ndarray]:
         place += take
 
 
-def forward(model: Model, codes: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Natural log likelihoods of sequences given longest first; by step also scaled states, scales, and the padded codes."""
+def forward(model: Model, codes: list[np.ndarray], keep: bool = True) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Natural log likelihoods of sequences given longest first; with ``keep`` also each step's scaled states and scales; the padded codes."""
     lengths = np.array([len(x) for x in codes])
     steps = int(lengths[0])
     padded = np.zeros((steps, len(codes)), np.int64)
@@ -168,8 +168,9 @@ def forward(model: Model, codes: list[np.ndarray]) -> tuple[np.ndarray, list[np.
         scale = state.sum(axis=1)
         state = state / scale[:, None]
         total[:n] += np.log(scale)
-        states.append(state)
-        scales.append(scale)
+        if keep:
+            states.append(state)
+            scales.append(scale)
     return total, states, scales, padded
 
 
@@ -224,7 +225,7 @@ def _score(model, table):
             codes = _codes(batch.column("classes"))
             out = np.zeros(len(codes))
             for rows in lockstep(np.array([len(x) for x in codes], np.int64)):
-                out[rows] = forward(m, [codes[k] for k in rows.tolist()])[0] / math.log(10)
+                out[rows] = forward(m, [codes[k] for k in rows.tolist()], keep=False)[0] / math.log(10)
             out -= np.array([logs[x].sum() for x in codes])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "classes"), pa.array(out)], names=[*(c for c in batch.schema.names if c != "classes"), "class_score"])
 
