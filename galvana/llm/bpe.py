@@ -111,7 +111,8 @@ def hash_words(words: list[str]) -> np.ndarray:
 class Vocabulary:
     """What the two tiers need; its size depends on the vocabulary file alone."""
 
-    ranks: dict[bytes, int]
+    bytes: list[int]  # the id of each byte
+    pairs: dict[int, int]  # the id that two tokens make together, by first << 32 | second
     words: list[str]  # tokens that a pre-token can equal
     word_ids: np.ndarray
     whole: PerfectHash
@@ -127,19 +128,25 @@ class Vocabulary:
             except UnicodeDecodeError:  # part of a character: never a whole pre-token
                 continue
             ids.append(rank)
-        return cls(ranks, words, np.array(ids, np.int32), PerfectHash.build(hash_words(words)), vectext.character_classes(), hashlib.blake2b(repr(sorted(ranks.items())).encode()).digest())
+        if missing := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"a byte-level vocabulary holds every byte; this one lacks {missing}")
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (one := ranks.get(token[:k])) is not None and (two := ranks.get(token[k:])) is not None:
+                    pairs[one << 32 | two] = rank
+        key = hashlib.blake2b(repr(sorted(ranks.items())).encode()).digest()
+        return cls([ranks[bytes([b])] for b in range(256)], pairs, words, np.array(ids, np.int32), PerfectHash.build(hash_words(words)), vectext.character_classes(), key)
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge a word's bytes, the pair of lowest rank first and of these the leftmost."""
+def merge(word: bytes, alphabet: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merge a word's bytes, the pair of lowest rank first and of these the leftmost; a token's id is its rank."""
     n = len(word)
-    if n == 1:
-        return [ranks[word]]
-    get = ranks.get
-    part: list[bytes | None] = [word[k : k + 1] for k in range(n)]
+    part = [alphabet[b] for b in word]
+    get = pairs.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     # Rank of the pair that starts at each place now; a heap entry is a rank and a place in one number.
-    now = [get(word[k : k + 2], -1) for k in range(n - 1)]
+    now = [get(a << 32 | b, -1) for a, b in zip(part, part[1:], strict=False)]
     now.append(-1)
     bits = n.bit_length()
     low = (1 << bits) - 1
@@ -148,24 +155,25 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     pop, push = heapq.heappop, heapq.heappush
     while heap:
         entry = pop(heap)
-        k = entry & low
-        if now[k] != entry >> bits:
+        k, both = entry & low, entry >> bits
+        if now[k] != both:
             continue  # one side was merged since
         j = after[k]
-        both = part[k] + part[j]
-        part[k], part[j], now[j] = both, None, -1
+        part[k] = both
+        part[j] = now[j] = -1
         after[k] = j = after[j]
-        now[k] = -1
         if j < n:
             before[j] = k
-            if (rank := get(both + part[j], -1)) >= 0:
-                now[k] = rank
+            now[k] = rank = get(both << 32 | part[j], -1)
+            if rank >= 0:
                 push(heap, rank << bits | k)
+        else:
+            now[k] = -1
         if (i := before[k]) >= 0:
-            now[i] = rank = get(part[i] + both, -1)
+            now[i] = rank = get(part[i] << 32 | both, -1)
             if rank >= 0:
                 push(heap, rank << bits | i)
-    return [ranks[x] for x in part if x is not None]
+    return [x for x in part if x >= 0]
 
 
 def pack(ids: list[int]) -> bytes:
@@ -181,7 +189,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, miss=None):
         self.v = vocabulary
-        self.miss = miss or (lambda words: [pack(merge(w.encode(), vocabulary.ranks)) for w in words])
+        self.miss = miss or (lambda words: [pack(merge(w.encode(), vocabulary.bytes, vocabulary.pairs)) for w in words])
         self.ids = [pack([k]) for k in vocabulary.word_ids.tolist()]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -279,31 +287,45 @@ class Tokenizer:
 
         @F.arrow_udf("binary")
         def decode(column: pa.Array) -> pa.Array:
-            lengths, data = tokens.value
-            firsts = np.cumsum(lengths) - lengths
-            sizes = np.array(column.value_lengths().fill_null(0), np.int64)
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            out = []
-            for a, b in vectext.chunks(sizes, BLOCK_BYTES // 4):
-                own = ids[ends[a] - sizes[a] : ends[b - 1]].astype(np.int64)
-                if len(own) and (own.min() < 0 or own.max() >= len(lengths) or not lengths[own].all()):
-                    raise ValueError("ids that the vocabulary lacks")
-                taken = lengths[own]
-                places = np.zeros(len(own) + 1, np.int64)
-                np.cumsum(taken, out=places[1:])
-                joined = data[np.repeat(firsts[own] - places[:-1], taken) + np.arange(places[-1])].tobytes()
-                rows = places[np.append(ends[a:b] - sizes[a:b], ends[b - 1]) - (ends[a] - sizes[a])].tolist()
-                out += [joined[x:y] for x, y in zip(rows, rows[1:], strict=False)]
-            return pa.array(out, pa.binary())
+            return _decoded(column, *tokens.value)
 
         return decode(ids)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """``ids, decoded`` of a column of texts: one function, so that no text is encoded for each of the two."""
+        vocabulary, tokens = self._vocabulary, self._tokens
+
+        @F.arrow_udf("struct<ids array<int>, decoded binary>")
+        def both(texts: pa.Array) -> pa.Array:
+            ids = _id_lists(list(encoder(vocabulary).blocks(texts)))
+            return pa.StructArray.from_arrays([ids, _decoded(ids, *tokens.value)], names=["ids", "decoded"])
+
+        return both(text)
+
+
+def _decoded(column: pa.Array, lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The bytes of lists of ids; ``lengths`` and ``data`` hold all tokens by id."""
+    firsts = np.cumsum(lengths) - lengths
+    sizes = np.array(column.value_lengths().fill_null(0), np.int64)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    out = []
+    for a, b in vectext.chunks(sizes, BLOCK_BYTES // 4):
+        own = ids[ends[a] - sizes[a] : ends[b - 1]].astype(np.int64)
+        if len(own) and (own.min() < 0 or own.max() >= len(lengths) or not lengths[own].all()):
+            raise ValueError("ids that the vocabulary lacks")
+        taken = lengths[own]
+        places = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(taken, out=places[1:])
+        joined = data[np.repeat(firsts[own] - places[:-1], taken) + np.arange(places[-1])].tobytes()
+        rows = places[np.append(ends[a:b] - sizes[a:b], ends[b - 1]) - (ends[a] - sizes[a])].tolist()
+        out += [joined[x:y] for x, y in zip(rows, rows[1:], strict=False)]
+    return pa.array(out, pa.binary())
+
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """A row for each document: its id, its ids and the bytes that they decode to."""
-    ids = docs.select("doc_id", tokenizer.encode("text").alias("ids"))
-    return ids.select("doc_id", "ids", tokenizer.decode("ids").alias("decoded"))
+    return docs.select("doc_id", tokenizer.round_trip("text").alias("both")).select("doc_id", "both.ids", "both.decoded")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
