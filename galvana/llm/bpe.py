@@ -291,16 +291,20 @@ class Tokenizer:
 
         return decode(ids)
 
-    def round_trip(self, text: Column | str) -> Column:
-        """``ids, decoded`` of a column of texts: one function, so that no text is encoded for each of the two."""
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """``doc_id, ids, decoded`` of every row of ``docs`` (doc_id, text): encoded and decoded a block at a time, so that a task holds one block's ids."""
         vocabulary, tokens = self._vocabulary, self._tokens
 
-        @F.arrow_udf("struct<ids array<int>, decoded binary>")
-        def both(texts: pa.Array) -> pa.Array:
-            ids = _id_lists(list(encoder(vocabulary).blocks(texts)))
-            return pa.StructArray.from_arrays([ids, _decoded(ids, *tokens.value)], names=["ids", "decoded"])
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = 0
+                for block in encoder(vocabulary).blocks(batch.column("text")):
+                    ids = _id_lists([block])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(ids)), ids, _decoded(ids, *tokens.value)], names=["doc_id", "ids", "decoded"])
+                    first += len(ids)
 
-        return both(text)
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return docs.select("doc_id", "text").mapInArrow(both, f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def _decoded(column: pa.Array, lengths: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -325,7 +329,7 @@ def _decoded(column: pa.Array, lengths: np.ndarray, data: np.ndarray) -> pa.Arra
 
 def encode_documents(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """A row for each document: its id, its ids and the bytes that they decode to."""
-    return docs.select("doc_id", tokenizer.round_trip("text").alias("both")).select("doc_id", "both.ids", "both.decoded")
+    return tokenizer.documents(docs)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
