@@ -68,6 +68,34 @@ def robust_peak_table(samples: DataFrame, most: int = 8, keys: Sequence[str] = L
     return _grouped(samples, keys, ["voltage", "capacity"], order, "peak int, V double, H double", f)
 
 
+def best_cycle(samples: DataFrame, keys: Sequence[str] = ("cell_id", "leg"), order: Sequence[str] = ("row_id",), least: int = 20) -> DataFrame:
+    """``best_cycle``: of each leg's cycles the one whose dQ/dV spans most volts (and of near ones, most points)."""
+    curve = derivative_curves(samples, 500, [*keys, "cycle"], order).where(F.size("v") >= least)
+    score = (F.array_max("v") - F.array_min("v")) * 1000 + F.least(F.size("v"), F.lit(500)) * 0.1
+    return curve.groupBy(*keys).agg(F.max_by("cycle", F.struct(score, -F.col("cycle"))).alias("best_cycle"))
+
+
+def stitched_sweeps(samples: DataFrame, keys: Sequence[str], run_keys: Sequence[str] = ("cycle", "capacity_run"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``v, q``: one sweep of voltage from a block's counter runs, as two arrays; ``leg`` must be a key.
+
+    Runs are what ``segment.capacity_runs`` marks within each cycle. Where no run is
+    long enough to stitch, the widest single one stands for the block. A group is a
+    block's samples of one leg, which the cycler bounds.
+    """
+
+    def f(g):
+        runs, ok = {}, np.isfinite(g["voltage"]) & np.isfinite(g["capacity"])
+        for k in np.flatnonzero(ok):
+            runs.setdefault(tuple(g[c][k] for c in run_keys), []).append(k)
+        parts = [(g["voltage"][k], g["capacity"][k]) for _, k in sorted(runs.items())]
+        v, q = kernels.stitch(parts, g["leg"][0] == "discharge")
+        if not len(v) and parts:
+            v, q = max(parts, key=lambda p: 1000 * np.ptp(p[0]) + 0.1 * min(len(p[0]), 500))
+        return {"v": list(map(float, v)), "q": list(map(float, q))}
+
+    return _grouped(samples, keys, ["leg", "voltage", "capacity", *run_keys], order, "v array<double>, q array<double>", f)
+
+
 _SHAPE = "dqdv_area double, plateau_v double, plateau_width double, dvdq_soc0 double, dvdq_mid double, soc0_to_mid_ratio double, cliff_width double, cliff_q double"
 
 

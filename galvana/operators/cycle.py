@@ -128,6 +128,26 @@ def quality(samples: DataFrame, v_low: float = 2.5, v_high: float = 4.2, keys: S
     return found.withColumn("quality_score", F.when((a <= 0) | (b <= 0), F.lit(0.0)).otherwise(F.exp(0.4 * F.ln(a) + 0.6 * F.ln(b))))
 
 
+def noise_sigma(samples: DataFrame, v: str = "voltage", window: int = 50, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``noise_sigma``: root mean square distance of samples from straight lines through windows that overlap by half.
+
+    A line's residuals sum to 0, so the squares of all windows add up from each
+    window's aggregates. Only whole windows before the last sample count; segments
+    of fewer than two windows have none.
+    """
+    w = Window.partitionBy(*keys)
+    half = window // 2
+    usable = F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    rows = samples.where(usable).withColumns({"_p": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    # Sample p is in the windows that start at half * k, k from ceil((p - window + 1) / half) to p // half.
+    first = F.greatest(F.lit(0), F.ceil((F.col("_p") - window + 1) / half)).cast("int")
+    last = F.least(F.floor(F.col("_p") / half), F.ceil((F.col("_n") - window) / half) - 1).cast("int")
+    placed = rows.where((F.col("_n") >= 2 * window) & (first <= last)).withColumn("_k", F.explode(F.sequence(first, last)))
+    lines = placed.groupBy(*keys, "_k").agg(F.count("*").alias("n"), F.regr_syy(v, "_p").alias("yy"), F.regr_sxy(v, "_p").alias("xy"), F.regr_sxx(v, "_p").alias("xx"))
+    found = lines.groupBy(*keys).agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx")) / F.sum("n"))).alias("noise_sigma"))
+    return samples.select(*keys).distinct().join(found, list(keys), "left")
+
+
 def step_features(steps: DataFrame, keys: Sequence[str] = ("cell_id", "cycle")) -> DataFrame:
     """``chgCapa, dchgCapa, n_steps`` from step-end rows: each leg's primary row is that of the largest capacity."""
     pick = lambda leg: F.max(F.when(F.col("step_type") == leg, F.col("capacity")))

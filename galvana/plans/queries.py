@@ -244,6 +244,14 @@ def cycle_quality(spark, sf_dir):
     return cycle.quality(views.samples(spark, sf_dir), order=ORDER)
 
 
+@query("noise_sigma", f"""SELECT cell_id, cycle, {R('noise_sigma')} FROM (SELECT cell_id, cycle, CASE WHEN sum(n) > 0 THEN sqrt(greatest(0, sum(yy - xy * xy / xx) / sum(n))) END AS noise_sigma FROM (SELECT DISTINCT cell_id, cycle FROM v_samples) LEFT JOIN (
+  SELECT cell_id, cycle, k, count(*) AS n, regr_syy(voltage, p) AS yy, regr_sxy(voltage, p) AS xy, regr_sxx(voltage, p) AS xx FROM (
+    SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY time, row_id) - 1 AS p, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM v_samples), LATERAL (SELECT unnest(range((p // 2) - 1, p // 2 + 1)) AS k)
+  WHERE n >= 8 AND k >= 0 AND k * 2 < n - 4 GROUP BY ALL) USING (cell_id, cycle) GROUP BY ALL)""")
+def noise_sigma(spark, sf_dir):
+    return cycle.noise_sigma(views.samples(spark, sf_dir), window=4, order=ORDER)
+
+
 # Protocol
 
 _FLAGS = """SELECT cell_id, cycle, n_steps, dchg, i_median, n_steps <> 6 AS rpt, n_steps <> 6 AND dchg > 0 AND dchg < 100 AS capacheck,
@@ -553,6 +561,17 @@ def shape_features(spark, sf_dir):
     return curves.shape_features(views.legs(spark, sf_dir), order=ORDER)
 
 
+@query("best_cycles")
+def best_cycles(spark, sf_dir):
+    return curves.best_cycle(_monthly(spark, sf_dir), least=1)
+
+
+@query("stitched_sweeps")
+def stitched_sweeps(spark, sf_dir):
+    runs = segment.capacity_runs(views.samples(spark, sf_dir), "inc", order=ORDER).where("step_type in ('charge', 'discharge')")
+    return curves.stitched_sweeps(runs.withColumnsRenamed({"step_type": "leg", "inc": "capacity"}), ["cell_id", "leg"], order=ORDER)
+
+
 @query("hysteresis")
 def hysteresis(spark, sf_dir):
     return curves.hysteresis(views.legs(spark, sf_dir), order=ORDER)

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galvana.operators import curves, isolation, mechanism, peaks, protocol, pulses, registry, score
+from galvana.operators import curves, cycle, isolation, mechanism, peaks, protocol, pulses, registry, score
 
 
 @pytest.fixture(scope="module")
@@ -68,6 +69,33 @@ def test_pulses_and_rests(spark):
     assert curves.recoveries(s.where("row_id < 200"), ["cell_id", "cycle"]).count() == 1
 
 
+def test_noise_is_what_windows_leave_of_lines(spark):
+    rng = np.random.default_rng(3)
+    v = [np.linspace(3, 4, n) + 0.01 * rng.standard_normal(n) for n in (99, 100, 237)]
+    rows = [(1, c, k, float(x)) for c, y in enumerate(v) for k, x in enumerate(y)] + [(1, 1, 1000, None), (1, 1, 1001, math.nan)]
+    found = cycle.noise_sigma(spark.createDataFrame(rows, "cell_id long, cycle long, row_id long, voltage double"))
+    found = {r["cycle"]: r["noise_sigma"] for r in found.collect()}
+    assert found[0] is None
+    for c in (1, 2):
+        rest = [y - np.polyval(np.polyfit(range(50), y, 1), range(50)) for y in (v[c][k : k + 50] for k in range(0, len(v[c]) - 50, 25))]
+        assert found[c] == pytest.approx(np.std(np.concatenate(rest)))
+
+
+def test_sweeps_join_runs_whose_counters_restart(spark):
+    # Three discharge runs: 4.0-3.4 V, 3.5-2.9 V, and one that adds nothing.
+    runs = [(1, 4.0, 3.4), (2, 3.5, 2.9), (3, 3.45, 3.41)]
+    rows = [(7, "discharge", c, 0, k, a + (b - a) * k / 60, 0.1 * k) for c, a, b in runs for k in range(61)]
+    t = spark.createDataFrame(rows, "cell_id long, leg string, cycle long, capacity_run long, row_id long, voltage double, capacity double")
+    r = curves.stitched_sweeps(t, ["cell_id", "leg"], order=["cycle", "row_id"]).first()
+    assert np.all(np.diff(r["v"]) < 0) and np.all(np.diff(r["q"]) >= 0) and r["v"][0] == 4.0 and r["v"][-1] == pytest.approx(2.9)
+    # The second adds what is below 3.4 V: 50 of its 60 steps, from 0 on.
+    assert r["q"][-1] == pytest.approx(6.0 + 0.1 * 49)
+    short = curves.stitched_sweeps(t.where("row_id < 9"), ["cell_id", "leg"], order=["cycle", "row_id"]).first()
+    assert len(short["v"]) == 9
+    assert curves.stitched_sweeps(t.limit(0), ["cell_id", "leg"]).count() == 0
+    assert curves.best_cycle(t.where("cycle <> 2")).first()["best_cycle"] == 1
+
+
 def test_flips_ratios_and_forests(spark, table):
     t = spark.createDataFrame([(1, 1, 1.0), (1, 2, -1.0), (2, 1, 1.0)], "cell_id long, cycle long, x double")
     assert {r["cell_id"]: r["flip_cycle"] for r in mechanism.first_flip(t, "x").collect()} == {1: 2, 2: None}
