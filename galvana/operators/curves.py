@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galvana.functions import kernels
@@ -229,6 +229,30 @@ def evolution(curves: DataFrame, penalty: float = 1e-3, tracks: int = 3, window:
     return _grouped(curves.where(F.size("curve") > 0), keys, ["cycle", "curve"], ["cycle"], "track int, cycle int, place double, height double", f).dropna(subset=["track"])
 
 
+def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, death: float = 0.3, window: int = 3, keys: Sequence[str] = ("cell_id", "leg")) -> DataFrame:
+    """``kind, ratio``: whether a track that ends (events: keys, track, cycle, lo, hi) merged into its neighbours or died.
+
+    The ratio is the area over the places lo to hi - 1 of the ``curve`` from the
+    event's cycle on to that before it, over at most ``window`` cycles on either
+    side (as many as both have). Areas that stay mean merged, a large loss means
+    died; no cycles or no area to compare, or anything between, is ambiguous.
+    """
+    w = Window.partitionBy(*keys)
+    rows = curves.select(*keys, "cycle", "curve").withColumns({"_i": F.row_number().over(w.orderBy("cycle")) - 1, "_n": F.count("*").over(w)})
+    at = events.join(rows.select(*keys, "cycle", F.col("_i").alias("_at"), "_n"), [*keys, "cycle"])
+    at = at.withColumn("_w", F.least(F.lit(window), F.col("_at"), F.col("_n") - F.col("_at") - 1).cast("int")).drop("_n")
+    near = at.withColumn("_i", F.explode(F.sequence(F.col("_at") - F.col("_w"), F.col("_at") + F.col("_w"))))
+    near = near.join(rows.select(*keys, "_i", "curve"), [*keys, "_i"])
+    area = F.aggregate(F.slice("curve", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")), F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(F.nanvl(x, F.lit(0.0))), F.lit(0.0)))
+    sums = near.withColumn("_area", area).groupBy(*keys, "track", "cycle", "_w").agg(
+        F.sum(F.when(F.col("_i") < F.col("_at"), F.col("_area"))).alias("_before"), F.sum(F.when(F.col("_i") >= F.col("_at"), F.col("_area"))).alias("_after")
+    )
+    usable = (F.col("_w") >= 1) & (F.col("_before") > 1e-12)
+    r = F.when(usable, F.col("_after") / F.col("_before"))
+    kind = F.when(F.abs(r - 1) < merge, "merged").when(r < 1 - death, "died").otherwise("ambiguous")
+    return sums.select(*keys, "track", "cycle", kind.alias("kind"), r.alias("ratio"))
+
+
 def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[str] = LEG, most: float = 0.12) -> DataFrame:
     """Candidates (V, H) of each leg matched one to one with its cell's reference peaks (leg, peak_id, V, H).
 

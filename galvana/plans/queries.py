@@ -602,6 +602,14 @@ def peak_evolution(spark, sf_dir):
     return curves.evolution(curves.normalised_curves(_monthly(spark, sf_dir), 64), window=8)
 
 
+@query("peak_disappearances")
+def peak_disappearances(spark, sf_dir):
+    """Each ridge's every cycle, asked whether the area around it stays."""
+    maps = curves.normalised_curves(_monthly(spark, sf_dir), 64)
+    tracks = curves.evolution(maps, window=8)
+    return curves.disappearances(maps, tracks.select("cell_id", "leg", "track", "cycle", F.greatest(F.lit(0.0), F.col("place") - 5).alias("lo"), F.least(F.lit(64.0), F.col("place") + 6).alias("hi")))
+
+
 @query("health_inflections")
 def health_inflections(spark, sf_dir):
     return curves.inflections(_health(spark, sf_dir).select("cell_id", "cycle", "SoHQ"))

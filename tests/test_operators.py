@@ -96,6 +96,18 @@ def test_sweeps_join_runs_whose_counters_restart(spark):
     assert curves.best_cycle(t.where("cycle <> 2")).first()["best_cycle"] == 1
 
 
+def test_ended_tracks_merged_or_died(spark):
+    # Cell 1 keeps its area from cycle 5 on, cell 2 loses half, cell 3 a quarter; cell 4 has one cycle.
+    level = {1: 1.0, 2: 0.5, 3: 0.75, 4: 1.0}
+    rows = [(i, "charge", c, [9.0, -1.0 if c < 5 else -after, math.nan, 1.0 if c < 5 else after, 9.0]) for i, after in level.items() for c in ([5] if i == 4 else range(1, 10))]
+    maps = spark.createDataFrame(rows, "cell_id long, leg string, cycle long, curve array<double>")
+    events = spark.createDataFrame([(i, "charge", 0, 5, 1.0, 4.0) for i in level], "cell_id long, leg string, track int, cycle long, lo double, hi double")
+    found = {r["cell_id"]: (r["kind"], r["ratio"]) for r in curves.disappearances(maps, events).collect()}
+    # Three cycles before, the event's and three more after it.
+    assert found == {1: ("ambiguous", pytest.approx(4 / 3)), 2: ("died", pytest.approx(2 / 3)), 3: ("merged", pytest.approx(1.0)), 4: ("ambiguous", None)}
+    assert curves.disappearances(maps, events.limit(0)).count() == 0
+
+
 def test_flips_ratios_and_forests(spark, table):
     t = spark.createDataFrame([(1, 1, 1.0), (1, 2, -1.0), (2, 1, 1.0)], "cell_id long, cycle long, x double")
     assert {r["cell_id"]: r["flip_cycle"] for r in mechanism.first_flip(t, "x").collect()} == {1: 2, 2: None}
