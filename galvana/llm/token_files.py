@@ -28,7 +28,9 @@ Spark's text and binary sources, so any store that Spark reaches will do.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -178,14 +180,22 @@ class Words:
     """Encodes texts with a tokenizers file: the library's model merges each distinct pre-token, once in a while.
 
     A byte-level BPE encodes every match of its pattern by itself, so a text's ids
-    are those of its pre-tokens in order. Strings of special tokens are text.
+    are those of its pre-tokens in order. The file's added tokens, the longest of
+    those that start first, are cut out before and stand for their ids. Texts that
+    hold one which takes spaces, minds word ends or is looked for after the others
+    (normalized) go to the library whole.
     """
 
     def __init__(self, json: str, classes: np.ndarray):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(json).model
+        self.tokenizer = Tokenizer.from_str(json)
+        self.model = self.tokenizer.model
+        added = {t.content: (i, t.single_word or t.lstrip or t.rstrip or t.normalized) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
+        self.added = {content: i for content, (i, _) in added.items()}
+        self.odd = [content for content, (_, odd) in added.items() if odd]
+        self.cuts = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.letters = byte_letters()
         self.classes = classes
         self.new: dict[str, bytes] = {}
@@ -207,6 +217,30 @@ class Words:
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and each text's offset among them (one more than texts)."""
+        if not any(content in t for content in self.added for t in texts):
+            return self._plain(texts)
+        # Texts as pieces between added tokens; each piece with the ids that follow it.
+        pieces, after, first = [], [], [0]
+        for t in texts:
+            if any(content in t for content in self.odd):
+                pieces.append("")
+                after.append(self.tokenizer.encode(t, add_special_tokens=False).ids)
+            else:
+                at = 0
+                for m in self.cuts.finditer(t):
+                    pieces.append(t[at : m.start()])
+                    after.append([self.added[m[0]]])
+                    at = m.end()
+                pieces.append(t[at:])
+                after.append([])
+            first.append(len(pieces))
+        ids, places = self._plain(pieces)
+        more = np.fromiter(map(len, after), np.int64, len(after))
+        ids = np.insert(ids, np.repeat(places[1:], more), np.array(list(itertools.chain.from_iterable(after)), np.int32))
+        return ids, (places + np.concatenate([[0], np.cumsum(more)]))[first]
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         symbols, offsets = vectext.code_points(texts)
         starts = vectext.pretoken_starts(symbols, offsets, self.classes)
         if not len(starts):

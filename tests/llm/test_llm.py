@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from galvana.llm import bpe, chat_format, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search, vectext
 
@@ -189,6 +189,22 @@ def test_files_give_back_what_the_library_encodes(spark, docs, nothing):
     assert token_files.read_index(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("more", [[], [AddedToken("<|end", normalized=False), AddedToken("xx<|"), AddedToken("<pad>", lstrip=True), AddedToken("cat", single_word=True)]])
+def test_added_tokens_are_ids_as_in_the_library(spark, more):
+    from galvana.shared import new_path
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.add_tokens(more)
+    end = "<|endoftext|>"
+    odd = [f"a {end} b", end, end * 3, f"{end} ", f" {end}it's", f"x{end}\n\n{end}", "<|endoftext| >", "<|endof", "plain text", "", "cat concat cat", "a  <pad> b", f"é漢{end}\U0001f600", f"n {end} cat", f"xx{end}"]
+    found, places = token_files.Words(own.to_str(), vectext.character_classes()).block(odd)
+    assert [found[a:b].tolist() for a, b in itertools.pairwise(places.tolist())] == [own.encode(t, add_special_tokens=False).ids for t in odd]
+    path = new_path(spark, "test")
+    token_files.write_token_files(documents(spark, [(k, t, None, None, None) for k, t in enumerate(odd)]), path, partitions=2)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, path).collect()} == {k: [*plain.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(odd)}
+
+
 # Language model
 
 
