@@ -1,10 +1,10 @@
 """A hidden Markov language model, trained by Baum-Welch and scored by the scaled forward recursion.
 
-The states emit word classes, and a class emits its words in proportion to their
-training counts plus a half, with a half for the words it has not seen. A class
-is a word's hash modulo their number, so the model's tables have a fixed bound
-whatever the vocabulary, while each word keeps a probability of its own. Counts
-of all words stay in a Spark table; words above a count that bounds their number
+The states emit word classes. Each of the commonest training words, those above a
+count that bounds their number (``most_hot``), is a class of its own. The other
+words share classes by their hash modulo ``most_classes`` at most, and such a class
+emits its words in proportion to their training counts plus a half, with a half for
+the words it has not seen. Counts of all words stay in a Spark table; hot words
 are broadcast, the others are looked up by a join.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes;
@@ -31,6 +31,8 @@ from galvana.shared import cut
 
 #: Bytes of text that a task hashes at once, and tokens that it runs through the recursions at once.
 BLOCK_BYTES, BLOCK_TOKENS = 2_000_000, 200_000
+#: Classes whose expected counts a task sends in one row.
+BUCKET = 4096
 #: The end token's hash.
 END = 1
 
@@ -87,10 +89,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Words:
-    """What tasks need to turn texts into classes: words of high counts and the number of classes."""
+    """What tasks need to turn texts into classes: words of high counts, their classes, and the number of shared classes after those."""
 
     word: np.ndarray  # ascending
     c: np.ndarray
+    kind: np.ndarray
     classes: int
 
 
@@ -103,7 +106,10 @@ def _encode(words):
                 place = np.minimum(np.searchsorted(hot.word, distinct), max(len(hot.word) - 1, 0))
                 known = hot.word[place] == distinct if len(hot.word) else np.zeros(len(distinct), bool)
                 logs = np.where(known, np.log10(hot.c[place] + 0.5), 0.0) if len(hot.word) else np.zeros(len(distinct))
-                kind = (distinct.view(U64) % U64(hot.classes)).astype(np.uint16)[codes]
+                kind = (len(hot.word) + distinct.view(U64) % U64(hot.classes)).astype(np.uint32)
+                if len(hot.word):
+                    kind = np.where(known, hot.kind[place], kind)
+                kind = kind[codes]
                 known = known[codes]
                 sums = np.concatenate([[0], np.cumsum(known)])[offsets]
                 total = np.add.reduceat(logs[codes], offsets[:-1])
@@ -191,12 +197,13 @@ def expected(model: Model, codes: list[np.ndarray], emit: np.ndarray, move: np.n
             back = ahead @ model.move.T
     start += weights[-1].sum(axis=0)
     kind, weight = np.concatenate(kinds), np.concatenate(weights)
+    places, distinct = pd.factorize(kind)
     for k in range(weight.shape[1]):
-        emit[:, k] += np.bincount(kind, weights=weight[:, k], minlength=len(emit))
+        emit[distinct, k] += np.bincount(places, weights=weight[:, k], minlength=len(distinct))
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16) for x in column.to_pylist()]
+    return [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
 
 def _expect(model):
@@ -207,11 +214,31 @@ def _expect(model):
             codes = _codes(batch.column("classes"))
             for rows in lockstep(np.array([len(x) for x in codes], np.int64)):
                 expected(m, [codes[k] for k in rows.tolist()], emit, move, start)
-        # A row for each class that the task has seen, then the moves' rows, then the start.
+        # The classes that the task has seen, then the moves' rows, then the start, by buckets.
         seen = np.flatnonzero(emit.any(axis=1))
-        value = np.concatenate([emit[seen], move, start[None, :]])
-        place = np.concatenate([seen, len(emit) + np.arange(len(move) + 1)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(place), *(pa.array(value[:, k].copy()) for k in range(value.shape[1]))], names=["place", *(f"s{k}" for k in range(value.shape[1]))])
+        value = np.concatenate([emit[seen], move, start[None, :]]).astype(np.float32)
+        place = np.concatenate([seen, len(emit) + np.arange(len(move) + 1)])
+        bucket, first = np.unique(place // BUCKET, return_index=True)
+        ends = [*first[1:].tolist(), len(place)]
+        parts = [(place[a:b] % BUCKET).astype(np.uint16).tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+        values = [value[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(parts, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "places", "value"])
+
+    return run
+
+
+def _sum(states: int):
+    """Sums of the rows of each bucket, all rows of which one task gets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, place, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "places", "value")), strict=True):
+                if bucket not in sums:
+                    sums[bucket] = np.zeros((BUCKET, states))
+                sums[bucket][np.frombuffer(place, np.uint16)] += np.frombuffer(value, np.float32).reshape(-1, states)
+        for bucket, value in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["bucket", "value"])
 
     return run
 
@@ -246,7 +273,6 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
     counts = rows.where("not held_out").select("text").mapInArrow(_count, "word long, c long")
     words = cut(counts.groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_classes = min(s.most_classes, max(256, 1 << max(0, math.ceil(math.log2(max(v, 1) / 8)))))
     # The lowest count whose words are few enough: a histogram over powers of 2 ** 0.25.
     step = F.floor(F.log2("c") * 4)
     bins = sorted(words.groupBy(step.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["bin"])
@@ -258,12 +284,22 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
         least = r["c"]
     hot = words.where(F.col("c") >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.int64()), "c": pa.array([], pa.int64())})
     order = np.argsort(hot["word"].to_numpy(), kind="stable")
-    known = sc.broadcast(Words(hot["word"].to_numpy()[order], hot["c"].to_numpy()[order], n_classes))
-    # Classes are powers of two in number, so a hash's sign doesn't matter.
-    sums = words.groupBy(F.pmod("word", F.lit(n_classes)).cast("int").alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    weight = np.full(n_classes, s.half)
-    for r in sums:
-        weight[r["kind"]] += r["c"] + s.half * r["v"]
+    word, c = hot["word"].to_numpy()[order], hot["c"].to_numpy()[order]
+    # The commonest words' classes stand together.
+    kind = np.empty(len(word), np.uint32)
+    kind[np.lexsort((word, -c))] = np.arange(len(word))
+    n_shared = min(s.most_classes, max(256, 1 << max(0, math.ceil(math.log2(max(v - len(word), 1) / 8)))))
+    n_classes = len(word) + n_shared
+    known = sc.broadcast(Words(word, c, kind, n_shared))
+    seen = np.zeros(n_classes)
+    seen[kind] = c
+    unseen = np.full(n_classes, s.half)
+    # Shared classes are powers of two in number, so a hash's sign doesn't matter.
+    tail = words if least is None else words.where(F.col("c") < least)
+    for r in tail.groupBy(F.pmod("word", F.lit(n_shared)).cast("int").alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        seen[len(word) + r["kind"]] = r["c"]
+        unseen[len(word) + r["kind"]] += s.half * r["v"]
+    weight = seen + unseen
     encoded = cut(
         rows.mapInArrow(
             _encode(known),
@@ -271,15 +307,17 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
         ).withColumn("row", F.monotonically_increasing_id()),
         "tokens",
     )
+    known.destroy()
     model = _start_model(weight, s)
-    names = [f"s{k}" for k in range(s.states)]
-    unseen = weight - np.bincount([r["kind"] for r in sums], weights=[r["c"] for r in sums], minlength=n_classes) if sums else weight
     for _ in range(s.rounds):
         sent = sc.broadcast(model)
-        part = encoded.where("not held_out").select("classes").mapInArrow(_expect(sent), ", ".join(["place int", *(f"{c} double" for c in names)]))
-        table = part.groupBy("place").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
-        value = np.zeros((n_classes + s.states + 1, s.states))
-        value[table["place"].to_numpy()] = np.stack([table[c].to_numpy() for c in names], axis=1)
+        part = encoded.where("not held_out").select("classes").mapInArrow(_expect(sent), "bucket int, places binary, value binary")
+        table = part.repartition("bucket").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
+        sent.destroy()  # else every round's model stays on the disks
+        value = np.zeros((-(-(n_classes + s.states + 1) // BUCKET) * BUCKET, s.states))
+        for bucket, own in zip(table["bucket"].to_pylist(), table["value"].to_pylist(), strict=True):
+            value[bucket * BUCKET : (bucket + 1) * BUCKET] = np.frombuffer(own).reshape(BUCKET, -1)
+        value = value[: n_classes + s.states + 1]
         emit, move, start = value[:n_classes] + unseen[:, None], value[n_classes:-1] + 1, value[-1] + 1
         model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
     scored = encoded.select("row", "doc_id", "held_out", "n_tokens", "hot", "hot_log", "classes").mapInArrow(

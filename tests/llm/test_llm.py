@@ -257,6 +257,15 @@ def test_model_probabilities_sum_to_one_and_beat_single_words(spark):
     assert only["train_tokens"] == 0 and only["n_known"] == 0
 
 
+def test_hot_words_emit_by_themselves(spark):
+    rng = np.random.default_rng(5)
+    words = [[f"{s}{k}" for k in range(30)] for s in "ab"]
+    rows = [(k, " ".join(rng.choice(words[k % 2], 40)), None, None, None) for k in range(120)]
+    # One shared class tells no word from another.
+    found = hmm.hmm_scores(documents(spark, rows), F.col("doc_id") % 4 == 1, hmm.Settings(states=2, rounds=6, most_classes=1)).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert found[1] > found[0] + 50
+
+
 # Byte-level BPE
 
 
