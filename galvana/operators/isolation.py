@@ -1,17 +1,18 @@
-"""Isolation forest over cycle tables: trees from bounded samples, scores in every task."""
+"""Isolation forest over cycle tables: each tree from rows of its own, scores in every task."""
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that all trees together may learn from.
-SAMPLE_ROWS = 20_000
+from galvana.shared import cut
 
 
 @dataclass(frozen=True)
@@ -70,22 +71,77 @@ def _tree(x: np.ndarray, rng: np.random.Generator, most: int) -> tuple[np.ndarra
     return a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]
 
 
-def train(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42) -> Forest:
-    """Fit on a bounded sample by hash; thresholds are the sample's quantiles 0.75 and 0.90."""
-    sample = table.select(*(F.col(c).cast("double").alias(c) for c in columns), F.xxhash64(*columns).alias("_h")).orderBy("_h").limit(SAMPLE_ROWS).drop("_h").toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    known = np.where(np.isfinite(sample), sample, np.nan)
-    center = np.array([np.median(c[np.isfinite(c)]) if np.isfinite(c).any() else 0.0 for c in known.T])
-    scale = np.array([c[np.isfinite(c)].std() if np.isfinite(c).any() else 0.0 for c in known.T])
-    scale = np.where(scale > 0, scale, 1.0)
-    x = (np.where(np.isfinite(sample), sample, center) - center) / scale
-    size = min(size, len(x))
-    grown = tuple(_tree(x[rng.choice(len(x), size, replace=False)], rng, int(np.ceil(np.log2(max(size, 2))))) for _ in range(trees)) if size else ()
+def _finite(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def _quantiles(values: DataFrame, at: Sequence[float]) -> dict[str, list[float]]:
+    """Exact quantiles, between neighbours in proportion, of each ``name``'s ``value`` in a table of both.
+
+    Distinct values are range-partitioned and counted, and only the rows at the wanted ranks are collected.
+    """
+    counts = cut(values.groupBy("name", "value").agg(F.count("*").alias("n")).sort("name", "value").withColumn("part", F.spark_partition_id()), "ranks")
+    base, total = [], {}
+    for r in sorted(counts.groupBy("name", "part").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["name"], r["part"])):
+        base.append((r["name"], r["part"], total.get(r["name"], 0)))
+        total[r["name"]] = total.get(r["name"], 0) + r["n"]
+    if not total:
+        return {}
+    ranks = {name: sorted({k for q in at for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}) for name, n in total.items()}
+    spark = values.sparkSession
+    bases = spark.createDataFrame(base, "name string, part int, base long")
+    wanted = spark.createDataFrame([(name, k) for name, own in ranks.items() for k in own], "name string, rank long")
+    upto = F.col("base") + F.sum("n").over(Window.partitionBy("name", "part").orderBy("value"))
+    found = counts.join(F.broadcast(bases), ["name", "part"]).withColumn("upto", upto).join(F.broadcast(wanted), "name")
+    value = {(r["name"], r["rank"]): r["value"] for r in found.where("rank < upto and rank >= upto - n").collect()}
+
+    def between(name: str, place: float) -> float:
+        lo, hi = value[name, math.floor(place)], value[name, math.ceil(place)]
+        return lo + (hi - lo) * (place - math.floor(place))
+
+    return {name: [between(name, q * (n - 1)) for q in at] for name, n in total.items()}
+
+
+def train(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42, keys: Sequence[str] = ("cell_id", "cycle")) -> Forest:
+    """Medians, scales and the quantiles 0.75 and 0.90 of the scores are those of all rows.
+
+    Each tree is grown in a task, from ``size`` rows of its own: the first by a hash
+    of the ``keys``, which tell rows apart, and of the tree.
+    """
+    x = table.select(*keys, *(_finite(c).alias(c) for c in columns))
+    total = x.agg(F.count("*"), *(F.stddev_pop(c) for c in columns)).first()
+    n, size = total[0], min(size, total[0])
+    long = x.select(F.explode(F.array(*(F.struct(F.lit(str(k)).alias("name"), F.col(c).alias("value")) for k, c in enumerate(columns)))).alias("r")).select("r.*")
+    medians = _quantiles(long.where("value is not null"), [0.5])
+    center = np.array([medians.get(str(k), [0.0])[0] for k in range(len(columns))])
+    scale = np.array([v if v and v > 0 else 1.0 for v in total[1:]])
+    if not size:
+        return Forest(tuple(columns), center, scale, (), 0)
+    most = int(np.ceil(np.log2(max(size, 2))))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["_tree"].iloc[0])
+        own = pdf.sort_values(["_h", *columns], kind="stable")[list(columns)].to_numpy(float)[:size]
+        own = (np.where(np.isfinite(own), own, center) - center) / scale
+        nodes = np.stack(_tree(own, np.random.default_rng([seed, tree]), most), axis=1)
+        return pd.DataFrame({"tree": [tree], "nodes": [nodes.astype(float).tobytes()]})
+
+    def hashed(tree) -> Column:
+        return F.xxhash64(*keys, F.lit(seed), tree)
+
+    # Rows below a share of the hashes that leaves four times a tree's rows, so none comes short.
+    span = 1 << 40
+    share = F.lit(min(span, math.ceil(span * 4 * size / n)))
+    drawn = x.withColumn("_tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(hashed(t), F.lit(span)) < share)))
+    drawn = drawn.withColumn("_h", F.pmod(hashed(F.col("_tree")), F.lit(span))).select("_tree", "_h", *columns)
+    found = sorted(drawn.groupBy("_tree").applyInPandas(grow, "tree int, nodes binary").collect(), key=lambda r: r["tree"])
+    nodes = (np.frombuffer(r["nodes"]).reshape(-1, 5) for r in found)
+    grown = tuple((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]) for a in nodes)
     forest = Forest(tuple(columns), center, scale, grown, size)
-    if not grown:
-        return forest
-    s = forest.scores(sample)
-    return Forest(forest.columns, center, scale, grown, size, float(np.percentile(s, 75)), float(np.percentile(s, 90)))
+    scores = predict(x, forest, keys).select(F.lit("score").alias("name"), _finite("anomaly").alias("value")).where("value is not null")
+    watch, alert = _quantiles(scores, [0.75, 0.90]).get("score", [0.0, 0.0])
+    return dataclasses.replace(forest, watch=watch, alert=alert)
 
 
 def predict(table: DataFrame, forest: Forest, keys: Sequence[str]) -> DataFrame:

@@ -119,6 +119,19 @@ def test_flips_ratios_and_forests(spark, table):
     assert [x["flag"] for x in found if x["cell_id"] == 9 and x["cycle"] == 2] == ["unknown"]
 
 
+def test_forests_tell_many_equal_rows_apart(spark):
+    # Either half has equal values and would fill a bounded sample in the order of their hashes.
+    many = spark.range(50_000).select(F.col("id").alias("cell_id"), F.lit(1).alias("cycle"), F.when(F.col("id") % 5 < 3, 1.0).otherwise(3.0).alias("x"), (F.col("id") % 5 * 1.0).alias("y"))
+    forest = isolation.train(many, ["x"])
+    assert forest.center.tolist() == [1.0] and forest.scale.tolist() == [pytest.approx(math.sqrt(0.24) * 2)] and len(forest.trees) == 100
+    scores = {r["cell_id"] % 5 < 3: r["anomaly"] for r in isolation.predict(many, forest, ["cell_id", "cycle"]).collect()}
+    assert scores[False] > scores[True] and forest.watch == scores[False]
+    assert isolation._quantiles(many.select(F.lit("a").alias("name"), F.col("cell_id").cast("double").alias("value")), [0.75, 0.9]) == {"a": [pytest.approx(37499.25), pytest.approx(44999.1)]}
+    assert not isolation.train(many.limit(0), ["x"]).trees
+    again = isolation.train(many.repartition(3), ["x"])
+    assert all(np.allclose(a, b) for s, t in zip(forest.trees, again.trees, strict=True) for a, b in zip(s, t, strict=True))
+
+
 def test_empty_tables_pass(spark, table):
     none = table.limit(0)
     assert score.score_rows(none, ["SoHQ"]).count() == 0 and score.screen(none, ["SoHQ"], "SoHQ").count() == 0
