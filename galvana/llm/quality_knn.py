@@ -173,13 +173,18 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learns: Column, settings: Settings | None = None) -> Space:
-    """Fit on at most ``most_labelled`` labelled rows, the first by a hash of their ids, among those where ``learns``."""
+    """Fit on at most ``most_labelled`` labelled ids, the first by their hashes, among those where ``learns``.
+
+    An id with several texts is learnt by one of them, the first by hash.
+    """
     s = settings or Settings()
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality")).where(learns)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
-    rows = texts.mapInArrow(_terms, "quality double, terms binary, counts binary").limit(4 * s.most_labelled).toArrow()
-    found = sorted(zip(*(rows[c].to_pylist() for c in ("terms", "counts", "quality")), strict=True))[: s.most_labelled]
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("own"), F.first("quality").alias("quality"))
+    texts = texts.select("quality", "own.text")
+    rows = texts.mapInArrow(_terms, "quality double, terms binary, counts binary").toArrow()
+    found = sorted(zip(*(rows[c].to_pylist() for c in ("terms", "counts", "quality")), strict=True))
     lists = [(np.frombuffer(t, np.int32), np.frombuffer(c, np.int32).astype(np.float64)) for t, c, _ in found]
     return fit(lists, np.array([q for _, _, q in found], np.float64), s)
 

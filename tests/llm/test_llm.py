@@ -325,6 +325,15 @@ def test_quality_learns_shapes_and_scores_every_text(spark, docs, nothing):
     assert {r[0] for r in table.select(quality_knn.quality_score(spark, unlearnt)).collect()} == {0.5}
 
 
+def test_copies_of_an_id_leave_room_for_the_others(spark):
+    rows = [(k, f"text {'!?' * k} number {k} " * 5, None, None, None) for k in range(6)]
+    table = documents(spark, [rows[0]] * 60 + rows[1:] + [(1, "another text of one", None, None, None)])
+    labels = spark.createDataFrame([(k, k / 8) for k in range(6)], "doc_id long, quality double")
+    first, again = (quality_knn.train(t, labels, F.lit(True), quality_knn.Settings(most_labelled=6)) for t in (table, table.repartition(7)))
+    assert sorted(first.quality.tolist()) == [k / 8 for k in range(6)]
+    assert np.array_equal(first.labelled, again.labelled) and np.array_equal(first.quality, again.quality)
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(4)
     space = quality_knn.Space(np.zeros(1), np.zeros(1), np.zeros((1, 1)), quality_knn.unit(rng.standard_normal((50, 6))), rng.integers(0, 2, 50).astype(float), 0.5)
