@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -219,9 +218,7 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(symbols))
-        codes, distinct = pd.factorize(vectext.span_hashes(symbols, starts, ends))
-        where = np.empty(len(distinct), np.int64)
-        where[codes[::-1]] = np.arange(len(codes))[::-1]
+        codes, where, distinct = vectext.distinct_spans(symbols, starts, ends)
         joined = "".join(texts)
         words = [joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         found = self._resolve(words, distinct)

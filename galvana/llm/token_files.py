@@ -22,7 +22,7 @@ the highest first), then the exceptions: places (uint16) and high bits (uint32).
 The width is that of the ids' percentile, so the few wide ids don't widen all.
 
 Partitions, segments and documents ascend by doc_id, a null first and equal ones in
-order of their texts. A null text is an empty one. Files are written and read by
+order of their texts' hashes. A null text is an empty one. Files are written and read by
 Spark's text and binary sources, so any store that Spark reaches will do.
 """
 
@@ -36,7 +36,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -208,11 +207,13 @@ class Words:
         if missing and len(new) > MEMO_WORDS:
             self.old, self.new = new, {}
             new = self.new
+        old, letters, tokenize = self.old, self.letters, self.model.tokenize
         for k in missing:
-            if (x := self.old.get(words[k])) is None:
-                letters = words[k].encode().decode("latin-1").translate(self.letters)
-                x = array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            out[k] = new[words[k]] = x
+            w = words[k]
+            if not old or (x := old.get(w)) is None:
+                shown = w.translate(letters) if w.isascii() else w.encode().decode("latin-1").translate(letters)
+                x = array("i", [t.id for t in tokenize(shown)]).tobytes()
+            out[k] = new[w] = x
         return out
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -246,9 +247,7 @@ class Words:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(symbols))
-        codes, distinct = pd.factorize(vectext.span_hashes(symbols, starts, ends))
-        where = np.empty(len(distinct), np.int64)
-        where[codes[::-1]] = np.arange(len(codes))[::-1]
+        codes, where, _ = vectext.distinct_spans(symbols, starts, ends)
         joined = "".join(texts)
         found = self._of([joined[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(found), np.int32)
@@ -311,9 +310,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         vocabulary = spark.sparkContext.broadcast((file.read(), vectext.character_classes()))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash deals rows of one id (or without any) to several partitions.
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
     found = ordered.mapInArrow(_segments(vocabulary, end_id), "value binary")
-    found.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
+    found.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).option("compression", "none").text(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import regex
 
 U64 = np.uint64
@@ -40,14 +41,59 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+#: Spans of so many symbols and more are hashed by scrambled symbols instead of a polynomial.
+LONG = 64
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span of ``symbols``; equal spans get equal hashes wherever they stand."""
+    """64-bit hash of every span of ``symbols``; equal spans get equal hashes wherever they stand.
+
+    Short spans take a polynomial modulo 2**64. Its low bits are weak: long spans
+    that mirror each other (Thue-Morse words) can share one whatever the base, so a
+    long span sums scrambled numbers of its symbols and their places instead.
+    """
     n = len(symbols)
     power, inverse = _powers(n + 1)
     prefix = np.zeros(n + 1, U64)
     np.cumsum((symbols.astype(U64) + U64(1)) * power[:n], out=prefix[1:])
+    size = ends - starts
     h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    long = np.flatnonzero(size >= LONG)
+    if len(long):
+        own = size[long]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        value = mix(symbols[np.repeat(starts[long], own) + place].astype(U64) + (place.astype(U64) + U64(1)) * U64(0xA24BAED4963EE407))
+        h[long] = np.add.reduceat(value, first)
+    return mix(h + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def distinct_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every span its number among the distinct ones, of these the first span of each and its hash.
+
+    Spans follow each other without gaps. Spans of one hash are compared with the
+    first of them, symbol by symbol, so unlike ones never share a number.
+    """
+    codes, distinct = pd.factorize(span_hashes(symbols, starts, ends))
+    where = np.empty(len(distinct), np.int64)
+    where[codes[::-1]] = np.arange(len(codes))[::-1]
+    size = ends - starts
+    shift = (starts[where][codes] - starts).astype(np.int32 if len(symbols) < 2**31 else np.int64)
+    own = np.arange(starts[0], ends[-1], dtype=shift.dtype)
+    other = own + np.repeat(shift, size)  # never beyond a span's own place: the first stands before
+    differs = symbols[other] != symbols[starts[0] : ends[-1]]
+    unlike = size != size[where][codes]
+    if differs.any():
+        unlike |= np.logical_or.reduceat(differs, starts - starts[0])
+    if unlike.any():
+        found: dict[bytes, int] = {}
+        for k in np.flatnonzero(unlike).tolist():
+            raw = symbols[starts[k] : ends[k]].tobytes()
+            if raw not in found:
+                found[raw] = len(where)
+                where, distinct = np.append(where, k), np.append(distinct, distinct[codes[k]])
+            codes[k] = found[raw]
+    return codes, where, distinct
 
 
 def chunks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
