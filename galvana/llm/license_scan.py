@@ -3,8 +3,17 @@
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. A phrase is found
 where its words stand consecutively. A tag is ``SPDX-License-Identifier:`` or
 ``License:`` at any place of a line; the rest of the line is read as an expression
-of identifiers with AND, OR, WITH and brackets (WITH binds tightest, then AND).
-A tag whose rest is no expression counts for nothing.
+of identifiers with AND, OR, WITH and brackets (WITH binds tightest, then AND, and
+stands between a licence and an exception). Of several tags in a line the last
+counts, as no expression holds a tag. Operands are the identifiers listed here,
+``-only``, ``-or-later`` or ``+`` after them, and ``LicenseRef-`` names. A tag whose rest
+is no expression, or names an unknown licence or exception, counts for nothing.
+
+Evaluation of an expression gives the labels that it names, those that every
+choice requires (AND requires both sides, OR what both share), the number of
+choices (AND multiplies, OR adds; it stops at 2**62), and whether some choice
+holds permissive licences alone (AND needs both sides, OR either; an exception
+leaves its licence as it is).
 
 A null text scans like an empty one: no words, no labels, score 0. Texts are
 scanned whole; every row has one result row, repeated rows too.
@@ -14,8 +23,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,26 +59,65 @@ NOTICES = {
     "this is free and unencumbered software": "unlicense",
     "all rights reserved": "all-rights-reserved",
 }
-#: Identifiers of tags, without version suffixes, and the labels they stand for.
+#: Identifiers of tags, without suffixes, and the labels they stand for.
 IDENTIFIERS = {
     "mit": "mit",
+    "mit-0": "mit",
+    "apache-1.1": "apache-1",
     "apache-2.0": "apache-2",
     "cc-by-nc-4.0": "cc-by-nc",
+    "cc-by-nc-sa-4.0": "cc-by-nc-sa",
+    "cc-by-nc-nd-4.0": "cc-by-nc-nd",
+    "cc-by-3.0": "cc-by",
     "cc-by-4.0": "cc-by",
+    "cc-by-nd-4.0": "cc-by-nd",
+    "cc-by-sa-3.0": "cc-by-sa",
     "cc-by-sa-4.0": "cc-by-sa",
     "cc0-1.0": "cc0",
     "gpl-2.0": "gpl-2",
     "gpl-3.0": "gpl-3",
+    "lgpl-2.0": "lgpl",
     "lgpl-2.1": "lgpl",
     "lgpl-3.0": "lgpl",
     "agpl-3.0": "agpl",
+    "mpl-1.1": "mpl-1",
     "mpl-2.0": "mpl-2",
+    "0bsd": "bsd-0",
     "bsd-2-clause": "bsd-2",
     "bsd-3-clause": "bsd-3",
+    "bsd-4-clause": "bsd-4",
     "isc": "isc",
+    "artistic-2.0": "artistic-2",
+    "epl-1.0": "epl",
     "epl-2.0": "epl",
+    "eupl-1.2": "eupl",
     "bsl-1.0": "bsl-1",
+    "ofl-1.1": "ofl",
+    "postgresql": "postgresql",
+    "psf-2.0": "psf",
+    "python-2.0": "psf",
     "unlicense": "unlicense",
+    "wtfpl": "wtfpl",
+    "x11": "x11",
+    "zlib": "zlib",
+}
+#: Labels whose licences ask for notices at most.
+PERMISSIVE = {"mit", "apache-1", "apache-2", "cc-by", "cc0", "bsd-0", "bsd-2", "bsd-3", "bsd-4", "isc", "bsl-1", "ofl", "postgresql", "psf", "unlicense", "wtfpl", "x11", "zlib"}
+#: Exceptions that WITH can name.
+EXCEPTIONS = {
+    "autoconf-exception-2.0",
+    "autoconf-exception-3.0",
+    "bison-exception-2.2",
+    "bootloader-exception",
+    "classpath-exception-2.0",
+    "font-exception-2.0",
+    "gcc-exception-2.0",
+    "gcc-exception-3.1",
+    "linux-syscall-note",
+    "llvm-exception",
+    "openssl-exception",
+    "qt-gpl-exception-1.0",
+    "universal-foss-exception-1.0",
 }
 TAGS = ("spdx-license-identifier:", "license:")
 
@@ -77,11 +127,18 @@ _TOKEN = re.compile(r"\s*(?:([A-Za-z0-9.+:-]+)|([()]))")
 _POWER = {"or": 1, "and": 2, "with": 3}
 
 
-def _identifier(name: str) -> str:
+MOST_CHOICES = 2**62
+
+
+def licence(name: str) -> str | None:
+    """The label of an identifier, None if it is unknown; ``+`` is ``-or-later``."""
     plain = name.lower()
-    for suffix in ("-only", "-or-later", "+"):
-        plain = plain.removesuffix(suffix)
-    return IDENTIFIERS.get(plain, plain)
+    if plain.startswith("licenseref-") and len(plain) > len("licenseref-"):
+        return plain
+    later = plain.endswith(("+", "-or-later"))
+    plain = plain.removesuffix("+").removesuffix("-or-later").removesuffix("-only")
+    label = IDENTIFIERS.get(plain)
+    return f"{label}-or-later" if label and later else label
 
 
 def parse(text: str) -> list[str] | None:
@@ -93,6 +150,7 @@ def parse(text: str) -> list[str] | None:
     out: list[str] = []
     waiting: list[str] = []
     operand = True  # what has to come next
+    last = ""  # the token before
     place, text = 0, text.strip()
     while place < len(text):
         found = _TOKEN.match(text, place)
@@ -101,13 +159,14 @@ def parse(text: str) -> list[str] | None:
         place = found.end()
         word, bracket = found.groups()
         if bracket == "(" or word and word.lower() not in _POWER:
-            if not operand:
+            if not operand or bracket and last == "with":
                 return None
             if bracket:
                 waiting.append("(")
             else:
                 out.append(word)
                 operand = False
+            last = bracket or "name"
         elif operand:
             return None
         elif bracket:
@@ -116,33 +175,67 @@ def parse(text: str) -> list[str] | None:
             if not waiting:
                 return None
             waiting.pop()
+            last = bracket
         else:
-            while waiting and waiting[-1] != "(" and _POWER[waiting[-1]] >= _POWER[word.lower()]:
+            word = word.lower()
+            if word == "with" and (last != "name" or waiting[-1:] == ["with"]):
+                return None
+            while waiting and waiting[-1] != "(" and _POWER[waiting[-1]] >= _POWER[word]:
                 out.append(waiting.pop())
-            waiting.append(word.lower())
-            operand = True
+            waiting.append(word)
+            operand, last = True, word
     if operand or "(" in waiting:
         return None
     return out + waiting[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[frozenset[str], int]:
-    """Labels that an expression names, and the number of ways to satisfy it.
+@dataclass
+class Terms:
+    """What an expression comes to."""
+
+    required: set[str]
+    choices: int
+    permissive: bool
+
+
+def evaluate(postfix: list[str]) -> tuple[set[str], Terms] | None:
+    """All labels that an expression names, and its terms; None if a name in it is unknown."""
+    labels: set[str] = set()
+    stack: list[str | Terms] = []
+
+    def terms(x: str | Terms) -> Terms | None:
+        if isinstance(x, Terms):
+            return x
+        if (label := licence(x)) is None:
+            return None
+        labels.add(label)
+        return Terms({label}, 1, label.removesuffix("-or-later") in PERMISSIVE)
 
-    AND joins the terms of both sides and multiplies their ways, OR adds the ways;
-    WITH joins an exception to its licence's label.
-    """
-    stack: list[tuple[frozenset[str], int]] = []
     for x in postfix:
         if x not in _POWER:
-            stack.append((frozenset([_identifier(x)]), 1))
+            stack.append(x)
             continue
-        (right, m), (left, n) = stack.pop(), stack.pop()
+        right, left = stack.pop(), stack.pop()
         if x == "with":
-            stack.append((frozenset(f"{a}-with-{b}" for a in left for b in right), n))
+            label = licence(left)
+            if label is None or right.lower() not in EXCEPTIONS:
+                return None
+            joined = f"{label}-with-{right.lower()}"
+            labels.add(joined)
+            stack.append(Terms({joined}, 1, label.removesuffix("-or-later") in PERMISSIVE))
+            continue
+        one, two = terms(left), terms(right)
+        if one is None or two is None:
+            return None
+        small, large = sorted((one.required, two.required), key=len)
+        if x == "and":
+            large |= small
+            stack.append(Terms(large, min(MOST_CHOICES, one.choices * two.choices), one.permissive and two.permissive))
         else:
-            stack.append((left | right, n * m if x == "and" else n + m))
-    return stack[0]
+            small &= large
+            stack.append(Terms(small, min(MOST_CHOICES, one.choices + two.choices), one.permissive or two.permissive))
+    whole = terms(stack[0])
+    return whole and (labels, whole)
 
 
 def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
@@ -156,44 +249,59 @@ def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     return phrases, tags
 
 
-def tagged(text: str, lower: str, tags: ahocorasick.Automaton) -> Iterator[tuple[str, frozenset[str], int]]:
-    """Each tag's expression, labels and ways."""
-    for end, _ in tags.iter(lower):
-        stop = text.find("\n", end + 1)
-        rest = text[end + 1 : stop if stop >= 0 else len(text)].strip().rstrip("*/.#;>-! ")
-        if postfix := parse(rest):
-            yield rest, *evaluate(postfix)
+def tagged(text: str, lower: str, tags: ahocorasick.Automaton) -> Iterator[tuple[str, set[str], Terms]]:
+    """Each tag's expression, labels and terms."""
+    ends = [(end + 1, end + 1 - len(tag)) for end, tag in tags.iter(lower)]
+    for (start, _), (_, following) in zip(ends, [*ends[1:], (0, len(text))], strict=True):
+        stop = text.find("\n", start, following)
+        if stop < 0:
+            if following < len(text):
+                continue  # a later tag of the same line
+            stop = len(text)
+        rest = text[start:stop].strip().rstrip("*/.#;>-! ")
+        if (postfix := parse(rest)) and (found := evaluate(postfix)):
+            yield rest, *found
 
 
-#: Columns of a scan: places are starts of base phrases in words.
-SCAN = "n_words long, places array<long>, base_labels string, labels string, expressions array<string>, choices long, score double"
+#: Columns of a scan: places are starts of base phrases in words; the last four come from tags.
+SCAN = pa.schema([
+    ("n_words", pa.int64()), ("places", pa.list_(pa.int64())), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
+    ("expressions", pa.list_(pa.string())), ("required", pa.string()), ("choices", pa.int64()), ("permissive", pa.bool_()),
+])
+_SCAN = "n_words long, places array<long>, base_labels string, labels string, score double, expressions array<string>, required string, choices long, permissive boolean"
 
 
 def _scan_texts(phrases, tags):
     def scan(raw: bytes) -> dict:
         words = raw.translate(_TO_WORDS).split()
-        joined = (b" " + b" ".join(words) + b" ").decode()
-        places, base, more, hits = [], set(), set(), 0
-        for end, phrase in phrases.iter(joined):
+        joined = b" " + b" ".join(words) + b" "
+        starts, base, more, hits = [], set(), set(), 0
+        for end, phrase in phrases.iter(joined.decode("latin-1")):  # a letter for each byte: phrases are ASCII
             hits += 1
             if phrase in BASE:
-                places.append(joined.count(" ", 0, end - len(phrase) - 1))
+                starts.append(end - len(phrase) - 1)
                 base.add(BASE[phrase])
             else:
                 more.add(NOTICES[phrase])
+        places = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20), np.array(starts, np.int64)) if starts else np.zeros(0, np.int64)
         text = raw.decode()
         lower = raw.lower().decode()  # A-Z alone, so places stay
         found = list(tagged(text, lower, tags)) if "license:" in lower or TAGS[0] in lower else []
         for _, labels, _ in found:
             more |= labels
+        choices = 1
+        for _, _, terms in found:
+            choices = min(MOST_CHOICES, choices * terms.choices)
         return {
             "n_words": len(words),
-            "places": sorted(places),
+            "places": np.sort(places).tolist(),
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | more)),
-            "expressions": [x for x, _, _ in found],
-            "choices": sum(n for _, _, n in found),
             "score": 1 - 0.5**hits * 0.1 ** len(found),
+            "expressions": [x for x, _, _ in found],
+            "required": ",".join(sorted(set().union(*(terms.required for _, _, terms in found)))),
+            "choices": choices if found else 0,
+            "permissive": all(terms.permissive for _, _, terms in found) if found else None,
         }
 
     return scan
@@ -203,27 +311,25 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the columns ``SCAN`` of every row of ``docs``; a map over the rows, without a shuffle.
 
     The score is 0 without evidence; each phrase halves its distance to 1, each
-    tag takes a tenth of it.
+    tag takes a tenth of it. A text's tags hold together like an AND: ``required``
+    joins theirs, ``choices`` multiplies (0 without a tag), and ``permissive`` needs
+    each (null without a tag).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = _scan_texts(*_automata())
-        kinds = pa.schema([
-            ("n_words", pa.int64()), ("places", pa.list_(pa.int64())), ("base_labels", pa.string()), ("labels", pa.string()),
-            ("expressions", pa.list_(pa.string())), ("choices", pa.int64()), ("score", pa.float64()),
-        ])
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for a in range(0, batch.num_rows, 500):
-                rows = pa.RecordBatch.from_pylist([scan(x or b"") for x in texts.slice(a, 500).to_pylist()], schema=kinds)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 500), *rows.columns], names=["doc_id", *kinds.names])
+                rows = pa.RecordBatch.from_pylist([scan(x or b"") for x in texts.slice(a, 500).to_pylist()], schema=SCAN)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 500), *rows.columns], names=["doc_id", *SCAN.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCAN}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCAN}")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License labels of every text of ``documents``, with the places of base phrases."""
+    """License labels of every text of ``documents``, with the places of base phrases and the terms of tags."""
     scan = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return scan.selectExpr(
         "doc_id",
@@ -235,4 +341,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "labels",
         "score",
         "expressions",
+        "required",
+        "choices",
+        "permissive",
     )
