@@ -19,9 +19,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _key(column: str):
+    """A conversation's key: never null, and an id that is an empty text differs from none."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("")).alias("key")
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """Every turn with its place, the 128-bit hash ``p, q`` of the turns up to it, and whether it is the last."""
-    rows = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"))
+    rows = turns.select("conv_id", "turn", "role", "text", _key("conv_id"))
     order = Window.partitionBy("key").orderBy("turn", "role", "text")
     placed = rows.withColumn("place", F.row_number().over(order))
     # A turn's hash holds its place, so their exclusive or depends on the order.
@@ -44,7 +49,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     whole = rows.where("last").groupBy("p", "q", "place").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     longer = rows.where("not last").select("p", "q", "place").distinct()
     kept = whole.join(longer, ["p", "q", "place"], "left_anti").select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), "n_copies", F.col("place").alias("n_turns")
+        _key("conv_id"), "n_copies", F.col("place").alias("n_turns")
     )
     turn = F.concat(F.lit("<|"), _plain("role"), F.lit("|>\n"), _plain("text"), F.lit("<|end|>\n"))
     return (
