@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from galvana.llm.blocks import block_pairs
 from galvana.llm.components import components, linked_classes
-from galvana.llm.ngram_join import _meets, forest
+from galvana.llm.ngram_join import _meets, roots
 from galvana.shared import cut
 
 
@@ -45,7 +45,7 @@ class Plan:
 
         Two vectors at the cosine agree in a sign with probability 1 - angle / pi.
         """
-        bits = min(24, max(8, math.ceil(math.log2(max(rows, 1))) - 6))
+        bits = min(31, max(8, math.ceil(math.log2(max(rows, 1))) - 6))
         agree = (1 - math.acos(cosine) / math.pi) ** bits
         return cls(bits, math.ceil(math.log(1 - recall) / math.log1p(-agree)), cosine)
 
@@ -95,7 +95,7 @@ def _signed(plan: Plan):
                     units[k], signs[k] = unit[j].tobytes(), sign[j].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("label"), pa.array(keys, pa.binary()), pa.array(units, pa.binary()), pa.array(signs, pa.binary())],
-                schema=pa.schema([("vec_id", pa.int64()), batch.schema.field("label"), ("key", pa.binary()), ("unit", pa.binary()), ("signs", pa.binary())]),
+                schema=pa.schema([("vec_id", pa.int64()), batch.schema.field("label"), ("digest", pa.binary()), ("unit", pa.binary()), ("signs", pa.binary())]),
             )
 
     return run
@@ -134,11 +134,11 @@ def _clusters(plan: Plan):
                 rows = [*left, *(right or [])]
                 sign = np.frombuffer(b"".join(x["signs"] for x in rows), np.int32).reshape(len(rows), -1, 1)
                 bits = (2 * ((sign >> shifts) & 1) - 1).reshape(len(rows), n).astype(np.float32)
-                root = forest((bits @ bits.T + n >= 2 * n * plan.likely) & _meets(len(left), len(rows)))
-                for k in np.flatnonzero(root != np.arange(len(rows))).tolist():
-                    a.append(rows[root[k]]["key"])
-                    b.append(rows[k]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                key = np.array([x["key"] for x in rows], np.int64)
+                root = roots((bits @ bits.T + n >= 2 * n * plan.likely) & _meets(len(left), len(rows)), key)
+                a.append(root[root != key])
+                b.append(key[root != key])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -154,12 +154,11 @@ def _verify(plan: Plan):
                 unit = np.frombuffer(b"".join(x["unit"] for x in rows), np.float64).reshape(len(rows), -1)
                 linked = (unit @ unit.T >= plan.cosine) & _meets(len(left), len(rows))
                 copies = linked @ np.array([x["copies"] for x in rows], np.int64)
-                label = forest(linked)
-                for k in np.flatnonzero(linked.any(axis=1)).tolist():
-                    key.append(rows[k]["key"])
-                    links.append(int(copies[k]))
-                    root.append(rows[label[k]]["key"])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(links, pa.int64()), pa.array(root, pa.binary())], names=["key", "links", "root"])
+                own, any_link = np.array([x["key"] for x in rows], np.int64), linked.any(axis=1)
+                key.append(own[any_link])
+                links.append(copies[any_link])
+                root.append(roots(linked, own)[any_link])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (key, links, root)], names=["key", "links", "root"])
 
     return run
 
@@ -169,15 +168,16 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     plan = plan or Plan.of(rows.count(), cosine)
     label = rows.schema["label"].dataType.simpleString()
-    signed = cut(rows.mapInArrow(_signed(plan), f"vec_id long, label {label}, key binary, unit binary, signs binary"), "signed")
+    signed = cut(rows.mapInArrow(_signed(plan), f"vec_id long, label {label}, digest binary, unit binary, signs binary"), "signed")
     classes = cut(
-        signed.where("key is not null")
-        .groupBy("key", "label")
-        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("signs").alias("signs")),
+        signed.where("digest is not null")
+        .groupBy("digest", "label")
+        .agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("unit").alias("unit"), F.any_value("signs").alias("signs"))
+        .withColumn("key", F.monotonically_increasing_id()),  # written once, so a class keeps its number
         "vectors",
     )
     bucket = ["label", "length", "table", "sign"]
-    members = classes.select("key", "label", "unit", "signs").mapInArrow(_buckets(plan), f"key binary, label {label}, length int, table int, sign int")
+    members = classes.select("key", "label", "unit", "signs").mapInArrow(_buckets(plan), f"key long, label {label}, length int, table int, sign int")
     marks = F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit(1), "key"))
     # Buckets with the same members count once.
     buckets = (
@@ -190,16 +190,16 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
     )
     held = members.join(buckets, bucket).join(classes.select("key", "signs"), "key")
     pairs = block_pairs(held, bucket, F.col("size"), block, ["key"], ["key", "signs"])
-    cluster = components(pairs.select("left", "right").mapInArrow(_clusters(plan), "a binary, b binary"), "a", "b")
+    cluster = components(pairs.select("left", "right").mapInArrow(_clusters(plan), "a long, b long"), "a", "b")
     sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
     wanted = cluster.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "copies", "unit"), "key")
     pairs = block_pairs(wanted, ["component"], F.col("size"), block, ["key"], ["key", "copies", "unit"])
-    found = cut(pairs.select("left", "right").mapInArrow(_verify(plan), "key binary, links long, root binary"), "links")
-    named = linked_classes(classes, found)
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("class_id"))
+    found = cut(pairs.select("left", "right").mapInArrow(_verify(plan), "key long, links long, root long"), "links")
+    named = linked_classes(classes, found).join(classes.select("key", "digest"), "key").drop("key")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("class_id"))
     return (
-        signed.select("vec_id", "key")
-        .join(named, "key", "left")
+        signed.select("vec_id", "digest")
+        .join(named, "digest", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )

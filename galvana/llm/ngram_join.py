@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galvana.llm import vectext
@@ -159,6 +159,14 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def roots(linked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The smallest key that each place of a symmetric link matrix reaches: edges to it never give a node many smaller neighbours."""
+    label = forest(linked)
+    least = np.full(len(keys), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, keys)
+    return least[label]
+
+
 def _meets(n_left: int, n: int) -> np.ndarray:
     """Which pairs a task compares: those across its two blocks, or those within its only one."""
     side = np.arange(n) >= n_left
@@ -166,8 +174,8 @@ def _meets(n_left: int, n: int) -> np.ndarray:
 
 
 def _unique(left: list[dict], right: list[dict] | None) -> tuple[list[dict], int]:
-    one = {x["digest"]: x for x in left}
-    two = {x["digest"]: x for x in right or []}
+    one = {x["key"]: x for x in left}
+    two = {x["key"]: x for x in right or []}
     return [*one.values(), *two.values()], len(one)
 
 
@@ -183,11 +191,11 @@ def _clusters(plan: Plan):
                 same = np.zeros((len(rows), len(rows)), np.int16)
                 for k in range(plan.hashes):
                     same += low[:, k][:, None] == low[:, k][None, :]
-                root = forest((same >= plan.likely * plan.hashes) & _meets(n_left, len(rows)))
-                for k in np.flatnonzero(root != np.arange(len(rows))).tolist():
-                    a.append(rows[root[k]]["digest"])
-                    b.append(rows[k]["digest"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                key = np.array([x["key"] for x in rows], np.int64)
+                root = roots((same >= plan.likely * plan.hashes) & _meets(n_left, len(rows)), key)
+                a.append(root[root != key])
+                b.append(key[root != key])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -232,7 +240,7 @@ def _verify(plan: Plan):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, links, root = [], [], []
+            key, links, root = [], [], []
             for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
                 rows, n_left = _unique(left, right)
                 if len(rows) < 2:
@@ -242,12 +250,12 @@ def _verify(plan: Plan):
                 both = intersections(sets)
                 linked = (both / (size[:, None] + size[None, :] - both) >= plan.similarity) & _meets(n_left, len(rows))
                 copies = linked @ np.array([x["copies"] for x in rows], np.int64)
-                label = forest(linked)
-                for k in np.flatnonzero(linked.any(axis=1)).tolist():
-                    digest.append(rows[k]["digest"])
-                    links.append(int(copies[k]))
-                    root.append(rows[label[k]]["digest"])
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(links, pa.int64()), pa.array(root, pa.binary())], names=["key", "links", "root"])
+                own = np.array([x["key"] for x in rows], np.int64)
+                any_link = linked.any(axis=1)
+                key.append(own[any_link])
+                links.append(copies[any_link])
+                root.append(roots(linked, own)[any_link])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (key, links, root)], names=["key", "links", "root"])
 
     return run
 
@@ -270,11 +278,12 @@ def ngram_join(docs: DataFrame, plan: Plan | None = None, bucket_block: int = 25
     classes = cut(
         sketches.where("n_grams > 0")
         .groupBy("digest")
-        .agg(F.min(row).alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")),
+        .agg(F.min(row).alias("least"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature"))
+        .withColumn("key", F.monotonically_increasing_id()),  # written once, so a class keeps its number
         "classes",
     )
-    members = classes.select("digest", F.explode("bands").alias("bucket"))
-    mark = F.bit_xor(F.xxhash64("digest")), F.bit_xor(F.xxhash64(F.lit(1), "digest"))
+    members = classes.select("key", F.explode("bands").alias("bucket"))
+    mark = F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit(1), "key"))
     # Buckets with the same members count once.
     buckets = (
         members.groupBy("bucket")
@@ -284,18 +293,21 @@ def ngram_join(docs: DataFrame, plan: Plan | None = None, bucket_block: int = 25
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket", "size")
     )
-    held = members.join(buckets, "bucket").join(classes.select("digest", "signature"), "digest")
-    pairs = block_pairs(held, ["bucket"], F.col("size"), bucket_block, ["digest"], ["digest", "signature"])
-    likely = pairs.select("left", "right").mapInArrow(_clusters(plan), "a binary, b binary")
-    cluster = components(likely, "a", "b")
+    held = members.join(buckets, "bucket").join(classes.select("key", "signature"), "key")
+    pairs = block_pairs(held, ["bucket"], F.col("size"), bucket_block, ["key"], ["key", "signature"])
+    likely = pairs.select("left", "right").mapInArrow(_clusters(plan), "a long, b long")
+    cluster = components(likely, "a", "b").withColumnRenamed("node", "key")
     sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = cluster.join(sizes, "component").join(classes.select("digest", "copies", "least"), F.col("node") == F.col("digest"))
-    wanted = wanted.select("component", "size", "digest", "copies", "least")
-    texts = wanted.join(docs, (F.col("least.text_hash") == docs["text_hash"]) & F.col("least.doc_id").eqNullSafe(docs["doc_id"])).select("component", "size", "digest", "copies", "text")
-    sets = texts.mapInArrow(_sets(plan), "component binary, size long, digest binary, copies long, grams binary")
-    pairs = block_pairs(sets, ["component"], F.col("size"), verify_block, ["digest"], ["digest", "copies", "grams"])
-    found = cut(pairs.select("left", "right").mapInArrow(_verify(plan), "key binary, links long, root binary"), "links")
-    named = linked_classes(classes.withColumnRenamed("digest", "key"), found).withColumnRenamed("key", "digest")
+    wanted = cluster.join(sizes, "component").join(classes.select("key", "digest", "copies", "least"), "key")
+    wanted = wanted.select("component", "size", "key", "digest", "copies", "least.no_id", F.coalesce("least.doc_id", F.lit(0)).alias("id"), "least.text_hash")
+    # One text of rows that repeat: copies merge before and while they are shuffled.
+    same = ["text_hash", "no_id", "id"]
+    texts = docs.select("text_hash", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text").groupBy(*same).agg(F.any_value("text").alias("text"))
+    texts = wanted.join(texts, same).select("component", "size", "key", "digest", "copies", "text")
+    sets = texts.mapInArrow(_sets(plan), "component long, size long, key long, digest binary, copies long, grams binary")
+    pairs = block_pairs(sets, ["component"], F.col("size"), verify_block, ["key"], ["key", "copies", "grams"])
+    found = cut(pairs.select("left", "right").mapInArrow(_verify(plan), "key long, links long, root long"), "links")
+    named = linked_classes(classes, found).join(classes.select("key", "digest"), "key").drop("key")
     alone = F.col("digest").isNull()
     return (
         sketches.select("doc_id", "text_hash", "n_grams", "digest")
@@ -318,10 +330,11 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     same = (F.xxhash64(docs["text"]) == kept["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(kept["_id"])
     if kept.where("_rows > 1 and _grams > 0").isEmpty():
         return docs.join(kept, same, "left_semi")
-    # A row that repeats stays once. The row is one column here, so no name of it can clash.
-    rows = docs.join(kept, same).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), kept["_id"], kept["_hash"], kept["_grams"])
-    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return rows.withColumn("number", number).where("number = 1 or _grams = 0").select("row.*")
+    # A row that repeats stays once: the first by a hash of its columns. Copies merge before they are shuffled.
+    # The row is one column here, so no name of it can clash.
+    rows = docs.join(kept.where("_rows > 1 and _grams > 0"), same).select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), kept["_id"], kept["_hash"])
+    once = rows.groupBy("_id", "_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return docs.join(kept.where("_rows = 1 or _grams = 0"), same, "left_semi").unionByName(once)
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
