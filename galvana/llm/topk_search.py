@@ -2,18 +2,24 @@
 
 Components become floor(scale * x). Vectors are put in an order that keeps like
 signs together and cut into blocks of consecutive rows; a block has a forward
-index (the matrix of its rows) and every dimension's least and greatest value.
-A query's bound for a block sums, over its dimensions, the larger of its
-component's products with the two. A page of blocks and a batch of queries meet
-in one task, which takes each query's blocks by falling bound and scores them
-until no bound reaches the query's k-th score. Each query starts from the k-th
-score within its own block, which is found while blocks are built.
+index (the matrix of its rows) and every dimension's least and greatest value,
+and so has a page of consecutive blocks. A query's bound for either sums, over its
+dimensions, the larger of its component's products with the two.
+
+Each query starts from the k-th score within its own block, which is found while
+blocks are built. Batches of queries first meet sheets, small tables of pages'
+bounds, never the pages. Each query then visits its best page, which raises its
+k-th score, and after that only the pages whose bounds reach it, and only it
+travels there. A visit takes a page's blocks by falling bound and scores them
+until no bound reaches the k-th; at an equal score a larger id than the k-th's
+does not count.
 
 Vectors that are null or hold null or non-finite components take no part, nor
 do those of another length than the query's. Rows that carry a query's id are the
 query's own. Equal scores rank by smaller id; repeated rows are candidates each,
 and a query row that repeats (with an id or without) is one query each, told
-apart by its vector. An empty table has no result rows.
+apart by its vector. A component beyond the range of doubles once scaled is held
+at its ends, and a score beyond 64 bits at theirs. An empty table has no result rows.
 """
 
 from __future__ import annotations
@@ -29,9 +35,11 @@ from pyspark.sql import functions as F
 from galvana.llm.lsh_dedup import vectors
 from galvana.shared import cut
 
-BLOCK_ROWS, PAGE_BLOCKS, BATCH_QUERIES, GROUP_BATCHES = 256, 16, 256, 16
+BLOCK_ROWS, PAGE_BLOCKS, BATCH_QUERIES = 256, 16, 256
+#: Pages of a sheet, batches that meet a sheet in one task, and batches' parts that meet a page in one task.
+SHEET_PAGES, GROUP_BATCHES, LANE_PARTS = 512, 64, 16
 
-_PACKED = "kind string, dimension int, n int, ids binary, matrix binary, least binary, greatest binary, floor binary, names array<string>"
+_PACKED = "kind string, dimension int, n int, ids binary, matrix binary, least binary, greatest binary, floor binary, floor_id binary, names array<string>"
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,7 +49,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     most = a.shape[1] * float(np.abs(a).max()) * float(np.abs(b).max())
     if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    exact = np.vectorize(int, otypes=[object])
+    exact = np.vectorize(int, otypes=[object])  # components are finite
     return np.clip(exact(a).dot(exact(b).T), -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -52,16 +60,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 _LOW = np.iinfo(np.int64).min + 1
 _NO_ID = np.iinfo(np.int64).max
+_MOST = np.finfo(np.float64).max
 
 
 def _pack(scale: int, k: int, block_rows: int, page_blocks: int):
     """Pages of blocks and batches of queries out of one partition's ordered rows."""
 
     def pack(kind, ids, rows, floor=None, names=None):
+        floor_id = None if floor is None else np.full(len(ids), _NO_ID)
         cut_at = np.arange(0, len(ids), block_rows)
         least = np.minimum.reduceat(rows, cut_at, axis=0) if kind == "page" else None
         greatest = np.maximum.reduceat(rows, cut_at, axis=0) if kind == "page" else None
-        raw = [None if x is None else x.tobytes() for x in (ids, rows, least, greatest, floor)]
+        raw = [None if x is None else x.tobytes() for x in (ids, rows, least, greatest, floor, floor_id)]
         return (kind, rows.shape[1], len(ids), *raw, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +100,8 @@ def _pack(scale: int, k: int, block_rows: int, page_blocks: int):
 
         def out(rows):
             return pa.RecordBatch.from_pylist(
-                [dict(zip(("kind", "dimension", "n", "ids", "matrix", "least", "greatest", "floor", "names"), r, strict=True)) for r in rows],
-                schema=pa.schema([("kind", pa.string()), ("dimension", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "matrix", "least", "greatest", "floor")), ("names", pa.list_(pa.string()))]),
+                [dict(zip(("kind", "dimension", "n", "ids", "matrix", "least", "greatest", "floor", "floor_id", "names"), r, strict=True)) for r in rows],
+                schema=pa.schema([("kind", pa.string()), ("dimension", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("ids", "matrix", "least", "greatest", "floor", "floor_id")), ("names", pa.list_(pa.string()))]),
             )
 
         for batch in batches:
@@ -107,7 +117,9 @@ def _pack(scale: int, k: int, block_rows: int, page_blocks: int):
                         own_id, own_names = own, set()
                     query = name not in own_names
                     own_names.add(name)
-                held.setdefault(d, []).append((own, np.floor(scale * x), bool(query), name))
+                with np.errstate(over="ignore"):
+                    scaled = np.clip(np.floor(scale * x), -_MOST, _MOST)
+                held.setdefault(d, []).append((own, scaled, bool(query), name))
                 if len(held[d]) % block_rows == 0:
                     close_block(d)
                 if len(held[d]) == block_rows * page_blocks:
@@ -133,13 +145,22 @@ def _matrix(row, name: str) -> np.ndarray:
     return np.frombuffer(row[name], np.float64).reshape(-1, row["dimension"])
 
 
-def search_page(page: dict, batch: dict, k: int, block_rows: int = BLOCK_ROWS) -> Iterator[tuple[str, int, int, int]]:
-    """``name, query_id, vec_id, score`` of all that a page's blocks add to a batch's ranks."""
-    rows, ids = _matrix(page, "matrix"), np.frombuffer(page["ids"], np.int64)
-    queries, own = _matrix(batch, "matrix"), np.frombuffer(batch["ids"], np.int64)
+def _int64(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.int64)
+
+
+def _bounds(queries: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+    """No row between ``least`` and ``greatest`` scores more with a query; a row for each query."""
+    return products(np.maximum(queries, 0), greatest) + products(np.minimum(queries, 0), least)
+
+
+def search_page(page: dict, batch: dict, k: int, block_rows: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (a row for each query, k columns) of all that a page's blocks add to a batch's ranks; ``_LOW`` fills up."""
+    rows, ids = _matrix(page, "matrix"), _int64(page["ids"])
+    queries, own = _matrix(batch, "matrix"), _int64(batch["ids"])
     n = len(queries)
-    bound = products(np.maximum(queries, 0), _matrix(page, "greatest")) + products(np.minimum(queries, 0), _matrix(page, "least"))
-    floor = np.frombuffer(batch["floor"], np.int64).copy()
+    bound = _bounds(queries, _matrix(page, "least"), _matrix(page, "greatest"))
+    floor, floor_id = _int64(batch["floor"]).copy(), _int64(batch["floor_id"]).copy()
     top, top_ids = np.full((n, k), _LOW), np.full((n, k), _NO_ID)
     order = np.argsort(-bound, axis=1, kind="stable")
     for turn in range(bound.shape[1]):
@@ -160,23 +181,150 @@ def search_page(page: dict, batch: dict, k: int, block_rows: int = BLOCK_ROWS) -
             both_ids = np.concatenate([top_ids[asks], np.broadcast_to(ids[a:z], scores.shape)], axis=1)
             keep = best(both, both_ids, k)
             top[asks], top_ids[asks] = np.take_along_axis(both, keep, 1), np.take_along_axis(both_ids, keep, 1)
-            floor[asks] = np.maximum(floor[asks], top[asks, -1])
-    found = (top > _LOW) & (top >= floor[:, None])
-    for q, r in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
-        yield batch["names"][q], int(own[q]), int(top_ids[q, r]), int(top[q, r])
+            last, last_id = top[asks, -1], top_ids[asks, -1]
+            better = (last > floor[asks]) | (last == floor[asks]) & (last > _LOW) & (last_id < floor_id[asks])
+            floor[asks[better]], floor_id[asks[better]] = last[better], last_id[better]
+    out = (top < floor[:, None]) | (top == floor[:, None]) & (top_ids > floor_id[:, None])
+    top[out] = _LOW
+    return top, top_ids
+
+
+def _sheets(sheet_pages: int):
+    """Bounds of whole pages, many in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def sheet(d: int) -> dict:
+            number, least, greatest = zip(*held.pop(d), strict=True)
+            return {"dimension": d, "pages": np.array(number, np.int64).tobytes(), "least": b"".join(least), "greatest": b"".join(greatest)}
+
+        kinds = pa.schema([("dimension", pa.int32()), ("pages", pa.binary()), ("least", pa.binary()), ("greatest", pa.binary())])
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                d = row["dimension"]
+                held.setdefault(d, []).append((row["page"], _matrix(row, "least").min(axis=0).tobytes(), _matrix(row, "greatest").max(axis=0).tobytes()))
+                if len(held[d]) == sheet_pages:
+                    done.append(sheet(d))
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=kinds)
+        if held:
+            yield pa.RecordBatch.from_pylist([sheet(d) for d in list(held)], schema=kinds)
+
+    return run
+
+
+_BOUNDS = pa.schema([("number", pa.int64()), ("page", pa.binary()), ("bound", pa.binary())])
+_VISITS = pa.schema([("page", pa.int64()), ("number", pa.int64()), ("asks", pa.binary())])
+
+
+def _best_pages(sheets: pa.Table, batches: pa.Table) -> pa.Table:
+    """Each query's page of greatest bound in each sheet (of equal ones the first), by batches."""
+    out = []
+    for batch in batches.to_pylist():
+        queries = _matrix(batch, "matrix")
+        for sheet in sheets.to_pylist():
+            bound, pages = _bounds(queries, _matrix(sheet, "least"), _matrix(sheet, "greatest")), _int64(sheet["pages"])
+            at = np.lexsort((np.broadcast_to(pages, bound.shape), -bound), axis=-1)[:, 0]
+            out.append({"number": batch["number"], "page": pages[at].tobytes(), "bound": bound[np.arange(len(at)), at].tobytes()})
+    return pa.Table.from_pylist(out, schema=_BOUNDS)
+
+
+def _visits(number: int, page: np.ndarray) -> Iterator[dict]:
+    for p in np.unique(page).tolist():
+        yield {"page": p, "number": number, "asks": np.flatnonzero(page == p).astype(np.uint16).tobytes()}
+
+
+def _first_visits(rows: pa.Table) -> pa.Table:
+    """Of one batch: the visits of its queries to their best pages."""
+    bound, page = (np.stack([_int64(x) for x in rows[c].to_pylist()]) for c in ("bound", "page"))
+    at = np.lexsort((page, -bound), axis=0)[0]
+    return pa.Table.from_pylist(list(_visits(rows["number"][0].as_py(), page[at, np.arange(len(at))])), schema=_VISITS)
+
+
+def _later_visits(sheets: pa.Table, batches: pa.Table) -> pa.Table:
+    """Visits of queries to the pages whose bounds reach their k-th scores."""
+    out = []
+    for batch in batches.to_pylist():
+        queries, floor = _matrix(batch, "matrix"), _int64(batch["floor"])
+        for sheet in sheets.to_pylist():
+            alive = _bounds(queries, _matrix(sheet, "least"), _matrix(sheet, "greatest")) >= floor[:, None]
+            pages = _int64(sheet["pages"])
+            for p in np.flatnonzero(alive.any(axis=0)).tolist():
+                out.append({"page": int(pages[p]), "number": batch["number"], "asks": np.flatnonzero(alive[:, p]).astype(np.uint16).tobytes()})
+    return pa.Table.from_pylist(out, schema=_VISITS)
+
+
+_ASKED = "page long, number long, asks binary, dimension int, ids binary, matrix binary, floor binary, floor_id binary, names array<string>"
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The part of a batch that visits a page."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = np.frombuffer(row["asks"], np.uint16)
+            part = {c: _int64(row[c])[at].tobytes() for c in ("ids", "floor", "floor_id")}
+            yield pa.RecordBatch.from_pylist([row | part | {"matrix": _matrix(row, "matrix")[at].tobytes(), "names": [row["names"][k] for k in at.tolist()]}], schema=batch.schema)
+
+
+def _visit(pages: DataFrame, batches: DataFrame, visits: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over each page and the parts of batches that visit it; a page that many visit goes to several tasks."""
+    lanes = visits.groupBy("page").agg(F.ceil(F.count("*") / F.lit(LANE_PARTS)).cast("int").alias("lanes"))
+    asked = visits.join(batches, "number").select("page", "number", "asks", "dimension", "ids", "matrix", "floor", "floor_id", "names").mapInArrow(_asked, _ASKED)
+    asked = asked.join(lanes, "page").withColumn("lane", F.pmod(F.xxhash64("number"), "lanes").cast("int")).drop("lanes")
+    dealt = pages.join(lanes, "page").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
+    return dealt.groupBy("page", "lane").cogroup(asked.groupBy("page", "lane")).applyInArrow(run, schema)
+
+
+def _floors(k: int, block_rows: int):
+    """Each visiting query's k-th score and id in the page."""
+
+    def run(pages: pa.Table, batches: pa.Table) -> pa.Table:
+        out = []
+        for page in pages.to_pylist():
+            for batch in batches.to_pylist():
+                top, ids = search_page(page, batch, k, block_rows)
+                out.append({"number": batch["number"], "asks": batch["asks"], "floor": top[:, -1].tobytes(), "floor_id": ids[:, -1].tobytes()})
+        return pa.Table.from_pylist(out, schema=pa.schema([("number", pa.int64()), ("asks", pa.binary()), ("floor", pa.binary()), ("floor_id", pa.binary())]))
+
+    return run
+
+
+def _raised(batches: pa.Table, floors: pa.Table) -> pa.Table:
+    """One batch with the floors that its first visits have found."""
+    floor, floor_id = _int64(batches["floor"][0].as_py()).copy(), np.full(batches["n"][0].as_py(), _NO_ID)
+    for row in floors.to_pylist():
+        at, own, own_id = np.frombuffer(row["asks"], np.uint16), _int64(row["floor"]), _int64(row["floor_id"])
+        reached = own > _LOW  # the page had k rows at or above the floor before
+        floor[at[reached]], floor_id[at[reached]] = own[reached], own_id[reached]
+    out = batches.drop_columns(["floor", "floor_id", "n"])
+    for column, value in (("floor", floor), ("floor_id", floor_id)):
+        out = out.append_column(column, pa.array([value.tobytes()], pa.binary()))
+    return out
+
 
+def _found(k: int, block_rows: int):
+    """All that a page adds to the ranks of the queries that visit it."""
 
-def _search(k: int, block_rows: int):
     def run(pages: pa.Table, batches: pa.Table) -> pa.Table:
-        asked = batches.to_pylist()
-        rows = [x for page in pages.to_pylist() for batch in asked for x in search_page(page, batch, k, block_rows)]
-        name, query, vec, score = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.table({"name": pa.array(name, pa.string()), "query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
+        name, query, vec, score = [], [], [], []
+        for page in pages.to_pylist():
+            for batch in batches.to_pylist():
+                top, ids = search_page(page, batch, k, block_rows)
+                q, r = np.nonzero(top > _LOW)
+                own = _int64(batch["ids"])
+                name += [batch["names"][x] for x in q.tolist()]
+                query.append(own[q])
+                vec.append(ids[q, r])
+                score.append(top[q, r])
+        whole = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (query, vec, score)]
+        return pa.table({"name": pa.array(name, pa.string()), "query_id": whole[0], "vec_id": whole[1], "score": whole[2]})
 
     return run
 
 
-def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, page_blocks: int = PAGE_BLOCKS) -> DataFrame:
+def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, page_blocks: int = PAGE_BLOCKS, sheet_pages: int = SHEET_PAGES) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of ``embeddings`` that is a query, against all rows."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))
     # Signs of the first components: neighbours in this order share them.
@@ -186,21 +334,30 @@ def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int
     ordered = ordered.repartitionByRange(n, "sign", "vec_id").sortWithinPartitions("sign", "vec_id").select("vec_id", "embedding", "is_query")
     packed = cut(ordered.mapInArrow(_pack(scale, k, block_rows, page_blocks), _PACKED).withColumn("number", F.monotonically_increasing_id()), "blocks")
     pages = packed.where("kind = 'page'").select("dimension", F.col("number").alias("page"), "ids", "matrix", "least", "greatest")
-    batches = packed.where("kind = 'batch'").select("dimension", "number", "ids", "matrix", "floor", "names")
-    # Numbers of pages and of groups of batches, one row for each partition of blocks.
-    counts = packed.groupBy("kind").agg(F.count("*").alias("n")).collect()
-    n_of = {r["kind"]: r["n"] for r in counts}
-    groups = max(1, -(-n_of.get("batch", 0) // GROUP_BATCHES))
-    lanes = max(1, n_of.get("page", 0))
-    pages = pages.withColumn("lane", F.pmod(F.xxhash64("page"), F.lit(lanes))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    batches = batches.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    cells = pages.groupBy("dimension", "lane", "part").cogroup(batches.groupBy("dimension", "lane", "part"))
-    found = cells.applyInArrow(_search(k, block_rows), "name string, query_id long, vec_id long, score long")
+    batches = packed.where("kind = 'batch'").select("number", "dimension", "ids", "matrix", "names", "floor", "floor_id", "n")
+    sheets = cut(pages.select("dimension", "page", "least", "greatest").mapInArrow(_sheets(sheet_pages), "dimension int, pages binary, least binary, greatest binary").withColumn("sheet", F.monotonically_increasing_id()), "sheets")
+
+    def meet(asking: DataFrame, run, schema: str) -> DataFrame:
+        """Groups of batches against each sheet of their dimension."""
+        # Broadcast: a row for each length of vectors, and one for each sheet (about two million vectors).
+        groups = F.broadcast(asking.groupBy("dimension").agg(F.ceil(F.count("*") / F.lit(GROUP_BATCHES)).cast("int").alias("groups")))
+        dealt = asking.join(groups, "dimension").withColumn("group", F.pmod(F.xxhash64("number"), "groups").cast("int")).drop("groups")
+        copies = sheets.join(groups, "dimension").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        dealt = dealt.join(F.broadcast(sheets.select("dimension", F.col("sheet").alias("_sheet"))), "dimension")
+        return copies.groupBy("sheet", "group").cogroup(dealt.groupBy("_sheet", "group")).applyInArrow(run, schema)
+
+    bounds = meet(batches, _best_pages, "number long, page binary, bound binary")
+    first = cut(bounds.groupBy("number").applyInArrow(_first_visits, "page long, number long, asks binary"), "first")
+    floors = _visit(pages, batches, first, _floors(k, block_rows), "number long, asks binary, floor binary, floor_id binary")
+    raised = batches.groupBy("number").cogroup(floors.groupBy("number")).applyInArrow(_raised, "number long, dimension int, ids binary, matrix binary, names array<string>, floor binary, floor_id binary")
+    raised = cut(raised, "raised")
+    later = cut(meet(raised, _later_visits, "page long, number long, asks binary"), "later")
+    found = _visit(pages, raised, later, _found(k, block_rows), "name string, query_id long, vec_id long, score long")
     ranks = Window.partitionBy("query_id", "name").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(ranks))
         .where(F.col("rank") <= k)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), *(F.nullif(F.col(c), F.lit(_NO_ID)).alias(c) for c in ("vec_id",)), "score")
+        .select("query_id", F.col("rank").cast("int").alias("rank"), F.nullif("vec_id", F.lit(_NO_ID)).alias("vec_id"), "score")
     )
 
 

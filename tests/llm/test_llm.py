@@ -385,7 +385,7 @@ def test_top_k_equals_brute_force(spark, rows_in_block, k):
     rows, table = vectors(spark)
     rows = [r for r in rows if usable(r[1]) and r[1]]
     found = collections.defaultdict(list)
-    for r in topk_search.topk_search(table, F.col("vec_id") % 20 == 0, k, block_rows=rows_in_block, page_blocks=2).orderBy("query_id", "rank").collect():
+    for r in topk_search.topk_search(table, F.col("vec_id") % 20 == 0, k, block_rows=rows_in_block, page_blocks=2, sheet_pages=3).orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     want = {}
     for i, x, _ in {r[0]: r for r in rows if r[0] is not None and r[0] % 20 == 0}.values():
