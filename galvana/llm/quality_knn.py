@@ -1,17 +1,19 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are its trigrams of character shapes (runs of one kind of
-character count as one or as several) and its repetitions: words that equal one a
-few places before, and words that the text has had already. Log counts times
-inverse frequencies of labelled texts are projected on their leading singular
-directions. The labelled vectors are broadcast; every text's cosines with all of
-them are computed in blocks, and the nearest vote with weights that rise with
-similarity.
-
-Labels are learnt from a bounded sample of labelled rows, which is the one bound
-here: every text is scored whole. A null text scores like an empty one; a text
-without any term, or far from all labelled ones, gets the labels' mean, and
-without any label all get 0.5. A doc_id with several labels gets their mean.
+A text's terms are its words (by hash, ``WORDS`` of them), its trigrams of
+character shapes (runs of one kind of character count as one or as several) and
+its repetitions: words that equal one a few places before, and words that the
+text has had already. Log counts times inverse frequencies of labelled texts, the
+words and the rest each of a length of its own, are projected on their leading
+singular directions. The labelled vectors are broadcast; every text's cosines
+with all of them are computed in blocks, and the nearest vote with weights that
+rise with similarity.
+
+Labels are learnt from a bounded sample of labelled rows (``most_labelled``), which
+is the one bound here: every term that a labelled text holds counts, and every
+text is scored whole. A null text scores like an empty one; a text without any
+term, or far from all labelled ones, gets the labels' mean, and without any label
+all get 0.5. A doc_id with several labels gets their mean.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from galvana.llm import vectext
 
-#: Bytes of text that a task turns into terms at once.
-BLOCK_BYTES = 500_000
+#: Bytes and rows of text that a task turns into terms at once, and terms that it projects at once.
+BLOCK_BYTES, BLOCK_ROWS, BLOCK_TERMS = 500_000, 1000, 100_000
 #: Distances at which a word's repetition is a term.
 LAGS = (1, 2, 3, 4, 5, 6, 8, 12, 16)
 
@@ -40,6 +42,7 @@ class Settings:
     dimensions: int = 48
     neighbours: int = 25
     power: float = 8.0
+    words: float = 0.5  # length of the words' part beside that of the rest
 
 
 def _shapes() -> np.ndarray:
@@ -55,7 +58,10 @@ def _shapes() -> np.ndarray:
 
 _KIND = _shapes()
 _TRIGRAMS = 32**3
-TERMS = _TRIGRAMS + len(LAGS) + 3
+#: Terms that words share by their hashes; they follow the others.
+WORDS = 1 << 15
+_OTHERS = _TRIGRAMS + len(LAGS) + 3
+TERMS = _OTHERS + WORDS
 
 
 def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +89,7 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
             same = (words[lag:] == words[:-lag]) & (row[lag:] == row[:-lag])
             parts.append(row[lag:][same] * TERMS + _TRIGRAMS + k)
     if len(words):
+        parts.append(row * TERMS + _OTHERS + (words % np.uint64(WORDS)).astype(np.int64))
         pair = vectext.mix(words ^ (row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         fresh = np.zeros(len(words), bool)
         codes, distinct = pd.factorize(pair)
@@ -98,10 +105,20 @@ def term_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def _blocks(texts: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
     column = texts.cast(pa.binary())
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    for a, b in vectext.chunks(sizes + 1, BLOCK_BYTES):
+    for a, b in vectext.chunks(sizes + BLOCK_BYTES // BLOCK_ROWS, BLOCK_BYTES):
         yield a, b, [x or b"" for x in column.slice(a, b - a).to_pylist()]
 
 
+def _by_row(row: np.ndarray, column: np.ndarray, value: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The product of a sparse matrix of n rows, in order of rows, with a dense one."""
+    out = np.zeros((n, x.shape[1]), np.float32)
+    for a in range(0, len(row), BLOCK_TERMS):
+        own, at = row[a : a + BLOCK_TERMS], column[a : a + BLOCK_TERMS]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[first]] += np.add.reduceat(x[at] * value[a : a + BLOCK_TERMS, None], first, axis=0)
+    return out
+
+
 @dataclass
 class Space:
     """Terms in use with their weights and projection, and the labelled vectors."""
@@ -113,13 +130,17 @@ class Space:
     quality: np.ndarray
     mean: float
 
-    def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
-        column = self.column[term]
-        use = column >= 0
-        row, column, count = row[use], column[use], count[use]
-        terms = np.zeros((n, len(self.weight)), np.float32)
-        terms[row, column] = (1 + np.log(count)) * self.weight[column]
-        return unit(unit(terms) @ self.projection)
+    def sparse(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and value of the texts' terms in use, in order of rows."""
+        use = self.column[term] >= 0
+        row, term, column = row[use], term[use], self.column[term[use]]
+        value = (1 + np.log(count[use])) * self.weight[column]
+        part = 2 * row + (term >= _OTHERS)
+        length = np.sqrt(np.bincount(part, weights=value * value, minlength=2 * n))[part]
+        return row, column, (value / length * np.where(term >= _OTHERS, words, 1.0)).astype(np.float32)
+
+    def vectors(self, row: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, words: float) -> np.ndarray:
+        return unit(_by_row(*self.sparse(row, term, count, n, words), self.projection, n))
 
     def scores(self, vectors: np.ndarray, s: Settings) -> np.ndarray:
         """Means of the nearest labels, weighted by a power of the cosine."""
@@ -139,6 +160,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def directions(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, m: int, k: int) -> np.ndarray:
+    """About the k leading right singular directions of a sparse n x m matrix, by subspace iteration from a fixed start."""
+    order = np.lexsort((row, column))
+    turned = column[order], row[order], value[order]
+    x = np.random.default_rng(11).standard_normal((m, k + 8)).astype(np.float32)
+    for _ in range(5):
+        x = np.linalg.qr(_by_row(*turned, _by_row(row, column, value, x, n), m))[0].astype(np.float32)
+    _, _, turn = np.linalg.svd(_by_row(row, column, value, x, n), full_matrices=False)
+    return np.ascontiguousarray((x @ turn.T)[:, :k], np.float32)
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], quality: np.ndarray, s: Settings) -> Space:
     """The space of the labelled texts' terms and counts."""
     n = len(rows)
@@ -146,20 +178,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], quality: np.ndarray, s: Setti
     term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]).astype(np.int64)
     count = np.concatenate([np.zeros(0), *(c for _, c in rows)])
     frequency = np.bincount(term, minlength=TERMS)
-    used = np.argsort(-frequency, kind="stable")[:2048]
-    used = used[frequency[used] > 0]
+    used = np.flatnonzero(frequency)
     column = np.full(TERMS, -1, np.int64)
     column[used] = np.arange(len(used))
     weight = (1 + np.log(n / np.maximum(frequency[used], 1))).astype(np.float32)
     space = Space(column, weight, np.zeros((len(used), 0), np.float32), np.zeros((0, 0), np.float32), quality, float(quality.mean()) if n else 0.5)
     if n and len(used):
-        terms = np.zeros((n, len(used)), np.float32)
-        keep = column[term] >= 0
-        terms[row[keep], column[term][keep]] = (1 + np.log(count[keep])) * weight[column[term][keep]]
-        terms = unit(terms)
-        _, vectors = np.linalg.eigh(terms.T @ terms)
-        space.projection = np.ascontiguousarray(vectors[:, ::-1][:, : s.dimensions], np.float32)
-        space.labelled = unit(terms @ space.projection)
+        row, column, value = space.sparse(row, term, count, n, s.words)
+        space.projection = directions(row, column, value, n, len(used), s.dimensions)
+        space.labelled = unit(_by_row(row, column, value, space.projection, n))
     return space
 
 
@@ -197,7 +224,7 @@ def quality_score(spark: SparkSession, space: Space, text: Column | str = "text"
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         own = sent.value
-        parts = [own.scores(own.vectors(*term_counts(block), b - a), s) for a, b, block in _blocks(texts)]
+        parts = [own.scores(own.vectors(*term_counts(block), b - a, s.words), s) for a, b, block in _blocks(texts)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     return score(text)

@@ -31,9 +31,18 @@ DOCS = T.StructType([
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
 
 
+def mirrored(length):
+    """Two words of a and b, each the other's mirror (Thue-Morse), which polynomials modulo powers of two can't tell apart."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 def texts():
     near = BASE + "and a few words more here"
     out = [BASE, BASE, near, near.upper(), "", None, " \t\n ", "tiny", "Tiny", "two words", "漢字 and é’s ½ \U0001f600 don't it'll", "x" * 70_000, ("long text with many words " * 20_000)]
+    out += ["\n".join(mirrored(n)) for n in (64, 1024, 4096)] + [" ".join([x] * 6 + ["end"]) for x in mirrored(1024)]
     out += [f"document {k} says {' '.join(str((k * 7919 + j * 104729) % 1000) for j in range(60))}" for k in range(40)]
     return out
 
@@ -124,6 +133,36 @@ def test_many_documents_round_in_several_levels(spark):
         assert abs(sum(r["size"] * (r["copies"] - 1.37) for r in own)) <= 17
 
 
+def test_copies_equal_duels_one_by_one(docs):
+    """Sources of one bucket: documents settle in falling order of size, then by draw, as exact fractions."""
+    from fractions import Fraction
+
+    found = mixing.mix_sources(docs).collect()
+    keys = {(r["doc_id"], r["source"], r["size"]): r["key"] for r in docs.sparkSession.createDataFrame(found).select("doc_id", "source", "size", F.xxhash64("doc_id", "source", "size").alias("key")).collect()}
+    for source in {r["source"] for r in found}:
+        rows = [r for r in found if r["source"] == source and r["size"]]
+        key = np.array([keys[r["doc_id"], source, r["size"]] for r in rows], np.int64)
+        one, two = mixing._draws(key, 0, 1), mixing._draws(key, 1, 1)
+        share = [r["target"] / r["source_size"] * r["rows"] for r in rows]
+        part, held = {k: Fraction(x) - math.floor(x) for k, x in enumerate(share)}, None
+        for k in sorted((k for k in part if part[k]), key=lambda k: (-rows[k]["size"], one[k])):
+            if held is None:
+                held = k
+                continue
+            a, b = rows[held]["size"], rows[k]["size"]
+            up, down = min((1 - part[held]) * a, part[k] * b), min(part[held] * a, (1 - part[k]) * b)
+            words = up if two[k] < down / (up + down) else -down
+            part[held] += words / a
+            part[k] -= words / b
+            for j in (held, k):
+                if min(part[j], 1 - part[j]) < Fraction(1, 10**10):
+                    part[j] = Fraction(round(part[j]))
+            held = next((j for j in (k, held) if 0 < part[j] < 1), None)
+        if held is not None:
+            part[held] = Fraction(int(two[held] < part[held]))
+        assert [r["copies"] for r in rows] == [math.floor(x) + part[k] for k, x in enumerate(share)]
+
+
 # Chats
 
 
@@ -149,6 +188,12 @@ def test_snapshots_collapse_into_the_longest(spark):
     assert chat_format.format_chats(chats(spark, [])).count() == 0
 
 
+def test_an_empty_id_is_not_a_null_one(spark):
+    rows = [("", 0, "user", "a"), (None, 0, "user", "b"), (None, 1, "user", "c"), ("=", 0, "user", "d")]
+    found = chat_format.format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert sorted(str((r["conv_id"], r["n_turns"])) for r in found) == sorted(map(str, [("", 1), (None, 2), ("=", 1)]))
+
+
 def test_chats_run_without_python(spark):
     plan = chat_format.format_chats(chats(spark, [(1, 0, "user", "a", "", "")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -175,7 +220,8 @@ def test_files_give_back_what_the_library_encodes(spark, docs, nothing):
     token_files.write_token_files(docs, path, partitions=4)
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
-    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    hashes = {r["text"] or "": r["h"] for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     start, want = 0, []
     for i, t in rows:
         ids = [*own.encode(t, add_special_tokens=False).ids, 2]
@@ -245,6 +291,51 @@ def test_scores_follow_the_counts(docs, hot):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in found)
 
 
+def test_scores_equal_loops_over_states(spark):
+    """Two rounds of Baum-Welch and the forward recursion, state by state."""
+    s = hmm.Settings(states=3, rounds=2)
+    lines = ["a b a c", "b b", "c a a b d", "", "a d d d b a", "c"]
+    held = {1, 4}
+    table = documents(spark, [(k, t, None, None, None) for k, t in enumerate([*lines, "a new word b"])])
+    found = {r["doc_id"]: r["score"] for r in hmm.hmm_scores(table, F.col("doc_id").isin(*held, 6), s).collect()}
+    train = [t.split() + ["\n"] for k, t in enumerate(lines) if k not in held]
+    c = collections.Counter(w for ws in train for w in ws)
+    codes = {w: int(vectext.ascii_words([w.encode()])[0].view(np.int64)[0]) if w != "\n" else hmm.END for w in {*c, "new", "word"}}
+    order = sorted(c, key=lambda w: (-c[w], codes[w]))
+    weight = np.array([c[w] + 0.5 for w in order] + [0.5] * 256)
+    kind = {w: order.index(w) if w in c else len(order) + codes[w] % 256 for w in codes}
+    m = hmm._start_model(weight, s)
+    start, move, emit = m.start, m.move, m.emit
+    z = range(3)
+
+    def likelihood(ws, first, last=None):
+        """Sum over paths of states; with ``last`` those that hold it at a place."""
+        total = 0.0
+        for path in itertools.product(z, repeat=len(ws)):
+            if last and any(path[t] != i for t, i in last):
+                continue
+            p = start[path[0]] * emit[kind[ws[0]], path[0]]
+            for t in range(1, len(ws)):
+                p *= move[path[t - 1], path[t]] * emit[kind[ws[t]], path[t]]
+            total += p
+        return total
+
+    for _ in range(2):
+        new_emit, new_move, new_start = np.full(emit.shape, 0.5), np.ones((3, 3)), np.ones(3)
+        for ws in train:
+            whole = likelihood(ws, None)
+            for i in z:
+                new_start[i] += likelihood(ws, None, [(0, i)]) / whole
+                for t, w in enumerate(ws):
+                    new_emit[kind[w], i] += likelihood(ws, None, [(t, i)]) / whole
+                for j in z:
+                    for t in range(len(ws) - 1):
+                        new_move[i, j] += likelihood(ws, None, [(t, i), (t + 1, j)]) / whole
+        start, move, emit = new_start / new_start.sum(), new_move / new_move.sum(axis=1, keepdims=True), new_emit / new_emit.sum(axis=0)
+    for k, t in enumerate([*lines, "a new word b"]):
+        assert abs(found[k] - math.log10(likelihood(t.split() + ["\n"], None))) < 1e-4
+
+
 def test_model_probabilities_sum_to_one_and_beat_single_words(spark):
     rng = np.random.default_rng(5)
     words = [[f"{s}{k}" for k in range(30)] for s in "ab"]
@@ -295,6 +386,21 @@ def test_query_digests(spark, docs, nothing, tik):
     assert bpe.encode_documents(nothing, bpe.Tokenizer(spark)).count() == 0
 
 
+def test_spans_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(vectext, "span_hashes", lambda symbols, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(2))
+    words = "ab cd ab abcd x yz x cd abc abd abc ab".split()
+    symbols, offsets = vectext.code_points(words)
+    codes, where, _ = vectext.distinct_spans(symbols, offsets[:-1], offsets[1:])
+    assert [words[where[c]] for c in codes] == words and len(where) == len(set(words))
+
+
+def test_mirrored_words_have_hashes_of_their_own():
+    for n in (16, 64, 256, 1024, 4096):
+        one, two = mirrored(n)
+        hashes, _ = vectext.ascii_words([f"{one} {two} {one}".encode()])
+        assert hashes[0] == hashes[2] != hashes[1]
+
+
 def test_memo_generations_do_not_change_results(tik, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
     encoder = bpe.Encoder(bpe.Vocabulary.build(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
@@ -334,6 +440,40 @@ def test_copies_of_an_id_leave_room_for_the_others(spark):
     assert np.array_equal(first.labelled, again.labelled) and np.array_equal(first.quality, again.quality)
 
 
+def test_scores_equal_a_dense_decomposition(spark):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(rng.choice(["alpha", "beta!", "GAMMA", "d 1", "e, f", "zeta"], rng.integers(1, 30))) for _ in range(40)] + ["", None]
+    table = documents(spark, [(k, t, None, None, None) for k, t in enumerate(lines)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    s = quality_knn.Settings(dimensions=4, neighbours=5)
+    space = quality_knn.train(table, labels, F.lit(True), s)
+    found = {r["doc_id"]: r["score"] for r in table.select("doc_id", quality_knn.quality_score(spark, space, settings=s).alias("score")).collect()}
+    counts = [collections.Counter() for _ in lines]
+    for k, t in enumerate(lines):
+        for _, term, count in zip(*(x.tolist() for x in quality_knn.term_counts([(t or "").encode()])), strict=True):
+            counts[k][term] = count
+    frequency = collections.Counter(t for c in counts[:30] for t in c)
+    terms = sorted(frequency)
+
+    def vector(c):
+        out = np.zeros(len(terms))
+        for words, length in ((False, 1.0), (True, s.words)):
+            part = {t: (1 + math.log(n)) * (1 + math.log(30 / frequency[t])) for t, n in c.items() if t in frequency and (t >= quality_knn._OTHERS) == words}
+            norm = math.sqrt(sum(x * x for x in part.values()))
+            for t, x in part.items():
+                out[terms.index(t)] = length * x / norm
+        return out
+
+    matrix = np.stack([vector(c) for c in counts])
+    axes = np.linalg.svd(matrix[:30], full_matrices=False)[2][:4]
+    points = quality_knn.unit(matrix @ axes.T)
+    for k in range(len(lines)):
+        near = sorted(((float(points[k] @ points[j]), j % 2) for j in range(30)), reverse=True)[:5]
+        weights = [max(x, 0) ** s.power for x, _ in near]
+        want = sum(w * q for w, (_, q) in zip(weights, near, strict=True)) / sum(weights) if sum(weights) > 1e-12 else 0.5
+        assert abs(found[k] - want) < 0.02, (k, found[k], want)
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(4)
     space = quality_knn.Space(np.zeros(1), np.zeros(1), np.zeros((1, 1)), quality_knn.unit(rng.standard_normal((50, 6))), rng.integers(0, 2, 50).astype(float), 0.5)
@@ -399,8 +539,74 @@ def test_top_k_equals_brute_force(spark, rows_in_block, k):
 # Licences
 
 
+def plain_terms(text):
+    """A recursive reading of an expression: labels, required labels, choices and permissiveness; None if it is none."""
+    import re
+
+    tokens = re.findall(r"[A-Za-z0-9.+:-]+|[()]|\S", text)
+    at = 0
+
+    def peek():
+        return tokens[at].lower() if at < len(tokens) else ""
+
+    def take():
+        nonlocal at
+        at += 1
+        return tokens[at - 1]
+
+    def name():
+        if peek() in ("", "(", ")", "and", "or", "with") or not re.fullmatch(r"[a-z0-9.+:-]+", peek()):
+            raise ValueError
+        return take()
+
+    def atom():
+        if peek() == "(":
+            take()
+            found = either()
+            if peek() != ")":
+                raise ValueError
+            take()
+            if peek() == "with":
+                raise ValueError
+            return found
+        label = license_scan.licence(name())
+        if label is None:
+            raise ValueError
+        mild = label.removesuffix("-or-later") in license_scan.PERMISSIVE
+        if peek() == "with":
+            take()
+            exception = name().lower()
+            if exception not in license_scan.EXCEPTIONS or peek() == "with":
+                raise ValueError
+            label = f"{label}-with-{exception}"
+        return {label}, {label}, 1, mild
+
+    def both():
+        found = atom()
+        while peek() == "and":
+            take()
+            other = atom()
+            found = found[0] | other[0], found[1] | other[1], found[2] * other[2], found[3] and other[3]
+        return found
+
+    def either():
+        found = both()
+        while peek() == "or":
+            take()
+            other = both()
+            found = found[0] | other[0], found[1] & other[1], found[2] + other[2], found[3] or other[3]
+        return found
+
+    try:
+        found = either()
+        return found if at == len(tokens) else None
+    except ValueError:
+        return None
+
+
 def test_scan_equals_a_plain_search(docs, spark, nothing):
     more = ["Released under the MIT License. CC-BY NC cc by nc cc by nc", "APACHE license, Version 2.0 under the mit licensee", "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND ISC */\nLicense: not an ( expression"]
+    more += ["License: MIT AND ISC", "License: MIT OR ISC", "License: unknown", "License: x License: GPL-3.0-or-later\nlicense: mit with llvm-exception", "License: (mit or isc) with llvm-exception"]
     table = documents(spark, [(k, t, None, None, None) for k, t in enumerate([*more, *texts()])])
     import re
 
@@ -408,19 +614,52 @@ def test_scan_equals_a_plain_search(docs, spark, nothing):
     found = {r["doc_id"]: r for r in license_scan.license_scan(table).collect()}
     for r in table.collect():
         ws = word.findall((r["text"] or "").encode().lower())
-        hits = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.encode().split()]
+        places = lambda phrases: [(k, label) for phrase, label in phrases.items() for k in range(len(ws)) if ws[k : k + len(phrase.split())] == phrase.encode().split()]  # noqa: B023, E731
+        hits, notices = places(license_scan.BASE), places(license_scan.NOTICES)
         own = found[r["doc_id"]]
         assert own["n_words"] == len(ws) and own["places"] == sorted(k for k, _ in hits)
         assert own["base_labels"] == ",".join(sorted({x for _, x in hits}))
-        assert set(own["base_labels"].split(",")) <= set(own["labels"].split(",")) | {""} and 0 <= own["score"] <= 1
+        lines = [re.split(r"(?i)(?:spdx-license-identifier|license):", x) for x in (r["text"] or "").split("\n")]
+        terms = [t for x in lines if len(x) > 1 and (t := plain_terms(x[-1].strip().rstrip("*/.#;>-! ")))]
+        labels = {x for _, x in hits + notices}.union(*(t[0] for t in terms))
+        assert own["labels"] == ",".join(sorted(labels))
+        assert own["required"] == ",".join(sorted(set().union(*(t[1] for t in terms))))
+        assert own["choices"] == (math.prod(t[2] for t in terms) if terms else 0)
+        assert own["permissive"] == (all(t[3] for t in terms) if terms else None)
+        assert abs(own["score"] - (1 - 0.5 ** len(hits + notices) * 0.1 ** len(terms))) < 1e-12
     assert found[2]["labels"] == "gpl-2-with-classpath-exception-2.0,isc,mit" and found[2]["choices"] == 2
+    assert (found[3]["required"], found[4]["required"]) == ("isc,mit", "") and found[5]["labels"] == "" and found[7]["labels"] == ""
     assert license_scan.license_scan(nothing).count() == 0
 
 
+NAMES = st.sampled_from(["mit", "ISC", "GPL-2.0-only", "gpl-3.0-or-later", "LicenseRef-x", "Apache-2.0+", "unheard"])
+
+
+@given(st.recursive(NAMES | NAMES.map(lambda x: f"{x} WITH LLVM-exception"), lambda x: st.tuples(x, st.sampled_from(["and", "OR"]), x).map(" ".join) | x.map("({})".format), max_leaves=12) | st.text("()", max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_expressions_evaluate_as_a_recursive_reading(text):
+    postfix = license_scan.parse(text)
+    got = postfix and license_scan.evaluate(postfix)
+    want = plain_terms(text)
+    assert (got and (got[0], got[1].required, got[1].choices, got[1].permissive)) == want
+
+
+def test_long_and_deep_licence_texts_take_linear_time():
+    import time
+
+    scan = license_scan._scan_texts(*license_scan._automata())
+    begin = time.monotonic()
+    assert scan(b"cc by nc " * 10**6)["places"] == list(range(0, 3 * 10**6, 3))
+    assert scan(b"License: " * 200_000 + b"mit")["labels"] == "mit"
+    assert scan(("License: " + " and ".join(["(mit or isc)"] * 70)).encode())["choices"] == 2**62
+    assert len(scan(("License: " + " and ".join(f"LicenseRef-{k}" for k in range(50_000))).encode())["required"].split(",")) == 50_000
+    assert time.monotonic() - begin < 20
+
+
 def test_expressions_parse_by_precedence():
     assert license_scan.parse("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
     assert license_scan.parse("(a or b) and c") == ["a", "b", "or", "c", "and"]
-    for bad in ("", "a b", "a AND", "(a", "a)", "AND a", "a OR OR b", "a ; b", "()"):
+    for bad in ("", "a b", "a AND", "(a", "a)", "AND a", "a OR OR b", "a ; b", "()", "(a or b) with c", "a with (b)", "a with b with c"):
         assert license_scan.parse(bad) is None
 
 
@@ -451,6 +690,17 @@ def test_ngram_join_equals_brute_force(docs, nothing, block):
     assert ngram_join.ngram_join(nothing).count() == 0
 
 
+def test_many_repeats_of_a_row_are_one_set(spark):
+    rows = [(7, BASE, "en", "s", None)] * 3000 + [(8, BASE + "and a few words", "en", "s", None), (9, "something else", "en", "s", None)]
+    table = documents(spark, rows)
+    found = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in ngram_join.ngram_join(table).distinct().collect()}
+    assert found == {7: (7, 3000, True), 8: (7, 3000, False), 9: (9, 0, True)}
+    plan = ngram_join.ngram_join(table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan
+    kept = ngram_join.one_of_each(table)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [7, 9]
+
+
 def test_one_document_of_each_class_stays(docs, nothing):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     sets, _, label = brute_classes(rows)

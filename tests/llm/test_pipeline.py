@@ -1,9 +1,13 @@
 """The pipeline's stages one by one against brute force, and the whole run."""
 
+import base64
 import collections
+import hashlib
 import os
 
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -58,7 +62,14 @@ def test_stages_hand_on_what_they_keep(spark, tmp_path):
     assert after.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
     before, after = seen["byte-level BPE"]
-    assert after.count() == before.count() and {"doc_id", "ids", "n_tokens"} <= set(after.columns)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = []
+    for r in before.select("doc_id", "text").collect():
+        ids = tik.encode_ordinary(r["text"] or "")
+        want.append((r["doc_id"], ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    assert sorted(want) == sorted((r["doc_id"], list(r["ids"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in after.collect())
 
 
 def test_run_equals_the_stages_in_turn_and_empty_tables_pass(spark):
