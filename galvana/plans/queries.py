@@ -510,25 +510,123 @@ def shift_relation(spark, sf_dir):
 
 # Track B
 
-_RULES = diagnose.Rules.parse("synthetic", "1", "wear: R10_inc increase 1.0 25.0; CE decrease_from_100 0.5 3.0\n drift: delta_hyst either 0.8 9000.0; R10 decrease_vs_baseline 1.1 0.05", "wear.resistance: R10_inc")
-
-
-@query("mode_scores", f"""SELECT cell_id, cycle, {R('wear_score', 'drift_score', digits=5)}, wear_evidence_count, drift_evidence_count FROM (SELECT cell_id, cycle,
-  (coalesce(greatest(a, 0), 0) + 0.5 * coalesce(greatest(b, 0), 0)) / nullif(CASE WHEN a IS NULL THEN 0 ELSE 1.0 END + CASE WHEN b IS NULL THEN 0 ELSE 0.5 END, 0) AS wear_score,
-  (0.8 * coalesce(greatest(c, 0), 0) + 1.1 * coalesce(greatest(d, 0), 0)) / nullif(CASE WHEN c IS NULL THEN 0 ELSE 0.8 END + CASE WHEN d IS NULL THEN 0 ELSE 1.1 END, 0) AS drift_score,
-  CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) AS wear_evidence_count, CAST(c IS NOT NULL AS INTEGER) + CAST(d IS NOT NULL AS INTEGER) AS drift_evidence_count FROM (
-  SELECT cell_id, cycle, tanh(R10_inc / 25.0) AS a, CASE WHEN CE BETWEEN 0 AND 100 THEN tanh((100 - CE) / 3.0) END AS b, tanh(abs(delta_hyst) / 9000.0) AS c, tanh((nullif(base, 0) - R10) / 0.05) AS d FROM v_based))""", **_V, v_based="SELECT t.*, b.R10 AS base FROM v_traj t LEFT JOIN (SELECT cell_id AS bc, R10 FROM v_cycle WHERE cycle = 1) b ON bc = cell_id")
+_RULES = diagnose.Rules(
+    "synthetic",
+    "1",
+    {
+        "wear": diagnose.Mode(
+            [diagnose.Term("R10_inc", "increase", 1.0, 25.0), diagnose.Term("CE", "decrease_from_100", 0.5, 3.0)],
+            [diagnose.Group("resistance", ["R10_inc"], ("leg_completeness",))],
+        ),
+        "drift": diagnose.Mode(
+            [diagnose.Term("delta_hyst", "either", 0.8, 9000.0), diagnose.Term("R10", "decrease_vs_baseline", 1.1, 0.05)],
+            [diagnose.Group("shape", ["delta_hyst"])],
+        ),
+    },
+)
+_MODES = {
+    "v_row": """
+        SELECT *, CASE cell_id % 4 WHEN 0 THEN 'other' WHEN 1 THEN NULL ELSE 'synthetic' END AS chemistry, n_steps >= 3 AS scored, least(1.0, n_steps / 10) AS quality FROM v_traj""",
+    "v_signed": """
+        SELECT r.*, base.cell_id IS NOT NULL AS has_base, tanh(r.R10_inc / 25.0) AS a, CASE WHEN r.CE BETWEEN 0 AND 100 THEN tanh((100 - r.CE) / 3.0) END AS b,
+          tanh(abs(r.delta_hyst) / 9000.0) AS c, tanh((nullif(base.R10, 0) - r.R10) / (0.1 * abs(base.R10) + 0.1 * 0.05)) AS d
+        FROM v_row r LEFT JOIN (SELECT * FROM v_row WHERE cycle = 1 AND scored) base ON base.cell_id = r.cell_id""",
+    "v_mode": """
+        SELECT cell_id, cycle, scored, chemistry, quality, 'wear' AS mode, 1.0 AS w1, 0.5 AS w2, a AS x, b AS y, a IS NOT NULL AND coalesce(chemistry = 'synthetic', false) AS eligible FROM v_signed
+        UNION ALL
+        SELECT cell_id, cycle, scored, chemistry, quality, 'drift', 0.8, 1.1, c, d, c IS NOT NULL AND coalesce(chemistry = 'synthetic', false) AND has_base FROM v_signed""",
+    "v_first": """
+        SELECT *, (x IS NOT NULL)::INT + (y IS NOT NULL)::INT AS n, CASE WHEN x IS NULL THEN 0 ELSE w1 END + CASE WHEN y IS NULL THEN 0 ELSE w2 END AS w,
+          w1 * coalesce(greatest(x, 0), 0) + w2 * coalesce(greatest(y, 0), 0) AS gain, CASE WHEN x > 0 THEN w1 ELSE 0 END + CASE WHEN y > 0 THEN w2 ELSE 0 END AS agree FROM v_mode WHERE scored""",
+    "v_second": """
+        SELECT *, gain / nullif(w, 0) AS score, max(CASE WHEN mode = 'wear' THEN gain / nullif(w, 0) END) OVER p AS s_wear, max(CASE WHEN mode = 'drift' THEN gain / nullif(w, 0) END) OVER p AS s_drift
+        FROM v_first WINDOW p AS (PARTITION BY cell_id, cycle)""",
+    "v_third": """
+        SELECT *, 0.6 * n / 2 + 0.4 * quality AS dq,
+          0.95 * (0.45 * (0.6 * n / 2 + 0.4 * quality) + 0.40 * agree / nullif(w, 0) + 0.15 * least(1, n / 5)) * CASE WHEN s_wear >= 0.65 AND s_drift >= 0.65 THEN 0.7 ELSE 1.0 END AS conf FROM v_second""",
+    "v_fourth": """
+        SELECT *, n >= 2 AND dq >= 0.3 AND conf >= 0.25 AND coalesce(chemistry, 'synthetic') = 'synthetic' AS support FROM v_third""",
+}
+
+
+@query("mode_scores", f"""
+    SELECT cell_id, cycle, mode, {R('score', digits=5)}, {R('confidence', digits=5)}, n AS evidence_count, coverage AS evidence_coverage, status, eligible FROM (
+      SELECT *, CASE WHEN n = 0 OR chemistry = 'other' THEN 0.0 ELSE conf END AS confidence, n / 2 AS coverage,
+        CASE WHEN n = 0 THEN 'unknown' WHEN support AND eligible THEN 'scientifically_eligible' WHEN support THEN 'heuristic_unverified' ELSE 'insufficient_or_invalid_evidence' END AS status FROM v_fourth)""", **_V, **_MODES)
 def mode_scores(spark, sf_dir):
-    found = diagnose.diagnose(_health(spark, sf_dir), _RULES)
-    return rounded(found.select("cell_id", "cycle", "wear_score", "drift_score", "wear_evidence_count", "drift_evidence_count"), 5)
-
-
-@query("mode_diagnosis")
+    """Two modes over a table with everything that a scientific reading asks for, in part of the cells."""
+    semantics = F.create_map(F.lit("schema"), F.lit(diagnose.SEMANTICS_SCHEMA))
+    table = _health(spark, sf_dir).withColumns({
+        "chemistry": F.when(F.col("cell_id") % 4 == 0, "other").when(F.col("cell_id") % 4 > 1, "synthetic"),
+        "protocol_kind": F.when(F.col("n_steps") >= 3, "routine").otherwise("rpt"),
+        "protocol_excluded": F.col("n_steps") < 3,
+        "protocol_comparable": F.lit(True),
+        "protocol_id": F.lit("p"),
+        "quality_score": F.least(F.lit(1.0), F.col("n_steps") / 10),
+        "quality_status": F.lit("assessed"),
+        "quality_evidence_coverage": F.lit(0.5),
+        "quality_gate_failed_groups": F.lit(""),
+        "leg_completeness": F.col("n_steps") / 10,
+        "feature_semantics": semantics,
+        "baseline_semantics": F.struct(F.lit(1).alias("cycle"), F.lit(1).alias("requested_cycle"), semantics.alias("feature_semantics")),
+    })
+    found = diagnose.diagnose(table, _RULES).where("diagnosis_scored_row")
+    each = [
+        F.struct(F.lit(m).alias("mode"), F.col(diagnose.score_column(m)).alias("score"), F.col(diagnose.confidence_column(m)).alias("confidence"), F.col(f"{m}_evidence_count").alias("evidence_count"),
+                 F.col(f"{m}_evidence_coverage").alias("evidence_coverage"), F.col(f"{m}_status").alias("status"), F.col(f"{m}_scientific_eligible").alias("eligible"))
+        for m in _RULES.modes
+    ]
+    return rounded(found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*"), 5)
+
+
+#: What the cycle table has of the solid-state cell's features: column, then how it is made, in SQL that both engines read.
+_SOLID = {
+    "EoC_dchgR_10s_inc": "R10_inc",
+    "EoC_dchgR_60s_inc": "0.8 * R10_inc",
+    "hyst_frac_low": "hyst / nullif(i_dchg, 0)",
+    "CI_per_hour": "(100 - CE) / n_steps",
+    "RCF": "SoHQ / 100",
+    "PER": "hyst / 50000",
+}
+#: Each mode's terms in that table as (evidence, weight), and how many terms its rules have in all.
+_SOLID_TERMS = {
+    "contact_loss": ((("e10", 1.0), ("frac", 0.9)), 7),
+    "interface_R": ((("e60", 0.9),), 5),
+    "SE_decomposition": ((("ci", 1.3),), 3),
+    "microshort": ((("ci", 0.6),), 3),
+    "LLI": ((("ce", 0.35),), 6),
+    "solid_diffusion": ((("per", 1.1), ("rcf", 1.0)), 4),
+}
+
+
+def _solid_sql() -> str:
+    modes = []
+    for mode, (terms, total) in _SOLID_TERMS.items():
+        n = " + ".join(f"({e} IS NOT NULL)::INT" for e, _ in terms)
+        weight = " + ".join(f"CASE WHEN {e} IS NULL THEN 0 ELSE {w} END" for e, w in terms)
+        gain = " + ".join(f"{w} * coalesce(greatest({e}, 0), 0)" for e, w in terms)
+        agree = " + ".join(f"CASE WHEN {e} > 0 THEN {w} ELSE 0 END" for e, w in terms)
+        modes.append(f"SELECT cell_id, cycle, '{mode}' AS mode, {n} AS n, {total} AS total, ({gain}) / nullif({weight}, 0) AS score, ({agree}) / nullif({weight}, 0) AS agree FROM v_evidence")
+    modes.append("SELECT cell_id, cycle, 'LAM_PE', 0, 4, NULL, NULL FROM v_evidence")
+    return " UNION ALL ".join(modes)
+
+
+@query("mode_diagnosis", f"""
+    SELECT cell_id, cycle, mode, {R('score', 'confidence', digits=5)}, CASE WHEN n = 0 THEN 'unknown' WHEN n >= 2 AND n / total >= 0.3 AND confidence >= 0.25 THEN 'heuristic_unverified' ELSE 'insufficient_or_invalid_evidence' END AS status FROM (
+      SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 0.95 * CASE WHEN mode = 'contact_loss' THEN 0.7 ELSE 1.0 END * CASE WHEN high > 1 AND score >= 0.65 THEN 0.7 ELSE 1.0 END
+        * (0.45 * n / total + 0.40 * agree + 0.15 * least(1, n / 5)) END AS confidence FROM (
+        SELECT *, count(*) FILTER (score >= 0.65) OVER (PARTITION BY cell_id, cycle) AS high FROM v_modes))""", **_V,
+    v_solid="SELECT cell_id, cycle, CE, " + ", ".join(f"{sql} AS {name}" for name, sql in _SOLID.items()) + " FROM v_traj",
+    v_evidence="""
+        SELECT cell_id, cycle, tanh(EoC_dchgR_10s_inc / 25.0) AS e10, tanh(EoC_dchgR_60s_inc / 25.0) AS e60, tanh(hyst_frac_low / 0.05) AS frac,
+          CASE WHEN NOT coalesce(CE > 100, false) THEN tanh(CI_per_hour / 0.5) END AS ci, CASE WHEN CE BETWEEN 0 AND 100 THEN tanh((100 - CE) / 2.0) END AS ce, tanh(PER / 0.5) AS per, tanh(-RCF / 0.05) AS rcf FROM v_solid""",
+    v_modes=_solid_sql())
 def mode_diagnosis(spark, sf_dir):
     """Full rule table of the solid-state cell over what the cycle table has of its features."""
-    table = _health(spark, sf_dir).withColumnsRenamed({"R10_inc": "EoC_dchgR_10s_inc", "delta_hyst": "hyst_frac_low"})
+    table = _health(spark, sf_dir).select("cell_id", "cycle", "CE", *(F.expr(sql).alias(name) for name, sql in _SOLID.items()))
     found = diagnose.diagnose(table, diagnose.ASSB_SI)
-    return found.select("cell_id", "cycle", *(f"{m}_{c}" for m in diagnose.ASSB_SI.modes for c in ("score", "confidence", "status", "eligible", "reasons")))
+    each = [F.struct(F.lit(m).alias("mode"), F.col(diagnose.score_column(m)).alias("score"), F.col(diagnose.confidence_column(m)).alias("confidence"), F.col(f"{m}_status").alias("status")) for m in diagnose.ASSB_SI.modes]
+    return rounded(found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*"), 5)
 
 
 # Curves: no SQL; tests compare them with direct computation.
