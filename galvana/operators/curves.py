@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions import kernels
+from galvana.functions import kernels, shapes
 from galvana.operators.cycle import LEG
 
 #: Voltage bands of peaks.
@@ -37,25 +37,25 @@ def _grouped(samples: DataFrame, keys: Sequence[str], columns: Sequence[str], or
     return chosen.groupBy(*keys).applyInPandas(run, f"{head}, {schema}")
 
 
-def derivative_curves(samples: DataFrame, n: int = 200, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
+def derivative_curves(samples: DataFrame, n: int = 500, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
     """``v, dqdv``: the differential capacity of each leg as two arrays."""
 
     def f(g):
-        v, y = kernels.derivative(g["voltage"], g["capacity"], n)
+        v, y = kernels.derivative(g["voltage"], g["capacity"], n=n)
         return {"v": v.tolist(), "dqdv": y.tolist()}
 
     return _grouped(samples, keys, ["voltage", "capacity"], order, "v array<double>, dqdv array<double>", f)
 
 
 def peak_table(samples: DataFrame, bands: dict[str, Sequence[tuple[float, float, str]]] | None = None, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``band, V, H, confidence``: the banded peaks of each leg; ``leg`` must be a key."""
+    """``band, V, H, share, confidence``: the banded peaks of each leg, with signed heights; ``leg`` must be a key."""
     use = bands or {"charge": CHARGE_BANDS, "discharge": DISCHARGE_BANDS}
 
     def f(g):
-        v, y = kernels.derivative(g["voltage"], g["capacity"])
-        return [dict(zip(("band", "V", "H", "confidence"), p, strict=True)) for p in kernels.band_peaks(v, y, use.get(g["leg"][0], ()))]
+        v, y = kernels.derivative(g["voltage"], g["capacity"], window=31)
+        return [dict(zip(("band", "V", "H", "share", "confidence"), p, strict=True)) for p in kernels.band_peaks(v, y, use.get(g["leg"][0], ()))]
 
-    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, "band string, V double, H double, confidence double", f)
+    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, "band string, V double, H double, share double, confidence double", f)
 
 
 def robust_peak_table(samples: DataFrame, most: int = 8, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -96,56 +96,50 @@ def stitched_sweeps(samples: DataFrame, keys: Sequence[str], run_keys: Sequence[
     return _grouped(samples, keys, ["leg", "voltage", "capacity", *run_keys], order, "v array<double>, q array<double>", f)
 
 
-_SHAPE = "dqdv_area double, plateau_v double, plateau_width double, dvdq_soc0 double, dvdq_mid double, soc0_to_mid_ratio double, cliff_width double, cliff_q double"
+def charge_peak_table(samples: DataFrame, most: int = 8, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``peak, Q, H``: up to ``most`` peaks of dV/dQ in order of capacity."""
+
+    def f(g):
+        q, y = kernels.inverse_derivative(g["capacity"], g["voltage"])
+        return [{"peak": k, "Q": a, "H": b} for k, (a, b) in enumerate(kernels.robust_peaks(q, y, most, None), 1)]
+
+    return _grouped(samples, keys, ["voltage", "capacity"], order, "peak int, Q double, H double", f)
+
+
+_SHAPES = ", ".join(
+    [*(f"chg_{c} double" for c in (*shapes.COMMON, *shapes.CHARGE)), *(f"dchg_{c} double" for c in (*shapes.COMMON, *shapes.DISCHARGE)), "dchg_cliff_valid boolean"]
+    + [*(f"{c} double" for c in shapes.HYSTERESIS), "hyst_reason string"]
+)
 
 
-def shape_features(samples: DataFrame, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Area of dQ/dV, the longest plateau of dV/dQ, its size at the empty end and in the middle, and the cliff between."""
+def shape_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Every curve feature of a cycle: peaks, plateaus, dV/dQ at states of charge, cliffs, and the gap between its legs.
+
+    One group function takes each leg's differential curves once. A leg that is
+    missing, or whose counter can't be used, leaves its features unknown.
+    """
 
     def f(g):
-        out = dict.fromkeys([c.split()[0] for c in _SHAPE.split(", ")], np.nan)
-        v, y = kernels.derivative(g["voltage"], g["capacity"])
-        if len(v):
-            o = np.argsort(v)
-            out["dqdv_area"] = float(np.trapezoid(np.abs(y[o]), v[o]))
-        q, d = kernels.inverse_derivative(g["capacity"], g["voltage"])
-        if len(q) > 5 and np.ptp(q) > 0:
-            d, left = np.abs(d), 1 - (q - q.min()) / np.ptp(q)  # share of charge that is left
-            flat = d <= np.percentile(d, 30)
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flat.astype(int), [0]])))
-            a, b = max(zip(edge[::2], edge[1::2], strict=True), key=lambda p: p[1] - p[0])
-            volts = np.interp(q, np.sort(g["capacity"]), g["voltage"][np.argsort(g["capacity"])])
-            out["plateau_v"], out["plateau_width"] = float(volts[a:b].mean()), float(q[b - 1] - q[a])
-            end, mid = d[left <= 0.02], d[(left >= 0.4) & (left <= 0.6)]
-            if len(end) and len(mid) and mid.mean() > 0:
-                out |= {"dvdq_soc0": float(end.mean()), "dvdq_mid": float(mid.mean()), "soc0_to_mid_ratio": float(end.mean() / mid.mean())}
-                steep = (left <= 0.15) & (d >= 2 * np.median(mid))
-                if steep.any():
-                    out |= {"cliff_width": float(np.ptp(q[steep])), "cliff_q": float(q[steep].min())}
-        return out
-
-    return _grouped(samples, keys, ["voltage", "capacity"], order, _SHAPE, f)
+        legs = {leg: (g["capacity"][m].astype(float), g["voltage"][m].astype(float)) for leg in ("charge", "discharge") for m in [g["leg"] == leg]}
+        out: dict = {}
+        for prefix, leg in (("chg", "charge"), ("dchg", "discharge")):
+            out |= {f"{prefix}_{c}": x for c, x in shapes.leg_shape(*legs[leg], leg == "discharge").items()}
+        found, reason = shapes.hysteresis(*legs["charge"], *legs["discharge"])
+        return out | found | {"hyst_reason": reason}
+
+    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, _SHAPES, f)
 
 
 def hysteresis(samples: DataFrame, n: int = 500, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``hyst_area, hyst_max_dv`` and the areas' thirds between charge and discharge over shared normalised capacity."""
+    """``hyst_*``: areas and largest gaps between charge and discharge over the charge's share, in bands, and the reason where unknown."""
 
     def f(g):
-        s, curves = np.linspace(0.02, 0.98, n), []
-        for leg in ("charge", "discharge"):
-            m = g["leg"] == leg
-            q, v = g["capacity"][m], g["voltage"][m]
-            if m.sum() < 3 or np.ptp(q) == 0:
-                return dict.fromkeys(("hyst_area", "hyst_max_dv", "hyst_low", "hyst_mid", "hyst_high"), np.nan)
-            x = (q - q.min()) / np.ptp(q)
-            x = x if leg == "charge" else 1 - x
-            o = np.argsort(x)
-            curves.append(np.interp(s, x[o], v[o]))
-        d = np.abs(curves[0] - curves[1])
-        part = lambda lo, hi: float(np.trapezoid(np.where((s >= lo) & (s <= hi), d, 0), s))
-        return {"hyst_area": float(np.trapezoid(d, s)), "hyst_max_dv": float(d.max()), "hyst_low": part(0, 1 / 3), "hyst_mid": part(1 / 3, 2 / 3), "hyst_high": part(2 / 3, 1)}
-
-    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, "hyst_area double, hyst_max_dv double, hyst_low double, hyst_mid double, hyst_high double", f)
+        legs = [g[c][g["leg"] == leg].astype(float) for leg in ("charge", "discharge") for c in ("capacity", "voltage")]
+        found, reason = shapes.hysteresis(*legs, n)
+        return found | {"hyst_reason": reason}
+
+    schema = ", ".join(f"{c} double" for c in shapes.HYSTERESIS) + ", hyst_reason string"
+    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, schema, f)
 
 
 def normalised_curves(samples: DataFrame, n: int = 128, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -172,7 +166,7 @@ def shape_distance(curves: DataFrame, baseline_cycle: int = 1, keys: Sequence[st
 
 def rest_taus(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
     """``tau``: time constant of each rest (time, voltage)."""
-    return _grouped(rests, keys, ["time", "voltage"], order, "tau double", lambda g: {"tau": kernels.rest_tau(g["time"] - g["time"][0], g["voltage"])})
+    return _grouped(rests, keys, ["time", "voltage"], order, "tau double", lambda g: {"tau": kernels.rest_tau((g["time"] - g["time"][0]).astype(float), g["voltage"].astype(float))})
 
 
 def pulse_parameters(pulses: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -254,13 +248,14 @@ def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, de
 
 
 def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[str] = LEG, most: float = 0.12) -> DataFrame:
-    """Candidates (V, H) of each leg matched one to one with its cell's reference peaks (leg, peak_id, V, H).
+    """Candidates (V, H) of each leg matched one to one with reference peaks (leg, peak_id, V, H, and cell_id where cells have their own).
 
     The cost is the distance in V and 0.015 of that in H; pairs above ``most`` are
-    left out.
+    left out. A cell's reference peaks of a leg are few, so they travel as one row.
     """
-    refs = references.groupBy("leg").agg(F.sort_array(F.collect_list(F.struct("peak_id", "V", "H"))).alias("_refs"))
-    joined = candidates.join(F.broadcast(refs), "leg").withColumn("_v", F.transform("_refs", lambda x: x["V"]))
+    on = [c for c in ("cell_id", "leg") if c in references.columns]
+    refs = references.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("peak_id", "V", "H"))).alias("_refs"))
+    joined = candidates.join(refs, on).withColumn("_v", F.transform("_refs", lambda x: x["V"]))
     joined = joined.withColumns({"_h": F.transform("_refs", lambda x: x["H"]), "_id": F.transform("_refs", lambda x: x["peak_id"])})
 
     def f(g):

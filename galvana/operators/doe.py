@@ -13,8 +13,17 @@ from galvana.operators.score import to_long
 KEYS = ("arm", "cell_id", "cycle")
 
 
+def _differences(means: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The later arm's mean less the earlier one's for each pair of arms in order of name, and its percent. A row a mean: arms are few."""
+    a = means.select("arm", *on, F.col("value").alias("_a"))
+    b = means.select(F.col("arm").alias("_arm"), *on, F.col("value").alias("_b"))
+    both = a.join(b, list(on)).where(F.col("arm") < F.col("_arm"))
+    label = lambda kind: F.concat(F.lit(kind), "_arm", F.lit("-"), "arm").alias("arm")
+    return both.select(label("delta:"), *on, (F.col("_b") - F.col("_a")).alias("value")), both.select(label("pct:"), *on, (ratio(F.col("_b") - F.col("_a"), F.abs("_a")) * 100).alias("value"))
+
+
 def early_parameters(features: DataFrame, columns: Sequence[str], early_cycles: int = 30) -> DataFrame:
-    """Arms' means of early cycles; with exactly two arms also a delta and a percent row.
+    """Arms' means of early cycles, and a delta and a percent row for each pair of arms.
 
     Early cycles are those up to ``early_cycles``; a cell without any gives its
     first five rows.
@@ -23,11 +32,7 @@ def early_parameters(features: DataFrame, columns: Sequence[str], early_cycles:
     rows = features.withColumns({"_p": F.row_number().over(w.orderBy("cycle")), "_any": F.max((F.col("cycle") <= early_cycles).cast("int")).over(w)})
     early = rows.where(F.when(F.col("_any") == 1, F.col("cycle") <= early_cycles).otherwise(F.col("_p") <= 5))
     means = to_long(early, columns, KEYS).groupBy("arm", "feature").agg(F.avg("value").alias("value"))
-    wide = means.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("arm", "value"))).alias("_a")).where(F.size("_a") == 2)
-    a, b = F.col("_a")[0], F.col("_a")[1]
-    label = lambda kind: F.concat(F.lit(kind), b["arm"], F.lit("-"), a["arm"])
-    delta = wide.select(label("delta:").alias("arm"), "feature", (b["value"] - a["value"]).alias("value"))
-    percent = wide.select(label("pct:").alias("arm"), "feature", (ratio(b["value"] - a["value"], F.abs(a["value"])) * 100).alias("value"))
+    delta, percent = _differences(means, ["feature"])
     return means.unionByName(delta).unionByName(percent)
 
 
@@ -40,14 +45,9 @@ def early_fade(features: DataFrame, health: str = "SoHQ", early_cycles: int = 30
 
 
 def arm_trajectories(features: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Arms' means by cycle, and with exactly two arms their differences on shared cycles."""
+    """Arms' means by cycle, and the differences of each pair of arms on shared cycles."""
     means = to_long(features, columns, KEYS).groupBy("arm", "cycle", "feature").agg(F.avg("value").alias("value"))
-    both = means.groupBy("cycle", "feature").agg(F.array_sort(F.collect_list(F.struct("arm", "value"))).alias("_a"))
-    n_arms = features.agg(F.count_distinct("arm")).scalar()
-    pairs = both.where((n_arms == 2) & (F.size("_a") == 2))
-    a, b = F.col("_a")[0], F.col("_a")[1]
-    delta = pairs.select(F.concat(F.lit("delta:"), b["arm"], F.lit("-"), a["arm"]).alias("arm"), "cycle", "feature", (b["value"] - a["value"]).alias("value"))
-    return means.unionByName(delta)
+    return means.unionByName(_differences(means, ["cycle", "feature"])[0])
 
 
 def late_spread(features: DataFrame, columns: Sequence[str], late: float = 0.2) -> DataFrame:
@@ -65,15 +65,16 @@ def late_spread(features: DataFrame, columns: Sequence[str], late: float = 0.2)
 
 def arm_summary(features: DataFrame, columns: Sequence[str], late: float = 0.2) -> DataFrame:
     """Mean, late mean (by each arm's own quantile) and slope of each indicator and arm."""
-    rows = features.withColumn("_hi", F.percentile("cycle", F.lit(1 - late)).over(Window.partitionBy("arm")))
+    edges = features.groupBy("arm").agg(quantile("cycle", 1 - late).alias("_hi"))  # a row an arm
+    rows = features.join(F.broadcast(edges), "arm")
     long = to_long(rows, columns, [*KEYS, "_hi"])
     return long.groupBy("arm", "feature").agg(F.avg("value").alias("mean"), F.avg(F.when(F.col("cycle") >= F.col("_hi"), F.col("value"))).alias("late_mean"), slope("value", "cycle").alias("slope"))
 
 
 def phase_summary(diagnosed: DataFrame, modes: Sequence[str]) -> DataFrame:
     """Means of mode scores by arm and third of life, and the largest mode (of equal ones the first)."""
-    w = Window.partitionBy("arm")
-    rows = diagnosed.withColumns({"_a": F.percentile("cycle", F.lit(0.33)).over(w), "_b": F.percentile("cycle", F.lit(0.66)).over(w)})
+    edges = diagnosed.groupBy("arm").agg(quantile("cycle", 0.33).alias("_a"), quantile("cycle", 0.66).alias("_b"))  # a row an arm
+    rows = diagnosed.join(F.broadcast(edges), "arm")
     phase = F.when(F.col("cycle") <= F.col("_a"), "early").when(F.col("cycle") <= F.col("_b"), "mid").otherwise("late")
     found = rows.withColumn("phase", phase).groupBy("arm", "phase").agg(*(F.avg(m).alias(m) for m in modes))
     best = F.greatest(*(F.col(m) for m in modes)) if len(modes) > 1 else F.col(modes[0])

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galvana.functions.expr import pearson, ratio
+from galvana.operators.order import quantiles
 from galvana.operators.score import to_long
 
 
 def golden_references(long: DataFrame, good: DataFrame | None = None) -> DataFrame:
     """``leg, band, V_ref, H_ref, n``: medians over good cycles (cell_id, cycle), or over all."""
     rows = long.join(good, ["cell_id", "cycle"], "left_semi") if good is not None else long
-    return rows.groupBy("leg", "band").agg(F.median("V").alias("V_ref"), F.median("H").alias("H_ref"), F.count("*").alias("n"))
+    on = ["leg", "band"]
+    medians = [quantiles(rows.select(*on, c), on, c, name=f"{c}_ref") for c in ("V", "H")]
+    return rows.groupBy(*on).agg(F.count("*").alias("n")).join(medians[0], on, "left").join(medians[1], on, "left").select(*on, "V_ref", "H_ref", "n")
 
 
 def track(long: DataFrame, references: DataFrame) -> DataFrame:
@@ -44,15 +47,17 @@ def wide(long: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("cell_id"
 
 def usable(quality: DataFrame, column: str, spread: float = 2.0) -> DataFrame:
     """Add ``usable``: at most the median plus ``spread`` robust deviations over all rows."""
-    off = quality.withColumn("_m", quality.agg(F.median(column)).scalar())
-    robust = off.agg(1.4826 * F.median(F.abs(F.col(column) - F.col("_m")))).scalar()
+    middle = lambda rows, c: quantiles(rows.select(F.lit(0).alias("_k"), c), ["_k"], c).agg(F.max("quantile")).scalar()
+    off = quality.withColumn("_m", middle(quality, column))
+    robust = 1.4826 * middle(off.select(F.abs(F.col(column) - F.col("_m")).alias("_off")), "_off")
     return off.withColumn("usable", F.col(column) <= F.col("_m") + spread * robust).drop("_m")
 
 
 def good_cycle_deltas(table: DataFrame, good: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add ``delta_*``: each column less its median over the good cycles."""
-    base = table.join(good, ["cell_id", "cycle"], "left_semi").agg(F.struct(*(F.median(c).alias(c) for c in columns))).scalar()
-    return table.withColumn("_b", base).withColumns({f"delta_{c}": F.col(c) - F.col(f"_b.{c}") for c in columns}).drop("_b")
+    medians = quantiles(to_long(table.join(good, ["cell_id", "cycle"], "left_semi"), columns, ()), ["feature"])
+    base = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", "quantile")))).scalar()  # a row for each column
+    return table.withColumn("_b", base).withColumns({f"delta_{c}": F.col(c) - F.try_element_at("_b", F.lit(c)) for c in columns}).drop("_b")
 
 
 def correlate_with_fade(table: DataFrame, columns: Sequence[str], targets: Sequence[str], least: int = 8) -> DataFrame:
@@ -71,12 +76,15 @@ def collapses(soft: DataFrame, floor: float = 0.18, share: float = 0.55) -> Data
 
 
 def soft_links(candidates: DataFrame, references: DataFrame, scale: float = 0.12, radius: float = 0.18) -> DataFrame:
-    """Scores of candidates (V) against the references of their leg, by distance in V within a radius.
+    """Scores of candidates (V) against the references of their leg (and cell, where cells have their own), by distance in V within a radius.
 
-    References are few (one row a leg and peak); the join is on the leg.
+    Both sides meet by voltage bins of the radius's width, so no leg is one group.
     """
-    joined = candidates.join(references.select("leg", "peak_id", F.col("V").alias("_v")), "leg").withColumn("_d", F.abs(F.col("V") - F.col("_v")))
-    return joined.where(F.col("_d") <= radius).withColumn("score", F.exp(-F.col("_d") / scale)).drop("_d", "_v")
+    on = [c for c in ("cell_id", "leg") if c in references.columns]
+    width = F.floor(F.col("V") / F.lit(radius)).cast("int")
+    refs = references.select(*on, "peak_id", F.col("V").alias("_v"), F.explode(F.sequence(width - 1, width + 1)).alias("_bin"))
+    joined = candidates.withColumn("_bin", width).join(refs, [*on, "_bin"]).withColumn("_d", F.abs(F.col("V") - F.col("_v")))
+    return joined.where(F.col("_d") <= radius).withColumn("score", F.exp(-F.col("_d") / scale)).drop("_d", "_v", "_bin")
 
 
 def best_links(soft: DataFrame) -> DataFrame:

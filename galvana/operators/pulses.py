@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from galvana.functions import kernels
 from galvana.functions.expr import at_most, pearson, ratio
 from galvana.operators.curves import _grouped
+from galvana.operators.order import average_ranks
 from galvana.operators.score import to_long
 
 KEYS = ("cell_id", "cycle")
@@ -149,12 +150,9 @@ def curvature_onset(table: DataFrame, column: str, early: int = 20, sigmas: floa
 def rank_correlation(table: DataFrame, columns: Sequence[str], target: str, least: int = 5) -> DataFrame:
     """``feature, n, rho``: Spearman's with average ranks of ties, over a table of one row a cell."""
     long = to_long(table.withColumn("_t", F.col(target).cast("double")), columns, ["_t"]).where("value is not null and _t is not null")
-
-    def rank(c: str) -> Column:
-        w = Window.partitionBy("feature")
-        return F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy("feature", c)) - 1) / 2
-
-    ranked = long.select("feature", rank("value").alias("x"), rank("_t").alias("y"))
+    own = average_ranks(long, ["feature"]).withColumnRenamed("rank", "x")
+    goal = average_ranks(long, ["feature"], "_t").withColumnRenamed("rank", "y")
+    ranked = long.join(own, ["feature", "value"]).join(goal, ["feature", "_t"])
     return ranked.groupBy("feature").agg(F.count("*").alias("n"), pearson("x", "y").alias("rho")).where(F.col("n") >= least)
 
 

@@ -45,19 +45,16 @@ def rank_drivers(table: DataFrame, columns: Sequence[str], health: str, breakpoi
 def singularities(table: DataFrame, columns: Sequence[str], breakpoints: Sequence[float], window: int = 15, keys: Sequence[str] = ("cell_id",), least: int = 10) -> DataFrame:
     """At each breakpoint: a column's jump between means of the windows around it, and whether its slope changes sign."""
     slopes = regime_slopes(table, columns, breakpoints, keys, least).select(*keys, "feature", "regime", "slope")
-    out = None
-    for k, b in enumerate(breakpoints):
-        long = to_long(table, columns, [*keys, "cycle"])
-        jump = long.groupBy(*keys, "feature").agg(
-            F.avg(F.when((F.col("cycle") < b) & (F.col("cycle") >= b - window), F.col("value"))).alias("_a"),
-            F.avg(F.when((F.col("cycle") >= b) & (F.col("cycle") < b + window), F.col("value"))).alias("_b"),
-        )
-        before = slopes.where(F.col("regime") == k).select(*keys, "feature", F.col("slope").alias("slope_before"))
-        after = slopes.where(F.col("regime") == k + 1).select(*keys, "feature", F.col("slope").alias("slope_after"))
-        part = jump.join(before, [*keys, "feature"], "left").join(after, [*keys, "feature"], "left")
-        part = part.select(*keys, "feature", F.lit(float(b)).alias("breakpoint"), (F.col("_b") - F.col("_a")).alias("jump"), "slope_before", "slope_after", F.coalesce(F.col("slope_before") * F.col("slope_after") < 0, F.lit(False)).alias("sign_flip"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    near = to_long(table, columns, [*keys, "cycle"]).select("*", F.posexplode(F.array(*(F.lit(float(b)) for b in breakpoints))).alias("_k", "breakpoint"))
+    c, b = F.col("cycle"), F.col("breakpoint")
+    jump = near.groupBy(*keys, "feature", "_k", "breakpoint").agg(
+        F.avg(F.when((c < b) & (c >= b - window), F.col("value"))).alias("_a"), F.avg(F.when((c >= b) & (c < b + window), F.col("value"))).alias("_b")
+    )
+    before = slopes.select(*keys, "feature", F.col("regime").alias("_k"), F.col("slope").alias("slope_before"))
+    after = slopes.select(*keys, "feature", (F.col("regime") - 1).alias("_k"), F.col("slope").alias("slope_after"))
+    found = jump.join(before, [*keys, "feature", "_k"], "left").join(after, [*keys, "feature", "_k"], "left")
+    flip = F.coalesce(F.col("slope_before") * F.col("slope_after") < 0, F.lit(False))
+    return found.select(*keys, "feature", "breakpoint", (F.col("_b") - F.col("_a")).alias("jump"), "slope_before", "slope_after", flip.alias("sign_flip"))
 
 
 def local_slope(y: str, half: int = 15, keys: Sequence[str] = ("cell_id",), least: int = 5) -> Column:

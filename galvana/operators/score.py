@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions.expr import at_most, clip, pearson, quantile, ratio, slope
+from galvana.functions.expr import at_most, clip, finite, pearson, quantile, ratio, slope
 from galvana.operators import registry
+from galvana.operators.order import quantiles
 
 WATCH, ALERT = 0.55, 0.75
 
@@ -21,16 +23,22 @@ def to_long(table: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> Da
     return long.withColumn("value", F.when(~bad, F.col("value")))
 
 
+def _reference(table: DataFrame, columns: Sequence[str], keys: Sequence[str], early: float) -> DataFrame:
+    """``keys`` and a struct of center and scale for each column: one row a group."""
+    w = Window.partitionBy(*keys)
+    rows = table.select(*keys, "cycle", *(finite(c).alias(c) for c in columns))
+    rows = rows.withColumns({"_n": F.count("*").over(w), "_p": F.percentile("cycle", F.lit(early)).over(w)}).withColumn("_in", F.col("cycle") <= F.col("_p"))
+    rows = rows.withColumn("_m", F.sum(F.col("_in").cast("int")).over(w)).where((F.col("_n") < 5) | (F.col("_m") < 3) | F.col("_in"))
+    return rows.groupBy(*keys).agg(*(F.struct(F.median(c).alias("center"), F.stddev_samp(c).alias("scale")).alias(f"_ref_{c}") for c in columns))
+
+
 def reference_stats(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("cell_id",), early: float = 0.2) -> DataFrame:
     """``feature, center, scale``: median and spread of the early rows, all of them where a group is small.
 
     Early rows have a cycle at or below the quantile; groups of fewer than 5 rows
     or of fewer than 3 early ones use all.
     """
-    w = Window.partitionBy(*keys)
-    rows = table.withColumns({"_n": F.count("*").over(w), "_p": F.percentile("cycle", F.lit(early)).over(w)}).withColumn("_in", F.col("cycle") <= F.col("_p"))
-    rows = rows.withColumn("_m", F.sum(F.col("_in").cast("int")).over(w)).where((F.col("_n") < 5) | (F.col("_m") < 3) | F.col("_in"))
-    return to_long(rows, columns, keys).groupBy(*keys, "feature").agg(F.median("value").alias("center"), F.stddev_samp("value").alias("scale"))
+    return _reference(table, columns, keys, early).select(*keys, F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"_ref_{c}.center"), F.col(f"_ref_{c}.scale")) for c in columns))))
 
 
 def score_long(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("cell_id",), reference: DataFrame | None = None) -> DataFrame:
@@ -45,10 +53,20 @@ def score_rows(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = (
 
     A row that is not complete is never ok but unknown, and one without any score too.
     """
-    scored = score_long(table, columns, keys, reference).groupBy(*keys, "cycle").agg(
-        F.avg("z").alias("_z"),
-        F.count("z").alias("indicator_n_scored"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("z").isNotNull(), F.struct((-F.col("z")).alias("z"), "feature")))), 1, 3).alias("_top"),
+    # Every group's reference is one row, so scores need no long table and no shuffle of their own.
+    if reference is None:
+        stats = _reference(table, columns, keys, 0.2)
+    else:
+        pair = F.struct("center", "scale")
+        stats = reference.groupBy(*keys).agg(*(F.max(F.when(F.col("feature") == c, pair)).alias(f"_ref_{c}") for c in columns))
+    joined = table.select(*keys, "cycle", *(finite(c).alias(c) for c in columns)).join(stats, list(keys), "left")
+    z = F.array(*(F.struct((-ratio(F.abs(F.col(c) - F.col(f"_ref_{c}.center")), F.col(f"_ref_{c}.scale"))).alias("z"), F.lit(c).alias("feature")) for c in columns))
+    scored = joined.select(*keys, "cycle", F.filter(z, lambda x: x["z"].isNotNull()).alias("_all")).select(
+        *keys,
+        "cycle",
+        (-F.aggregate("_all", F.lit(0.0), lambda a, x: a + x["z"]) / F.nullif(F.size("_all"), F.lit(0))).alias("_z"),
+        F.size("_all").cast("long").alias("indicator_n_scored"),
+        F.slice(F.array_sort("_all"), 1, 3).alias("_top"),
     )
     score = clip(F.col("_z") / 3, 0.0, 1.0)
     flag = F.when(score >= ALERT, "alert").when(score >= WATCH, "watch").when((score.isNotNull()) & (F.col("indicator_n_scored") == len(columns)), "ok").otherwise("unknown")
@@ -81,18 +99,21 @@ def summarize(table: DataFrame, columns: Sequence[str], health: str, keys: Seque
         pearson("value", "_health").alias("r_health"),
         F.avg(F.when(first, F.col("value"))).alias("early_mean"),
         F.avg(F.when(last, F.col("value"))).alias("late_mean"),
-        F.median("value").alias("median"),
         F.avg(F.when(last, F.col("z"))).alias("late_z"),
     )
+    found = found.join(quantiles(to_long(table, columns, ()), ["feature"], name="median"), "feature", "left")
     relation = F.coalesce(F.abs("r_health"), F.abs("r_cycle") * 0.85, F.lit(0.0))
     return found.withColumn("score", F.greatest(relation, F.coalesce(clip(F.col("late_z") / 3, 0.0, 1.0), F.lit(0.0))))
 
 
 def top_per_family(summary: DataFrame, by: str, n: int = 15, least: float = 0.35, column: str = "feature") -> DataFrame:
     """The n best rows at or above ``least`` (of all where none is), one of each family."""
-    names = [r[0] for r in summary.select(column).distinct().limit(10_000).collect()]  # feature names, not data
-    family = F.create_map(*[F.lit(x) for c in names for x in (c, registry.family_of(c))]) if names else F.create_map()
-    rows = summary.where(F.col(by).isNotNull()).withColumn("family", family[F.col(column)] if names else F.col(column))
+
+    @F.arrow_udf("string")
+    def family_of(names: pa.Array) -> pa.Array:
+        return pa.array([x and registry.family_of(x) for x in names.to_pylist()], pa.string())
+
+    rows = summary.where(F.col(by).isNotNull()).withColumn("family", family_of(column))
     any_high = rows.agg(F.coalesce(F.max(by) >= least, F.lit(False))).scalar()
     rows = rows.where(~any_high | (F.col(by) >= least))
     w = Window.partitionBy("family").orderBy(F.desc(by), column)

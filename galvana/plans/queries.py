@@ -394,20 +394,15 @@ _ARM = {"v_cycle": views.CYCLES, "v_traj": views.TRAJECTORY, "v_armed": f"SELECT
 _ARM_LONG = "SELECT arm, cell_id, cycle, unnest(['R10', 'hyst']) AS feature, unnest([R10, hyst]) AS value FROM v_armed"
 
 
-def _armed(spark, sf_dir, only=None):
-    rows = views.arms(spark, sf_dir, _health(spark, sf_dir))
-    return rows.where(F.col("arm").isin(only)) if only else rows
+def _armed(spark, sf_dir):
+    return views.arms(spark, sf_dir, _health(spark, sf_dir))
 
 
-_PAIR = ["ASIA", "EUROPE"]
-_PAIRED = _ARM | {"v_armed": _ARM["v_armed"] + " WHERE arm IN ('ASIA', 'EUROPE')", "v_arm_long": _ARM_LONG}
-
-
-@query("early_parameters", f"""SELECT arm, feature, {R('value', digits=5)} FROM (SELECT * FROM v_mean UNION ALL SELECT 'delta:EUROPE-ASIA', feature, b.value - a.value FROM v_mean a JOIN v_mean b USING (feature) WHERE a.arm = 'ASIA' AND b.arm = 'EUROPE'
-  UNION ALL SELECT 'pct:EUROPE-ASIA', feature, (b.value - a.value) / nullif(abs(a.value), 0) * 100 FROM v_mean a JOIN v_mean b USING (feature) WHERE a.arm = 'ASIA' AND b.arm = 'EUROPE')""", **_PAIRED,
+@query("early_parameters", f"""SELECT arm, feature, {R('value', digits=5)} FROM (SELECT * FROM v_mean UNION ALL SELECT 'delta:' || b.arm || '-' || a.arm, feature, b.value - a.value FROM v_mean a JOIN v_mean b USING (feature) WHERE a.arm < b.arm
+  UNION ALL SELECT 'pct:' || b.arm || '-' || a.arm, feature, (b.value - a.value) / nullif(abs(a.value), 0) * 100 FROM v_mean a JOIN v_mean b USING (feature) WHERE a.arm < b.arm)""", **_ARM, v_arm_long=_ARM_LONG,
     v_mean="""SELECT arm, feature, avg(value) AS value FROM (SELECT *, bool_or(cycle <= 30) OVER (PARTITION BY arm, cell_id) AS has_early, dense_rank() OVER (PARTITION BY arm, cell_id ORDER BY cycle) AS p FROM v_arm_long) WHERE CASE WHEN has_early THEN cycle <= 30 ELSE p <= 5 END GROUP BY ALL""")
 def early_parameters(spark, sf_dir):
-    return rounded(doe.early_parameters(_armed(spark, sf_dir, _PAIR), ["R10", "hyst"]), 5)
+    return rounded(doe.early_parameters(_armed(spark, sf_dir), ["R10", "hyst"]), 5)
 
 
 @query("early_fade", f"SELECT arm, cell_id, n, {R('fade', digits=5)} FROM (SELECT * FROM v_fade UNION ALL SELECT arm, '__arm_mean__', sum(n), avg(fade) FROM v_fade GROUP BY arm)", **_ARM,
@@ -416,10 +411,10 @@ def early_fade(spark, sf_dir):
     return rounded(doe.early_fade(_armed(spark, sf_dir)), 5)
 
 
-@query("arm_trajectories", f"""SELECT arm, cycle, feature, {R('value', digits=5)} FROM (SELECT * FROM v_mean UNION ALL SELECT 'delta:EUROPE-ASIA', cycle, feature, b.value - a.value FROM v_mean a JOIN v_mean b USING (cycle, feature) WHERE a.arm = 'ASIA' AND b.arm = 'EUROPE')""", **_PAIRED,
+@query("arm_trajectories", f"""SELECT arm, cycle, feature, {R('value', digits=5)} FROM (SELECT * FROM v_mean UNION ALL SELECT 'delta:' || b.arm || '-' || a.arm, cycle, feature, b.value - a.value FROM v_mean a JOIN v_mean b USING (cycle, feature) WHERE a.arm < b.arm)""", **_ARM, v_arm_long=_ARM_LONG,
     v_mean="SELECT arm, cycle, feature, avg(value) AS value FROM v_arm_long GROUP BY ALL")
 def arm_trajectories(spark, sf_dir):
-    return rounded(doe.arm_trajectories(_armed(spark, sf_dir, _PAIR), ["R10", "hyst"]), 5)
+    return rounded(doe.arm_trajectories(_armed(spark, sf_dir), ["R10", "hyst"]), 5)
 
 
 @query("late_spread", f"""SELECT feature, count(*) AS n_arms, {R('spread', digits=5)}, max_by(arm, m) AS high_arm, min_by(arm, m) AS low_arm FROM (SELECT feature, arm, avg(value) AS m FROM v_arm_long WHERE cycle >= (SELECT quantile_cont(cycle, 0.8) FROM v_armed) GROUP BY ALL) GROUP BY feature""".replace(R("spread", digits=5), "round(stddev_pop(m), 5) AS spread"), **_ARM, v_arm_long=_ARM_LONG)
@@ -550,7 +545,7 @@ _MODES = {
 
 
 @query("mode_scores", f"""
-    SELECT cell_id, cycle, mode, {R('score', digits=5)}, {R('confidence', digits=5)}, n AS evidence_count, coverage AS evidence_coverage, status, eligible FROM (
+    SELECT cell_id, cycle, mode, {R('score', 'confidence')}, n AS evidence_count, coverage AS evidence_coverage, status, eligible FROM (
       SELECT *, CASE WHEN n = 0 OR chemistry = 'other' THEN 0.0 ELSE conf END AS confidence, n / 2 AS coverage,
         CASE WHEN n = 0 THEN 'unknown' WHEN support AND eligible THEN 'scientifically_eligible' WHEN support THEN 'heuristic_unverified' ELSE 'insufficient_or_invalid_evidence' END AS status FROM v_fourth)""", **_V, **_MODES)
 def mode_scores(spark, sf_dir):
@@ -576,7 +571,7 @@ def mode_scores(spark, sf_dir):
                  F.col(f"{m}_evidence_coverage").alias("evidence_coverage"), F.col(f"{m}_status").alias("status"), F.col(f"{m}_scientific_eligible").alias("eligible"))
         for m in _RULES.modes
     ]
-    return rounded(found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*"), 5)
+    return found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*")
 
 
 #: What the cycle table has of the solid-state cell's features: column, then how it is made, in SQL that both engines read.
@@ -612,7 +607,7 @@ def _solid_sql() -> str:
 
 
 @query("mode_diagnosis", f"""
-    SELECT cell_id, cycle, mode, {R('score', 'confidence', digits=5)}, CASE WHEN n = 0 THEN 'unknown' WHEN n >= 2 AND n / total >= 0.3 AND confidence >= 0.25 THEN 'heuristic_unverified' ELSE 'insufficient_or_invalid_evidence' END AS status FROM (
+    SELECT cell_id, cycle, mode, {R('score', 'confidence')}, CASE WHEN n = 0 THEN 'unknown' WHEN n >= 2 AND n / total >= 0.3 AND confidence >= 0.25 THEN 'heuristic_unverified' ELSE 'insufficient_or_invalid_evidence' END AS status FROM (
       SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE 0.95 * CASE WHEN mode = 'contact_loss' THEN 0.7 ELSE 1.0 END * CASE WHEN high > 1 AND score >= 0.65 THEN 0.7 ELSE 1.0 END
         * (0.45 * n / total + 0.40 * agree + 0.15 * least(1, n / 5)) END AS confidence FROM (
         SELECT *, count(*) FILTER (score >= 0.65) OVER (PARTITION BY cell_id, cycle) AS high FROM v_modes))""", **_V,
@@ -626,7 +621,7 @@ def mode_diagnosis(spark, sf_dir):
     table = _health(spark, sf_dir).select("cell_id", "cycle", "CE", *(F.expr(sql).alias(name) for name, sql in _SOLID.items()))
     found = diagnose.diagnose(table, diagnose.ASSB_SI)
     each = [F.struct(F.lit(m).alias("mode"), F.col(diagnose.score_column(m)).alias("score"), F.col(diagnose.confidence_column(m)).alias("confidence"), F.col(f"{m}_status").alias("status")) for m in diagnose.ASSB_SI.modes]
-    return rounded(found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*"), 5)
+    return found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*")
 
 
 # Curves: no SQL; tests compare them with direct computation.
@@ -634,7 +629,7 @@ def mode_diagnosis(spark, sf_dir):
 
 @query("derivative_curves")
 def derivative_curves(spark, sf_dir):
-    return curves.derivative_curves(views.legs(spark, sf_dir), 64, order=ORDER)
+    return curves.derivative_curves(views.legs(spark, sf_dir), order=ORDER)
 
 
 @query("robust_peaks")
@@ -654,6 +649,11 @@ def banded_peaks(spark, sf_dir):
     return _banded(spark, sf_dir).dropna(subset=["band"])
 
 
+@query("charge_peaks")
+def charge_peaks(spark, sf_dir):
+    return curves.charge_peak_table(views.legs(spark, sf_dir), order=ORDER)
+
+
 @query("shape_features")
 def shape_features(spark, sf_dir):
     return curves.shape_features(views.legs(spark, sf_dir), order=ORDER)
@@ -692,7 +692,7 @@ def _monthly(spark, sf_dir):
 
 @query("shape_distance")
 def shape_distance(spark, sf_dir):
-    return curves.shape_distance(curves.normalised_curves(_monthly(spark, sf_dir), 64), baseline_cycle=1995)
+    return curves.shape_distance(curves.normalised_curves(_monthly(spark, sf_dir)), baseline_cycle=1995)
 
 
 @query("peak_evolution")
@@ -762,9 +762,54 @@ def peak_fade_correlation(spark, sf_dir):
 # Mechanisms, steps, models
 
 
-@query("mechanism")
+#: Columns that a mechanism asks for, made out of the cycle table in SQL that both engines read.
+_SILICON = {
+    "dchgCapa": "dchgCapa",
+    "RCF": "dchgCapa / nullif(i_dchg, 0) * 400",
+    "dchg_Q_cliff_abs": "dchgCapa * 0.5 + R10 * 100",
+    "dchg_dVdQ_SOC0_to_mid_ratio": "R10 * 50",
+    "dchg_Q_high_V": "hyst / 100",
+    "dchg_Q_low_V": "i_dchg / 100",
+    "dchg_fit_dR": "CASE WHEN n_steps > 6 THEN R10 * 100 END",
+    "dchg_fit_residual_argmax_SOC": "CASE WHEN n_steps > 3 THEN 10 * n_steps END",
+    "LLI_vs_R_ratio": "abs(R10_inc) / 20",
+}
+_SIGNED = {
+    "h1": ((1.2, "1 - abs(s_cliff) / 0.5"), (1.0, "s_frac / 0.3"), (1.3, "s_ratio / 0.3"), (1.0, "(30 - soc) / 30"), (0.8, "1 - lli / 2"), (1.0, "fade / 3 - 0.5")),
+    "h2": ((1.3, "-s_cliff / 0.3"), (1.2, "lli / 3 - 0.5"), (0.7, "(soc - 40) / 40"), (1.1, "1 - abs(fade - 1) / 0.5")),
+}
+
+
+def _mean_signed(terms) -> str:
+    total = " + ".join(f"{w} * coalesce(greatest(-1, least(1, {e})), 0) * (CASE WHEN ({e}) IS NULL THEN 0 ELSE 1 END)" for w, e in terms)
+    weight = " + ".join(f"CASE WHEN ({e}) IS NULL THEN 0 ELSE {w} END" for w, e in terms)
+    return f"coalesce(({total}) / nullif({weight}, 0), 0)"
+
+
+@query("mechanism", f"""
+    SELECT cell_id, cycle, mechanism_state, {R('score_H1', 'score_H2', 'mechanism_confidence', digits=5)}, n_evidence, min(CASE WHEN d <> before THEN cycle END) OVER (PARTITION BY cell_id) AS mechanism_crossover_cycle FROM (
+      SELECT *, sign(score_H1 - score_H2) AS d, lag(sign(score_H1 - score_H2)) OVER (PARTITION BY cell_id ORDER BY cycle) AS before FROM (
+        SELECT cell_id, cycle, n_evidence, CASE WHEN gate THEN 0 ELSE h1 END AS score_H1, CASE WHEN gate THEN 0 ELSE h2 END AS score_H2,
+          CASE WHEN gate THEN 'impedance_only' WHEN n_evidence < 2 THEN 'undetermined' WHEN abs(h1 - h2) < 0.15 THEN 'mixed' WHEN h1 > h2 THEN 'H1_dominant' ELSE 'H2_dominant' END AS mechanism_state,
+          CASE WHEN gate THEN 0.7 WHEN n_evidence < 2 THEN 0.2 ELSE greatest(0, least(1, 0.3 + 0.35 * n_evidence / 6 + 0.35 * abs(h1 - h2))) END AS mechanism_confidence FROM v_weighed))""", **_V,
+    v_silicon="SELECT cell_id, cycle, " + ", ".join(f"{sql} AS {name}" for name, sql in _SILICON.items()) + " FROM v_traj",
+    v_start="SELECT * FROM v_silicon QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY cycle) = 1",
+    v_last="""
+        SELECT *, count(dchg_Q_cliff_abs) OVER w AS n_cliff, count(RCF) OVER w AS n_rcf, count(dchg_dVdQ_SOC0_to_mid_ratio) OVER w AS n_ratio FROM v_silicon WINDOW w AS (PARTITION BY cell_id ORDER BY cycle DESC)""",
+    v_slope="""
+        SELECT cell_id, CASE WHEN count(dchg_Q_cliff_abs) FILTER (n_cliff <= 100) >= 5 THEN 100 * regr_slope(dchg_Q_cliff_abs, cycle) FILTER (n_cliff <= 100) END AS s_cliff,
+          CASE WHEN count(dchg_Q_cliff_abs) FILTER (n_cliff <= 100) >= 5 THEN 100 * regr_slope(dchg_Q_cliff_abs / dchgCapa, cycle) FILTER (n_cliff <= 100) END AS s_frac,
+          CASE WHEN count(dchg_dVdQ_SOC0_to_mid_ratio) FILTER (n_ratio <= 100) >= 5 THEN 100 * regr_slope(dchg_dVdQ_SOC0_to_mid_ratio, cycle) FILTER (n_ratio <= 100) END AS s_ratio FROM v_last GROUP BY cell_id""",
+    v_known="""
+        SELECT v.cell_id, v.cycle, s_cliff, s_frac, s_ratio, v.dchg_fit_residual_argmax_SOC AS soc, v.LLI_vs_R_ratio AS lli,
+          CASE WHEN abs(1 - v.dchg_Q_high_V / b.dchg_Q_high_V) > 1e-6 THEN (1 - v.dchg_Q_low_V / b.dchg_Q_low_V) / (1 - v.dchg_Q_high_V / b.dchg_Q_high_V) END AS fade,
+          coalesce(abs(v.dchg_fit_dR) > 2, false) AND coalesce(abs(v.dchgCapa / b.dchgCapa - 1) < 0.03, false) AND coalesce(CASE WHEN b.RCF IS NULL THEN v.RCF < 0.95 ELSE v.RCF < b.RCF * 0.95 END, false) AS gate
+        FROM (SELECT * REPLACE (CASE WHEN dchg_Q_high_V IS NULL THEN NULL ELSE dchg_Q_high_V END AS dchg_Q_high_V) FROM v_silicon) v JOIN (SELECT * REPLACE (CASE WHEN dchg_Q_high_V > 0 THEN dchg_Q_high_V END AS dchg_Q_high_V) FROM v_start) b ON b.cell_id = v.cell_id JOIN v_slope s ON s.cell_id = v.cell_id""",
+    v_weighed=f"SELECT *, {_mean_signed(_SIGNED['h1'])} AS h1, {_mean_signed(_SIGNED['h2'])} AS h2, " + " + ".join(f"({c} IS NOT NULL)::INT" for c in ("s_cliff", "s_frac", "s_ratio", "soc", "lli", "fade")) + " AS n_evidence FROM v_known")
 def mechanism_query(spark, sf_dir):
-    return mechanism.mechanism_indicators(_health(spark, sf_dir).withColumnsRenamed({"R10": "resistance", "hyst": "cliff"}), {"resistance": ("impedance", 1.0), "cliff": ("silicon", 1.0), "CE": ("graphite", -1.0)})
+    table = _health(spark, sf_dir).select("cell_id", "cycle", *(F.expr(sql).cast("double").alias(name) for name, sql in _SILICON.items()))
+    found = mechanism.mechanism_indicators(table)
+    return rounded(found.select("cell_id", "cycle", "mechanism_state", "score_H1", "score_H2", "mechanism_confidence", "n_evidence", "mechanism_crossover_cycle"), 5)
 
 
 @query("isolation_scores")

@@ -60,14 +60,14 @@ def arms(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataF
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a number of digits, as ``R`` does in SQL, so that sums in another order agree."""
+    """Doubles to a number of digits, as ``R`` does in SQL, so that sums in another order agree; the nudge settles halves alike."""
     names = {c for c, t in df.dtypes if t == "double"}
-    value = lambda c: F.when(~F.isnan(c), F.round(c, digits) + F.lit(0.0)).alias(c)
+    value = lambda c: F.when(~F.isnan(c), F.round(F.col(c) + F.lit(1e-10), digits) + F.lit(0.0)).alias(c)
     return df.select(*(value(c) if c in names else F.col(c) for c in df.columns))
 
 
 def R(*names: str, digits: int = 6) -> str:  # noqa: N802
-    return ", ".join(f"CASE WHEN NOT isnan(CAST({n} AS DOUBLE)) THEN round(CAST({n} AS DOUBLE), {digits}) + 0.0 END AS {n}" for n in names)
+    return ", ".join(f"CASE WHEN NOT isnan(CAST({n} AS DOUBLE)) THEN round(CAST({n} AS DOUBLE) + 1e-10, {digits}) + 0.0 END AS {n}" for n in names)
 
 
 _KIND = "CASE WHEN event_type IN ('purchase', 'signup') THEN 'charge' WHEN event_type IN ('click', 'view') THEN 'discharge' WHEN event_type = 'error' THEN 'rest' ELSE 'other' END"

@@ -97,7 +97,7 @@ def test_roles_families_and_aliases(spark):
     for names, role in ((registry.META_NAMES, "meta"), (registry.TARGET_NAMES, "target"), (registry.COVARIATE_NAMES, "covariate"), (registry.QC_NAMES, "qc")):
         for name in names:
             assert registry.role_of(name) == registry.role_of(f"{name}_inc") == role, name
-            assert registry.role_of(f"delta_{name}") == ("diagnosis" if role == "qc" and name.endswith("_score") else role), name
+            assert registry.role_of(f"delta_{name}") == ("diagnosis" if role == "qc" and name.endswith(("_score", "_est")) else role), name
     assert {registry.role_of(x) for x in ("LLI_est", "LAM_PE_est_hc_calibrated", "delta_contact_loss_score")} == {"diagnosis"}
     assert {registry.role_of(x) for x in ("dcir_fit_valid_soc50", "n_points_soc20", "relax_amp_ratio_x")} == {"qc"} and registry.role_of("dchg_shape_DTW") == "indicator"
     assert registry.dedupe_by_family(["hyst_max_dV", "hyst_area", "delta_hyst_area", "x"]) == ["delta_hyst_area", "x"]
