@@ -43,6 +43,7 @@ class Settings:
     rounds: int = 4
     most_classes: int = 1 << 16
     most_hot: int = 1 << 19
+    task_tokens: int = 20_000_000
     half: float = 0.5
     stay: float = 0.95
     seed: int = 5
@@ -309,9 +310,11 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
     )
     known.destroy()
     model = _start_model(weight, s)
+    # A task sends a row for each class that it has seen, so fewer and longer tasks send less.
+    training = encoded.where("not held_out").select("classes").coalesce(max(2 * sc.defaultParallelism, -(-n // s.task_tokens)))
     for _ in range(s.rounds):
         sent = sc.broadcast(model)
-        part = encoded.where("not held_out").select("classes").mapInArrow(_expect(sent), "bucket int, places binary, value binary")
+        part = training.mapInArrow(_expect(sent), "bucket int, places binary, value binary")
         table = part.repartition("bucket").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
         sent.destroy()  # else every round's model stays on the disks
         value = np.zeros((-(-(n_classes + s.states + 1) // BUCKET) * BUCKET, s.states))
