@@ -8,6 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Bound the bytes of Arrow batches in this session, unless its application sets the bound itself.
+
+    A task holds a batch several times over (in the JVM, in Arrow, as texts), so
+    the default of 64 MB takes memory that small executors lack.
+    """
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, limit)
 
 
 def shared_dir(spark: SparkSession) -> str:
