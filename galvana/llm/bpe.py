@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from galvana.llm import vectext
 from galvana.llm.vectext import U64
+from galvana.shared import bounded_batches
 
 #: Bytes of text that a task encodes at once, and the most pre-tokens of a memo's generation.
 BLOCK_BYTES = 1_000_000
@@ -262,6 +263,7 @@ class Tokenizer:
     """Byte-level BPE as column functions; ``path`` names a file of ranks."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        bounded_batches(spark)
         ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
         self._vocabulary = spark.sparkContext.broadcast(Vocabulary.build(ranks))
         tokens = dict((rank, token) for token, rank in ranks.items())

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from galvana.llm import vectext
 from galvana.llm.vectext import U64
-from galvana.shared import cut
+from galvana.shared import bounded_batches, cut
 
 #: Bytes of text that a task hashes at once, and tokens that it runs through the recursions at once.
 BLOCK_BYTES, BLOCK_TOKENS = 2_000_000, 200_000
@@ -269,6 +269,7 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
     """
     s = settings or Settings()
     spark = docs.sparkSession
+    bounded_batches(spark)
     sc = spark.sparkContext
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     counts = rows.where("not held_out").select("text").mapInArrow(_count, "word long, c long")

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from galvana.shared import bounded_batches
+
 #: The phrases that a base label needs.
 BASE = {
     "under the mit license": "mit",
@@ -324,6 +326,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 rows = pa.RecordBatch.from_pylist([scan(x or b"") for x in texts.slice(a, 500).to_pylist()], schema=SCAN)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 500), *rows.columns], names=["doc_id", *SCAN.names])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {_SCAN}")
 

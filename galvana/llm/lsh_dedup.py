@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from galvana.llm.blocks import block_pairs
 from galvana.llm.components import components, linked_classes
 from galvana.llm.ngram_join import _meets, roots
-from galvana.shared import cut
+from galvana.shared import bounded_batches, cut
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,7 @@ def lsh_dedup(embeddings: DataFrame, cosine: float = 0.98, plan: Plan | None = N
     """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (vec_id, embedding, label)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     plan = plan or Plan.of(rows.count(), cosine)
+    bounded_batches(embeddings.sparkSession)
     label = rows.schema["label"].dataType.simpleString()
     signed = cut(rows.mapInArrow(_signed(plan), f"vec_id long, label {label}, digest binary, unit binary, signs binary"), "signed")
     classes = cut(

@@ -30,7 +30,7 @@ from galvana.llm import vectext
 from galvana.llm.blocks import block_pairs
 from galvana.llm.components import components, linked_classes
 from galvana.llm.vectext import U64
-from galvana.shared import cut
+from galvana.shared import bounded_batches, cut
 
 #: Bytes of text that a task hashes at once.
 BLOCK_BYTES = 1_000_000
@@ -270,6 +270,7 @@ def ngram_join(docs: DataFrame, plan: Plan | None = None, bucket_block: int = 25
     one document, repeated or not.
     """
     plan = plan or Plan.of()
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")  # a class's least row has an id if any has
     sketches = cut(

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galvana.llm import vectext
+from galvana.shared import bounded_batches
 
 #: Bytes and rows of text that a task turns into terms at once, and terms that it projects at once.
 BLOCK_BYTES, BLOCK_ROWS, BLOCK_TERMS = 500_000, 1000, 100_000
@@ -205,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, learns: Column, settings: Settings
     An id with several texts is learnt by one of them, the first by hash.
     """
     s = settings or Settings()
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("quality")).where(learns)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.most_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")

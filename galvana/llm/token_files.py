@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galvana.llm import vectext
-from galvana.shared import cut, new_path
+from galvana.shared import bounded_batches, cut, new_path
 
 MAGIC = b"PFR1"
 BLOCK_IDS = 256
@@ -306,6 +306,7 @@ def _segments(vocabulary, end_id: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) with the tokenizers file ``tokenizer`` and write them below ``path``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
         vocabulary = spark.sparkContext.broadcast((file.read(), vectext.character_classes()))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galvana.llm.lsh_dedup import vectors
-from galvana.shared import cut
+from galvana.shared import bounded_batches, cut
 
 BLOCK_ROWS, PAGE_BLOCKS, BATCH_QUERIES = 256, 16, 256
 #: Pages of a sheet, batches that meet a sheet in one task, and batches' parts that meet a page in one task.
@@ -326,6 +326,7 @@ def _found(k: int, block_rows: int):
 
 def topk_search(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = BLOCK_ROWS, page_blocks: int = PAGE_BLOCKS, sheet_pages: int = SHEET_PAGES) -> DataFrame:
     """``query_id, rank, vec_id, score`` for every row of ``embeddings`` that is a query, against all rows."""
+    bounded_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query"))
     # Signs of the first components: neighbours in this order share them.
     sign = F.transform(F.slice("embedding", 1, 12), lambda x: F.when(x > 0, "1").otherwise("0"))
