@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions import kernels, shapes
+from galvana.functions import kernels, pulse, shapes
 from galvana.operators.cycle import LEG
 
 #: Voltage bands of peaks.
@@ -130,6 +130,20 @@ def shape_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"
     return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, _SHAPES, f)
 
 
+def peak_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """The peak columns of both legs of a cycle, from samples that are prepared for derivatives."""
+
+    def f(g):
+        out: dict = {}
+        for prefix, leg in (("chg", "charge"), ("dchg", "discharge")):
+            m = g["leg"] == leg
+            out |= {f"{prefix}_{c}": x for c, x in shapes.leg_peaks(g["capacity"][m].astype(float), g["voltage"][m].astype(float)).items()}
+        return out
+
+    names = [c for c in shapes.COMMON if "_peak" in c]
+    return _grouped(samples, keys, ["leg", "voltage", "capacity"], order, ", ".join(f"{p}_{c} double" for p in ("chg", "dchg") for c in names), f)
+
+
 def hysteresis(samples: DataFrame, n: int = 500, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
     """``hyst_*``: areas and largest gaps between charge and discharge over the charge's share, in bands, and the reason where unknown."""
 
@@ -180,6 +194,46 @@ def pulse_parameters(pulses: DataFrame, keys: Sequence[str], order: Sequence[str
     return _grouped(pulses, keys, ["t", "r_mohm"], order, "R_ohmic double, R_ct double, tau_ct double, A_diff double, rmse double, r2 double, valid double", f)
 
 
+def constant_voltage(charges: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Charge at constant current and at constant voltage of each charge leg, by its signals."""
+    clock = "step_time" if "step_time" in charges.columns else "time"
+    counted = [c for c in ("charge_cv_capacity",) if c in charges.columns]
+
+    def f(g):
+        own = [g[c].astype(float) for c in ("voltage", "current", clock, "capacity")]
+        most = float(np.nanmax(g[counted[0]].astype(float))) if counted and np.isfinite(g[counted[0]].astype(float)).any() else np.nan
+        return pulse.constant_voltage(*own, most)
+
+    schema = ", ".join(f"{c} double" for c in pulse.CV) + ", cv_detect_method string, has_cv boolean"
+    return _grouped(charges, keys, ["voltage", "current", clock, "capacity", *counted], order, schema, f)
+
+
+def pulse_cycle_fits(samples: DataFrame, rest_max: float = 0.5, expected: float = 70.0, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Each pulse cycle's resistance parts, its recovery and the self-discharge of the rest before it; a flag where there is no fit."""
+    clock = "step_time" if "step_time" in samples.columns else "time"
+
+    def f(g):
+        t, v, i = (g[c].astype(float) for c in (clock, "voltage", "current"))
+        found, flag = pulse.trace(t - (0.0 if clock == "step_time" else t[0]), v, i, rest_max, expected=expected)
+        out: dict = dict.fromkeys(pulse.PARAMETERS, np.nan) | {"dcir_fit_valid": False, "flag": flag} | dict.fromkeys(pulse.RECOVERY, np.nan) | {"tau_consistency_flag": None}
+        if found:
+            r = np.abs(found["v0"] - found["v"]) / max(abs(found["current"]), 1e-9) * 1000
+            out |= pulse.components(found["t"], r, found["i"]) | {"pulse_current_A": abs(found["current"])}
+            loaded = np.flatnonzero(np.abs(i) > rest_max)
+            after = np.flatnonzero((np.arange(len(i)) > loaded[-1]) & (np.abs(i) <= rest_max))
+            if len(after) > 20:
+                own = t[after] - t[after[0]]
+                near = own <= 1800
+                out |= pulse.recovery(own[near], v[after][near], out["tau_ct"])
+        rest = pulse.rest_before(t, v, i, rest_max, expected=expected)
+        idle = dict.fromkeys(pulse.LEAK, np.nan) | {"sd_fit_valid": False, "sd_method": "no_rest"}
+        return out | (pulse.leak(*rest) if rest else idle)
+
+    names = (*pulse.PARAMETERS, *pulse.RECOVERY, *pulse.LEAK)
+    schema = ", ".join(f"{c} double" for c in names) + ", dcir_fit_valid boolean, flag string, tau_consistency_flag boolean, sd_fit_valid boolean, sd_method string"
+    return _grouped(samples, keys, [clock, "voltage", "current"], order, schema, f)
+
+
 def recoveries(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
     """``V_inf, tau1, tau2`` of each rest after a pulse (time, voltage)."""
     return _grouped(rests, keys, ["time", "voltage"], order, "V_inf double, tau1 double, tau2 double", lambda g: kernels.recovery_fit(g["time"] - g["time"][0], g["voltage"]))
@@ -203,26 +257,6 @@ def inflections(table: DataFrame, health: str = "SoHQ", breaks: int = 2, least:
     return _grouped(table, keys, ["cycle", health], ["cycle"], "n_breaks int, break1 double, break2 double, sse double", f)
 
 
-def evolution(curves: DataFrame, penalty: float = 1e-3, tracks: int = 3, window: int = 40, keys: Sequence[str] = ("cell_id", "leg")) -> DataFrame:
-    """Ridges over a cell's curves on one grid (cycle, curve): ``track, cycle, place, height``.
-
-    Each ridge is the best path; its neighbourhood is taken out before the next.
-    """
-
-    def f(g):
-        m = np.abs(np.stack([np.asarray(c, float) for c in g["curve"]])) if len(g["curve"]) else np.zeros((0, 0))
-        m = m - np.median(m, axis=1, keepdims=True)
-        rows = []
-        for k in range(tracks if m.size else 0):
-            path = kernels.ridge(m, penalty, window)
-            rows += [{"track": k, "cycle": int(c), "place": float(p), "height": float(m[i, p])} for i, (c, p) in enumerate(zip(g["cycle"], path, strict=True))]
-            for i, p in enumerate(path):
-                m[i, max(0, p - 5) : p + 6] = 0
-        return rows
-
-    return _grouped(curves.where(F.size("curve") > 0), keys, ["cycle", "curve"], ["cycle"], "track int, cycle int, place double, height double", f).dropna(subset=["track"])
-
-
 def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, death: float = 0.3, window: int = 3, keys: Sequence[str] = ("cell_id", "leg")) -> DataFrame:
     """``kind, ratio``: whether a track that ends (events: keys, track, cycle, lo, hi) merged into its neighbours or died.
 
@@ -250,7 +284,7 @@ def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, de
 def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[str] = LEG, most: float = 0.12) -> DataFrame:
     """Candidates (V, H) of each leg matched one to one with reference peaks (leg, peak_id, V, H, and cell_id where cells have their own).
 
-    The cost is the distance in V and 0.015 of that in H; pairs above ``most`` are
+    The cost is the distance in V and 0.015 of that in the size of H; pairs above ``most`` are
     left out. A cell's reference peaks of a leg are few, so they travel as one row.
     """
     on = [c for c in ("cell_id", "leg") if c in references.columns]
@@ -260,7 +294,7 @@ def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[st
 
     def f(g):
         v, h, ids = np.asarray(g["_v"][0], float), np.asarray(g["_h"][0], float), list(g["_id"][0])
-        cost = np.abs(g["V"][:, None] - v) + 0.015 * np.abs(g["H"][:, None] - h)
+        cost = np.abs(g["V"][:, None] - v) + 0.015 * np.abs(np.abs(g["H"])[:, None] - np.abs(h))
         return [{"peak_id": str(ids[b]), "V": float(g["V"][a]), "H": float(g["H"][a]), "cost": float(cost[a, b])} for a, b in kernels.assign(cost, most)]
 
     return _grouped(joined, keys, ["V", "H", "_v", "_h", "_id"], ["V"], "peak_id string, V double, H double, cost double", f).dropna(subset=["peak_id"])

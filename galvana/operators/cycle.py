@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions.expr import at_most, ratio
+from galvana.functions.expr import at_most, clip, finite, ratio
 from galvana.operators.asof import sample_at
-from galvana.operators.segment import continuity_reason, counter_reason
+from galvana.operators.segment import continuity_reason, continuous_windows, counter_reason, tagged_windows
 
 LEG = ("cell_id", "cycle", "leg")
 
@@ -148,6 +148,137 @@ def noise_sigma(samples: DataFrame, v: str = "voltage", window: int = 50, keys:
     return samples.select(*keys).distinct().join(found, list(keys), "left")
 
 
+#: Target and weight of each quality metric.
+QUALITY_TARGETS = {"samples_per_mV": (0.5, 0.25), "dqdv_snr": (10.0, 0.25), "leg_completeness": (0.9, 0.2), "rest_sufficiency": (3.0, 0.15), "pulse_stability": (1.0, 0.15)}
+
+
+def quality_metrics(
+    samples: DataFrame, v_window: tuple[float, float] = (2.5, 4.2), rest_max: float = 0.5, tau_s: float | None = None, pulse_current: float | None = None,
+    keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",),
+) -> DataFrame:
+    """Every quality metric of a cycle, their score and what failed.
+
+    Pulse metrics need a pulse current and a step clock, rest sufficiency a measured
+    relaxation time. The score is the weighted geometric mean of what is known over
+    its target (at most 1); status is failed where one misses its target, partial
+    where some are unknown, assessed where none is, unknown without any.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    v = finite("voltage")
+    sound = samples.withColumn("_v", v).where("_v is not null").withColumn("_step", F.nullif(F.abs(F.col("_v") - F.lag("_v").over(w)), F.lit(0.0)))
+    found = samples.select(*keys).distinct()
+    spans = sound.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max("_v") - F.min("_v")).alias("_span"), F.min("_step").alias("quant_step_est"))
+    found = found.join(spans, list(keys), "left").join(noise_sigma(samples, "voltage", 50, keys, order).withColumnRenamed("noise_sigma", "v_noise_sigma"), list(keys), "left")
+    if "temperature" in samples.columns:
+        warm = samples.groupBy(*keys).agg((F.count(finite("temperature")) > 0).alias("temperature_available"))
+        found = found.join(warm, list(keys), "left")
+    else:
+        found = found.withColumn("temperature_available", F.lit(False))
+    step = "step_no" if "step_no" in samples.columns else None
+    size = F.abs("current")
+    found = found.withColumns({c: F.lit(None).cast("double") for c in ("pulse_sample_count_1s", "pulse_current_stability", "rest_sufficiency")})
+    if "step_time" in samples.columns and pulse_current is not None:
+        rows = tagged_windows(samples, finite(size) >= pulse_current, keys, order, "step_time", step)
+        rows = rows.where("window_id = 1").withColumn("_t", F.col("step_time") - F.min("step_time").over(Window.partitionBy(*keys)))
+        pulse = rows.groupBy(*keys).agg(
+            F.sum((F.col("_t") <= 1).cast("double")).alias("pulse_sample_count_1s"), F.when(F.count("*") > 1, ratio(F.stddev_pop(size), F.median(size))).alias("pulse_current_stability")
+        )
+        found = found.drop("pulse_sample_count_1s", "pulse_current_stability").join(pulse, list(keys), "left")
+    if "step_time" in samples.columns and tau_s:
+        rests = continuous_windows(samples, finite(size) <= rest_max, keys, order, "step_time", step)
+        longest = rests.groupBy(*keys).agg((F.max(F.col("last_time") - F.col("first_time")) / tau_s).alias("rest_sufficiency"))
+        found = found.drop("rest_sufficiency").join(longest, list(keys), "left")
+    known = F.col("_n") >= 2
+    found = found.withColumns({
+        "samples_per_mV": F.when(known & (F.col("_span") * 1000 > 1e-6), F.col("_n") / (F.col("_span") * 1000)),
+        "leg_completeness": at_most(F.col("_span") / max(v_window[1] - v_window[0], 1e-9), 1.0),
+        "dqdv_snr": ratio("_span", "v_noise_sigma"),
+        "pulse_threshold_a": F.lit(pulse_current).cast("double"),
+        "pulse_threshold_source": F.lit("unconfigured" if pulse_current is None else "explicit_A"),
+    })
+    values = {name: F.col(name) for name in QUALITY_TARGETS if name != "pulse_stability"} | {"pulse_stability": F.greatest(F.lit(0.0), 1 - F.col("pulse_current_stability") / 0.02)}
+    values["pulse_stability"] = F.when(F.col("pulse_current_stability").isNotNull(), values["pulse_stability"])
+    weight, logs, zero = F.lit(0.0), F.lit(0.0), F.lit(False)
+    failed = []
+    for name, (target, share) in QUALITY_TARGETS.items():
+        part = clip(values[name] / target, 0.0, 1.0)
+        weight = weight + F.when(part.isNotNull(), share).otherwise(0.0)
+        logs = logs + F.when(part > 0, F.ln(part) * share).otherwise(0.0)
+        zero = zero | F.coalesce(part <= 0, F.lit(False))
+        failed.append(F.when(part < 1, F.lit(name)))
+    found = found.withColumns({"_w": weight, "_l": logs, "_z": zero, "_f": F.array_compact(F.array(*failed))})
+    some = F.col("_w") > 0
+    status = F.when(F.size("_f") > 0, "failed").when(some & (F.col("_w") < 1 - 1e-9), "partial").when(some, "assessed").otherwise("unknown")
+    return found.withColumns({
+        "quality_score": F.when(some, F.when(F.col("_z"), 0.0).otherwise(F.exp(F.col("_l") / F.col("_w")))),
+        "quality_evidence_coverage": F.col("_w"),
+        "quality_status": status,
+        "quality_gate_failed_groups": F.array_join("_f", ","),
+    }).drop("_n", "_span", "_w", "_l", "_z", "_f")
+
+
+def _in_ah(c: Column) -> Column:
+    """Step-end capacities in Ah: large numbers are mAh, none at all is unknown."""
+    x = finite(c)
+    return F.when(F.abs(x) >= 1e-12, F.when(F.abs(x) > 200, x / 1000).otherwise(x))
+
+
+def step_cycle_rows(steps: DataFrame, keys: Sequence[str] = ("cell_id", "cycle")) -> DataFrame:
+    """The cycle row of step ends: cutoffs, capacities, times, impedances, rests and what follows from them.
+
+    A leg's row is that of its largest capacity (without any, its last); the rest
+    after it is the first rest of a higher step number.
+    """
+    have = set(steps.columns)
+    pick = lambda *names: F.coalesce(*(finite(c) for c in names if c in have), F.lit(None).cast("double"))
+    order = F.col("step_no") if "step_no" in have else F.col("row_id")
+    fields = {"V": pick("voltage"), "I": pick("current"), "AvgV": pick("AvgVoltage", "voltage") if "AvgVoltage" in have else F.lit(None).cast("double"), "Z": pick("Impedance"), "T": pick("temperature"), "s": pick("step_time_s"), "no": order}
+    legs = {"chg": ("charge", pick("charge_capacity", "capacity")), "dchg": ("discharge", pick("discharge_capacity", "capacity"))}
+    rows = steps.withColumns({"_no": order})
+    primary = rows.groupBy(*keys).agg(
+        *(F.max(F.when(F.col("step_type") == leg, F.struct(q.isNotNull().alias("known"), q.alias("q"), F.when(q.isNull(), order).alias("last"), (-order).alias("first"), *(x.alias(c) for c, x in fields.items())))).alias(f"_{p}") for p, (leg, q) in legs.items()),
+        F.count("*").alias("n_steps"),
+    )
+    rests = rows.where("step_type = 'rest'").select(*keys, "_no", pick("voltage").alias("_v"), pick("step_time_s").alias("_s")).join(primary.select(*keys, F.col("_chg.no").alias("_c"), F.col("_dchg.no").alias("_d")), list(keys))
+    after = rests.groupBy(*keys).agg(*(F.min(F.when(F.col("_no") > F.col(at), F.struct("_no", "_v", "_s"))).alias(f"_after_{p}") for p, at in (("chg", "_c"), ("dchg", "_d"))))
+    found = primary.where("_chg is not null or _dchg is not null").join(after, list(keys), "left")
+    out = {}
+    for p, end in (("chg", "EoC"), ("dchg", "EoD")):
+        g = lambda c: F.col(f"_{p}.{c}")  # noqa: B023, E731
+        v_end = F.col(f"_after_{p}._v")
+        out |= {
+            f"{p}Capa": _in_ah(g("q")), f"{p}_V_cutoff": g("V"), f"{p}_AvgV": g("AvgV"), f"{p}_step_time_s": g("s"), f"impedance_{p}": g("Z"), f"{p}_temp_avg": g("T"),
+            f"{end}_restV_init": v_end if p == "chg" else F.when(F.col(f"_after_{p}").isNotNull(), g("V")), f"{end}_restV_end": v_end, f"{end}_restV_60s": F.lit(None).cast("double"), f"{end}_restV_30m": v_end, f"rest_after_{p}_s": F.col(f"_after_{p}._s"),
+        }
+    out["chg_I_cutoff"] = F.col("_chg.I")
+    found = found.select(*keys, "n_steps", *(x.alias(c) for c, x in out.items()))
+    return found.withColumns({
+        "CE": F.when(F.col("chgCapa") > 0, ratio("dchgCapa", "chgCapa") * 100),
+        "V_hyst_proxy": F.col("chg_AvgV") - F.col("dchg_AvgV"),
+        "impedance_ratio": F.when((F.col("impedance_dchg") > 0) & (F.col("impedance_chg") != 0), ratio("impedance_chg", "impedance_dchg")),
+        "rest_drop_EoC": F.col("EoC_restV_init") - F.col("EoC_restV_end"),
+        "rest_drop_EoD": F.col("EoD_restV_init") - F.col("EoD_restV_end"),
+    })
+
+
+#: Step-end columns with a difference from the baseline.
+STEP_DELTAS = ("EoC_restV_30m", "EoC_restV_end", "EoD_restV_30m", "EoD_restV_end", "chgCapa", "dchgCapa")
+
+
+def step_deltas(table: DataFrame, baseline_cycle: int | None = None, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
+    """Add ``delta_*``, SoHQ and CE_rev to step-end rows; without a baseline cycle the first of over 1 Ah counts, else the first."""
+    w = Window.partitionBy(*keys)
+    wanted = F.col("cycle") == baseline_cycle if baseline_cycle is not None else F.coalesce(F.col("dchgCapa") > 1.0, F.lit(False))
+    base = F.min(F.struct((~wanted).alias("other"), "cycle", *STEP_DELTAS)).over(w)
+    rows = table.withColumn("_base", base)
+    rows = rows.withColumns({f"delta_{c}": F.col(c) - F.col(f"_base.{c}") for c in STEP_DELTAS})
+    rows = rows.withColumns({
+        "SoHQ": F.when(F.col("_base.dchgCapa") > 0, F.col("dchgCapa") / F.col("_base.dchgCapa") * 100),
+        "CE_rev": F.when(F.col("dchgCapa") > 0, F.lead("chgCapa").over(w.orderBy("cycle")) / F.col("dchgCapa") * 100),
+    })
+    return rows.drop("_base")
+
+
 def step_features(steps: DataFrame, keys: Sequence[str] = ("cell_id", "cycle")) -> DataFrame:
     """``chgCapa, dchgCapa, n_steps`` from step-end rows: each leg's primary row is that of the largest capacity."""
     pick = lambda leg: F.max(F.when(F.col("step_type") == leg, F.col("capacity")))

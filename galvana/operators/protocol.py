@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galvana.operators.segment import consecutive_blocks
+from galvana.operators.segment import consecutive_blocks, with_runs
 
 #: Fixed values of the protocol rules.
 ROUTINE_STEPS = 4
@@ -15,6 +17,21 @@ CAPA_FULL_I_RATIO = 0.85
 CAPA_FULL_MIN_AH = 10.0
 
 
+def steps_of(samples: DataFrame, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Step rows (``dchg, current``) out of samples with ``kind``: the last sample of each step of a cycle.
+
+    A step is a step number where the samples have one, else a run of one kind.
+    """
+    keys = ["cell_id", "cycle"]
+    if "step_no" in samples.columns:
+        rows, step = samples, "step_no"
+    else:
+        rows, step = with_runs(samples, order=order), "run_id"
+    q = F.col("discharge_capacity") if "discharge_capacity" in samples.columns else F.when(F.col("kind") == "discharge", F.col("capacity"))
+    last = rows.groupBy(*keys, step).agg(F.max(F.struct(*order, q.alias("dchg"), F.col("current").alias("i"))).alias("_last"))
+    return last.select(*keys, "_last.dchg", F.col("_last.i").alias("current"))
+
+
 def cycle_steps(steps: DataFrame) -> DataFrame:
     """``n_steps, dchg, n_currents, i_median`` of every cycle from step rows (dchg, current)."""
     i = F.abs("current")

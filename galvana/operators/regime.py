@@ -64,12 +64,12 @@ def local_slope(y: str, half: int = 15, keys: Sequence[str] = ("cell_id",), leas
 
 
 def block_relaxation(features: DataFrame, blocks: DataFrame, q: str = "dchgCapa", noise_floor_pct: float = 0.065) -> DataFrame:
-    """``q_relax, q_relax_pct, significant`` of each block: its second cycle's capacity less its first's."""
+    """``q_relax, q_relax_pct, significant`` of each block: its second cycle's capacity less its first's, also in % of the second's."""
     inside = blocks.join(features.select("cell_id", "cycle", F.col(q).alias("_q")), "cell_id").where((F.col("cycle") == F.col("block_start")) | (F.col("cycle") == F.col("block_start") + 1))
     found = inside.groupBy("cell_id", "block_start", "block_end").agg(
         F.max(F.when(F.col("cycle") == F.col("block_start"), F.col("_q"))).alias("q1"), F.max(F.when(F.col("cycle") == F.col("block_start") + 1, F.col("_q"))).alias("q2")
     )
-    pct = ratio(F.col("q2") - F.col("q1"), "q1") * 100
+    pct = ratio(F.col("q2") - F.col("q1"), "q2") * 100
     return found.select("cell_id", "block_start", "block_end", (F.col("q2") - F.col("q1")).alias("q_relax"), pct.alias("q_relax_pct"), (F.abs(pct) > noise_floor_pct).alias("significant"))
 
 

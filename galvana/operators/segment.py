@@ -106,19 +106,52 @@ def capacity_runs(samples: DataFrame, q: str, reset_drop: float = 0.5, keys: Seq
     return samples.withColumn("_fell", fell).withColumn("capacity_run", F.sum("_fell").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fell")
 
 
-def continuous_windows(samples: DataFrame, valid: Column, keys: Sequence[str] = KEYS, order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Runs of valid samples that end where time does not rise, the step changes or the current changes sign."""
+def tagged_windows(samples: DataFrame, valid: Column, keys: Sequence[str] = KEYS, order: Sequence[str] = ("row_id",), clock: str = "time", step: str | None = "step_type") -> DataFrame:
+    """The valid samples with ``window_id``: runs that end where time does not rise, the step changes or the current changes sign."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = samples.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    rows = samples.withColumn("_valid", F.coalesce(valid & F.col(clock).isNotNull(), F.lit(False)))
     new = (
         ~F.coalesce(F.lag("_valid").over(w), F.lit(False))
-        | ~F.coalesce(F.col("time") > F.lag("time").over(w), F.lit(False))
-        | ~F.col("step_type").eqNullSafe(F.lag("step_type").over(w))
+        | ~F.coalesce(F.col(clock) > F.lag(clock).over(w), F.lit(False))
+        | (~F.col(step).eqNullSafe(F.lag(step).over(w)) if step else F.lit(False))
         | (F.signum("current") != F.lag(F.signum("current")).over(w))
     )
     rows = rows.withColumn("_new", (F.col("_valid") & new).cast("int"))
-    rows = rows.withColumn("window_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_valid")
-    return rows.groupBy(*keys, "window_id").agg(F.count("*").alias("n"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    return rows.withColumn("window_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_valid").drop("_valid", "_new")
+
+
+def continuous_windows(samples: DataFrame, valid: Column, keys: Sequence[str] = KEYS, order: Sequence[str] = ("row_id",), clock: str = "time", step: str | None = "step_type") -> DataFrame:
+    """One row for each window of valid samples: ``window_id, n, first_time, last_time``."""
+    rows = tagged_windows(samples, valid, keys, order, clock, step)
+    return rows.groupBy(*keys, "window_id").agg(F.count("*").alias("n"), F.min(clock).alias("first_time"), F.max(clock).alias("last_time"))
+
+
+def leg_samples(samples: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Charge and discharge samples (of ``kind``) with ``leg`` and whether the leg's acquisition is ``disjoint``."""
+    rows = with_runs(samples, keys=keys, order=order).where(F.col("kind").isin("charge", "discharge")).withColumn("leg", F.col("kind"))
+    w = Window.partitionBy(*keys, "leg")
+    return rows.withColumn("disjoint", F.max("run_id").over(w) != F.min("run_id").over(w)).drop("run_id")
+
+
+def for_derivatives(legs: DataFrame, q: str = "capacity", keys: Sequence[str] = (*KEYS, "leg"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """Samples of legs to differentiate: without the slow start, a discharge without pulses, a charge without its constant-voltage tail.
+
+    The tail starts where the current stays below 92 % of its early median for five
+    samples, after the first tenth of the samples and 85 % of the charge.
+    """
+    rows = trim_leading(legs, q, keys, order)
+    charge, discharge = (rows.where(F.col("leg") == leg) for leg in ("charge", "discharge"))
+    w = Window.partitionBy(*keys)
+    by = w.orderBy(*order)
+    a = F.abs("current")
+    placed = charge.withColumns({"_p": F.row_number().over(by), "_n": F.count("*").over(w), "_q": F.col(q) / F.nullif(F.max(q).over(w), F.lit(0.0))})
+    early = placed.where(F.col("_p") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(4))).groupBy(*keys).agg(F.median(F.when(a > 0, a)).alias("_cc"))
+    placed = placed.join(early, list(keys), "left").withColumn("_low", (a < 0.92 * F.col("_cc")).cast("int"))
+    ahead = by.rowsBetween(0, 4)
+    tail = (F.min("_low").over(ahead) == 1) & (F.count("*").over(ahead) == 5) & (F.col("_p") > F.col("_n") * 0.1) & (F.col("_q") >= 0.85)
+    placed = placed.withColumn("_tail", tail).withColumn("_from", F.min(F.when(F.col("_tail"), F.col("_p"))).over(w))
+    charge = placed.where(F.col("_from").isNull() | (F.col("_p") < F.col("_from"))).select(*rows.columns)
+    return charge.unionByName(drop_pulse_rows(discharge, keys))
 
 
 def continuity_reason(samples: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",), index: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, curves, cycle, diagnose, doe, isolation, mechanism, peaks, protocol, pulses, regime, score, segment, trajectory
+from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, isolation, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, trajectory
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -237,6 +237,45 @@ def landmark_resistance(spark, sf_dir):
     return cycle.landmark_resistance(views.legs(spark, sf_dir), (0.0, 3600.0, 86400.0), order=ORDER)
 
 
+_REST_OFFSETS = (0.0, 3600.0, 21600.0)
+
+
+@query("rest_voltages", f"""
+    SELECT cell_id, cycle, run_id, after_leg, {R('rest_duration_s', digits=3)}, "offset", {R('voltage')}, status FROM (
+      SELECT *, CASE WHEN status IN ('ok', 'single_point') THEN CASE WHEN x1 <= x0 THEN y0 ELSE y0 + (y1 - y0) * ("offset" - x0) / nullif(x1 - x0, 0) END END AS voltage FROM (
+        SELECT *, CASE WHEN "offset" > rest_duration_s + 1e-9 THEN 'beyond_rest' WHEN n = 1 THEN 'single_point' ELSE 'ok' END AS status FROM (
+          SELECT cell_id, cycle, run_id, after_leg, "offset", max(t) AS rest_duration_s, count(*) AS n, max(t) FILTER (t <= "offset" + 1e-9) AS x0, min(t) FILTER (t >= "offset" - 1e-9) AS x1,
+            arg_max(voltage, (t, -voltage)) FILTER (t <= "offset" + 1e-9) AS y0, arg_min(voltage, (t, voltage)) FILTER (t >= "offset" - 1e-9) AS y1
+          FROM v_rest_samples, (VALUES (0.0::DOUBLE), (3600.0), (21600.0)) o("offset") GROUP BY ALL)))""",
+    v_runs=_RUNS, v_run=_RUN,
+    v_rest_samples="""
+        SELECT r.cell_id, r.cycle, CAST(r.run_id AS BIGINT) AS run_id, p.previous_kind AS after_leg, CASE WHEN count(*) OVER w >= 2 THEN time - min(time) OVER w ELSE 0.0 END AS t, voltage
+        FROM v_runs r JOIN v_run p ON p.cell_id = r.cell_id AND p.cycle = r.cycle AND p.run_id = r.run_id WHERE p.kind = 'rest' AND p.previous_kind IN ('charge', 'discharge')
+        WINDOW w AS (PARTITION BY r.cell_id, r.cycle, r.run_id)""")
+def rest_voltages(spark, sf_dir):
+    return rests.rest_voltages(_kinds(spark, sf_dir), _REST_OFFSETS, order=ORDER).withColumn("rest_duration_s", F.round("rest_duration_s", 3))
+
+
+@query("quality_metrics", f"""
+    SELECT cell_id, cycle, {R('samples_per_mV', 'leg_completeness', 'dqdv_snr', 'quality_score', digits=5)}, coverage AS quality_evidence_coverage, failed AS quality_gate_failed_groups,
+      CASE WHEN failed <> '' THEN 'failed' WHEN coverage > 0 THEN 'partial' ELSE 'unknown' END AS quality_status FROM (
+      SELECT *, CASE WHEN coverage = 0 THEN NULL WHEN least(coalesce(a, 1), coalesce(b, 1), coalesce(c, 1)) <= 0 THEN 0 ELSE exp((0.25 * coalesce(ln(a), 0) + 0.25 * coalesce(ln(b), 0) + 0.2 * coalesce(ln(c), 0)) / coverage) END AS quality_score,
+        array_to_string([x for x in [CASE WHEN a < 1 THEN 'samples_per_mV' END, CASE WHEN b < 1 THEN 'dqdv_snr' END, CASE WHEN c < 1 THEN 'leg_completeness' END] if x IS NOT NULL], ',') AS failed FROM (
+        SELECT *, CASE WHEN a IS NULL THEN 0 ELSE 0.25 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END + CASE WHEN c IS NULL THEN 0 ELSE 0.2 END AS coverage FROM (
+          SELECT *, CASE WHEN samples_per_mV IS NOT NULL THEN least(1, samples_per_mV / 0.5) END AS a, CASE WHEN dqdv_snr IS NOT NULL THEN least(1, dqdv_snr / 10) END AS b, CASE WHEN leg_completeness IS NOT NULL THEN least(1, leg_completeness / 0.9) END AS c FROM (
+            SELECT s.cell_id, s.cycle, CASE WHEN n >= 2 AND span * 1000 > 1e-6 THEN n / (span * 1000) END AS samples_per_mV, least(1.0, span / 1.7) AS leg_completeness, span / nullif(sigma, 0) AS dqdv_snr FROM (
+              SELECT cell_id, cycle, count(voltage) AS n, max(voltage) - min(voltage) AS span FROM v_samples GROUP BY ALL) s
+            LEFT JOIN v_sigma g ON g.cell_id = s.cell_id AND g.cycle = s.cycle))))""",
+    v_sigma="""
+        SELECT cell_id, cycle, sqrt(greatest(0, sum(yy - xy * xy / xx) / sum(n))) AS sigma FROM (
+          SELECT cell_id, cycle, k, count(*) AS n, regr_syy(voltage, p) AS yy, regr_sxy(voltage, p) AS xy, regr_sxx(voltage, p) AS xx FROM (
+            SELECT *, row_number() OVER (PARTITION BY cell_id, cycle ORDER BY time, row_id) - 1 AS p, count(*) OVER (PARTITION BY cell_id, cycle) AS n FROM v_samples), LATERAL (SELECT unnest(range(greatest(0, (p - 24) // 25), p // 25 + 1)) AS k)
+          WHERE n >= 100 AND k * 25 < n - 50 AND p >= k * 25 AND p < k * 25 + 50 GROUP BY ALL) GROUP BY ALL""")
+def quality_metrics(spark, sf_dir):
+    found = cycle.quality_metrics(views.samples(spark, sf_dir), order=ORDER)
+    return rounded(found.select("cell_id", "cycle", "samples_per_mV", "leg_completeness", "dqdv_snr", "quality_score", "quality_evidence_coverage", "quality_gate_failed_groups", "quality_status"), 5)
+
+
 @query("cycle_quality", f"""SELECT cell_id, cycle, {R('quant_step', 'samples_per_mv', 'completeness', 'quality_score')} FROM (SELECT *, CASE WHEN least(1, samples_per_mv) <= 0 OR completeness <= 0 THEN 0.0 ELSE exp(0.4 * ln(least(1, samples_per_mv)) + 0.6 * ln(completeness)) END AS quality_score FROM (
   SELECT cell_id, cycle, min(step) AS quant_step, count(*) / nullif((max(voltage) - min(voltage)) * 1000, 0) AS samples_per_mv, least(1.0, (max(voltage) - min(voltage)) / (4.2 - 2.5)) AS completeness FROM (
   SELECT *, nullif(abs(voltage - lag(voltage) OVER (PARTITION BY cell_id, cycle ORDER BY time, row_id)), 0) AS step FROM v_samples) GROUP BY ALL))""")
@@ -457,7 +496,7 @@ def singularities(spark, sf_dir):
     return rounded(regime.singularities(_health(spark, sf_dir), INDICATORS, (30, 60)), 5)
 
 
-@query("block_relaxation", f"""SELECT cell_id, block_start, block_end, {R('q_relax', 'q_relax_pct')}, abs(q_relax_pct) > 0.065 AS significant FROM (SELECT cell_id, block_start, block_end, q2 - q1 AS q_relax, (q2 - q1) / nullif(q1, 0) * 100 AS q_relax_pct FROM (
+@query("block_relaxation", f"""SELECT cell_id, block_start, block_end, {R('q_relax', 'q_relax_pct')}, abs(q_relax_pct) > 0.065 AS significant FROM (SELECT cell_id, block_start, block_end, q2 - q1 AS q_relax, (q2 - q1) / nullif(q2, 0) * 100 AS q_relax_pct FROM (
   SELECT b.cell_id, block_start, block_end, max(dchgCapa) FILTER (cycle = block_start) AS q1, max(dchgCapa) FILTER (cycle = block_start + 1) AS q2 FROM v_block b JOIN v_cycle c ON c.cell_id = b.cell_id AND cycle IN (block_start, block_start + 1) GROUP BY ALL))""", v_cycle=views.CYCLES, v_block=_BLOCKS)
 def block_relaxation(spark, sf_dir):
     c = views.cycles(spark, sf_dir)
@@ -695,17 +734,49 @@ def shape_distance(spark, sf_dir):
     return curves.shape_distance(curves.normalised_curves(_monthly(spark, sf_dir)), baseline_cycle=1995)
 
 
+def _maps(spark, sf_dir):
+    """A supplier's years as discharges on the fixed grid."""
+    return evolution.evolution_map(_monthly(spark, sf_dir))
+
+
+@query("evolution_map")
+def evolution_map(spark, sf_dir):
+    return _maps(spark, sf_dir)
+
+
 @query("peak_evolution")
 def peak_evolution(spark, sf_dir):
-    return curves.evolution(curves.normalised_curves(_monthly(spark, sf_dir), 64), window=8)
+    return evolution.tracks(_maps(spark, sf_dir))
+
+
+@query("peak_summary")
+def peak_summary(spark, sf_dir):
+    return evolution.summary(evolution.tracks(_maps(spark, sf_dir)))
+
+
+@query("peak_events")
+def peak_events(spark, sf_dir):
+    maps = _maps(spark, sf_dir)
+    return evolution.events(evolution.tracks(maps), maps)
+
+
+@query("evolution_preflight")
+def evolution_preflight(spark, sf_dir):
+    return evolution.preflight(_maps(spark, sf_dir))
+
+
+@query("steep_onsets")
+def steep_onsets(spark, sf_dir):
+    return evolution.steep_onsets(_monthly(spark, sf_dir))
 
 
 @query("peak_disappearances")
 def peak_disappearances(spark, sf_dir):
     """Each ridge's every cycle, asked whether the area around it stays."""
-    maps = curves.normalised_curves(_monthly(spark, sf_dir), 64)
-    tracks = curves.evolution(maps, window=8)
-    return curves.disappearances(maps, tracks.select("cell_id", "leg", "track", "cycle", F.greatest(F.lit(0.0), F.col("place") - 5).alias("lo"), F.least(F.lit(64.0), F.col("place") + 6).alias("hi")))
+    maps = _maps(spark, sf_dir)
+    tracks = evolution.tracks(maps)
+    width = F.col("half_width")
+    return curves.disappearances(maps, tracks.select("cell_id", "leg", "track", "cycle", F.greatest(F.lit(0.0), (F.col("place") - width).cast("double")).alias("lo"), (F.col("place") + width + 1).cast("double").alias("hi")))
 
 
 @query("health_inflections")
@@ -834,6 +905,61 @@ def step_features(spark, sf_dir):
 _TIMED = "SELECT *, (time - min(time) OVER (PARTITION BY cell_id, leg)) / 86400 AS t, capacity / 100 AS r_mohm FROM v_leg"
 
 
+# Recoveries and pulse blocks
+
+
+def _recovered(spark, sf_dir):
+    table = _health(spark, sf_dir).select("cell_id", "cycle", "SoHQ")
+    flags = _flags(spark, sf_dir)
+    return recovery.analyze(table, protocol.protocol_kinds(flags, post=1), flags)
+
+
+@query("recovery_blocks")
+def recovery_blocks(spark, sf_dir):
+    return _recovered(spark, sf_dir)["blocks"]
+
+
+@query("recovery_segments")
+def recovery_segments(spark, sf_dir):
+    return _recovered(spark, sf_dir)["segments"]
+
+
+@query("recovery_onsets")
+def recovery_onsets(spark, sf_dir):
+    return _recovered(spark, sf_dir)["onsets"]
+
+
+@query("health_corrected")
+def health_corrected(spark, sf_dir):
+    return _recovered(spark, sf_dir)["corrected"]
+
+
+@query("capacity_relaxation", f"""
+    SELECT cell_id, cycle, {R('Q_relax', 'Q_relax_pct')}, abs(Q_relax_pct) > 0.065 AS Q_relax_significant FROM (
+      SELECT p.cell_id, unnest([p.c1, p.c2]) AS cycle, b.dchgCapa - a.dchgCapa AS Q_relax, (b.dchgCapa - a.dchgCapa) / nullif(b.dchgCapa, 0) * 100 AS Q_relax_pct
+      FROM (SELECT cell_id, block_start AS c1, block_start + 1 AS c2 FROM v_block WHERE block_end > block_start) p JOIN v_cycle a ON a.cell_id = p.cell_id AND a.cycle = c1 JOIN v_cycle b ON b.cell_id = p.cell_id AND b.cycle = c2
+      WHERE least(a.dchgCapa, b.dchgCapa) >= 10)""", v_cycle=views.CYCLES, v_block=_BLOCKS)
+def capacity_relaxation(spark, sf_dir):
+    c = views.cycles(spark, sf_dir)
+    blocks = segment.consecutive_blocks(c.where("n_steps <> 6"), min_len=2)
+    return dcir.relaxation(c, blocks.select("cell_id", F.col("block_start").alias("c1"), (F.col("block_start") + 1).alias("c2")), "Q_relax")
+
+
+@query("ocv_blocks", f"""
+    SELECT cell_id, block_id, block_start_cycle, {R('ocv_spread_20_80', 'ocv_parallel_shift')}, ocv_drift_mode FROM (
+      SELECT *, CASE WHEN n = 1 THEN 'baseline' WHEN still THEN 'stable' WHEN line AND NOT wide THEN 'parallel_shift' WHEN wide AND line THEN 'spread_and_shift' WHEN wide THEN 'spread_change' WHEN 2 * c > 0.01 THEN 'local_soc50' ELSE 'stable' END AS ocv_drift_mode,
+        CASE WHEN n = 1 OR still THEN 0 ELSE (d80 + d50 + d20) / 3 END AS ocv_parallel_shift FROM (
+        SELECT *, c * sqrt(2) < 0.005 AS line, abs(d20 - d80) > 0.01 AS wide, greatest(abs(d80), abs(d50), abs(d20)) < 0.005 AND abs(d20 - d80) < 0.01 AS still FROM (
+          SELECT *, abs(d80 - 2 * d50 + d20) / 6 AS c FROM (
+            SELECT cell_id, cycle AS block_id, cycle AS block_start_cycle, v20 - v80 AS ocv_spread_20_80, row_number() OVER w AS n, v80 - first(v80) OVER w AS d80, v50 - first(v50) OVER w AS d50, v20 - first(v20) OVER w AS d20 FROM (
+              SELECT cell_id, cycle, R10 AS v80, 0.04 + R10 * 0.5 AS v50, dchgCapa / 10000 AS v20 FROM v_cycle) WINDOW w AS (PARTITION BY cell_id ORDER BY cycle)))))""")
+def ocv_blocks(spark, sf_dir):
+    c = views.cycles(spark, sf_dir)
+    volts = F.array(*(F.struct(F.lit(s).alias("soc"), v.alias("V_inf_rest")) for s, v in ((80, F.col("R10")), (50, 0.04 + F.col("R10") * 0.5), (20, F.col("dchgCapa") / 10000))))
+    rows = c.select("cell_id", F.col("cycle").alias("block_id"), F.col("cycle").alias("block_start"), F.inline(volts), F.lit(None).cast("double").alias("relax_completeness"))
+    return dcir.ocv_blocks(rows).select("cell_id", "block_id", "block_start_cycle", "ocv_spread_20_80", "ocv_parallel_shift", "ocv_drift_mode")
+
+
 @query("root_time_slopes", f"""SELECT cell_id, leg, lo, hi, n, {R('slope', 'r2', digits=5)} FROM (SELECT cell_id, leg, lo, hi, count(*) AS n, CASE WHEN count(*) > 1 THEN regr_slope(r_mohm, sqrt(t)) END AS slope, covar_pop(r_mohm, sqrt(t)) * covar_pop(r_mohm, sqrt(t)) / nullif(var_pop(r_mohm) * var_pop(sqrt(t)), 0) AS r2
   FROM v_timed JOIN (VALUES (1.0::DOUBLE, 10.0::DOUBLE), (10.0, 30.0)) w(lo, hi) ON t BETWEEN lo AND hi GROUP BY ALL)""", v_leg=views.LEGS, v_timed=_TIMED)
 def root_time_slopes(spark, sf_dir):

@@ -115,6 +115,23 @@ def read_cycler_csv(spark: SparkSession, path: str | Sequence[str], column_map:
     return rows.withColumn("cell_id", cell_id_of("file")) if "cell_id" not in rows.columns else rows
 
 
+def raw_paths(spark: SparkSession, folder: str) -> list[str]:
+    """The raw files of a folder: ``*_raw.csv`` where there are any, else ``*.csv``. Names alone come to the driver."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for pattern in ("*_raw.csv", "*.csv"):
+        found = sorted(str(x.getPath()) for x in files.globStatus(jvm.org.apache.hadoop.fs.Path(path, pattern)) or [])
+        if found:
+            return found
+    return []
+
+
+def step_end_path(raw_path: str) -> str:
+    """The step-end file beside a raw file, by name."""
+    return re.sub(r"(?:_raw)?\.csv$", "_StepEnd.csv", raw_path)
+
+
 def step_duration_s(value: Column | str) -> Column:
     """Seconds of ``H:M:S``, ``M:S`` or a number; null for anything else."""
     v = F.trim(F.col(value) if isinstance(value, str) else value)
