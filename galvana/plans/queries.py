@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, isolation, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, trajectory
+from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, isolation, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -232,9 +232,20 @@ def efficiencies(spark, sf_dir):
     return rounded(cycle.efficiencies(cycle.leg_features(s, order=ORDER).join(cycle.leg_energy(s, order=ORDER), list(cycle.LEG))), 2)
 
 
-@query("landmark_resistance")
+def _between(c: str) -> str:
+    """A value between its neighbours in time (``{c}_a`` at x0 and ``{c}_b`` at x1), in SQL."""
+    return f"""CASE WHEN x1 IS NULL THEN NULL WHEN x0 IS NULL THEN {c}_b WHEN x1 <= x0 THEN {c}_a ELSE {c}_a + ({c}_b - {c}_a) * ("offset" - x0) / nullif(x1 - x0, 0) END"""
+
+
+@query("landmark_resistance", f"""
+    SELECT cell_id, cycle, leg, "offset", {R('r_mohm', digits=3)} FROM (
+      SELECT *, abs(v0 - {_between('v')}) * 1000 / nullif(abs({_between('i')}), 0) AS r_mohm FROM (
+        SELECT cell_id, cycle, leg, "offset", min(first_v) AS v0, max(t) FILTER (t <= "offset" + 1e-9) AS x0, min(t) FILTER (t >= "offset" - 1e-9) AS x1,
+          arg_max(voltage, (t, -voltage)) FILTER (t <= "offset" + 1e-9) AS v_a, arg_min(voltage, (t, voltage)) FILTER (t >= "offset" - 1e-9) AS v_b,
+          arg_max(current, (t, -current)) FILTER (t <= "offset" + 1e-9) AS i_a, arg_min(current, (t, current)) FILTER (t >= "offset" - 1e-9) AS i_b
+        FROM (SELECT *, time - first(time) OVER w AS t, first(voltage) OVER w AS first_v FROM v_leg WINDOW w AS (PARTITION BY cell_id, leg ORDER BY time, row_id)), (VALUES (0.0::DOUBLE), (3600.0), (86400.0)) o("offset") GROUP BY ALL))""")
 def landmark_resistance(spark, sf_dir):
-    return cycle.landmark_resistance(views.legs(spark, sf_dir), (0.0, 3600.0, 86400.0), order=ORDER)
+    return rounded(cycle.landmark_resistance(views.legs(spark, sf_dir), (0.0, 3600.0, 86400.0), order=ORDER), 3)
 
 
 _REST_OFFSETS = (0.0, 3600.0, 21600.0)
@@ -905,6 +916,51 @@ def step_features(spark, sf_dir):
 _TIMED = "SELECT *, (time - min(time) OVER (PARTITION BY cell_id, leg)) / 86400 AS t, capacity / 100 AS r_mohm FROM v_leg"
 
 
+# Single analyses
+
+
+@query("health_of_first", f"""
+    SELECT cell_id, tagged_cycle, {R('SoHQ', digits=5)} FROM (
+      SELECT *, dchgCapa / nullif(median(dchgCapa) FILTER (tagged_cycle <= 5) OVER (PARTITION BY cell_id), 0) * 100 AS SoHQ FROM (
+        SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS tagged_cycle, dchgCapa FROM v_cycle))""")
+def health_of_first(spark, sf_dir):
+    tagged = views.cycles(spark, sf_dir).withColumn("tagged_cycle", F.row_number().over(Window.partitionBy("cell_id").orderBy("cycle")))
+    return rounded(tools.health_of_first(tagged).select("cell_id", "tagged_cycle", "SoHQ"), 5)
+
+
+@query("moving_average", f"""
+    SELECT cell_id, cycle, {R('SoHQ_smooth', digits=5)} FROM (
+      SELECT cell_id, cycle, (sum(SoHQ) OVER (PARTITION BY cell_id ORDER BY cycle ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + greatest(0, 6 - p) * first_value + greatest(0, p + 5 - n) * last_value) / 11 AS SoHQ_smooth FROM (
+        SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) AS p, count(*) OVER (PARTITION BY cell_id) AS n, arg_min(SoHQ, cycle) OVER (PARTITION BY cell_id) AS first_value, arg_max(SoHQ, cycle) OVER (PARTITION BY cell_id) AS last_value FROM v_traj))""", **_V)
+def moving_average(spark, sf_dir):
+    return rounded(tools.moving_average(_health(spark, sf_dir).select("cell_id", "cycle", "SoHQ"), "SoHQ").select("cell_id", "cycle", "SoHQ_smooth"), 5)
+
+
+@query("first_and_last", f"""
+    SELECT cell_id, feature, {R('first', 'last', 'coverage', digits=5)} FROM (
+      SELECT cell_id, feature, arg_min(value, cycle) AS first, arg_max(value, cycle) AS last, count(value) / count(*) * 100 AS coverage FROM v_long WHERE feature IN ('hyst', 'CE') GROUP BY ALL)""", **_S)
+def first_and_last(spark, sf_dir):
+    return rounded(tools.indicator_summary(_health(spark, sf_dir), ["hyst", "CE"]), 5)
+
+
+@query("chosen_cycles", """
+    SELECT DISTINCT cell_id, cycle FROM (
+      SELECT cell_id, cycle FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle) - 1 AS p, count(*) OVER (PARTITION BY cell_id) AS n FROM v_most) WHERE p % 25 = 0 OR p < 2 OR p >= n - 2
+      UNION ALL SELECT p.cell_id, m.cycle FROM v_most p JOIN v_most m ON m.cell_id = p.cell_id AND m.cycle BETWEEN p.cycle - 1 AND p.cycle + 1 WHERE p.most >= 200)""",
+    v_samples=views.SAMPLES, v_most="SELECT cell_id, cycle, max(abs(current)) AS most FROM v_samples GROUP BY ALL")
+def chosen_cycles(spark, sf_dir):
+    return tools.chosen_cycles(views.samples(spark, sf_dir), 200.0, near=1, ends=2)
+
+
+@query("cycle_roles", f"""
+    SELECT cell_id, cycle, CASE WHEN protocol_kind = 'capacheck' THEN 'rpt' ELSE protocol_kind END AS cycle_role, {R('SoHQ_routine', 'SoHQ_rpt', digits=5)} FROM (
+      SELECT t.cell_id, t.cycle, protocol_kind, CASE WHEN protocol_kind = 'routine' THEN SoHQ END AS SoHQ_routine, CASE WHEN protocol_kind = 'capa_full' THEN SoHQ END AS SoHQ_rpt FROM v_traj t JOIN v_kind k ON k.cell_id = t.cell_id AND k.cycle = t.cycle)""",
+    **(_PROTOCOL | {"v_traj": views.TRAJECTORY}))
+def cycle_roles(spark, sf_dir):
+    table = _health(spark, sf_dir).select("cell_id", "cycle", "SoHQ")
+    return rounded(recovery.with_roles(table, protocol.protocol_kinds(_flags(spark, sf_dir), post=1)).select("cell_id", "cycle", "cycle_role", "SoHQ_routine", "SoHQ_rpt"), 5)
+
+
 # Recoveries and pulse blocks
 
 

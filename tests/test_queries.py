@@ -277,7 +277,7 @@ def test_recoveries_of_blocks(spark):
 
 #: Shown elsewhere by hand-made cells (tests/test_cells.py, test_operators.py); here they run and keep their keys.
 KEYED = {
-    "landmark_resistance": ("cell_id", "cycle", "leg", "offset"), "robust_peaks": ("cell_id", "cycle", "leg", "peak"), "charge_peaks": ("cell_id", "cycle", "leg", "peak"), "best_cycles": ("cell_id", "leg"),
+    "robust_peaks": ("cell_id", "cycle", "leg", "peak"), "charge_peaks": ("cell_id", "cycle", "leg", "peak"), "best_cycles": ("cell_id", "leg"),
     "stitched_sweeps": ("cell_id", "leg"), "evolution_map": ("cell_id", "leg", "cycle"), "peak_evolution": ("cell_id", "leg", "track", "cycle"), "peak_summary": ("cell_id", "leg", "track"),
     "peak_events": ("cell_id", "leg", "track", "cycle", "event"), "evolution_preflight": ("cell_id", "leg", "check"), "peak_disappearances": ("cell_id", "leg", "track", "cycle"), "pulse_parameters": ("cell_id", "leg"),
     "isolation_scores": ("cell_id", "cycle"), "block_recoveries": ("cell_id", "block_start"), "self_discharge": ("cell_id", "leg"), "recovery_segments": ("cell_id", "block_id"), "recovery_onsets": ("cell_id",),
