@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -285,6 +286,12 @@ KEYED = {
 TESTED = {"derivative_curves", "hysteresis", "shape_features", "rest_time_constants", "shape_distance", "banded_peaks", "golden_peaks", "tracked_peaks", "assigned_peaks", "steep_onsets", "health_inflections", "recovery_blocks", "health_corrected"}
 
 
+@pytest.mark.parametrize("name", ["arm_summary", "phase_summary", "early_parameters", "arm_trajectories", "rank_correlation", "indicator_summary", "indicator_scores", "golden_peaks"])
+def test_no_window_holds_an_arm_or_a_feature(spark, name):
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\((arm|feature|leg)#\d+L?, (?!_part)(\S+ (ASC|DESC)|specifiedwindowframe)", plan)
+
+
 def test_every_query_is_tested():
     assert set(queries.QUERIES) == set(queries.ORACLES) | set(KEYED) | TESTED
 
