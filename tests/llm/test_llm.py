@@ -536,6 +536,29 @@ def test_top_k_equals_brute_force(spark, rows_in_block, k):
     assert topk_search.topk_search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_queries_visit_only_pages_that_their_scores_leave():
+    import pyarrow as pa
+
+    corner = np.array([[10.0, 10.0], [-1.0, -1.0], [3.0, 3.0]])  # one block's greatest values in each of three pages
+    sheet = pa.Table.from_pylist([{"dimension": 2, "pages": np.array([7, 8, 9]).tobytes(), "least": (corner - 1).tobytes(), "greatest": corner.tobytes()}])
+    queries = np.array([[1.0, 1.0], [-1.0, -1.0]])
+    batch = pa.Table.from_pylist([{"number": 5, "dimension": 2, "matrix": queries.tobytes(), "floor": np.array([7, 3]).tobytes()}])
+    first = topk_search._first_visits(topk_search._best_pages(sheet, batch)).to_pylist()
+    assert {(r["page"], tuple(np.frombuffer(r["asks"], np.uint16).tolist())) for r in first} == {(7, (0,)), (8, (1,))}
+    later = topk_search._later_visits(sheet, batch).to_pylist()
+    assert {(r["page"], tuple(np.frombuffer(r["asks"], np.uint16).tolist())) for r in later} == {(7, (0,)), (8, (1,))}
+    # The third page's bounds, 6 and -4, reach neither k-th score.
+    everything = pa.Table.from_pylist([{"number": 5, "dimension": 2, "matrix": queries.tobytes(), "floor": np.array([-100, -100]).tobytes()}])
+    assert len(topk_search._later_visits(sheet, everything)) == 3
+
+
+def test_huge_components_do_not_fail(spark):
+    rows = [(0, [1e308, -1e308]), (1, [1e308, 1.0]), (20, [3.4e38, 2.0]), (3, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.topk_search(table, F.col("vec_id") % 20 == 0, 2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in found] == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)] and found[0]["score"] == 2**63 - 1
+
+
 # Licences
 
 
