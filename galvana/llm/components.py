@@ -22,6 +22,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("b", F.col("m").alias("a"))).distinct()
 
 
+#: Edges of a file of a step's table, and files at least.
+FILE_EDGES, LEAST_FILES = 250_000, 8
+
+
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -39,7 +43,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     was, mark = None, _print(now)
     while mark != was:
-        now = cut(_small_star(_large_star(now)), "stars")
+        # A step's edges are about as many as the last one's; small steps leave few files.
+        now = cut(_small_star(_large_star(now)).coalesce(max(LEAST_FILES, mark[0] // FILE_EDGES)), "stars")
         was, mark = mark, _print(now)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
