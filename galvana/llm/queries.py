@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express one."""
 
-from galvana.llm import bpe, chat_format, hard_negatives, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search
+from galvana.llm import bpe, chat_format, conversation_repair, hard_negatives, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_ngram_join": ngram_join.op10_ngram_join,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
@@ -21,5 +22,6 @@ ORACLES: dict[str, str] = {
     "op7_lsh_dedup": lsh_dedup.OP7_SQL,
     "op9_topk_search": topk_search.OP9_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
