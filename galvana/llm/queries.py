@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL where it can express one."""
 
-from galvana.llm import bpe, chat_format, conversation_repair, hard_negatives, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search
+from galvana.llm import bpe, chat_format, conversation_repair, hard_negatives, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, secret_scan, token_files, topk_search
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
