@@ -281,20 +281,27 @@ def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, de
     return sums.select(*keys, "track", "cycle", kind.alias("kind"), r.alias("ratio"))
 
 
-def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[str] = LEG, most: float = 0.12) -> DataFrame:
+def assign_peaks(candidates: DataFrame, references: DataFrame, keys: Sequence[str] = LEG, most: float = 0.12, share: float | None = None) -> DataFrame:
     """Candidates (V, H) of each leg matched one to one with reference peaks (leg, peak_id, V, H, and cell_id where cells have their own).
 
     The cost is the distance in V and 0.015 of that in the size of H; pairs above ``most`` are
-    left out. A cell's reference peaks of a leg are few, so they travel as one row.
+    left out. With a ``share``, candidates' ``proba`` (a map of names) takes that share of its
+    probability off the cost, and ``probability, confidence`` are added. A cell's reference peaks
+    of a leg are few, so they travel as one row.
     """
     on = [c for c in ("cell_id", "leg") if c in references.columns]
     refs = references.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("peak_id", "V", "H"))).alias("_refs"))
     joined = candidates.join(refs, on).withColumn("_v", F.transform("_refs", lambda x: x["V"]))
-    joined = joined.withColumns({"_h": F.transform("_refs", lambda x: x["H"]), "_id": F.transform("_refs", lambda x: x["peak_id"])})
+    proba = (lambda x: F.coalesce(F.try_element_at("proba", x["peak_id"]), F.lit(0.0))) if share else (lambda x: F.lit(0.0))
+    joined = joined.withColumns({"_h": F.transform("_refs", lambda x: x["H"]), "_id": F.transform("_refs", lambda x: x["peak_id"]), "_p": F.transform("_refs", proba)})
 
     def f(g):
-        v, h, ids = np.asarray(g["_v"][0], float), np.asarray(g["_h"][0], float), list(g["_id"][0])
+        v, h, ids, p = np.asarray(g["_v"][0], float), np.asarray(g["_h"][0], float), list(g["_id"][0]), np.array([list(x) for x in g["_p"]], float)
         cost = np.abs(g["V"][:, None] - v) + 0.015 * np.abs(np.abs(g["H"])[:, None] - np.abs(h))
-        return [{"peak_id": str(ids[b]), "V": float(g["V"][a]), "H": float(g["H"][a]), "cost": float(cost[a, b])} for a, b in kernels.assign(cost, most)]
+        cost = cost * (1 - (share or 0) * p)
+        found = [(a, b, float(cost[a, b])) for a, b in kernels.assign(cost, most)]
+        rows = [{"peak_id": str(ids[b]), "V": float(g["V"][a]), "H": float(g["H"][a]), "cost": c} for a, b, c in found]
+        return [r | {"probability": float(p[a, b]), "confidence": 1 - min(1.0, c / most)} for r, (a, b, c) in zip(rows, found, strict=True)] if share else rows
 
-    return _grouped(joined, keys, ["V", "H", "_v", "_h", "_id"], ["V"], "peak_id string, V double, H double, cost double", f).dropna(subset=["peak_id"])
+    schema = "peak_id string, V double, H double, cost double" + (", probability double, confidence double" if share else "")
+    return _grouped(joined, keys, ["V", "H", "_v", "_h", "_id", "_p"], ["V"], schema, f).dropna(subset=["peak_id"])

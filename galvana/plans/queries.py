@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, isolation, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory
+from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, forest, isolation, labels, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -829,6 +829,41 @@ def assigned_peaks(spark, sf_dir):
     return curves.assign_peaks(found, refs, most=5.0)
 
 
+def _sized(found):
+    """Heights by their order of magnitude, with their sign."""
+    return found.withColumn("H", F.signum("H") * F.log1p(F.abs("H")))
+
+
+@query("labelled_peaks")
+def labelled_peaks(spark, sf_dir):
+    """All peaks of each leg, named after the banded ones by centroids and forests."""
+    known = _sized(_banded(spark, sf_dir).dropna(subset=["band"])).withColumnRenamed("band", "peak_id")
+    refs, forests = labels.train_labels(known, settings=forest.Settings(trees=24, depth=8))
+    candidates = _sized(curves.robust_peak_table(views.legs(spark, sf_dir), order=ORDER)).dropna(subset=["V"])
+    return labels.assign(candidates, refs, forests, most=1.0)
+
+
+def _tests_and_routine(spark, sf_dir):
+    """A supplier's year 1995 as its test, whose four widest voltage bands name peaks; other years as routine cycles."""
+    found = curves.robust_peak_table(_monthly(spark, sf_dir).withColumn("voltage", F.col("voltage") / 100)).dropna(subset=["V"])
+    found = found.withColumnRenamed("peak", "candidate")
+    name = F.concat(F.lit("P"), F.least(F.lit(4), F.floor(F.col("V") / 0.5) + 1).cast("string"))
+    tests = found.where("cycle = 1995").groupBy("cell_id", F.lit(1995).alias("life"), "cycle", "leg", name.alias("peak_id")).agg(F.max_by("V", F.struct("H", "V")).alias("V"), F.max("H").alias("H"))
+    return tests, found.where("cycle <> 1995")
+
+
+@query("overlap_training")
+def overlap_training(spark, sf_dir):
+    tests, routine = _tests_and_routine(spark, sf_dir)
+    return labels.overlap_rows(tests, tests, routine, labels.near_cycles(tests, routine))
+
+
+@query("overlap_scores")
+def overlap_scores(spark, sf_dir):
+    tests, routine = _tests_and_routine(spark, sf_dir)
+    return labels.overlap(tests, tests, routine, routine, forest.Settings(trees=24, depth=8, least=2, least_rows=8))["soft"]
+
+
 @query("peak_derivatives", f"""SELECT cell_id, cycle, {R('dV', 'dH', digits=5)} FROM (SELECT cell_id, cycle, (SoHQ - lag(SoHQ) OVER w) / nullif(cycle - lag(cycle) OVER w, 0) AS dV, (hyst - lag(hyst) OVER w) / nullif(cycle - lag(cycle) OVER w, 0) AS dH FROM v_traj WINDOW w AS (PARTITION BY cell_id ORDER BY cycle))""", **_V)
 def peak_derivatives(spark, sf_dir):
     t = _health(spark, sf_dir).select("cell_id", "cycle", F.col("SoHQ").alias("V"), F.col("hyst").alias("H"))
