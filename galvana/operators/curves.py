@@ -178,20 +178,20 @@ def shape_distance(curves: DataFrame, baseline_cycle: int = 1, keys: Sequence[st
     return joined.select(*keys, "cycle", d.alias("d")).select(*keys, "cycle", F.when(~F.isnan("d"), F.col("d")).alias("distance"))
 
 
-def rest_taus(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``tau``: time constant of each rest (time, voltage)."""
-    return _grouped(rests, keys, ["time", "voltage"], order, "tau double", lambda g: {"tau": kernels.rest_tau((g["time"] - g["time"][0]).astype(float), g["voltage"].astype(float))})
-
-
 def pulse_parameters(pulses: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Ohmic, charge transfer and diffusion parts of each pulse (t, r_mohm), with a validity flag."""
+    """Ohmic, charge transfer and diffusion parts of each pulse (t, r_mohm), with a validity flag and what went wrong."""
 
     def f(g):
-        p = kernels.pulse_fit(g["t"].astype(float), g["r_mohm"].astype(float))
-        early = (g["t"] <= 1).sum() >= 8
-        return p | {"valid": float(bool(early and p["rmse"] < 0.03 and p["r2"] > 0.98))}
+        return pulse.components(g["t"].astype(float), g["r_mohm"].astype(float))
+
+    schema = ", ".join(f"{c} double" for c in pulse.PARAMETERS) + ", dcir_fit_valid boolean, flag string"
+    return _grouped(pulses, keys, ["t", "r_mohm"], order, schema, f)
+
 
-    return _grouped(pulses, keys, ["t", "r_mohm"], order, "R_ohmic double, R_ct double, tau_ct double, A_diff double, rmse double, r2 double, valid double", f)
+def rest_leaks(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",), late: tuple[float, float] = (1800.0, 3600.0)) -> DataFrame:
+    """Self-discharge of each long rest (time in seconds, voltage), and whether its parameters can be told apart."""
+    schema = ", ".join(f"{c} double" for c in pulse.LEAK) + ", sd_fit_valid boolean, sd_method string, sd_identifiable boolean, sd_tau2_ok boolean"
+    return _grouped(rests, keys, ["time", "voltage"], order, schema, lambda g: pulse.leak((g["time"] - g["time"][0]).astype(float), g["voltage"].astype(float), late))
 
 
 def constant_voltage(charges: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -226,17 +226,18 @@ def pulse_cycle_fits(samples: DataFrame, rest_max: float = 0.5, expected: float
                 near = own <= 1800
                 out |= pulse.recovery(own[near], v[after][near], out["tau_ct"])
         rest = pulse.rest_before(t, v, i, rest_max, expected=expected)
-        idle = dict.fromkeys(pulse.LEAK, np.nan) | {"sd_fit_valid": False, "sd_method": "no_rest"}
+        idle = dict.fromkeys(pulse.LEAK, np.nan) | {"sd_fit_valid": False, "sd_method": "no_rest", "sd_identifiable": None, "sd_tau2_ok": None}
         return out | (pulse.leak(*rest) if rest else idle)
 
     names = (*pulse.PARAMETERS, *pulse.RECOVERY, *pulse.LEAK)
-    schema = ", ".join(f"{c} double" for c in names) + ", dcir_fit_valid boolean, flag string, tau_consistency_flag boolean, sd_fit_valid boolean, sd_method string"
+    schema = ", ".join(f"{c} double" for c in names) + ", dcir_fit_valid boolean, flag string, tau_consistency_flag boolean, sd_fit_valid boolean, sd_method string, sd_identifiable boolean, sd_tau2_ok boolean"
     return _grouped(samples, keys, [clock, "voltage", "current"], order, schema, f)
 
 
 def recoveries(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``V_inf, tau1, tau2`` of each rest after a pulse (time, voltage)."""
-    return _grouped(rests, keys, ["time", "voltage"], order, "V_inf double, tau1 double, tau2 double", lambda g: kernels.recovery_fit(g["time"] - g["time"][0], g["voltage"]))
+    """Two relaxations of each rest after a pulse (time, voltage)."""
+    schema = ", ".join(f"{c} double" for c in pulse.RECOVERY) + ", tau_consistency_flag boolean"
+    return _grouped(rests, keys, ["time", "voltage"], order, schema, lambda g: pulse.recovery((g["time"] - g["time"][0]).astype(float), g["voltage"].astype(float)))
 
 
 def inflections(table: DataFrame, health: str = "SoHQ", breaks: int = 2, least: int = 10, keys: Sequence[str] = ("cell_id",)) -> DataFrame:

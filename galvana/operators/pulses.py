@@ -102,24 +102,6 @@ def load_window(samples: DataFrame, pad_s: float = 300.0, rest_max: float = 0.5,
     return joined.where(F.abs("t") <= pad_s).select(*keys, *order, "t", "voltage", "current", "v_ref")
 
 
-def self_discharge(rests: DataFrame, late: tuple[float, float] = (1800.0, 3600.0), keys: Sequence[str] = KEYS, order: Sequence[str] = ("row_id",)) -> DataFrame:
-    """``rate_mv_h, valid``: the slope of a long rest's voltage beyond its relaxation; a late line where the fit fails."""
-
-    def f(g):
-        t, v = (g["time"] - g["time"][0]).astype(float), g["voltage"].astype(float)
-        inside = (t >= late[0]) & (t <= late[1])
-        if inside.sum() < 3 or np.ptp(t[inside]) == 0:
-            return {"rate_mv_h": np.nan, "valid": 0.0}
-        line = float(np.polyfit(t[inside], v[inside], 1)[0])
-        d = abs(v[-1] - v[0]) + 1e-6
-        model = lambda p: p[0] + p[1] * np.exp(-t / p[2]) + p[3] * np.exp(-t / p[4]) + p[5] * t / 3600 - v
-        p, cost = kernels.least_squares(model, (v[-1], (v[0] - v[-1]) / 2, 60, (v[0] - v[-1]) / 2, 900, line * 3600), (v.min() - d, -2 * d, 1, -2 * d, 60, -1), (v.max() + d, 2 * d, 600, 2 * d, 1200, 1))
-        good = cost / len(t) < 1e-6 and p[4] < 1199
-        return {"rate_mv_h": float(-1000 * (p[5] if good else line * 3600)), "valid": float(good)}
-
-    return _grouped(rests, keys, ["time", "voltage"], order, "rate_mv_h double, valid double", f)
-
-
 def block_recoveries(series: DataFrame, blocks: DataFrame, column: str, width: int = 20, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
     """``amplitude, decay``: an exponential above the level before each block, over the cycles after it."""
     joined = blocks.select(*keys, "block_start", "block_end").join(series.select(*keys, "cycle", F.col(column).cast("double").alias("y")), list(keys))

@@ -107,3 +107,29 @@ def leg_rests(samples: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[st
     return wide.withColumns({
         name: F.col(f"{p}_restV_{a}") - F.col(f"{p}_restV_init") for p in ("EoC", "EoD") for name, a in ((f"{p}_restV_relax", "end"), (f"{p}_restV_relax_60s", "60s"))
     })
+
+
+def rest_taus(rests: DataFrame, keys: Sequence[str], order: Sequence[str] = ("row_id",), least: int = 8) -> DataFrame:
+    """``tau``: each rest's (time, voltage) time constant in seconds, by regression of the log distance from its end.
+
+    The end is the mean of the last fifth of the rest (three samples or more), which takes no
+    part. The first tenth (one sample or more) does, and of the others those off the end
+    by 1e-4 of the first distance (1 V at least). Five samples are needed, none of them on the
+    end itself, and no more than 1e6 seconds are believed. A rest is a few thousand
+    samples: its windows share one sort.
+    """
+    known = rests.where("time is not null and voltage is not null and not isnan(time) and not isnan(voltage)").select(*keys, *(c for c in order if c not in ("time", "voltage")), "time", "voltage")
+    by = Window.partitionBy(*keys).orderBy("time", *(c for c in order if c != "time"))
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = known.withColumns({"_k": F.row_number().over(by), "_n": F.count("*").over(whole), "_t": F.col("time") - F.first("time").over(whole)})
+    tail = F.col("_k") > F.col("_n") - F.greatest(F.lit(3), F.floor(F.col("_n") / 5))
+    rows = rows.withColumn("_tail", tail).withColumn("_off", F.abs(F.col("voltage") - F.avg(F.when(F.col("_tail"), F.col("voltage"))).over(whole)))
+    away = F.col("_off") > 1e-4 * F.greatest(F.lit(1.0), F.first("_off").over(whole))
+    rows = rows.withColumn("_use", ~F.col("_tail") & (away | (F.col("_k") <= F.greatest(F.lit(1), F.floor(F.col("_n") / 10)))))
+    used = rows.groupBy(*keys).agg(
+        F.max("_n").alias("_n"), F.count_if("_use").alias("_used"), F.min(F.when(F.col("_use"), F.col("_off"))).alias("_least"),
+        F.regr_slope(F.when(F.col("_use") & (F.col("_off") > 0), F.log("_off")), "_t").alias("_slope"),
+    )
+    tau = -1 / F.col("_slope")
+    told = (F.col("_n") >= least) & (F.col("_used") >= 5) & (F.col("_least") > 0) & (F.col("_slope") < -1e-9) & (tau <= 1e6)
+    return used.select(*keys, F.when(told, tau).alias("tau"))

@@ -795,9 +795,14 @@ def health_inflections(spark, sf_dir):
     return curves.inflections(_health(spark, sf_dir).select("cell_id", "cycle", "SoHQ"))
 
 
-@query("rest_time_constants")
+@query("rest_time_constants", f"""SELECT cell_id, leg, {R('tau', digits=3)} FROM (
+  SELECT cell_id, leg, CASE WHEN max(n) >= 8 AND count(*) FILTER (used) >= 5 AND min(off) FILTER (used) > 0 AND slope < -1e-9 AND -1 / slope <= 1e6 THEN -1 / slope END AS tau FROM (
+    SELECT *, regr_slope(CASE WHEN used AND off > 0 THEN ln(off) END, t) OVER (PARTITION BY cell_id, leg) AS slope FROM v_off) GROUP BY cell_id, leg, slope)""",
+  v_placed="SELECT *, row_number() OVER (PARTITION BY cell_id, leg ORDER BY time, row_id) AS k, count(*) OVER (PARTITION BY cell_id, leg) AS n, time - min(time) OVER (PARTITION BY cell_id, leg) AS t FROM v_leg",
+  v_end="SELECT *, abs(voltage - avg(CASE WHEN k > n - greatest(3, n // 5) THEN voltage END) OVER (PARTITION BY cell_id, leg)) AS off, k > n - greatest(3, n // 5) AS tail FROM v_placed",
+  v_off="SELECT *, NOT tail AND (k <= greatest(1, n // 10) OR off > 1e-4 * greatest(1.0, first(off) OVER (PARTITION BY cell_id, leg ORDER BY k))) AS used FROM v_end")
 def rest_time_constants(spark, sf_dir):
-    return curves.rest_taus(views.legs(spark, sf_dir), ["cell_id", "leg"], ORDER)
+    return rounded(rests.rest_taus(views.legs(spark, sf_dir), ["cell_id", "leg"], ORDER), 3)
 
 
 @query("pulse_parameters")
@@ -1118,4 +1123,12 @@ def block_recoveries(spark, sf_dir):
 
 @query("self_discharge")
 def self_discharge(spark, sf_dir):
-    return pulses.self_discharge(views.legs(spark, sf_dir), (0.0, 1e7), ["cell_id", "leg"], ORDER)
+    """A user's month as a rest of two hours."""
+    hours = views.legs(spark, sf_dir).withColumn("time", (F.col("time") - F.min("time").over(Window.partitionBy("cell_id", "leg"))) / 360)
+    return curves.rest_leaks(hours, ["cell_id", "leg"], ORDER)
+
+
+@query("discharge_fits")
+def discharge_fits(spark, sf_dir):
+    """Each supplier's years laid on its year 1995."""
+    return tools.curve_fits(_monthly(spark, sf_dir), 40.0, baseline_cycle=1995, scale=0.05)

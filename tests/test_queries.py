@@ -151,24 +151,6 @@ def test_shape_features_of_legs(spark, legs):
             assert r["dchg_dVdQ_SOCmid"] == pytest.approx(np.mean(middle), rel=1e-3, abs=2e-6)
 
 
-def test_rest_constants(spark, legs):
-    for r in found(spark, "rest_time_constants"):
-        t, v, _ = legs[r["cell_id"], r["leg"]]
-        t = t - t[0]
-        if len(t) < 8:
-            assert r["tau"] is None
-            continue
-        n = max(3, len(t) // 5)
-        end = sum(v[-n:]) / n
-        use = [k for k in range(len(t) - n) if k < max(1, len(t) // 10) or abs(v[k] - end) > 1e-4 * max(1, abs(v[0] - end))]
-        if len(use) < 5:
-            assert r["tau"] is None
-            continue
-        x, y = t[use], np.log(np.abs(v[use] - end))
-        slope = ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()
-        assert r["tau"] == (pytest.approx(-1 / slope, rel=1e-4) if slope < -1e-9 and -1 / slope <= 1e6 else None)
-
-
 def test_shape_distances(spark, years):
     def curve(q, v):
         kept = [0]
@@ -282,9 +264,9 @@ KEYED = {
     "stitched_sweeps": ("cell_id", "leg"), "evolution_map": ("cell_id", "leg", "cycle"), "peak_evolution": ("cell_id", "leg", "track", "cycle"), "peak_summary": ("cell_id", "leg", "track"),
     "peak_events": ("cell_id", "leg", "track", "cycle", "event"), "evolution_preflight": ("cell_id", "leg", "check"), "peak_disappearances": ("cell_id", "leg", "track", "cycle"), "pulse_parameters": ("cell_id", "leg"),
     "isolation_scores": ("cell_id", "cycle"), "block_recoveries": ("cell_id", "block_start"), "self_discharge": ("cell_id", "leg"), "recovery_segments": ("cell_id", "block_id"), "recovery_onsets": ("cell_id",),
-    "labelled_peaks": ("cell_id", "cycle", "leg", "peak_id"), "overlap_training": ("source", "cell_id", "life", "cycle", "leg", "peak_id"), "overlap_scores": ("cell_id", "life", "cycle", "leg", "candidate", "peak_id"),
+    "discharge_fits": ("cell_id", "cycle"), "labelled_peaks": ("cell_id", "cycle", "leg", "peak_id"), "overlap_training": ("source", "cell_id", "life", "cycle", "leg", "peak_id"), "overlap_scores": ("cell_id", "life", "cycle", "leg", "candidate", "peak_id"),
 }
-TESTED = {"derivative_curves", "hysteresis", "shape_features", "rest_time_constants", "shape_distance", "banded_peaks", "golden_peaks", "tracked_peaks", "assigned_peaks", "steep_onsets", "health_inflections", "recovery_blocks", "health_corrected"}
+TESTED = {"derivative_curves", "hysteresis", "shape_features", "shape_distance", "banded_peaks", "golden_peaks", "tracked_peaks", "assigned_peaks", "steep_onsets", "health_inflections", "recovery_blocks", "health_corrected"}
 
 
 @pytest.mark.parametrize("name", ["arm_summary", "phase_summary", "early_parameters", "arm_trajectories", "rank_correlation", "indicator_summary", "indicator_scores", "golden_peaks"])
