@@ -59,6 +59,24 @@ def evolution_map(samples: DataFrame, domain: str = "Q", normalize: str = "none"
     return _grouped(samples, keys, ["voltage", "capacity"], order, "curve array<double>, total_q double, dqdv_snr double, samples_per_mv double", f)
 
 
+def local_contrast(maps: DataFrame, keys: Sequence[str] = ("cell_id", "leg")) -> DataFrame:
+    """Curves (keys, cycle, curve) over the median size of their own, then over each place's mean size of all cycles.
+
+    Weak lasting ridges so compete with strong ones. Places are summed as rows, so a map of
+    any number of cycles has one row a place; unknown values and zero sizes give NaN.
+    """
+    none = F.lit(float("nan"))
+    sizes = F.array_sort(F.transform(F.filter("curve", lambda x: ~F.isnan(x)), F.abs))
+    n = F.size(sizes)
+    middle = (F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2
+    rows = maps.withColumn("_m", middle).withColumn("curve", F.transform("curve", lambda x: F.when(F.col("_m") > 1e-15, x / F.col("_m")).otherwise(none))).drop("_m")
+    places = rows.select(*keys, F.posexplode("curve").alias("_p", "_x"))
+    means = places.groupBy(*keys, "_p").agg(F.avg(F.when(~F.isnan("_x"), F.abs("_x"))).alias("_mean"))
+    lines = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_mean"))), lambda r: r["_mean"]).alias("_means"))
+    over = F.zip_with("curve", "_means", lambda x, m: F.when(m > 1e-15, x / m).otherwise(none))
+    return rows.join(lines, list(keys)).withColumn("curve", over).drop("_means")
+
+
 def tracks(maps: DataFrame, domain: str = "Q", contrast: bool = True, most: int = 12, spreads: float = 0.75, window: int = 40, anchors: DataFrame | None = None, ranges: Sequence[tuple[float, float]] = RANGES) -> DataFrame:
     """``track, cycle, place, coord, height, area, half_width, confidence, snr_local, observed`` of every ridge of a cell's leg.
 
@@ -67,7 +85,8 @@ def tracks(maps: DataFrame, domain: str = "Q", contrast: bool = True, most: int
     (a map of capacity cycles). A group is a cell's map, which the cycler bounds.
     """
     grid = places(domain)
-    both = maps.where(F.size("curve") > 0).select("cell_id", "leg", "cycle", "curve", F.lit(0).alias("_anchor"))
+    known = maps.where(F.size("curve") > 0).select("cell_id", "leg", "cycle", "curve")
+    both = (local_contrast(known) if contrast else known).select("cell_id", "leg", "cycle", "curve", F.lit(0).alias("_anchor"))
     if anchors is not None:
         both = both.unionByName(anchors.where(F.size("curve") > 0).select("cell_id", "leg", "cycle", "curve", F.lit(1).alias("_anchor")))
 
@@ -78,7 +97,6 @@ def tracks(maps: DataFrame, domain: str = "Q", contrast: bool = True, most: int
         m, cycles = m[~anchor], g["cycle"][~anchor]
         if not len(m):
             return []
-        m = ridges.local_contrast(m) if contrast else m
         weight, rows, number = ridges.penalty(m, drift), [], 0
         parts = [(np.searchsorted(grid, lo), np.searchsorted(grid, hi, "right")) for lo, hi in ranges] if domain == "Q" and ranges else [(0, len(grid))]
         middle = np.array([np.nanmedian(np.abs(x)) if np.isfinite(x).any() else np.nan for x in m])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,12 +107,7 @@ def summarize(table: DataFrame, columns: Sequence[str], health: str, keys: Seque
 
 def top_per_family(summary: DataFrame, by: str, n: int = 15, least: float = 0.35, column: str = "feature") -> DataFrame:
     """The n best rows at or above ``least`` (of all where none is), one of each family."""
-
-    @F.arrow_udf("string")
-    def family_of(names: pa.Array) -> pa.Array:
-        return pa.array([x and registry.family_of(x) for x in names.to_pylist()], pa.string())
-
-    rows = summary.where(F.col(by).isNotNull()).withColumn("family", family_of(column))
+    rows = summary.where(F.col(by).isNotNull()).withColumn("family", registry.family_column(column))
     any_high = rows.agg(F.coalesce(F.max(by) >= least, F.lit(False))).scalar()
     rows = rows.where(~any_high | (F.col(by) >= least))
     w = Window.partitionBy("family").orderBy(F.desc(by), column)
