@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galvana.functions import kernels, pulse, shapes
+from galvana.functions import kernels, pulse, shapes, turns
 from galvana.operators.cycle import LEG
 
 #: Voltage bands of peaks.
@@ -258,6 +258,108 @@ def inflections(table: DataFrame, health: str = "SoHQ", breaks: int = 2, least:
     return _grouped(table, keys, ["cycle", health], ["cycle"], "n_breaks int, break1 double, break2 double, sse double", f)
 
 
+def turning_points(table: DataFrame, health: str = "SoHQ", breaks: int = 2, least: int = 40, method: str = "hybrid", window: int | None = None, keys: Sequence[str] = ("cell_id",)) -> DataFrame:
+    """``cycle, health, fade_before, fade_after, delta_fade, curvature, regime, n_points, slope``: where each cell's series turns, and the regime that ends there.
+
+    The series is smoothed by a window that follows its length. The last regime of a
+    cell is a row without a turn (``cycle`` is its last, fades and curvature null). Fades are
+    per 100 cycles over ``least`` points. A series shorter than two segments or 40 points has no rows.
+    """
+
+    def f(g):
+        ok = np.isfinite(g["cycle"].astype(float)) & np.isfinite(g[health].astype(float))
+        x, y = g["cycle"][ok].astype(float), g[health][ok].astype(float)
+        found = turns.turns(x, y, breaks, least, method, window)
+        if found is None:
+            return []
+        even, n, rows = found["even"], len(x), []
+        for k, (a, b) in enumerate(zip([0, *found["places"]], [*found["places"], n - 1], strict=True), 1):
+            turn = {"fade_before": turns.slope(x[max(0, b - least) : b], even[max(0, b - least) : b]), "fade_after": turns.slope(x[b : b + least], even[b : b + least])} if b < n - 1 else {}
+            if turn:
+                turn |= {"delta_fade": turn["fade_after"] - turn["fade_before"], "curvature": float(found["curvature"][b])}
+            rows.append({"cycle": x[b], "health": float(even[b]), "regime": k, "n_points": b - a + 1, "slope": turns.slope(x[a : b + 1], even[a : b + 1])} | turn)
+        return rows
+
+    schema = "cycle double, health double, fade_before double, fade_after double, delta_fade double, curvature double, regime int, n_points int, slope double"
+    return _grouped(table, keys, ["cycle", health], ["cycle"], schema, f).dropna(subset=["regime"])
+
+
+def noise_curves(samples: DataFrame, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",), n: int = 500, window: int = 21) -> DataFrame:
+    """``v, dqdv, dvdq``: both derivatives of a leg on one grid of charge, by differences of the smoothed curve."""
+
+    def f(g):
+        q, v = np.abs(g["capacity"].astype(float) - g["capacity"][0]), g["voltage"].astype(float)
+        at, first = np.unique(np.round(q, 9), return_index=True)
+        if len(at) < 2:
+            return {"v": [], "dqdv": [], "dvdq": []}
+        grid = np.linspace(at[0], at[-1], n)
+        volts = np.interp(grid, at, v[first])
+        dv, dq = np.gradient(kernels.smooth(volts, window)), np.gradient(kernels.smooth(grid, window))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pair = [np.where(np.abs(b) > 1e-9, a / b, np.nan) for a, b in ((dq, dv), (dv, dq))]
+        return {"v": volts.tolist()} | {name: _filled(y).tolist() for name, y in zip(("dqdv", "dvdq"), pair, strict=True)}
+
+    return _grouped(samples, keys, ["voltage", "capacity"], order, "v array<double>, dqdv array<double>, dvdq array<double>", f)
+
+
+def _filled(y: np.ndarray) -> np.ndarray:
+    """Unknown values between their neighbours."""
+    ok = np.isfinite(y)
+    return np.interp(np.arange(len(y)), np.flatnonzero(ok), y[ok]) if ok.any() else y
+
+
+def noise_uniformity(curves: DataFrame, bins: int = 5, least: int = 10, keys: Sequence[str] = LEG) -> DataFrame:
+    """``dqdv_spread, dvdq_spread, n_bins, dvdq_more_uniform`` of each leg's ``noise_curves``.
+
+    Within equal bins of voltage of ten points or more the noise of a derivative is its
+    deviation over its mean size; its spread is the deviation of the bins' noise over their mean.
+    """
+    lo, hi = F.array_min("v"), F.array_max("v")
+    rows = curves.where(F.size("v") > 0).select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.explode(F.arrays_zip("v", "dqdv", "dvdq")).alias("_r"))
+    # Bins are open below, as the lowest point stands in the first.
+    place = F.ceil((F.col("_r.v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
+    rows = rows.withColumn("_bin", F.greatest(F.lit(1), F.least(F.lit(bins), F.coalesce(place, F.lit(1)))))
+    noise = lambda c: F.stddev_pop(f"_r.{c}") / (F.avg(F.abs(f"_r.{c}")) + 1e-12)
+    each = rows.groupBy(*keys, "_bin").agg(F.count("*").alias("_n"), noise("dqdv").alias("_a"), noise("dvdq").alias("_b")).where(F.col("_n") >= least)
+    spread = lambda c: F.stddev_pop(c) / (F.avg(c) + 1e-12)
+    found = each.groupBy(*keys).agg(F.count("*").cast("int").alias("n_bins"), spread("_a").alias("dqdv_spread"), spread("_b").alias("dvdq_spread"))
+    return found.withColumn("dvdq_more_uniform", F.when((F.col("dqdv_spread") != 0) & (F.col("dvdq_spread") != 0), F.col("dvdq_spread") < F.col("dqdv_spread")))
+
+
+def leg_noise(samples: DataFrame, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``noise_ratio, hf_std, n_peaks, n_points`` of each leg prepared for derivatives; null where the curve is too short."""
+
+    def f(g):
+        v, q = g["voltage"].astype(float), g["capacity"].astype(float)
+        x, y = kernels.derivative(v, q)
+        if len(x) < 5:
+            return {"noise_ratio": np.nan, "hf_std": np.nan, "n_peaks": None, "n_points": len(v)}
+        even = kernels.smooth(y, 21)
+        off, top = np.abs(y - even), float(np.abs(even).max())
+        noise = float(np.median(np.abs((y - even) - np.median(y - even))))
+        return {"noise_ratio": noise / top if top > 0 else 999.0, "hf_std": float(np.diff(even).std()) if len(off) > 2 else 999.0, "n_peaks": len(kernels.robust_peaks(x, y, 12)), "n_points": len(v)}
+
+    return _grouped(samples, keys, ["voltage", "capacity"], order, "noise_ratio double, hf_std double, n_peaks int, n_points int", f)
+
+
+def wiggle_widths(samples: DataFrame, lo: float = 3.55, hi: float = 4.05, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
+    """``width_mv, n_inflections``: the span between the first and last peak of the voltage's second difference within a window.
+
+    Of fewer than two peaks the span of all the window's voltages; of fewer than ten samples there, null.
+    """
+
+    def f(g):
+        v = g["voltage"].astype(float)
+        v = v[(v >= lo) & (v <= hi)]
+        if len(v) < 10:
+            return {"width_mv": np.nan, "n_inflections": None}
+        second = np.gradient(np.gradient(v) * 1000)
+        at = kernels.peaks(np.abs(second), 0.5 * float(second.std()))
+        return {"width_mv": float(abs(v[at[-1]] - v[at[0]]) * 1000) if len(at) >= 2 else float(np.ptp(v) * 1000), "n_inflections": len(at)}
+
+    return _grouped(samples, keys, ["voltage"], order, "width_mv double, n_inflections int", f)
+
+
 def disappearances(curves: DataFrame, events: DataFrame, merge: float = 0.15, death: float = 0.3, window: int = 3, keys: Sequence[str] = ("cell_id", "leg")) -> DataFrame:
     """``kind, ratio``: whether a track that ends (events: keys, track, cycle, lo, hi) merged into its neighbours or died.
 

@@ -90,3 +90,38 @@ def soft_links(candidates: DataFrame, references: DataFrame, scale: float = 0.12
 def best_links(soft: DataFrame) -> DataFrame:
     """The candidate of the best score for each cycle, leg and reference."""
     return soft.groupBy("cell_id", "cycle", "leg", "peak_id").agg(F.max_by("candidate", F.struct("score", "candidate")).alias("candidate"), F.max("score").alias("score"))
+
+
+def rank_cycles(measures: DataFrame, k: int = 10, wanted_peaks: int = 3, least_points: int = 100, key: str = "cell_id") -> DataFrame:
+    """``rank, quality, noise_ratio, hf_std, n_charge, n_discharge``: the k best cycles of each cell, lower quality first, ties to the earlier cycle.
+
+    Measures (``curves.leg_noise``) of both legs are averaged: 3 times the noise, 0.15 of the high
+    frequencies, 0.25 for each peak more or less than ``wanted_peaks``, and 5 where a leg has fewer
+    than ``least_points``. A cycle that lacks a leg or its curve has no rank.
+    """
+    side = lambda leg, c: F.max(F.when(F.col("leg") == leg, F.col(c)))
+    both = measures.where("noise_ratio is not null and hf_std is not null and n_peaks is not null and leg in ('charge', 'discharge')").groupBy(key, "cycle").agg(
+        F.count_distinct("leg").alias("_legs"), F.min("n_points").alias("_points"), *((side("charge", c) + side("discharge", c)).alias(f"_{c}") for c in ("noise_ratio", "hf_std")),
+        side("charge", "n_peaks").alias("n_charge"), side("discharge", "n_peaks").alias("n_discharge"),
+    )
+    rows = both.where("_legs = 2").withColumns({"noise_ratio": F.col("_noise_ratio") / 2, "hf_std": F.col("_hf_std") / 2})
+    off = F.abs(F.col("n_charge") - wanted_peaks) + F.abs(F.col("n_discharge") - wanted_peaks)
+    quality = 3.0 * F.col("noise_ratio") + 0.15 * F.col("hf_std") + 0.25 * off + F.when(F.col("_points") < least_points, 5.0).otherwise(0.0)
+    order = Window.partitionBy(key).orderBy("quality", "cycle")
+    ranked = rows.withColumn("quality", quality).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(key, "cycle", "rank", "quality", "noise_ratio", "hf_std", "n_charge", "n_discharge")
+
+
+def largest_gaps(features: DataFrame, keys: Sequence[str] = ("cell_id", "cycle", "leg")) -> DataFrame:
+    """``gap, gap_share, n_features, source``: the largest charge between neighbours in voltage of a curve's features.
+
+    Features (keys, kind, V, Q, total) are ``valley`` of dV/dQ and ``peak`` of dQ/dV: valleys from two on
+    count, else peaks, else nothing. The share is in per cent of the curve's charge. One
+    window over each curve's few features.
+    """
+    step = F.lead("Q").over(Window.partitionBy(*keys, "kind").orderBy("V", "Q")) - F.col("Q")
+    rows = features.where("kind in ('valley', 'peak') and V is not null and Q is not null").withColumn("_step", step)
+    each = rows.groupBy(*keys, "kind").agg(F.max("_step").alias("_gap"), F.count("*").alias("_n"), F.max("total").alias("_total")).where("_n >= 2")
+    best = each.groupBy(*keys).agg(F.max_by(F.struct("_gap", "_n", "_total", "kind"), "kind").alias("_b"))  # a valley stands behind a peak in the alphabet
+    share = F.when(F.col("_b._total") > 0, 100 * F.col("_b._gap") / F.col("_b._total"))
+    return best.select(*keys, F.col("_b._gap").alias("gap"), share.alias("gap_share"), F.col("_b._n").alias("n_features"), F.col("_b.kind").alias("source"))

@@ -805,6 +805,42 @@ def rest_time_constants(spark, sf_dir):
     return rounded(rests.rest_taus(views.legs(spark, sf_dir), ["cell_id", "leg"], ORDER), 3)
 
 
+@query("health_turns")
+def health_turns(spark, sf_dir):
+    return curves.turning_points(_health(spark, sf_dir).select("cell_id", "cycle", "SoHQ"), least=20)
+
+
+@query("noise_uniformity")
+def noise_uniformity(spark, sf_dir):
+    return curves.noise_uniformity(curves.noise_curves(views.legs(spark, sf_dir), order=ORDER))
+
+
+@query("wiggle_widths")
+def wiggle_widths(spark, sf_dir):
+    return curves.wiggle_widths(views.legs(spark, sf_dir), 2.5, 4.0, order=ORDER)
+
+
+@query("cycle_ranks", f"""SELECT cell_id, cycle, rank, {R('quality', 'noise_ratio', 'hf_std')}, n_charge, n_discharge FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY quality, cycle) AS INTEGER) AS rank FROM (
+    SELECT cell_id, cycle, R10 * 1.5 AS noise_ratio, hyst / 1e4 AS hf_std, n_steps % 5 AS n_charge, n_steps % 7 AS n_discharge,
+      3 * R10 * 1.5 + 0.15 * hyst / 1e4 + 0.25 * (abs(n_steps % 5 - 3) + abs(n_steps % 7 - 3)) + CASE WHEN 20 * n_steps < 100 THEN 5 ELSE 0 END AS quality FROM v_cycle WHERE hyst IS NOT NULL)) WHERE rank <= 10""")
+def cycle_ranks(spark, sf_dir):
+    """Months with their tax as noise of the charge and twice that of the discharge."""
+    c = views.cycles(spark, sf_dir)
+    leg = lambda name, noise, peaks_: c.select("cell_id", "cycle", F.lit(name).alias("leg"), (F.col("R10") * noise).alias("noise_ratio"), (F.col("hyst") / 1e4).alias("hf_std"), (F.col("n_steps") % peaks_).alias("n_peaks"), (20 * F.col("n_steps")).alias("n_points"))
+    return peaks.rank_cycles(leg("charge", 1.0, 5).unionByName(leg("discharge", 2.0, 7)))
+
+
+@query("largest_gaps", f"""SELECT cell_id, {R('gap', 'gap_share')}, n_features, source FROM (
+  SELECT cell_id, max(step) AS gap, 100 * max(step) / max(total) AS gap_share, count(*) AS n_features, kind AS source FROM (
+    SELECT *, lead(Q) OVER (PARTITION BY cell_id, kind ORDER BY V, Q) - Q AS step FROM (SELECT cell_id, CASE leg WHEN 'charge' THEN 'peak' ELSE 'valley' END AS kind, voltage AS V, capacity AS Q, 1000.0 AS total FROM v_leg))
+  GROUP BY cell_id, kind HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY kind DESC) = 1)""")
+def largest_gaps(spark, sf_dir):
+    """Charges as peaks, discharges as valleys."""
+    s = views.legs(spark, sf_dir).select("cell_id", F.when(F.col("leg") == "charge", "peak").otherwise("valley").alias("kind"), F.col("voltage").alias("V"), F.col("capacity").alias("Q"), F.lit(1000.0).alias("total"))
+    return peaks.largest_gaps(s, ["cell_id"])
+
+
 @query("pulse_parameters")
 def pulse_parameters(spark, sf_dir):
     s = views.legs(spark, sf_dir)
