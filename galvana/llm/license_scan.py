@@ -2,12 +2,15 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z in lower case. A phrase is found
 where its words stand consecutively. A tag is ``SPDX-License-Identifier:`` or
-``License:`` at any place of a line; the rest of the line is read as an expression
-of identifiers with AND, OR, WITH and brackets (WITH binds tightest, then AND, and
-stands between a licence and an exception). Of several tags in a line the last
-counts, as no expression holds a tag. Operands are the identifiers listed here,
-``-only``, ``-or-later`` or ``+`` after them, and ``LicenseRef-`` names. A tag whose rest
-is no expression, or names an unknown licence or exception, counts for nothing.
+``License:`` at any place of a line; what follows up to the line's end or its next tag
+is read as an expression of identifiers with AND, OR, WITH and brackets (WITH binds
+tightest, then AND, and stands between a licence and an exception): its longest
+beginning that is one, so prose may stand behind. Operands are the identifiers listed
+here, ``-only``, ``-or-later`` or ``+`` after them, and ``LicenseRef-`` names; colons and
+dashes at their ends don't count, and a full stop there ends the expression. A tag without a known licence counts for
+nothing. Beside known ones, unknown licences and exceptions are told in ``unknown``:
+an unknown licence asks for nothing known and isn't permissive, and a licence with an
+unknown exception is the licence.
 
 Evaluation of an expression gives the labels that it names, those that every
 choice requires (AND requires both sides, OR what both share), the number of
@@ -143,52 +146,57 @@ def licence(name: str) -> str | None:
     return f"{label}-or-later" if label and later else label
 
 
-def parse(text: str) -> list[str] | None:
-    """An expression as operands and operators in postfix order; None if it isn't one.
+def _tokens(text: str) -> Iterator[tuple[str, int]]:
+    """Names, operators (in lower case) and brackets from the start of a text on, with their ends, while they last."""
+    place, end = 0, len(text.rstrip())
+    while place < end and (found := _TOKEN.match(text, place)):
+        place = found.end()
+        name = found[1] and found[1].rstrip(".:-")
+        if found[1] and not name:
+            return
+        yield found[2] or (name.lower() if name.lower() in _POWER else name), place
+        if name and found[1][-1] == ".":
+            return
+
+
+def parse(text: str) -> tuple[list[str], str] | None:
+    """The longest beginning of a text that is an expression: operands and operators in postfix order, and that beginning; None if there is none.
 
     Operands and operators must alternate, and a WITH takes a plain identifier on
     either side.
     """
+    taken: list[str] = []
+    whole, end, open_brackets, operand, last = 0, 0, 0, True, ""
+    for token, stop in _tokens(text):
+        name = token not in _POWER and token not in ("(", ")")
+        if operand != (name or token == "(") or token == "(" and last == "with" or token == ")" and not open_brackets:
+            break
+        if token == "with" and (last != "name" or taken[-2:-1] == ["with"]):
+            break
+        open_brackets += (token == "(") - (token == ")")
+        operand = token in _POWER or token == "("
+        last = "name" if name else token
+        taken.append(token)
+        if not operand and not open_brackets:
+            whole, end = len(taken), stop
+    if not whole:
+        return None
     out: list[str] = []
     waiting: list[str] = []
-    operand = True  # what has to come next
-    last = ""  # the token before
-    place, text = 0, text.strip()
-    while place < len(text):
-        found = _TOKEN.match(text, place)
-        if not found:
-            return None
-        place = found.end()
-        word, bracket = found.groups()
-        if bracket == "(" or word and word.lower() not in _POWER:
-            if not operand or bracket and last == "with":
-                return None
-            if bracket:
-                waiting.append("(")
-            else:
-                out.append(word)
-                operand = False
-            last = bracket or "name"
-        elif operand:
-            return None
-        elif bracket:
-            while waiting and waiting[-1] != "(":
+    for token in taken[:whole]:
+        if token == "(":
+            waiting.append(token)
+        elif token == ")":
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
-            last = bracket
-        else:
-            word = word.lower()
-            if word == "with" and (last != "name" or waiting[-1:] == ["with"]):
-                return None
-            while waiting and waiting[-1] != "(" and _POWER[waiting[-1]] >= _POWER[word]:
+        elif token in _POWER:
+            while waiting and waiting[-1] != "(" and _POWER[waiting[-1]] >= _POWER[token]:
                 out.append(waiting.pop())
-            waiting.append(word)
-            operand, last = True, word
-    if operand or "(" in waiting:
-        return None
-    return out + waiting[::-1]
+            waiting.append(token)
+        else:
+            out.append(token)
+    return out + waiting[::-1], text[:end].strip()
 
 
 @dataclass
@@ -200,18 +208,21 @@ class Terms:
     permissive: bool
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], Terms] | None:
-    """All labels that an expression names, and its terms; None if a name in it is unknown."""
+def evaluate(postfix: list[str]) -> tuple[set[str], Terms, set[str]] | None:
+    """All labels that an expression names, its terms, and its unknown names; None if it names nothing known."""
     labels: set[str] = set()
+    unknown: set[str] = set()
     stack: list[str | Terms] = []
 
-    def terms(x: str | Terms) -> Terms | None:
+    def terms(x: str | Terms, label: str = "") -> Terms:
         if isinstance(x, Terms):
             return x
-        if (label := licence(x)) is None:
-            return None
-        labels.add(label)
-        return Terms({label}, 1, label.removesuffix("-or-later") in PERMISSIVE)
+        plain = licence(x)
+        if plain is None:
+            unknown.add(x)
+            return Terms(set(), 1, False)
+        labels.add(label or plain)
+        return Terms({label or plain}, 1, plain.removesuffix("-or-later") in PERMISSIVE)
 
     for x in postfix:
         if x not in _POWER:
@@ -219,16 +230,12 @@ def evaluate(postfix: list[str]) -> tuple[set[str], Terms] | None:
             continue
         right, left = stack.pop(), stack.pop()
         if x == "with":
-            label = licence(left)
-            if label is None or right.lower() not in EXCEPTIONS:
-                return None
-            joined = f"{label}-with-{right.lower()}"
-            labels.add(joined)
-            stack.append(Terms({joined}, 1, label.removesuffix("-or-later") in PERMISSIVE))
+            known = right.lower() in EXCEPTIONS
+            if not known:
+                unknown.add(right)
+            stack.append(terms(left, f"{licence(left)}-with-{right.lower()}" if known else ""))
             continue
         one, two = terms(left), terms(right)
-        if one is None or two is None:
-            return None
         small, large = sorted((one.required, two.required), key=len)
         if x == "and":
             large |= small
@@ -237,7 +244,7 @@ def evaluate(postfix: list[str]) -> tuple[set[str], Terms] | None:
             small &= large
             stack.append(Terms(small, min(MOST_CHOICES, one.choices + two.choices), one.permissive or two.permissive))
     whole = terms(stack[0])
-    return whole and (labels, whole)
+    return (labels, whole, unknown) if labels else None
 
 
 def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
@@ -251,26 +258,22 @@ def _automata() -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
     return phrases, tags
 
 
-def tagged(text: str, lower: str, tags: ahocorasick.Automaton) -> Iterator[tuple[str, set[str], Terms]]:
-    """Each tag's expression, labels and terms."""
+def tagged(text: str, lower: str, tags: ahocorasick.Automaton) -> Iterator[tuple[str, set[str], Terms, set[str]]]:
+    """Each tag's expression, labels, terms and unknown names."""
     ends = [(end + 1, end + 1 - len(tag)) for end, tag in tags.iter(lower)]
     for (start, _), (_, following) in zip(ends, [*ends[1:], (0, len(text))], strict=True):
-        stop = text.find("\n", start, following)
-        if stop < 0:
-            if following < len(text):
-                continue  # a later tag of the same line
-            stop = len(text)
-        rest = text[start:stop].strip().rstrip("*/.#;>-! ")
-        if (postfix := parse(rest)) and (found := evaluate(postfix)):
-            yield rest, *found
+        stop = text.find("\n", start, max(start, following))
+        rest = text[start : stop if stop >= 0 else max(start, following)]
+        if (parsed := parse(rest)) and (found := evaluate(parsed[0])):
+            yield parsed[1], *found
 
 
-#: Columns of a scan: places are starts of base phrases in words; the last four come from tags.
+#: Columns of a scan: places are starts of base phrases in words; the last five come from tags.
 SCAN = pa.schema([
     ("n_words", pa.int64()), ("places", pa.list_(pa.int64())), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),
-    ("expressions", pa.list_(pa.string())), ("required", pa.string()), ("choices", pa.int64()), ("permissive", pa.bool_()),
+    ("expressions", pa.list_(pa.string())), ("required", pa.string()), ("choices", pa.int64()), ("permissive", pa.bool_()), ("unknown", pa.string()),
 ])
-_SCAN = "n_words long, places array<long>, base_labels string, labels string, score double, expressions array<string>, required string, choices long, permissive boolean"
+_SCAN = "n_words long, places array<long>, base_labels string, labels string, score double, expressions array<string>, required string, choices long, permissive boolean, unknown string"
 
 
 def _scan_texts(phrases, tags):
@@ -289,10 +292,10 @@ def _scan_texts(phrases, tags):
         text = raw.decode()
         lower = raw.lower().decode()  # A-Z alone, so places stay
         found = list(tagged(text, lower, tags)) if "license:" in lower or TAGS[0] in lower else []
-        for _, labels, _ in found:
+        for _, labels, _, _ in found:
             more |= labels
         choices = 1
-        for _, _, terms in found:
+        for _, _, terms, _ in found:
             choices = min(MOST_CHOICES, choices * terms.choices)
         return {
             "n_words": len(words),
@@ -300,10 +303,11 @@ def _scan_texts(phrases, tags):
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | more)),
             "score": 1 - 0.5**hits * 0.1 ** len(found),
-            "expressions": [x for x, _, _ in found],
-            "required": ",".join(sorted(set().union(*(terms.required for _, _, terms in found)))),
+            "expressions": [x for x, *_ in found],
+            "required": ",".join(sorted(set().union(*(terms.required for _, _, terms, _ in found)))),
             "choices": choices if found else 0,
-            "permissive": all(terms.permissive for _, _, terms in found) if found else None,
+            "permissive": all(terms.permissive for _, _, terms, _ in found) if found else None,
+            "unknown": ",".join(sorted(set().union(*(names for *_, names in found)))),
         }
 
     return scan
@@ -347,4 +351,5 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "required",
         "choices",
         "permissive",
+        "unknown",
     )

@@ -563,11 +563,25 @@ def test_huge_components_do_not_fail(spark):
 
 
 def plain_terms(text):
-    """A recursive reading of an expression: labels, required labels, choices and permissiveness; None if it is none."""
+    """Labels, required labels, choices, permissive and unknown names of the longest beginning of a text that a recursive reading takes whole."""
     import re
 
-    tokens = re.findall(r"[A-Za-z0-9.+:-]+|[()]|\S", text)
+    tokens = []
+    for found in re.finditer(r"\s*(?:([A-Za-z0-9.+:-]+)|([()])|(\S|$))", text):
+        if found[3] is not None or found[1] and not found[1].rstrip(".:-"):
+            break
+        tokens.append(found[2] or found[1].rstrip(".:-"))
+        if (found[1] or "")[-1:] == ".":
+            break
+    for n in range(len(tokens), 0, -1):
+        if found := read_whole(tokens[:n]):
+            return found if found[0] else None
+    return None
+
+
+def read_whole(tokens):
     at = 0
+    unknown = set()
 
     def peek():
         return tokens[at].lower() if at < len(tokens) else ""
@@ -578,7 +592,7 @@ def plain_terms(text):
         return tokens[at - 1]
 
     def name():
-        if peek() in ("", "(", ")", "and", "or", "with") or not re.fullmatch(r"[a-z0-9.+:-]+", peek()):
+        if peek() in ("", "and", "or", "with", "(", ")"):
             raise ValueError
         return take()
 
@@ -589,19 +603,23 @@ def plain_terms(text):
             if peek() != ")":
                 raise ValueError
             take()
-            if peek() == "with":
-                raise ValueError
             return found
-        label = license_scan.licence(name())
-        if label is None:
-            raise ValueError
-        mild = label.removesuffix("-or-later") in license_scan.PERMISSIVE
+        own = name()
+        label = license_scan.licence(own)
+        exception = ""
         if peek() == "with":
             take()
-            exception = name().lower()
-            if exception not in license_scan.EXCEPTIONS or peek() == "with":
+            exception = name()
+            if peek() == "with":
                 raise ValueError
-            label = f"{label}-with-{exception}"
+            if exception.lower() not in license_scan.EXCEPTIONS:
+                unknown.add(exception)
+                exception = ""
+        if label is None:
+            unknown.add(own)
+            return set(), set(), 1, False
+        mild = label.removesuffix("-or-later") in license_scan.PERMISSIVE
+        label += f"-with-{exception.lower()}" if exception else ""
         return {label}, {label}, 1, mild
 
     def both():
@@ -622,7 +640,7 @@ def plain_terms(text):
 
     try:
         found = either()
-        return found if at == len(tokens) else None
+        return (*found, unknown) if at == len(tokens) else None
     except ValueError:
         return None
 
@@ -630,6 +648,7 @@ def plain_terms(text):
 def test_scan_equals_a_plain_search(docs, spark, nothing):
     more = ["Released under the MIT License. CC-BY NC cc by nc cc by nc", "APACHE license, Version 2.0 under the mit licensee", "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND ISC */\nLicense: not an ( expression"]
     more += ["License: MIT AND ISC", "License: MIT OR ISC", "License: unknown", "License: x License: GPL-3.0-or-later\nlicense: mit with llvm-exception", "License: (mit or isc) with llvm-exception"]
+    more += ["SPDX-License-Identifier: MIT; License: Apache-2.0", "License: GPL-2.0-or-later AND Foo-1.0", "License: MIT (see LICENSE)", "License: MIT / Apache-2.0. License: see the file", "License: GPL-2.0 WITH Foo-exception or zlib.", "License: MIT and (", "License: SPDX-License-Identifier: isc"]
     table = documents(spark, [(k, t, None, None, None) for k, t in enumerate([*more, *texts()])])
     import re
 
@@ -643,15 +662,18 @@ def test_scan_equals_a_plain_search(docs, spark, nothing):
         assert own["n_words"] == len(ws) and own["places"] == sorted(k for k, _ in hits)
         assert own["base_labels"] == ",".join(sorted({x for _, x in hits}))
         lines = [re.split(r"(?i)(?:spdx-license-identifier|license):", x) for x in (r["text"] or "").split("\n")]
-        terms = [t for x in lines if len(x) > 1 and (t := plain_terms(x[-1].strip().rstrip("*/.#;>-! ")))]
+        terms = [t for x in lines for rest in x[1:] if (t := plain_terms(rest))]
         labels = {x for _, x in hits + notices}.union(*(t[0] for t in terms))
         assert own["labels"] == ",".join(sorted(labels))
         assert own["required"] == ",".join(sorted(set().union(*(t[1] for t in terms))))
         assert own["choices"] == (math.prod(t[2] for t in terms) if terms else 0)
         assert own["permissive"] == (all(t[3] for t in terms) if terms else None)
+        assert own["unknown"] == ",".join(sorted(set().union(*(t[4] for t in terms))))
         assert abs(own["score"] - (1 - 0.5 ** len(hits + notices) * 0.1 ** len(terms))) < 1e-12
     assert found[2]["labels"] == "gpl-2-with-classpath-exception-2.0,isc,mit" and found[2]["choices"] == 2
-    assert (found[3]["required"], found[4]["required"]) == ("isc,mit", "") and found[5]["labels"] == "" and found[7]["labels"] == ""
+    assert (found[3]["required"], found[4]["required"]) == ("isc,mit", "") and found[5]["labels"] == "" and found[7]["labels"] == "isc,mit"
+    assert [found[k]["labels"] for k in range(8, 15)] == ["apache-2,mit", "gpl-2-or-later", "mit", "mit", "gpl-2,zlib", "mit", "isc"]
+    assert (found[9]["unknown"], found[12]["unknown"]) == ("Foo-1.0", "Foo-exception")
     assert license_scan.license_scan(nothing).count() == 0
 
 
@@ -661,10 +683,10 @@ NAMES = st.sampled_from(["mit", "ISC", "GPL-2.0-only", "gpl-3.0-or-later", "Lice
 @given(st.recursive(NAMES | NAMES.map(lambda x: f"{x} WITH LLVM-exception"), lambda x: st.tuples(x, st.sampled_from(["and", "OR"]), x).map(" ".join) | x.map("({})".format), max_leaves=12) | st.text("()", max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_expressions_evaluate_as_a_recursive_reading(text):
-    postfix = license_scan.parse(text)
-    got = postfix and license_scan.evaluate(postfix)
+    parsed = license_scan.parse(text)
+    got = parsed and license_scan.evaluate(parsed[0])
     want = plain_terms(text)
-    assert (got and (got[0], got[1].required, got[1].choices, got[1].permissive)) == want
+    assert (got and (got[0], got[1].required, got[1].choices, got[1].permissive, got[2])) == want
 
 
 def test_long_and_deep_licence_texts_take_linear_time():
@@ -680,9 +702,11 @@ def test_long_and_deep_licence_texts_take_linear_time():
 
 
 def test_expressions_parse_by_precedence():
-    assert license_scan.parse("a OR b AND c WITH d") == ["a", "b", "c", "d", "with", "and", "or"]
-    assert license_scan.parse("(a or b) and c") == ["a", "b", "or", "c", "and"]
-    for bad in ("", "a b", "a AND", "(a", "a)", "AND a", "a OR OR b", "a ; b", "()", "(a or b) with c", "a with (b)", "a with b with c"):
+    assert license_scan.parse("a OR b AND c WITH d")[0] == ["a", "b", "c", "d", "with", "and", "or"]
+    assert license_scan.parse("(a or b) and c")[0] == ["a", "b", "or", "c", "and"]
+    for text, taken in (("a b", "a"), ("a AND", "a"), ("a)", "a"), ("a OR OR b", "a"), ("a ; b", "a"), ("(a or b) with c", "(a or b)"), ("a with (b)", "a"), ("a with b with c", "a with b"), ("a and (b or c", "a"), (" a or b. And so on", "a or b.")):
+        assert license_scan.parse(text)[1] == taken
+    for bad in ("", "(a", "AND a", "()", "; a", "... a"):
         assert license_scan.parse(bad) is None
 
 
