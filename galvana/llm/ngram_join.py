@@ -260,6 +260,24 @@ def _verify(plan: Plan):
     return run
 
 
+#: Bits that mark wanted hashes; a bitmap of all of them takes 8 MB, and each row of it 4 KB.
+MARKS = 1 << 26
+
+
+def marked(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows whose hash is among the wanted ones, and few others, before any shuffle.
+
+    Wanted hashes set bits of a bitmap, which is broadcast: its size is bounded whatever
+    they are. Some rows that share a bit pass as well; a join behind tells.
+    """
+    place = F.pmod(F.col(column), F.lit(MARKS)) + 1
+    bits = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    found = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
+
+
 def ngram_join(docs: DataFrame, plan: Plan | None = None, bucket_block: int = 256, verify_block: int = 128) -> DataFrame:
     """``doc_id, text_hash, n_grams, class_id, n_links, kept``: a row for each row of ``docs``.
 
@@ -301,9 +319,11 @@ def ngram_join(docs: DataFrame, plan: Plan | None = None, bucket_block: int = 25
     sizes = cluster.groupBy("component").agg(F.count("*").alias("size"))
     wanted = cluster.join(sizes, "component").join(classes.select("key", "digest", "copies", "least"), "key")
     wanted = wanted.select("component", "size", "key", "digest", "copies", "least.no_id", F.coalesce("least.doc_id", F.lit(0)).alias("id"), "least.text_hash")
-    # One text of rows that repeat: copies merge before and while they are shuffled.
+    wanted = cut(wanted, "wanted")
+    # Only texts that a cluster asks for are shuffled, and one of rows that repeat: copies merge before and while they are.
     same = ["text_hash", "no_id", "id"]
-    texts = docs.select("text_hash", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text").groupBy(*same).agg(F.any_value("text").alias("text"))
+    asked = marked(docs, wanted, "text_hash")
+    texts = asked.select("text_hash", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text").groupBy(*same).agg(F.any_value("text").alias("text"))
     texts = wanted.join(texts, same).select("component", "size", "key", "digest", "copies", "text")
     sets = texts.mapInArrow(_sets(plan), "component long, size long, key long, digest binary, copies long, grams binary")
     pairs = block_pairs(sets, ["component"], F.col("size"), verify_block, ["key"], ["key", "copies", "grams"])
