@@ -104,7 +104,7 @@ def rest_columns(samples: DataFrame, order: Sequence[str] = ("row_id",)) -> Data
     """Rest voltages after each leg and their time constants, of the last rest."""
     rows = rests.rest_samples(samples, order=order)
     last = rows.groupBy(*KEYS, "after_leg").agg(F.max("run_id").alias("run_id"))
-    own = rows.join(last, [*KEYS, "after_leg", "run_id"]).withColumnRenamed("t", "time")
+    own = rows.join(last, [*KEYS, "after_leg", "run_id"]).select(*KEYS, "after_leg", *(c for c in order if c != "time"), F.col("t").alias("time"), "voltage")
     tau = rests.rest_taus(own, [*KEYS, "after_leg"], ["time", *order])
     wide = tau.groupBy(*KEYS).agg(*(F.max(F.when(F.col("after_leg") == leg, F.col("tau"))).alias(f"{p}_restV_tau") for p, leg in (("EoC", "charge"), ("EoD", "discharge"))))
     return rests.leg_rests(samples, order=order).join(wide, KEYS, "left")

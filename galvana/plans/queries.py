@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, forest, isolation, labels, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory
+from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, forest, isolation, labels, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory, wide
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
 
@@ -674,6 +674,44 @@ def mode_diagnosis(spark, sf_dir):
     return found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*")
 
 
+# The main flow: samples to wide rows to diagnosis
+
+
+def _wide(spark, sf_dir):
+    return wide.feature_rows(views.cell_samples(spark, sf_dir))
+
+
+_ENERGY = """SELECT *, (voltage + lag(voltage) OVER l) / 2 * (capacity - lag(capacity) OVER l) AS dE, row_number() OVER l AS k, row_number() OVER b AS back
+  FROM v_cell WINDOW l AS (PARTITION BY cell_id, cycle, step_type ORDER BY row_id), b AS (PARTITION BY cell_id, cycle, step_type ORDER BY row_id DESC)"""
+_WIDE_COLUMNS = ("chgCapa", "dchgCapa", "chg_V_cutoff", "dchg_V_cutoff", "chg_E_observed", "dchg_E_observed", "EoC_restV_init", "EoC_restV_end", "CE", "SoHQ")
+
+
+@query("wide_relational", f"""SELECT cell_id, cycle, {R(*_WIDE_COLUMNS, digits=5)} FROM (
+  SELECT *, dchgCapa / chgCapa * 100 AS CE, dchgCapa / first(dchgCapa) OVER (PARTITION BY cell_id ORDER BY cycle) * 100 AS SoHQ FROM (
+    SELECT cell_id, cycle, max(capacity) FILTER (step_type = 'charge') AS chgCapa, max(capacity) FILTER (step_type = 'discharge') AS dchgCapa,
+      max(voltage) FILTER (step_type = 'charge' AND back = 1) AS chg_V_cutoff, max(voltage) FILTER (step_type = 'discharge' AND back = 1) AS dchg_V_cutoff,
+      sum(dE) FILTER (step_type = 'charge') AS chg_E_observed, sum(dE) FILTER (step_type = 'discharge') AS dchg_E_observed,
+      max(voltage) FILTER (step_type = 'rest' AND k = 1) AS EoC_restV_init, max(voltage) FILTER (step_type = 'rest' AND back = 1) AS EoC_restV_end FROM v_energy GROUP BY ALL))""", v_energy=_ENERGY)
+def wide_relational(spark, sf_dir):
+    """Columns of the wide row that SQL can tell."""
+    return rounded(_wide(spark, sf_dir).select("cell_id", "cycle", *_WIDE_COLUMNS), 5)
+
+
+@query("wide_rows")
+def wide_rows(spark, sf_dir):
+    """The whole wide row, but for its maps of meanings."""
+    rows = _wide(spark, sf_dir)
+    return rows.select(*(c for c, t in rows.dtypes if not t.startswith(("map", "struct"))))
+
+
+@query("wide_diagnosis")
+def wide_diagnosis(spark, sf_dir):
+    """Modes of the full cell over the wide rows."""
+    found = diagnose.diagnose(_wide(spark, sf_dir), diagnose.FULL_CELL)
+    each = [F.struct(F.lit(m).alias("mode"), F.col(diagnose.score_column(m)).alias("score"), F.col(diagnose.confidence_column(m)).alias("confidence"), F.col(f"{m}_evidence_count").alias("evidence_count"), F.col(f"{m}_status").alias("status")) for m in diagnose.FULL_CELL.modes]
+    return found.select("cell_id", "cycle", F.explode(F.array(*each)).alias("r")).select("cell_id", "cycle", "r.*")
+
+
 # Curves: no SQL; tests compare them with direct computation.
 
 

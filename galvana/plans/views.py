@@ -36,6 +36,23 @@ def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("capacity", F.sum("inc").over(w))
 
 
+def cell_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as whole cycles: ten cells, a week a cycle, all charges before the rest and the discharges, a sample every ten seconds.
+
+    Voltages go from 3.0 to 4.2 and back with the share of the charge that has moved.
+    """
+    s = samples(spark, sf_dir, daily=True).where("step_type in ('charge', 'rest', 'discharge')")
+    s = s.select((F.col("cell_id") % 10).alias("cell_id"), (F.floor((F.col("cycle") - 1) / 8) + 1).cast("int").alias("cycle"), "time", "row_id", "step_type", "current", "inc")
+    phase = F.when(F.col("step_type") == "charge", 0).when(F.col("step_type") == "rest", 1).otherwise(2)
+    order = Window.partitionBy("cell_id").orderBy("cycle", phase, "time", "row_id")
+    leg = Window.partitionBy("cell_id", "cycle", "step_type")
+    past = leg.orderBy("time", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum("inc").over(past) / F.sum("inc").over(leg)
+    volts = F.when(F.col("step_type") == "charge", 3.0 + 1.2 * share).when(F.col("step_type") == "discharge", 4.2 - 1.2 * share).otherwise(4.2)
+    rows = s.withColumns({"place": F.row_number().over(order), "capacity": F.sum("inc").over(past) / 1000, "voltage": volts})
+    return rows.select("cell_id", "cycle", F.col("place").cast("long").alias("row_id"), (F.col("place") * 10.0).alias("time"), "step_type", "current", "voltage", "capacity")
+
+
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a cycle table: a supplier is a cell, a month since 1995 a cycle."""
     return (
@@ -79,6 +96,11 @@ def _samples_sql(cycle: str) -> str:
 
 
 SAMPLES = _samples_sql("day(ts)")
+CELLS = """SELECT cell_id, cycle, place AS row_id, place * 10.0 AS time, step_type, current, moved / 1000 AS capacity,
+  CASE step_type WHEN 'charge' THEN 3.0 + 1.2 * moved / whole WHEN 'discharge' THEN 4.2 - 1.2 * moved / whole ELSE 4.2 END AS voltage FROM (
+    SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY cycle, CASE step_type WHEN 'charge' THEN 0 WHEN 'rest' THEN 1 ELSE 2 END, time, row_id) AS place,
+      sum(inc) OVER (PARTITION BY cell_id, cycle, step_type ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS moved, sum(inc) OVER (PARTITION BY cell_id, cycle, step_type) AS whole
+    FROM (SELECT * REPLACE (cell_id % 10 AS cell_id, CAST((cycle - 1) // 8 + 1 AS INTEGER) AS cycle) FROM v_samples WHERE step_type IN ('charge', 'rest', 'discharge')))"""
 LEGS = f"""SELECT * RENAME (step_type AS leg), sum(inc) OVER (PARTITION BY cell_id, step_type ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS capacity
   FROM ({_samples_sql("1")}) WHERE step_type IN ('charge', 'discharge')"""
 CYCLES = """SELECT l_suppkey AS cell_id, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS cycle, sum(l_quantity) AS dchgCapa,
@@ -93,8 +115,10 @@ TRAJECTORY = """SELECT *, dchgCapa / nullif(first(dchgCapa) OVER a, 0) * 100 AS
 
 def with_views(select: str, **views: str) -> str:
     """A statement over the views it names, in order."""
-    known = {"v_samples": SAMPLES, "v_leg": LEGS, "v_cycle": CYCLES, "v_arm": f"SELECT c.*, arm FROM v_cycle c JOIN ({ARM}) a USING (cell_id)", "v_traj": TRAJECTORY} | views
+    known = {"v_samples": SAMPLES, "v_leg": LEGS, "v_cycle": CYCLES, "v_cell": CELLS, "v_arm": f"SELECT c.*, arm FROM v_cycle c JOIN ({ARM}) a USING (cell_id)", "v_traj": TRAJECTORY} | views
     text = select + " ".join(views.values())
+    if "v_cell" in text:
+        text += " v_samples"
     if "v_traj" in text or "v_arm" in text:
         text += " v_cycle"
     used = {name: sql for name, sql in known.items() if name in text}

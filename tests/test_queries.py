@@ -264,7 +264,7 @@ KEYED = {
     "stitched_sweeps": ("cell_id", "leg"), "evolution_map": ("cell_id", "leg", "cycle"), "peak_evolution": ("cell_id", "leg", "track", "cycle"), "peak_summary": ("cell_id", "leg", "track"),
     "peak_events": ("cell_id", "leg", "track", "cycle", "event"), "evolution_preflight": ("cell_id", "leg", "check"), "peak_disappearances": ("cell_id", "leg", "track", "cycle"), "pulse_parameters": ("cell_id", "leg"),
     "isolation_scores": ("cell_id", "cycle"), "block_recoveries": ("cell_id", "block_start"), "self_discharge": ("cell_id", "leg"), "recovery_segments": ("cell_id", "block_id"), "recovery_onsets": ("cell_id",),
-    "discharge_fits": ("cell_id", "cycle"), "health_turns": ("cell_id", "regime"), "noise_uniformity": ("cell_id", "leg"), "wiggle_widths": ("cell_id", "leg"), "labelled_peaks": ("cell_id", "cycle", "leg", "peak_id"), "overlap_training": ("source", "cell_id", "life", "cycle", "leg", "peak_id"), "overlap_scores": ("cell_id", "life", "cycle", "leg", "candidate", "peak_id"),
+    "discharge_fits": ("cell_id", "cycle"), "wide_rows": ("cell_id", "cycle"), "wide_diagnosis": ("cell_id", "cycle", "mode"), "health_turns": ("cell_id", "regime"), "noise_uniformity": ("cell_id", "leg"), "wiggle_widths": ("cell_id", "leg"), "labelled_peaks": ("cell_id", "cycle", "leg", "peak_id"), "overlap_training": ("source", "cell_id", "life", "cycle", "leg", "peak_id"), "overlap_scores": ("cell_id", "life", "cycle", "leg", "candidate", "peak_id"),
 }
 TESTED = {"derivative_curves", "hysteresis", "shape_features", "shape_distance", "banded_peaks", "golden_peaks", "tracked_peaks", "assigned_peaks", "steep_onsets", "health_inflections", "recovery_blocks", "health_corrected"}
 
