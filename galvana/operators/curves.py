@@ -1,12 +1,12 @@
 """Features of whole curves: one grouped function for each leg, cycle or cell.
 
-A group holds one curve's samples, which the cycler bounds; Spark spreads the
-groups. All columns in and out are doubles or arrays of them.
+A group holds one curve's samples, which the cycler bounds; Spark spreads and
+sorts the groups. All columns in and out are doubles or arrays of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,20 +21,66 @@ CHARGE_BANDS = ((3.48, 3.62, "P1_low"), (3.6, 3.78, "P2_shoulder"), (3.78, 3.94,
 DISCHARGE_BANDS = ((3.05, 3.28, "P1_low"), (3.55, 3.78, "P2_mid"), (3.82, 4.0, "P3_high"))
 
 
+#: Result rows that leave a task at once.
+ROWS_OUT = 256
+
+
+def _starts(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Places where other keys begin; nulls are equal."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        now, before = pdf[k].iloc[1:], pdf[k].iloc[:-1]
+        null, was_null = now.isna().to_numpy(), before.isna().to_numpy()
+        new[1:] |= (null != was_null) | ~null & ~was_null & (now.to_numpy() != before.to_numpy())
+    return np.flatnonzero(new)
+
+
 def _grouped(samples: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], schema: str, f) -> DataFrame:
-    """``f(group)`` gives a dict of one row or a list of dicts; keys and types come from the samples."""
+    """``f(group)`` gives a dict of one row or a list of dicts; keys and types come from the samples.
+
+    Rows are dealt by the keys and sorted by Spark; a task streams through its groups and
+    passes many groups' results on at once, so wide results cost no batch for each group.
+    """
     types = dict(samples.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     names = [*keys, *(x.split()[0] for x in schema.split(", "))]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
+    def result(frames: list[pd.DataFrame]) -> list[dict]:
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
         rows = f({c: pdf[c].to_numpy() for c in columns})
         own = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([own | r for r in (rows if isinstance(rows, list) else [rows])], columns=names)
+        return [own | r for r in (rows if isinstance(rows, list) else [rows])]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_group: list[pd.DataFrame] = []
+        out: list[dict] = []
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            starts = _starts(pdf, keys)
+            if open_group:
+                edge = pd.concat([open_group[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True)
+                if len(_starts(edge, keys)) == 2:
+                    out += result(open_group)
+                    open_group = []
+            for a, z in zip(starts, [*starts[1:], None], strict=True):
+                if z is None:
+                    open_group = [*open_group, pdf.iloc[a:]]
+                else:
+                    out += result([*open_group, pdf.iloc[a:z]])
+                    open_group = []
+                if len(out) >= ROWS_OUT:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if open_group:
+            out += result(open_group)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     chosen = samples.select(*dict.fromkeys([*keys, *order, *columns]))
-    return chosen.groupBy(*keys).applyInPandas(run, f"{head}, {schema}")
+    dealt = chosen.repartition(*keys).sortWithinPartitions(*keys, *(F.asc_nulls_last(c) for c in order if c not in keys))
+    return dealt.mapInPandas(run, f"{head}, {schema}")
 
 
 def derivative_curves(samples: DataFrame, n: int = 500, keys: Sequence[str] = LEG, order: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -112,7 +158,7 @@ _SHAPES = ", ".join(
 )
 
 
-def shape_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",)) -> DataFrame:
+def shape_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"), order: Sequence[str] = ("row_id",), peaks: bool = True) -> DataFrame:
     """Every curve feature of a cycle: peaks, plateaus, dV/dQ at states of charge, cliffs, and the gap between its legs.
 
     One group function takes each leg's differential curves once. A leg that is
@@ -123,7 +169,7 @@ def shape_features(samples: DataFrame, keys: Sequence[str] = ("cell_id", "cycle"
         legs = {leg: (g["capacity"][m].astype(float), g["voltage"][m].astype(float)) for leg in ("charge", "discharge") for m in [g["leg"] == leg]}
         out: dict = {}
         for prefix, leg in (("chg", "charge"), ("dchg", "discharge")):
-            out |= {f"{prefix}_{c}": x for c, x in shapes.leg_shape(*legs[leg], leg == "discharge").items()}
+            out |= {f"{prefix}_{c}": x for c, x in shapes.leg_shape(*legs[leg], leg == "discharge", peaks=peaks).items()}
         found, reason = shapes.hysteresis(*legs["charge"], *legs["discharge"])
         return out | found | {"hyst_reason": reason}
 

@@ -134,7 +134,7 @@ def cycle_rows(samples: DataFrame, setting: Setting = Setting(), order: Sequence
     features = _of_leg(cycle.leg_features(legs, order=order), _both({"Capa": "capacity", "_V_cutoff": "v_end", "_I_cutoff": "i_end"})).drop("dchg_I_cutoff")
     span = kinds.groupBy(*KEYS).agg(((F.max("time") - F.min("time")) / 3600).alias("cycle_duration_h"))
     peaks = [f"{p}_{c}" for p in ("chg", "dchg") for c in curves.shapes.COMMON if "_peak" in c]
-    shape = curves.shape_features(legs, order=order).drop(*peaks)
+    shape = curves.shape_features(legs, order=order, peaks=False).drop(*peaks)
     bands = cycle.band_capacity(legs.where("leg = 'discharge'"), low=setting.band[0], high=setting.band[1], order=order)
     bands = bands.select(*KEYS, *(F.col(f"q_{b}").alias(f"dchg_Q_{b}_V") for b in ("high", "low", "mid")), *(F.col(f"q_{b}_frac").alias(f"dchg_Q_{b}_frac") for b in ("high", "low")), ratio("q_high", F.col("q_high") + F.col("q_low")).alias("dchg_f_graphite_proxy"))
     parts = [
