@@ -284,7 +284,7 @@ def test_single_analyses(spark, cell):
     legs = segment.leg_samples(segment.with_kind(cell))
     discharges = legs.where("leg = 'discharge'")
     fits = {r["cycle"]: r for r in tools.curve_fits(discharges, 2.0).collect()}
-    assert fits[1]["dchg_fit_scale"] == pytest.approx(1, abs=1e-3) and fits[3]["dchg_fit_scale"] == pytest.approx(0.96, abs=0.01) and fits[3]["dchg_fit_dR"] == pytest.approx(10, abs=2)
+    assert fits[1]["dchg_fit_scale"] == pytest.approx(1, abs=1e-3) and fits[3]["dchg_fit_scale"] == pytest.approx(1 / 0.96, abs=0.01) and fits[3]["dchg_fit_dR"] == pytest.approx(10, abs=2)
     slopes = {r["cycle"]: r for r in tools.empty_end_slopes(discharges).collect()}
     assert slopes[1]["dvdq_soc0"] < 0 and slopes[1]["change_pct"] == 0 and slopes[3]["change_pct"] == pytest.approx(-100 * (1 / 0.96 - 1), rel=0.05)
     assert tools.at_charge_shares(discharges.where("cycle = 1"), (50.0,)).first()["v"] == pytest.approx(4.1 - 0.65, abs=0.02)
