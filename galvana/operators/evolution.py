@@ -69,7 +69,8 @@ def local_contrast(maps: DataFrame, keys: Sequence[str] = ("cell_id", "leg")) ->
     sizes = F.array_sort(F.transform(F.filter("curve", lambda x: ~F.isnan(x)), F.abs))
     n = F.size(sizes)
     middle = (F.get(sizes, F.floor((n - 1) / 2).cast("int")) + F.get(sizes, F.floor(n / 2).cast("int"))) / 2
-    rows = maps.withColumn("_m", middle).withColumn("curve", F.transform("curve", lambda x: F.when(F.col("_m") > 1e-15, x / F.col("_m")).otherwise(none))).drop("_m")
+    # The median is a lambda's variable: as a column it would be inlined and sorted anew for every place.
+    rows = maps.withColumn("curve", F.get(F.transform(F.array(middle), lambda m: F.transform("curve", lambda x: F.when(m > 1e-15, x / m).otherwise(none))), F.lit(0)))
     places = rows.select(*keys, F.posexplode("curve").alias("_p", "_x"))
     means = places.groupBy(*keys, "_p").agg(F.avg(F.when(~F.isnan("_x"), F.abs("_x"))).alias("_mean"))
     lines = means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_mean"))), lambda r: r["_mean"]).alias("_means"))
