@@ -10,7 +10,8 @@ are broadcast, the others are looked up by a join.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case, told apart by 64-bit hashes;
 each text ends with one end token. A null text is an empty one: an end token. A
 row without an id is a training row. Rows that repeat count and are scored
-each. Without training rows every word is unknown.
+each. Without training rows every word is unknown. A text of millions of words keeps
+the states of one stretch of it at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,48 +161,74 @@ def lockstep(lengths: np.ndarray) -> Iterator[np.ndarray]:
         place += take
 
 
-def forward(model: Model, codes: list[np.ndarray], keep: bool = True) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Natural log likelihoods of sequences given longest first; with ``keep`` also each step's scaled states and scales; the padded codes."""
+def _padded(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sequences given longest first as columns, and the number of them that reach each step."""
     lengths = np.array([len(x) for x in codes])
     steps = int(lengths[0])
-    padded = np.zeros((steps, len(codes)), np.int64)
+    padded = np.zeros((steps, len(codes)), np.uint32)
     for k, x in enumerate(codes):
         padded[: len(x), k] = x
-    live = np.searchsorted(-lengths, -np.arange(steps), side="left")  # rows longer than each step
-    total = np.zeros(len(codes))
-    states, scales, state = [], [], None
-    for t in range(steps):
-        n = int(live[t])
-        state = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else state[:n] @ model.move) * model.emit[padded[t, :n]]
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
+    return padded, np.searchsorted(-lengths, -np.arange(steps), side="left")
+
+
+def _step(model: Model, state: np.ndarray | None, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scaled states after a step, and its scales; no state stands before the first."""
+    before = model.start[None, :] if state is None else state[: len(kinds)] @ model.move
+    state = before * model.emit[kinds]
+    scale = state.sum(axis=1)
+    return state / scale[:, None], scale
+
+
+def forward(model: Model, codes: list[np.ndarray]) -> np.ndarray:
+    """Natural log likelihoods of sequences given longest first."""
+    padded, live = _padded(codes)
+    total, state = np.zeros(len(codes)), None
+    for kinds, n in zip(padded, live.tolist(), strict=True):
+        state, scale = _step(model, state, kinds[:n])
         total[:n] += np.log(scale)
-        if keep:
+    return total
+
+
+def expected(model: Model, codes: list[np.ndarray], emit: np.ndarray, move: np.ndarray, start: np.ndarray, block: int = BLOCK_TOKENS) -> None:
+    """Add a group's Baum-Welch counts to ``emit``, ``move`` and ``start``.
+
+    Of a long group only the states before each stretch of about ``block`` tokens are
+    kept; the way back runs each stretch forward again, so a text's states never
+    stand in memory whole.
+    """
+    padded, live = _padded(codes)
+    stretch = max(1, block // len(codes))
+    begins = list(range(0, len(padded), stretch))
+    before, state = [None], None
+    for t in range(begins[-1]):
+        state, _ = _step(model, state, padded[t, : live[t]])
+        if (t + 1) % stretch == 0:
+            before.append(state)
+    back = np.ones((int(live[-1]), emit.shape[1]))
+    for begin, entry in zip(reversed(begins), reversed(before), strict=True):
+        states, scales, state = [], [], entry
+        for t in range(begin, min(begin + stretch, len(padded))):
+            state, scale = _step(model, state, padded[t, : live[t]])
             states.append(state)
             scales.append(scale)
-    return total, states, scales, padded
-
-
-def expected(model: Model, codes: list[np.ndarray], emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> None:
-    """Add a group's Baum-Welch counts to ``emit``, ``move`` and ``start``."""
-    _, states, scales, padded = forward(model, codes)
-    back = np.ones_like(states[-1])
-    kinds, weights = [], []
-    for t in range(len(states) - 1, -1, -1):
-        n = len(states[t])
-        if len(back) < n:  # rows that end here
-            back = np.concatenate([back, np.ones((n - len(back), back.shape[1]))])
-        kinds.append(padded[t, :n])
-        weights.append(states[t] * back)
-        if t:
-            ahead = model.emit[padded[t, :n]] * back / scales[t][:, None]
-            move += model.move * (states[t - 1][:n].T @ ahead)
-            back = ahead @ model.move.T
-    start += weights[-1].sum(axis=0)
-    kind, weight = np.concatenate(kinds), np.concatenate(weights)
-    places, distinct = pd.factorize(kind)
-    for k in range(weight.shape[1]):
-        emit[distinct, k] += np.bincount(places, weights=weight[:, k], minlength=len(distinct))
+        kinds, weights = [], []
+        for t in range(begin + len(states) - 1, begin - 1, -1):
+            n, own = int(live[t]), states[t - begin]
+            if len(back) < n:  # rows that end here
+                back = np.concatenate([back, np.ones((n - len(back), back.shape[1]))])
+            kinds.append(padded[t, :n])
+            weights.append(own * back)
+            if t:
+                last = states[t - begin - 1] if t > begin else entry
+                ahead = model.emit[padded[t, :n]] * back / scales[t - begin][:, None]
+                move += model.move * (last[:n].T @ ahead)
+                back = ahead @ model.move.T
+        kind, weight = np.concatenate(kinds), np.concatenate(weights)
+        if not begin:
+            start += weights[-1].sum(axis=0)
+        places, distinct = pd.factorize(kind)
+        for k in range(weight.shape[1]):
+            emit[distinct, k] += np.bincount(places, weights=weight[:, k], minlength=len(distinct))
 
 
 def _codes(column: pa.Array) -> list[np.ndarray]:
@@ -223,13 +251,14 @@ def _expect(model):
         ends = [*first[1:].tolist(), len(place)]
         parts = [(place[a:b] % BUCKET).astype(np.uint16).tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
         values = [value[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(parts, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "places", "value"])
+        task = pa.array(np.full(len(bucket), TaskContext.get().partitionId(), np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), task, pa.array(parts, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "task", "places", "value"])
 
     return run
 
 
 def _sum(states: int):
-    """Sums of the rows of each bucket, all rows of which one task gets."""
+    """Sums of the rows of each bucket, all of which one task gets in the order of the tasks that sent them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -253,7 +282,7 @@ def _score(model, table):
             codes = _codes(batch.column("classes"))
             out = np.zeros(len(codes))
             for rows in lockstep(np.array([len(x) for x in codes], np.int64)):
-                out[rows] = forward(m, [codes[k] for k in rows.tolist()], keep=False)[0] / math.log(10)
+                out[rows] = forward(m, [codes[k] for k in rows.tolist()]) / math.log(10)
             out -= np.array([logs[x].sum() for x in codes])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "classes"), pa.array(out)], names=[*(c for c in batch.schema.names if c != "classes"), "class_score"])
 
@@ -315,8 +344,9 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
     training = encoded.where("not held_out").select("classes").coalesce(max(2 * sc.defaultParallelism, -(-n // s.task_tokens)))
     for _ in range(s.rounds):
         sent = sc.broadcast(model)
-        part = training.mapInArrow(_expect(sent), "bucket int, places binary, value binary")
-        table = part.repartition("bucket").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
+        part = training.mapInArrow(_expect(sent), "bucket int, task int, places binary, value binary")
+        # Sums in a fixed order, so a repeated task or run adds up to the same bits.
+        table = part.repartition("bucket").sortWithinPartitions("bucket", "task").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
         sent.destroy()  # else every round's model stays on the disks
         value = np.zeros((-(-(n_classes + s.states + 1) // BUCKET) * BUCKET, s.states))
         for bucket, own in zip(table["bucket"].to_pylist(), table["value"].to_pylist(), strict=True):
