@@ -29,6 +29,7 @@ Spark's text and binary sources, so any store that Spark reaches will do.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import zlib
@@ -175,6 +176,15 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+def splits_alone(text: str) -> bool:
+    """Whether a tokenizers file's ids are those of the byte-level pattern's matches, each merged by itself."""
+    file = json.loads(text)
+    split, model = file.get("pre_tokenizer") or {}, file["model"]
+    whole = any(file.get(k) is not None for k in ("normalizer", "truncation", "padding"))
+    bytewise = split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+    return not whole and bytewise and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+
+
 class Words:
     """Encodes texts with a tokenizers file: the library's model merges each distinct pre-token, once in a while.
 
@@ -182,15 +192,17 @@ class Words:
     are those of its pre-tokens in order. The file's added tokens, the longest of
     those that start first, are cut out before and stand for their ids. Texts that
     hold one which takes spaces, minds word ends or is looked for after the others
-    (normalized) go to the library whole.
+    (normalized) go to the library whole, and so do all texts where the file normalizes
+    texts, splits them otherwise, or does not merge the same way each time.
     """
 
-    def __init__(self, json: str, classes: np.ndarray):
+    def __init__(self, file: str, classes: np.ndarray):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(json)
+        self.tokenizer = Tokenizer.from_str(file)
         self.model = self.tokenizer.model
+        self.by_parts = splits_alone(file)
         added = {t.content: (i, t.single_word or t.lstrip or t.rstrip or t.normalized) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.content}
         self.added = {content: i for content, (i, _) in added.items()}
         self.odd = [content for content, (_, odd) in added.items() if odd]
@@ -218,6 +230,10 @@ class Words:
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and each text's offset among them (one more than texts)."""
+        if not self.by_parts:
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            places = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+            return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(places[-1])), places
         if not any(content in t for content in self.added for t in texts):
             return self._plain(texts)
         # Texts as pieces between added tokens; each piece with the ids that follow it.
@@ -265,11 +281,11 @@ def _segments(vocabulary, end_id: int):
     """The segments of one partition's documents, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        json, classes = vocabulary.value
-        key = hash(json)
+        file, classes = vocabulary.value
+        key = hash(file)
         if key not in _WORDS:
             _WORDS.clear()
-            _WORDS[key] = Words(json, classes)
+            _WORDS[key] = Words(file, classes)
         words = _WORDS[key]
         partition = TaskContext.get().partitionId()
         number = before = held = 0

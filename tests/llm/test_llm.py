@@ -6,6 +6,8 @@ import hashlib
 import itertools
 import json
 import math
+import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -17,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import AddedToken, Tokenizer
+from tokenizers import AddedToken, Tokenizer, normalizers, pre_tokenizers
 
 from galvana.llm import bpe, chat_format, hmm, license_scan, lsh_dedup, mixing, ngram_join, quality_knn, token_files, topk_search, vectext
 
@@ -105,10 +107,12 @@ def test_mix_comes_near_its_targets_and_reruns_agree(docs, nothing):
     assert sorted(map(str, first)) == sorted(map(str, again))
     rows = collections.Counter()
     by_source = collections.defaultdict(list)
+    sizes = collections.Counter((r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect())
+    assert sizes == {(r["doc_id"], r["source"], r["size"]): r["rows"] for r in first}
     for r in first:
         rows[r["doc_id"], r["source"]] += r["rows"]
         by_source[r["source"]].append(r)
-        assert 0 <= r["copies"] <= 3 * r["rows"] and r["size"] == len((r["doc_id"] is not None and "") or "") + r["size"]
+        assert 0 <= r["copies"] <= 3 * r["rows"]
     assert rows[0, "s9"] == 2
     for own in by_source.values():
         taken = sum(r["size"] * r["copies"] for r in own)
@@ -251,16 +255,36 @@ def test_added_tokens_are_ids_as_in_the_library(spark, more):
     assert {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, path).collect()} == {k: [*plain.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(odd)}
 
 
+@pytest.mark.parametrize("kind", ["lower", "prefix", "split", "words"])
+def test_files_that_split_or_normalize_otherwise_go_to_the_library(spark, tmp_path, kind):
+    from galvana.shared import new_path
+
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json" if kind == "words" else "byte_bpe_50k.json"))
+    if kind == "lower":
+        own.normalizer = normalizers.Lowercase()
+    elif kind != "words":
+        own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=kind == "prefix", use_regex=kind != "split")
+    texts = ["Hello World", "", "It's  here\n\nnow", "a<|endoftext|>B", "é漢 \U0001f600", None]
+    file = tmp_path / "own.json"
+    own.save(str(file))
+    assert not token_files.splits_alone(file.read_text(encoding="utf-8"))
+    path = new_path(spark, "test")
+    token_files.write_token_files(documents(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), path, tokenizer=str(file), partitions=2)
+    want = {k: [*own.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids"] for r in token_files.read_ids(spark, path).collect()} == want
+
+
 # Language model
 
 
-def test_forward_and_counts_match_sums_over_all_paths():
+@pytest.mark.parametrize("block", [1, 3, 6, 1000])
+def test_forward_and_counts_match_sums_over_all_paths(block):
     rng = np.random.default_rng(0)
     model = hmm.Model(*(x / x.sum(axis=a, keepdims=True) for x, a in ((rng.random(3), 0), (rng.random((3, 3)), 1), (rng.random((5, 3)), 0))))
     seqs = [np.array(s, np.uint16) for s in ([1, 4, 0, 2], [3, 3], [2])]
     emit, move, start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
-    logs = hmm.forward(model, seqs)[0]
-    hmm.expected(model, seqs, emit, move, start)
+    logs = hmm.forward(model, seqs)
+    hmm.expected(model, seqs, emit, move, start, block)
     w_emit, w_move, w_start = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
     for s, log in zip(seqs, logs, strict=True):
         paths = {}
@@ -278,6 +302,24 @@ def test_forward_and_counts_match_sums_over_all_paths():
     assert np.allclose(emit, w_emit) and np.allclose(move, w_move) and np.allclose(start, w_start)
 
 
+def test_a_long_text_keeps_one_stretch_of_states():
+    """All states of the text would be 8 MB, and their weights as much again."""
+    rng = np.random.default_rng(3)
+    model = hmm._start_model(rng.random(50) + 0.1, hmm.Settings())
+    text = rng.integers(0, 50, 125_000).astype(np.uint32)
+    found = []
+    for block in (2_000, len(text)):
+        sums = np.zeros((50, 8)), np.zeros((8, 8)), np.zeros(8)
+        tracemalloc.start()
+        hmm.expected(model, [text], *sums, block)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        found.append((peak, sums))
+    (small, own), (large, whole) = found
+    assert small < 6_000_000 < 16_000_000 < large
+    assert all(np.allclose(a, b) for a, b in zip(own, whole, strict=True)) and abs(own[0].sum() - len(text)) < 1e-3
+
+
 @pytest.mark.parametrize("hot", [1 << 19, 3])
 def test_scores_follow_the_counts(docs, hot):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
