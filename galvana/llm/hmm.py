@@ -23,7 +23,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +34,8 @@ from galvana.shared import bounded_batches, cut
 BLOCK_BYTES, BLOCK_TOKENS = 2_000_000, 200_000
 #: Classes whose expected counts a task sends in one row.
 BUCKET = 4096
+#: Parts of a count that sums keep.
+GRAIN = np.float64(1 << 16)
 #: The end token's hash.
 END = 1
 
@@ -238,37 +239,35 @@ def _codes(column: pa.Array) -> list[np.ndarray]:
 def _expect(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        emit, move, start = np.zeros_like(m.emit), np.zeros_like(m.move), np.zeros_like(m.start)
+        # The classes' counts, then the moves', then the start's; sent by buckets, one at a time.
+        counts = np.zeros((len(m.emit) + len(m.move) + 1, len(m.move)))
+        emit, move, start = counts[: len(m.emit)], counts[len(m.emit) : -1], counts[-1]
         for batch in batches:
             codes = _codes(batch.column("classes"))
             for rows in lockstep(np.array([len(x) for x in codes], np.int64)):
                 expected(m, [codes[k] for k in rows.tolist()], emit, move, start)
-        # The classes that the task has seen, then the moves' rows, then the start, by buckets.
-        seen = np.flatnonzero(emit.any(axis=1))
-        value = np.concatenate([emit[seen], move, start[None, :]]).astype(np.float32)
-        place = np.concatenate([seen, len(emit) + np.arange(len(move) + 1)])
-        bucket, first = np.unique(place // BUCKET, return_index=True)
-        ends = [*first[1:].tolist(), len(place)]
-        parts = [(place[a:b] % BUCKET).astype(np.uint16).tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-        values = [value[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-        task = pa.array(np.full(len(bucket), TaskContext.get().partitionId(), np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), task, pa.array(parts, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "task", "places", "value"])
+        for bucket, first in enumerate(range(0, len(counts), BUCKET)):
+            own = counts[first : first + BUCKET]
+            seen = np.flatnonzero(own.any(axis=1))
+            if len(seen):
+                parts = [pa.array([x.tobytes()], pa.binary()) for x in (seen.astype(np.uint16), own[seen].astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *parts], names=["bucket", "places", "value"])
 
     return run
 
 
 def _sum(states: int):
-    """Sums of the rows of each bucket, all of which one task gets in the order of the tasks that sent them."""
+    """Sums of the rows of each bucket, all of which one task gets. Whole multiples of 1 / ``GRAIN`` add up to the same bits in any order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for bucket, place, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "places", "value")), strict=True):
                 if bucket not in sums:
-                    sums[bucket] = np.zeros((BUCKET, states))
-                sums[bucket][np.frombuffer(place, np.uint16)] += np.frombuffer(value, np.float32).reshape(-1, states)
+                    sums[bucket] = np.zeros((BUCKET, states), np.int64)
+                sums[bucket][np.frombuffer(place, np.uint16)] += np.rint(np.frombuffer(value, np.float32).reshape(-1, states) * GRAIN).astype(np.int64)
         for bucket, value in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["bucket", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([(value / GRAIN).tobytes()], pa.binary())], names=["bucket", "value"])
 
     return run
 
@@ -344,9 +343,8 @@ def hmm_scores(docs: DataFrame, held_out, settings: Settings | None = None) -> D
     training = encoded.where("not held_out").select("classes").coalesce(max(2 * sc.defaultParallelism, -(-n // s.task_tokens)))
     for _ in range(s.rounds):
         sent = sc.broadcast(model)
-        part = training.mapInArrow(_expect(sent), "bucket int, task int, places binary, value binary")
-        # Sums in a fixed order, so a repeated task or run adds up to the same bits.
-        table = part.repartition("bucket").sortWithinPartitions("bucket", "task").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
+        part = training.mapInArrow(_expect(sent), "bucket int, places binary, value binary")
+        table = part.repartition("bucket").mapInArrow(_sum(s.states), "bucket int, value binary").toArrow()
         sent.destroy()  # else every round's model stays on the disks
         value = np.zeros((-(-(n_classes + s.states + 1) // BUCKET) * BUCKET, s.states))
         for bucket, own in zip(table["bucket"].to_pylist(), table["value"].to_pylist(), strict=True):
