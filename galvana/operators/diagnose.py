@@ -432,57 +432,80 @@ def confidence_factor(mode: str, flags: Column) -> Column:
     return F.when(unfit, 0.0).otherwise(factor)
 
 
-def eligibility_reasons(spec: Mode, used: Mapping[str, Column], row: _Row, base: _Row, rules: Rules) -> Column:
-    """What stands against a scientific reading of a mode's score; ``used`` tells which features have evidence."""
-    reasons: list[Column] = []
+def _quoted(text: str) -> str:
+    """A SQL literal of a text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def against(test: Column, reason: str) -> None:
-        reasons.append(F.when(F.coalesce(test, F.lit(True)), F.lit(reason)))
 
-    def any_used(features) -> Column:
-        out = F.lit(False)
-        for f in features:
-            out = out | used[f]
-        return out
+def _listed(entries: Sequence[tuple[str, str]]) -> str:
+    """SQL of an array of the names whose tests hold."""
+    return f"array_compact(array(CAST(NULL AS STRING), {', '.join(f'IF({test}, {_quoted(name)}, NULL)' for test, name in entries)}))" if entries else "CAST(array() AS ARRAY<STRING>)"
 
+
+def row_tests(row: _Row, base: _Row, rules: Rules) -> dict[str, Column]:
+    """What any mode's eligibility may ask about a row, true where it speaks against it or can't be told."""
     chemistry = row.text("chemistry")
     known = chemistry.isNotNull() if rules.chemistry.strip() else F.lit(False)
-    against(~known, "chemistry_unverified")
-    against(known & (chemistry != rules.chemistry), "chemistry_mismatch")
-    if not spec.groups:
-        against(F.lit(True), "eligibility_contract_unconfigured")
-        return F.array_compact(F.array(*reasons))
-    against(row.entry("feature_semantics", "schema") != SEMANTICS_SCHEMA, "feature_semantics_unverified")
     sound = lambda r: r.affirmed("protocol_comparable") & (r.text("protocol_kind") == "routine") & r.denied("protocol_excluded")
-    against(~sound(row), "protocol_unverified_or_incompatible")
-    against(~(row.text("quality_status").isin("assessed", "partial") & (row.number("quality_score") > 0) & (row.number("quality_evidence_coverage") > 0)), "quality_unverified")
     failed = row.of("quality_gate_failed_groups") if isinstance(row.kinds.get("quality_gate_failed_groups"), T.StringType) else F.lit(None).cast("string")
-    against(F.lower(F.trim(failed)).isin("nan", "none"), "quality_groups_unverified")
     failed_groups = F.transform(F.split(F.coalesce(failed, F.lit("")), ","), F.trim)
-    for g in spec.groups:
-        against(~any_used(f for f in g.any_of if f in used), f"required_group_missing:{g.name}")
-        for metric in g.quality:
-            gate = "pulse_stability" if metric == "pulse_current_stability" else metric
-            poor = F.array_contains(failed_groups, gate) | row.number(metric).isNull()
-            against(poor if metric == "pulse_current_stability" else poor | (row.number(metric) <= 0), f"required_quality_unverified:{g.name}:{metric}")
-        if g.fit:
-            against(~row.affirmed(g.fit), f"fit_unverified:{g.name}")
-    for t in spec.terms:
-        if t.feature.startswith(FITTED):
-            against(used[t.feature] & ~row.affirmed(_fit_flag(t.feature)), f"fit_unverified:{t.feature}")
-    relative = any_used(t.feature for t in spec.terms if t.direction == "decrease_vs_baseline" or t.feature.startswith("delta_"))
-    against(relative & ~F.coalesce(sound(base), F.lit(False)), "baseline_protocol_unverified")
-    alike = row.of("chemistry").eqNullSafe(base.of("chemistry")) & (row.text("protocol_id") == base.text("protocol_id"))
-    against(relative & ~F.coalesce(alike, F.lit(False)), "baseline_protocol_mismatch_or_unknown")
     meta = row.kinds.get("baseline_semantics")
     stated = _Row({x.name: x.dataType for x in meta.fields} if isinstance(meta, T.StructType) else {}, "baseline_semantics")
     noted = row.of("baseline_semantics").isNotNull() & stated.entries("feature_semantics").isNotNull() & F.col("_base").isNotNull()
     noted &= stated.number("cycle").eqNullSafe(base.number("cycle")) & stated.number("requested_cycle").eqNullSafe(stated.number("cycle"))
     noted = F.coalesce(noted, F.lit(False))
-    against(relative & ~noted, "baseline_unverified")
-    against(relative & noted & ~F.coalesce(row.entries("feature_semantics") == stated.entries("feature_semantics"), F.lit(False)), "feature_semantics_mismatch")
-    against(any_used(t.feature for t in spec.terms if t.feature in ("VE", "VE_observed")) & ~(row.observed() & base.observed()), "observed_window_unverified")
-    return F.array_distinct(F.array_compact(F.array(*reasons)))
+    tests = {
+        "unverified": ~known,
+        "mismatch": known & (chemistry != rules.chemistry),
+        "semantics": row.entry("feature_semantics", "schema") != SEMANTICS_SCHEMA,
+        "protocol": ~sound(row),
+        "quality": ~(row.text("quality_status").isin("assessed", "partial") & (row.number("quality_score") > 0) & (row.number("quality_evidence_coverage") > 0)),
+        "groups": F.lower(F.trim(failed)).isin("nan", "none"),
+        "base_protocol": ~sound(base),
+        "base_other": ~(row.of("chemistry").eqNullSafe(base.of("chemistry")) & (row.text("protocol_id") == base.text("protocol_id"))),
+        "base_unnoted": ~noted,
+        "base_semantics": noted & ~F.coalesce(row.entries("feature_semantics") == stated.entries("feature_semantics"), F.lit(False)),
+        "window": ~(row.observed() & base.observed()),
+    }
+    for metric in {m: None for spec in rules.modes.values() for g in spec.groups for m in g.quality}:
+        pulse = metric == "pulse_current_stability"
+        poor = F.array_contains(failed_groups, "pulse_stability" if pulse else metric) | row.number(metric).isNull()
+        tests[f"poor_{metric}"] = poor if pulse else poor | (row.number(metric) <= 0)
+    flags = [g.fit for spec in rules.modes.values() for g in spec.groups if g.fit] + [_fit_flag(t.feature) for spec in rules.modes.values() for t in spec.terms if t.feature.startswith(FITTED)]
+    tests |= {f"fit_{x}": ~row.affirmed(x) for x in dict.fromkeys(flags)}
+    return {f"_t_{name}": F.coalesce(test, F.lit(True)) for name, test in tests.items()}
+
+
+def eligibility_reasons(spec: Mode, used: Mapping[str, str], rules: Rules) -> Column:
+    """What stands against a scientific reading of a mode's score; ``used`` has SQL that tells which features have evidence."""
+    any_used = lambda features: f"({' OR '.join(['false', *(used[f] for f in features if f in used)])})"
+    test = lambda name: f"`_t_{name}`"
+    reasons = [(test("unverified"), "chemistry_unverified"), (test("mismatch"), "chemistry_mismatch")]
+    if not spec.groups:
+        return F.expr(_listed([*reasons, ("true", "eligibility_contract_unconfigured")]))
+    reasons += [
+        (test("semantics"), "feature_semantics_unverified"),
+        (test("protocol"), "protocol_unverified_or_incompatible"),
+        (test("quality"), "quality_unverified"),
+        (test("groups"), "quality_groups_unverified"),
+    ]
+    for g in spec.groups:
+        reasons.append((f"NOT {any_used(g.any_of)}", f"required_group_missing:{g.name}"))
+        reasons += [(test(f"poor_{metric}"), f"required_quality_unverified:{g.name}:{metric}") for metric in g.quality]
+        if g.fit:
+            reasons.append((test(f"fit_{g.fit}"), f"fit_unverified:{g.name}"))
+    reasons += [(f"{used[t.feature]} AND {test(f'fit_{_fit_flag(t.feature)}')}", f"fit_unverified:{t.feature}") for t in spec.terms if t.feature.startswith(FITTED)]
+    relative = any_used(t.feature for t in spec.terms if t.direction == "decrease_vs_baseline" or t.feature.startswith("delta_"))
+    for name, reason in (
+        ("base_protocol", "baseline_protocol_unverified"),
+        ("base_other", "baseline_protocol_mismatch_or_unknown"),
+        ("base_unnoted", "baseline_unverified"),
+        ("base_semantics", "feature_semantics_mismatch"),
+    ):
+        reasons.append((f"{relative} AND {test(name)}", reason))
+    windowed = any_used(t.feature for t in spec.terms if t.feature in ("VE", "VE_observed"))
+    reasons.append((f"{windowed} AND {test('window')}", "observed_window_unverified"))
+    return F.expr(f"array_distinct({_listed(reasons)})")
 
 
 def _warnings(row: _Row, base: _Row, rules: Rules, flags: Column) -> Column:
@@ -531,25 +554,21 @@ def diagnose(table: DataFrame, rules: Rules, baseline_cycle: int | None = 1, key
     kinds = {x.name: x.dataType for x in table.schema.fields}
     row, ref = _Row(kinds), _Row(kinds, "_base")
     status = F.when(row.text("chemistry").isNull() | F.lit(not rules.chemistry), "unverified").when(row.of("chemistry") == rules.chemistry, "matched").otherwise("mismatch")
-    rows = rows.withColumns({"_flags": F.array_compact(F.array(*constraint_flags(row, rules))), "_domain": status})
+    rows = rows.withColumns({"_flags": F.array_compact(F.array(*constraint_flags(row, rules))), "_domain": status} | row_tests(row, ref, rules))
     rows = rows.withColumns({f"_e_{m}": F.array(*(evidence(t, row, ref) for t in spec.terms)) if spec.terms else F.array().cast("array<double>") for m, spec in rules.modes.items()})
 
-    def sums(mode: str, of) -> Column:
-        """Sum over a mode's terms that have evidence and a weight."""
-        out = F.lit(0.0)
-        for k, t in enumerate(rules.modes[mode].terms):
-            if t.weight > 0:
-                x = F.get(f"_e_{mode}", F.lit(k))
-                out = out + F.when(x.isNotNull(), of(x, t)).otherwise(0.0)
-        return out
+    def sums(mode: str, of) -> str:
+        """SQL of a sum over a mode's terms that have evidence and a weight."""
+        parts = [(f"get(`_e_{mode}`, {k})", float(t.weight)) for k, t in enumerate(rules.modes[mode].terms) if t.weight > 0]
+        return f"({' + '.join(['0D', *(f'IF({x} IS NULL, 0D, {of(x, w)})' for x, w in parts)])})"
 
     first = {}
     for m in rules.modes:
-        weight = sums(m, lambda x, t: F.lit(t.weight))
+        weight = sums(m, lambda x, w: f"{w}D")
         first |= {
-            f"_n_{m}": sums(m, lambda x, t: F.lit(1.0)).cast("int"),
-            f"_score_{m}": clip(F.try_divide(sums(m, lambda x, t: F.greatest(x, F.lit(0.0)) * t.weight), F.nullif(weight, F.lit(0.0))), 0.0, 1.0),
-            f"_agree_{m}": F.try_divide(sums(m, lambda x, t: F.when(x > 0, t.weight).otherwise(0.0)), F.nullif(weight, F.lit(0.0))),
+            f"_n_{m}": F.expr(f"CAST({sums(m, lambda x, w: '1D')} AS INT)"),
+            f"_score_{m}": clip(F.expr(f"try_divide({sums(m, lambda x, w: f'greatest({x}, 0D) * {w}D')}, nullif({weight}, 0D))"), 0.0, 1.0),
+            f"_agree_{m}": F.expr(f"try_divide({sums(m, lambda x, w: f'IF({x} > 0, {w}D, 0D)')}, nullif({weight}, 0D))"),
         }
     rows = rows.withColumns(first)
     second = {}
@@ -560,12 +579,12 @@ def diagnose(table: DataFrame, rules: Rules, baseline_cycle: int | None = 1, key
         rivals = [F.coalesce(F.col(f"_score_{o}"), F.lit(0.0)) for o in rules.modes if o != m]
         clash = (F.greatest(*rivals, F.lit(0.0)) >= rules.collision) & (s >= rules.collision) if rivals else F.lit(False)
         confidence = (0.45 * quality + 0.40 * F.col(f"_agree_{m}") + 0.15 * F.least(F.lit(1.0), n / 5.0)) * F.when(clash, 0.7).otherwise(1.0) * confidence_factor(m, F.col("_flags"))
-        used = {t.feature: F.get(f"_e_{m}", F.lit(k)).isNotNull() for k, t in enumerate(spec.terms)}
+        used = {t.feature: f"get(`_e_{m}`, {k}) IS NOT NULL" for k, t in enumerate(spec.terms)}
         second |= {
             f"_coverage_{m}": F.when(n > 0, coverage).otherwise(0.0),
             f"_quality_{m}": F.when(n > 0, quality).otherwise(0.0),
             f"_raw_{m}": F.when(n > 0, clip(confidence, 0.0, 1.0)).otherwise(0.0),
-            f"_reasons_{m}": eligibility_reasons(spec, used, row, ref, rules),
+            f"_reasons_{m}": eligibility_reasons(spec, used, rules),
         }
     rows = rows.withColumns(second)
     third, scored = {}, F.col("_scored")
@@ -574,12 +593,12 @@ def diagnose(table: DataFrame, rules: Rules, baseline_cycle: int | None = 1, key
         n, raw = F.col(f"_n_{m}"), F.col(f"_raw_{m}")
         support = (n >= rules.min_evidence) & (F.col(f"_quality_{m}") >= 0.3) & (raw >= 0.25) & (F.col("_domain") != "mismatch")
         eligible = F.size(f"_reasons_{m}") == 0
-        listed = lambda test: F.array_join(F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(test(F.get(f"_e_{m}", F.lit(k))), F.lit(t.feature)) for k, t in enumerate(spec.terms)))), ",")  # noqa: B023, E731
+        listed = lambda test: F.expr(f"array_join({_listed([(f'get(`_e_{m}`, {k}) {test}', t.feature) for k, t in enumerate(spec.terms)])}, ',')")  # noqa: B023, E731
         third |= {
             score_column(m): F.when(scored, F.col(f"_score_{m}")),
             confidence_column(m): F.when(scored, F.when(F.col("_domain") == "mismatch", 0.0).otherwise(raw)),
-            f"{m}_supporting_features": F.when(scored, listed(lambda x: x >= rules.support)),
-            f"{m}_conflicting_features": F.when(scored, listed(lambda x: x <= -rules.conflict)),
+            f"{m}_supporting_features": F.when(scored, listed(f">= {float(rules.support)}D")),
+            f"{m}_conflicting_features": F.when(scored, listed(f"<= {-float(rules.conflict)}D")),
             f"{m}_evidence_count": F.when(scored, n),
             f"{m}_evidence_coverage": F.when(scored, F.col(f"_coverage_{m}")),
             f"{m}_status": F.when(scored, F.when(n == 0, "unknown").when(support & eligible, "scientifically_eligible").when(support, "heuristic_unverified").otherwise("insufficient_or_invalid_evidence")),
