@@ -83,11 +83,12 @@ def tracks(maps: DataFrame, domain: str = "Q", contrast: bool = True, most: int
 
     Ridges are sought in each range of the grid apart (over voltage in all of it),
     ``most`` in all. Steps are penalised by the map's spread and the drift of ``anchors``
-    (a map of capacity cycles). A group is a cell's map, which the cycler bounds.
+    (a map of capacity cycles). A group is a cell's map, which the cycler bounds; it holds
+    all of the map's cycles, so ``contrast`` is taken there, as ``local_contrast`` has it.
     """
     grid = places(domain)
     known = maps.where(F.size("curve") > 0).select("cell_id", "leg", "cycle", "curve")
-    both = (local_contrast(known) if contrast else known).select("cell_id", "leg", "cycle", "curve", F.lit(0).alias("_anchor"))
+    both = known.withColumn("_anchor", F.lit(0))
     if anchors is not None:
         both = both.unionByName(anchors.where(F.size("curve") > 0).select("cell_id", "leg", "cycle", "curve", F.lit(1).alias("_anchor")))
 
@@ -98,6 +99,7 @@ def tracks(maps: DataFrame, domain: str = "Q", contrast: bool = True, most: int
         m, cycles = m[~anchor], g["cycle"][~anchor]
         if not len(m):
             return []
+        m = ridges.contrast(m) if contrast else m
         weight, rows, number = ridges.penalty(m, drift), [], 0
         parts = [(np.searchsorted(grid, lo), np.searchsorted(grid, hi, "right")) for lo, hi in ranges] if domain == "Q" and ranges else [(0, len(grid))]
         middle = np.array([np.nanmedian(np.abs(x)) if np.isfinite(x).any() else np.nan for x in m])

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from galvana.functions import fits
+from galvana.functions import fits, kernels, ridges
+from galvana.operators import evolution
 
 
 def test_a_fit_asks_its_curve_a_few_hundred_times(monkeypatch):
@@ -32,3 +33,21 @@ def test_slopes_and_differences_end_in_the_same_fit():
     told = fits.robust(model, (1, 0), (0.5, -9), (1.2, 9), 0.05, slopes=lambda p: np.stack([down(p[0] * q * 0.9 + p[1]) * q * 0.9, down(p[0] * q * 0.9 + p[1])], axis=1))
     plain = fits.robust(model, (1, 0), (0.5, -9), (1.2, 9), 0.05)
     assert told[0] == pytest.approx([0.95, 1.5], abs=1e-4) and plain[0] == pytest.approx([0.95, 1.5], abs=1e-4)
+
+
+def test_tracks_take_contrast_within_a_cells_map(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(0, 1, (4, 1000))
+    m[1, :300], m[:, 7], m[3, 8] = np.nan, 0.0, np.nan
+    table = spark.createDataFrame([("a", "charge", k, row) for k, row in enumerate(m.tolist())], "cell_id string, leg string, cycle int, curve array<double>")
+    want = np.array([r["curve"] for r in evolution.local_contrast(table).orderBy("cycle").collect()], float)
+    assert np.allclose(ridges.contrast(m), want, equal_nan=True)
+    plan = evolution.tracks(table)._jdf.queryExecution().toString()
+    assert "posexplode" not in plan and "Join" not in plan
+
+
+def test_a_ridge_steps_no_farther_than_its_window():
+    m = np.full((3, 60), 0.1)
+    m[0, 5], m[1, 50], m[1, 9], m[2, 12] = 9.0, 5.0, 4.0, 9.0
+    assert kernels.ridge(m, 1e-3, 6).tolist() == [5, 9, 12]
+    assert kernels.ridge(m, 1e-5, 59).tolist() == [5, 50, 12]
