@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from galvana.operators import curves, forest, peaks
 from galvana.operators.order import quantiles
+from galvana.shared import cut
 
 #: Window half-width in robust deviations and its bounds in volts; share of the cost that probability 1 takes off.
 WINDOW_SIGMA, WINDOW_LEAST, WINDOW_MOST, FOREST_SHARE = 2.0, 0.03, 0.06, 0.5
@@ -142,6 +143,6 @@ def soft_map(candidates: DataFrame, expected: DataFrame, forests: forest.Forests
 def overlap(tests: DataFrame, expected: DataFrame, candidates: DataFrame, routine: DataFrame, settings: forest.Settings | None = None) -> dict[str, DataFrame]:
     """``training, soft, collapses, links``: the whole overlap of tests (at their life) and routine cycles."""
     near = near_cycles(tests, routine)
-    rows = overlap_rows(tests, expected, candidates, near)
+    rows = cut(overlap_rows(tests, expected, candidates, near), "overlap")  # each step of a forest reads them
     soft = soft_map(candidates.join(near, ["cell_id", "cycle"]), expected, train_overlap(rows, settings))
     return {"training": rows, "soft": soft, "collapses": peaks.collapses(soft), "links": peaks.best_links(soft)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galvana.operators import asof, curves, cycle, dcir, diagnose, doe, evolution, forest, isolation, labels, mechanism, peaks, protocol, pulses, recovery, regime, rests, score, segment, tools, trajectory, wide
 from galvana.plans import views
 from galvana.plans.views import R, rounded, with_views
+from galvana.shared import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -897,13 +898,13 @@ def golden_peaks(spark, sf_dir):
 
 @query("tracked_peaks")
 def tracked_peaks(spark, sf_dir):
-    found = _banded(spark, sf_dir).dropna(subset=["band"])
+    found = cut(_banded(spark, sf_dir).dropna(subset=["band"]), "banded")
     return peaks.track(found, peaks.golden_references(found))
 
 
 @query("assigned_peaks")
 def assigned_peaks(spark, sf_dir):
-    found = _banded(spark, sf_dir).dropna(subset=["band"])
+    found = cut(_banded(spark, sf_dir).dropna(subset=["band"]), "banded")
     refs = peaks.golden_references(found).select("leg", F.col("band").alias("peak_id"), F.col("V_ref").alias("V"), F.col("H_ref").alias("H"))
     return curves.assign_peaks(found, refs, most=5.0)
 
@@ -925,7 +926,7 @@ def labelled_peaks(spark, sf_dir):
 def _tests_and_routine(spark, sf_dir):
     """A supplier's year 1995 as its test, whose four widest voltage bands name peaks; other years as routine cycles."""
     found = curves.robust_peak_table(_monthly(spark, sf_dir).withColumn("voltage", F.col("voltage") / 100)).dropna(subset=["V"])
-    found = found.withColumnRenamed("peak", "candidate")
+    found = cut(found.withColumnRenamed("peak", "candidate"), "peaks")  # tests, routine cycles and every level of a forest read them
     name = F.concat(F.lit("P"), F.least(F.lit(4), F.floor(F.col("V") / 0.5) + 1).cast("string"))
     tests = found.where("cycle = 1995").groupBy("cell_id", F.lit(1995).alias("life"), "cycle", "leg", name.alias("peak_id")).agg(F.max_by("V", F.struct("H", "V")).alias("V"), F.max("H").alias("H"))
     return tests, found.where("cycle <> 1995")

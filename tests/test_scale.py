@@ -1,10 +1,15 @@
 """What a step costs, where a plainer one would not end on larger tables, and that its results stay."""
 
+import os
+
 import numpy as np
 import pytest
 
 from galvana.functions import fits, kernels, ridges
 from galvana.operators import evolution
+from galvana.plans import queries
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_a_fit_asks_its_curve_a_few_hundred_times(monkeypatch):
@@ -51,3 +56,11 @@ def test_a_ridge_steps_no_farther_than_its_window():
     m[0, 5], m[1, 50], m[1, 9], m[2, 12] = 9.0, 5.0, 4.0, 9.0
     assert kernels.ridge(m, 1e-3, 6).tolist() == [5, 9, 12]
     assert kernels.ridge(m, 1e-5, 59).tolist() == [5, 50, 12]
+
+
+def test_peaks_are_sought_once_for_tests_and_routine_cycles(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    tests, routine = queries._tests_and_routine(spark, DATA)
+    for part in (tests, routine):
+        assert "MapInPandas" not in part._jdf.queryExecution().toString()
