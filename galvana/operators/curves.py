@@ -217,7 +217,16 @@ def shape_distance(curves: DataFrame, baseline_cycle: int = 1, keys: Sequence[st
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.warped_distance(np.asarray(x), np.asarray(y)) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype=float)
+        out = pd.Series(np.full(len(a), np.nan))
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x is not None and y is not None and len(x) and len(y):
+                sizes.setdefault((len(x), len(y)), []).append(k)
+        for rows in sizes.values():
+            for at in range(0, len(rows), 256):
+                some = rows[at : at + 256]
+                out.iloc[some] = kernels.warped_distances(np.stack([np.asarray(a.iloc[k], float) for k in some]), np.stack([np.asarray(b.iloc[k], float) for k in some]))
+        return out
 
     joined = curves.join(base, list(keys), "left")
     d = distance("curve", "base")

@@ -81,3 +81,10 @@ def test_breaks_ask_for_each_tail_once(monkeypatch):
     assert asked[0] < 300  # two sums for each first break, not one for each pair
     assert abs(found[0] - 30) <= 2 and abs(found[1] - 60) <= 2
     assert squares == pytest.approx(min(sum(float(((part[1] - np.polyval(np.polyfit(*part, 1), part[0])) ** 2).sum()) for part in ((x[:a], y[:a]), (x[a:b], y[a:b]), (x[b:], y[b:]))) for a in range(29, 33) for b in range(58, 63)), rel=1e-6)
+
+
+def test_warped_distances_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(0, 1, (5, 20)).cumsum(axis=1), rng.normal(0, 1, (5, 33)).cumsum(axis=1)
+    a[3, 4] = np.nan
+    assert np.array_equal(kernels.warped_distances(a, b), [kernels.warped_distance(x, y) for x, y in zip(a, b, strict=True)], equal_nan=True)
