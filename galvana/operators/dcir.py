@@ -90,7 +90,7 @@ def ocv_blocks(pulses: DataFrame) -> DataFrame:
     w = Window.partitionBy("cell_id").orderBy("block_id")
     rows = found.withColumns(spreads).withColumn("_first", F.first(F.struct("block_id", *(f"ocv_V_inf_soc{s}" for s in SOC), "ocv_spread_20_80")).over(w))
     rows = rows.withColumns({f"delta_{c}": F.col(c) - F.col(f"_first.{c}") for c in (*(f"ocv_V_inf_soc{s}" for s in SOC), "ocv_spread_20_80")})
-    mode, shift = drift_mode(*(F.col(f"delta_ocv_V_inf_soc{s}") for s in SOC), F.col("delta_ocv_spread_20_80"))
+    mode, shift = drift_mode(*(F.col(f"delta_ocv_V_inf_soc{s}") for s in SOC), F.col("delta_ocv_V_inf_soc20") - F.col("delta_ocv_V_inf_soc80"))
     start = F.col("block_id") == F.col("_first.block_id")
     return rows.withColumns({"ocv_drift_mode": F.when(start, "baseline").otherwise(mode), "ocv_parallel_shift": F.when(start, 0.0).otherwise(shift)}).drop("_first")
 

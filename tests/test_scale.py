@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from galvana.functions import fits, kernels, ridges
-from galvana.operators import evolution
+from galvana.operators import dcir, evolution
 from galvana.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -88,3 +88,13 @@ def test_warped_distances_of_many_pairs_are_those_of_each():
     a, b = rng.normal(0, 1, (5, 20)).cumsum(axis=1), rng.normal(0, 1, (5, 33)).cumsum(axis=1)
     a[3, 4] = np.nan
     assert np.array_equal(kernels.warped_distances(a, b), [kernels.warped_distance(x, y) for x, y in zip(a, b, strict=True)], equal_nan=True)
+
+
+def test_a_spread_moves_by_the_difference_of_its_ends(spark):
+    rows = [("a", b, b, s, v) for b, at in ((1, (0.02, 0.05, 0.08)), (2, (0.01, 0.05, 0.08))) for s, v in zip((80, 50, 20), at, strict=True)]
+    table = spark.createDataFrame([(*r, None) for r in rows], "cell_id string, block_id int, block_start int, soc int, V_inf_rest double, relax_completeness double")
+    got = dcir.ocv_blocks(table).where("block_id = 2").first()["ocv_drift_mode"]
+    d80, d20 = 0.01 - 0.02, 0.08 - 0.08  # the ends move first: the difference of spreads rounds to the other side of 0.01
+    wide, line = abs(d20 - d80) > 0.01, abs(d80 + d20) / 6 * 2**0.5 < 0.005
+    assert (abs((0.08 - 0.01) - (0.08 - 0.02)) > 0.01) != wide
+    assert got == ("spread_and_shift" if wide and line else "spread_change" if wide else "parallel_shift" if line else "local_soc50" if abs(d80 + d20) / 6 * 2 > 0.01 else "stable")
