@@ -98,3 +98,30 @@ def test_a_spread_moves_by_the_difference_of_its_ends(spark):
     wide, line = abs(d20 - d80) > 0.01, abs(d80 + d20) / 6 * 2**0.5 < 0.005
     assert (abs((0.08 - 0.01) - (0.08 - 0.02)) > 0.01) != wide
     assert got == ("spread_and_shift" if wide and line else "spread_change" if wide else "parallel_shift" if line else "local_soc50" if abs(d80 + d20) / 6 * 2 > 0.01 else "stable")
+
+
+def test_time_constants_are_weighed_all_at_once(monkeypatch):
+    asked, solve = [0], fits.signed_solve
+
+    def counted(*a):
+        asked[0] += 1
+        return solve(*a)
+
+    monkeypatch.setattr(fits, "signed_solve", counted)
+    t = np.linspace(0, 7200, 60)
+    y = 3.6 - 2e-7 * t - 0.01 * np.exp(-t / 300) - 0.02 * np.exp(-t / 2000)
+    taus, x = fits.exponentials(t, y, np.stack([np.ones(60), -t / 3600], axis=1), [(1.0, 2000.0), (10.0, 5000.0)])
+    assert asked[0] == 1  # one solve for the chosen pair, not one for each pair of each round
+    assert np.abs(x[0] - x[1] * t / 3600 - np.exp(-t[:, None] / taus) @ x[2:] - y).max() < 1e-4
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_gains_of_many_choices_are_those_of_each(signed):
+    rng = np.random.default_rng(7)
+    for k in (1, 2, 3):
+        a, y = rng.normal(size=(40, 12, k)), rng.normal(size=(40, 12))
+        a[0] = 0
+        a[1] = a[1][:, :1]
+        gram, moment = np.einsum("nik,nij->nkj", a, a), np.einsum("nik,ni->nk", a, y)
+        each = [-fits.signed_solve(g, m, range(k) if signed else ())[1] for g, m in zip(gram, moment, strict=True)]
+        assert fits.signed_gains(gram, moment, signed) == pytest.approx(each, rel=1e-9, abs=1e-12)
