@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from galvana.shared import cut
 
 
+#: Rows that go down all trees at once.
+_ROWS = 512
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees as arrays of feature, threshold, children and depth, with medians, scales and flag thresholds."""
@@ -30,17 +34,28 @@ class Forest:
     def scores(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, higher for rows that fewer splits set apart."""
         x = (np.where(np.isfinite(x), x, self.center) - self.center) / self.scale
+        # All trees go down together, by blocks of rows; a leaf is its own child, so every step is the same for all.
+        sizes = [len(t[0]) for t in self.trees]
+        roots = np.cumsum([0, *sizes[:-1]])
+        leaf = np.concatenate([t[0] < 0 for t in self.trees])
+        feature, threshold, length = (np.concatenate([t[k] for t in self.trees]) for k in (0, 1, 4))
+        feature = np.where(leaf, 0, feature)
+        at = np.arange(len(leaf))
+        left, right = (np.where(leaf, at, np.concatenate([t[k] + r for t, r in zip(self.trees, roots, strict=True)])) for k in (2, 3))
+        children = np.stack([right, left], axis=1).ravel()
         depth = np.zeros(len(x))
-        for feature, threshold, left, right, length in self.trees:
-            node = np.zeros(len(x), int)
+        for a in range(0, len(x), _ROWS):
+            own = np.ascontiguousarray(x[a : a + _ROWS].T)
+            place, n = np.arange(own.shape[1]), own.shape[1]
+            node = np.repeat(roots[:, None], n, axis=1)
             while True:
-                inner = feature[node] >= 0
-                if not inner.any():
+                low = own.ravel().take(feature.take(node) * n + place) < threshold.take(node)
+                below = children.take(2 * node + low)
+                if np.array_equal(below, node):
                     break
-                rows = np.flatnonzero(inner)
-                at = node[rows]
-                node[rows] = np.where(x[rows, feature[at]] < threshold[at], left[at], right[at])
-            depth += length[node]
+                node = below
+            for one in length.take(node):
+                depth[a : a + _ROWS] += one
         return 2.0 ** (-depth / len(self.trees) / max(_path(self.size), 1e-9))
 
 
@@ -107,9 +122,26 @@ def train(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int
     """Medians, scales and the quantiles 0.75 and 0.90 of the scores are those of all rows.
 
     Each tree is grown in a task, from ``size`` rows of its own: the first by a hash
-    of the ``keys``, which tell rows apart, and of the tree.
+    of the ``keys``, which tell rows apart, and of the tree. Keys and columns are written once,
+    as every step reads them.
     """
-    x = table.select(*keys, *(_finite(c).alias(c) for c in columns))
+    return _trained(_written(table, columns, keys), columns, trees, size, seed, keys)[0]
+
+
+def fit_predict(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int = 256, seed: int = 42, keys: Sequence[str] = ("cell_id", "cycle")) -> DataFrame:
+    """``anomaly, flag`` of every row by a forest of the same rows, as ``predict`` after ``train``; the table is read and scored once."""
+    forest, scored = _trained(_written(table, columns, keys), columns, trees, size, seed, keys)
+    known = F.col("anomaly").isNotNull() & ~F.isnan("anomaly")
+    flag = F.when(~known, "unknown").when(F.col("anomaly") >= forest.alert, "alert").when(F.col("anomaly") >= forest.watch, "watch").otherwise("ok")
+    return scored.select(*keys, "anomaly", flag.alias("flag"))
+
+
+def _written(table: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return cut(table.select(*keys, *(_finite(c).alias(c) for c in columns)), "isolation_rows")
+
+
+def _trained(x: DataFrame, columns: Sequence[str], trees: int, size: int, seed: int, keys: Sequence[str]) -> tuple[Forest, DataFrame]:
+    """The forest of written rows, and their keys with ``anomaly``."""
     total = x.agg(F.count("*"), *(F.stddev_pop(c) for c in columns)).first()
     n, size = total[0], min(size, total[0])
     long = x.select(F.explode(F.array(*(F.struct(F.lit(str(k)).alias("name"), F.col(c).alias("value")) for k, c in enumerate(columns)))).alias("r")).select("r.*")
@@ -117,7 +149,8 @@ def train(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int
     center = np.array([medians.get(str(k), [0.0])[0] for k in range(len(columns))])
     scale = np.array([v if v and v > 0 else 1.0 for v in total[1:]])
     if not size:
-        return Forest(tuple(columns), center, scale, (), 0)
+        forest = Forest(tuple(columns), center, scale, (), 0)
+        return forest, predict(x, forest, keys).drop("flag")
     most = int(np.ceil(np.log2(max(size, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -139,9 +172,10 @@ def train(table: DataFrame, columns: Sequence[str], trees: int = 100, size: int
     nodes = (np.frombuffer(r["nodes"]).reshape(-1, 5) for r in found)
     grown = tuple((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]) for a in nodes)
     forest = Forest(tuple(columns), center, scale, grown, size)
-    scores = predict(x, forest, keys).select(F.lit("score").alias("name"), _finite("anomaly").alias("value")).where("value is not null")
+    scored = cut(predict(x, forest, keys).drop("flag"), "isolation_scores")
+    scores = scored.select(F.lit("score").alias("name"), _finite("anomaly").alias("value")).where("value is not null")
     watch, alert = _quantiles(scores, [0.75, 0.90]).get("score", [0.0, 0.0])
-    return dataclasses.replace(forest, watch=watch, alert=alert)
+    return dataclasses.replace(forest, watch=watch, alert=alert), scored
 
 
 def predict(table: DataFrame, forest: Forest, keys: Sequence[str]) -> DataFrame:

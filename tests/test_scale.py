@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from galvana.functions import fits, kernels, ridges
-from galvana.operators import dcir, evolution
+from galvana.operators import dcir, evolution, isolation
 from galvana.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -125,3 +125,39 @@ def test_gains_of_many_choices_are_those_of_each(signed):
         gram, moment = np.einsum("nik,nij->nkj", a, a), np.einsum("nik,ni->nk", a, y)
         each = [-fits.signed_solve(g, m, range(k) if signed else ())[1] for g, m in zip(gram, moment, strict=True)]
         assert fits.signed_gains(gram, moment, signed) == pytest.approx(each, rel=1e-9, abs=1e-12)
+
+
+def test_breaks_are_sought_all_at_once(monkeypatch):
+    asked, where = [0], np.where
+
+    def counted(*a):
+        asked[0] += 1
+        return where(*a)
+
+    rng = np.random.default_rng(8)
+    x, y = np.arange(90.0), rng.normal(size=90).cumsum()
+    monkeypatch.setattr(np, "where", counted)
+    found, squares = kernels.break_points(x, y, 2, 20)
+    assert asked[0] <= 10  # a few sums over all places and pairs, none for each first break
+    line = lambda a, b: float(((y[a:b] - np.polyval(np.polyfit(x[a:b], y[a:b], 1), x[a:b])) ** 2).sum())
+    each = {(a, b): line(0, a) + line(a, b) + line(b, 90) for a in range(20, 51) for b in range(a + 20, 71)}
+    assert tuple(found) == min(each, key=each.get) and squares == pytest.approx(min(each.values()))
+
+
+def test_a_forest_of_its_own_rows_reads_and_scores_them_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for pdf in parts:
+            read.add(len(pdf))
+            yield pdf
+
+    table = spark.range(600).selectExpr("id as cell_id", "1 as cycle", "case when id % 50 > 0 then sin(id) end as a", "case when id % 100 > 0 then cast(id % 17 as double) end as b")
+    counted = table.mapInPandas(seen, table.schema)
+    found = {r["cell_id"]: (r["anomaly"], r["flag"]) for r in isolation.fit_predict(counted, ["a", "b"], trees=10, size=64).collect()}
+    assert read.value == 600 and {f for _, f in found.values()} == {"unknown", "ok", "watch", "alert"}
+    plain = isolation.predict(table, isolation.train(table, ["a", "b"], trees=10, size=64), ["cell_id", "cycle"])
+    assert found == {r["cell_id"]: (r["anomaly"], r["flag"]) for r in plain.collect()}
+    read.value = 0
+    isolation.train(counted, ["a"], trees=3, size=16)
+    assert read.value == 600
