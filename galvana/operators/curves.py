@@ -46,29 +46,34 @@ def _grouped(samples: DataFrame, keys: Sequence[str], columns: Sequence[str], or
     head = ", ".join(f"`{k}` {types[k]}" for k in keys)
     names = [*keys, *(x.split()[0] for x in schema.split(", "))]
 
-    def result(frames: list[pd.DataFrame]) -> list[dict]:
-        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-        rows = f({c: pdf[c].to_numpy() for c in columns})
-        own = {k: pdf[k].iloc[0] for k in keys}
+    read = list(dict.fromkeys([*keys, *columns]))
+
+    def result(pieces: list[dict[str, np.ndarray]]) -> list[dict]:
+        g = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in read}
+        rows = f({c: g[c] for c in columns})
+        own = {k: g[k][0] for k in keys}
         return [own | r for r in (rows if isinstance(rows, list) else [rows])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_group: list[pd.DataFrame] = []
+        open_group: list[dict[str, np.ndarray]] = []
+        last = None
         out: list[dict] = []
         for pdf in parts:
             if not len(pdf):
                 continue
             starts = _starts(pdf, keys)
+            # Groups are slices of a batch's arrays; a frame for each would cost more than many a small curve.
+            batch = {c: pdf[c].to_numpy() for c in read}
             if open_group:
-                edge = pd.concat([open_group[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True)
+                edge = pd.concat([last, pdf.iloc[:1]], ignore_index=True)
                 if len(_starts(edge, keys)) == 2:
                     out += result(open_group)
                     open_group = []
+            last = pdf.iloc[-1:]
             for a, z in zip(starts, [*starts[1:], None], strict=True):
-                if z is None:
-                    open_group = [*open_group, pdf.iloc[a:]]
-                else:
-                    out += result([*open_group, pdf.iloc[a:z]])
+                open_group = [*open_group, {c: x[a:z] for c, x in batch.items()}]
+                if z is not None:
+                    out += result(open_group)
                     open_group = []
                 if len(out) >= ROWS_OUT:
                     yield pd.DataFrame(out, columns=names)

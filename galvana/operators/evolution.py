@@ -54,7 +54,7 @@ def evolution_map(samples: DataFrame, domain: str = "Q", normalize: str = "none"
             line = line / total
         elif normalize == "area" and np.nansum(np.abs(line)) > 0:
             line = line / np.nansum(np.abs(line))
-        return {"curve": line.tolist(), "total_q": total, "dqdv_snr": float(np.abs(even).max() / (noise + 1e-12)), "samples_per_mv": float(len(vx) / (np.abs(np.gradient(vx)).sum() * 1000 + 1e-12))}
+        return {"curve": line, "total_q": total, "dqdv_snr": float(np.abs(even).max() / (noise + 1e-12)), "samples_per_mv": float(len(vx) / (np.abs(np.gradient(vx)).sum() * 1000 + 1e-12))}
 
     return _grouped(samples, keys, ["voltage", "capacity"], order, "curve array<double>, total_q double, dqdv_snr double, samples_per_mv double", f)
 

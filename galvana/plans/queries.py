@@ -770,11 +770,14 @@ def _monthly(spark, sf_dir):
         F.col("l_suppkey").alias("cell_id"),
         F.year("l_shipdate").alias("cycle"),
         F.lit("discharge").alias("leg"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("row_id"),
+        "l_shipdate",
+        "l_orderkey",
+        "l_linenumber",
         F.col("l_quantity").alias("inc"),
         (F.col("l_extendedprice") / 1e4).alias("inc_v"),
     )
-    w = Window.partitionBy("cell_id", "cycle").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    # Columns of their own, as a sort by a struct has no prefix to compare.
+    w = Window.partitionBy("cell_id", "cycle").orderBy("l_shipdate", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
     summed = items.withColumns({"capacity": F.sum("inc").over(w), "voltage": F.sum("inc_v").over(w), "place": F.row_number().over(w.rowsBetween(Window.unboundedPreceding, 0))})
     return summed.select("cell_id", "cycle", "leg", F.col("place").alias("row_id"), "capacity", "voltage")
 

@@ -3,10 +3,11 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from galvana.functions import fits, kernels, ridges
-from galvana.operators import dcir, evolution, isolation
+from galvana.operators import curves, dcir, evolution, isolation
 from galvana.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -161,3 +162,24 @@ def test_a_forest_of_its_own_rows_reads_and_scores_them_once(spark):
     read.value = 0
     isolation.train(counted, ["a"], trees=3, size=16)
     assert read.value == 600
+
+
+def test_groups_are_slices_of_a_batch(spark, monkeypatch):
+    caught = []
+    table = spark.range(1).selectExpr("id as cell_id", "id as leg", "id as row_id", "1.0D as v")
+    monkeypatch.setattr(type(table), "mapInPandas", lambda df, run, schema: caught.append(run))
+    curves._grouped(table, ["cell_id", "leg"], ["v"], ["row_id"], "total double, n int", lambda g: {"total": g["v"].sum(), "n": len(g["v"])})
+    cells = np.repeat(np.arange(50), 4)
+    whole = pd.DataFrame({"cell_id": cells, "leg": np.where(cells % 5 == 0, np.nan, 1.0), "v": np.arange(200.0)})
+    cut_frames, plain = [0], pd.DataFrame.__getitem__
+    slices = type(whole.iloc).__getitem__
+
+    def counted(self, at):
+        cut_frames[0] += 1
+        return slices(self, at)
+
+    monkeypatch.setattr(type(whole.iloc), "__getitem__", counted)
+    batches = [plain(whole, slice(a, z)) for a, z in ((0, 3), (3, 3), (3, 10), (10, 12), (12, 200))]
+    found = pd.concat(list(caught[0](iter(batches))))
+    assert cut_frames[0] < 60  # a few frames a batch, none for each group
+    assert found["n"].tolist() == [4] * 50 and found["total"].tolist() == [16.0 * k + 6 for k in range(50)] and found["leg"].isna().sum() == 10
