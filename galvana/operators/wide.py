@@ -188,6 +188,8 @@ def with_trajectories(rows: DataFrame, baseline_cycle: int = 1, keys: Sequence[s
 
 def feature_rows(samples: DataFrame, setting: Setting = Setting(), order: Sequence[str] = ("row_id",)) -> DataFrame:
     """The whole wide table of samples: cycle rows, pulse blocks, trajectories and the protocol's kinds."""
+    # Written once: kinds, legs, rests, steps, quality and pulses each read the samples, whose windows would be taken anew.
+    samples = cut(samples, "samples")
     steps = protocol.steps_of(segment.with_kind(samples, setting.rest_max), order)
     flags = protocol.protocol_flags(protocol.cycle_steps(steps), setting.routine_steps)
     tests = segment.consecutive_blocks(flags.where("rpt"), min_len=2)

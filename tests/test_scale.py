@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from galvana.functions import fits, kernels, ridges
-from galvana.operators import curves, dcir, evolution, isolation
+from galvana.operators import curves, dcir, evolution, isolation, wide
 from galvana.plans import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -183,3 +183,17 @@ def test_groups_are_slices_of_a_batch(spark, monkeypatch):
     found = pd.concat(list(caught[0](iter(batches))))
     assert cut_frames[0] < 60  # a few frames a batch, none for each group
     assert found["n"].tolist() == [4] * 50 and found["total"].tolist() == [16.0 * k + 6 for k in range(50)] and found["leg"].isna().sum() == 10
+
+
+def test_wide_rows_read_samples_that_were_written_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def steps(samples, order):
+        raise Seen(samples.inputFiles())
+
+    monkeypatch.setattr(wide.protocol, "steps_of", steps)
+    table = spark.range(3).selectExpr("1 as cell_id", "1 as cycle", "id as row_id", "id * 1.0D as time", "'charge' as step_type", "1.0D as current", "3.5D as voltage", "id * 1.0D as capacity")
+    with pytest.raises(Seen) as seen:
+        wide.feature_rows(table)
+    assert seen.value.args[0] and all("samples-" in f for f in seen.value.args[0])
