@@ -35,6 +35,8 @@ SLOPES = {
     "RCF_slope_100": "RCF",
     "dchg_fit_scale_slope_100": "dchg_fit_scale",
 }
+#: Fixed value: a resistance that passes its limit by less stands at it; sums in another order differ by this little.
+_ROUNDING = 1e-9
 _INPUTS = ("dchgCapa", "RCF", "dchg_Q_cliff_abs", "dchg_dVdQ_SOC0_to_mid_ratio", "dchg_Q_high_V", "dchg_Q_low_V", "dchg_fit_scale", "dchg_fit_offset", "dchg_fit_dR", "dchg_fit_residual_argmax_SOC", "LLI_vs_R_ratio")
 
 
@@ -55,7 +57,7 @@ def _signed(x: Column, expected: str) -> Column:
 def classify(rows: DataFrame) -> DataFrame:
     """Add ``mechanism_state, score_H1, score_H2, mechanism_confidence, n_evidence`` from the columns that are there.
 
-    Missing values say nothing. A grown resistance (over 2) at kept capacity (within
+    Missing values say nothing. A grown resistance (over 2 by more than rounding) at kept capacity (within
     3 %) and fallen rate capability (below 95 % of the start's) is impedance alone.
     Fewer than two pieces of evidence leave it undetermined, scores within 0.15 mean
     mixed.
@@ -64,7 +66,7 @@ def classify(rows: DataFrame) -> DataFrame:
     sure = lambda test: F.coalesce(test, F.lit(False))
     kept = F.abs(ratio(col("dchgCapa"), col("dchgCapa_bol")) - 1) < 0.03
     weak = F.when(col("RCF_bol").isNotNull(), col("RCF") < col("RCF_bol") * 0.95).otherwise(col("RCF") < 0.95)
-    gate = sure(F.abs(col("dchg_fit_dR")) > 2) & sure(kept) & sure(weak)
+    gate = sure(F.abs(col("dchg_fit_dR")) > 2 + _ROUNDING) & sure(kept) & sure(weak)
     score = {}
     for name, terms in EVIDENCE.items():
         total, weight = F.lit(0.0), F.lit(0.0)

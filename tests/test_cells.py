@@ -321,6 +321,16 @@ def test_mechanisms(spark):
     assert {"arm", "cell_id", "cycle", "mechanism_state", "RCF"} <= set(arms.columns)
 
 
+def test_a_resistance_at_its_limit_has_not_grown_whatever_the_order_of_its_sum(spark):
+    taxes = [0, 0, 0, 0, 0, 0.01, 0.07, 0.08]  # the mean is 0.02
+    means = [float(np.cumsum(x)[-1]) / len(x) * 100 for x in (taxes, taxes[::-1])]
+    assert sorted(m > 2 for m in means) == [False, True]
+    rows = [(k, c, 70.0, r, dr) for k, m in enumerate([*means, 2.001]) for c, r, dr in ((1, 1.0, None), (2, 0.85, m))]
+    t = spark.createDataFrame(rows, "cell_id long, cycle long, dchgCapa double, RCF double, dchg_fit_dR double")
+    found = {r["cell_id"]: r["mechanism_state"] for r in mechanism.mechanism_indicators(t).where("cycle = 2").collect()}
+    assert found == {0: "undetermined", 1: "undetermined", 2: "impedance_only"}
+
+
 def test_folders_are_reported(spark, tmp_path):
     rows = []
     one_cycle(rows, "A", 1, n=12, rest=5)
