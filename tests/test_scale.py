@@ -30,6 +30,57 @@ def test_a_fit_asks_its_curve_a_few_hundred_times(monkeypatch):
     assert asked[0] < 4 * 1500
 
 
+def test_fits_of_many_curves_step_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    even = np.linspace(0, 900, 400)
+    curves = [(q, np.cumsum(rng.gamma(1.0, 0.5, len(q))), np.linspace(0, 850, m), np.cumsum(rng.gamma(1.0, 0.5, m))) for q, m in [(even, 400)] * 40 + [(30 * np.sqrt(even), 300), (even[:15], 400)]]
+    alone = [fits.three_parameters(*c, 40.0, 0.05) for c in curves]
+    asked, solve = [0], np.linalg.solve
+
+    def counted(*a):
+        asked[0] += 1
+        return solve(*a)
+
+    monkeypatch.setattr(np.linalg, "solve", counted)
+    found = fits.three_parameters_many(curves, 40.0, 0.05)
+    assert asked[0] < 40 * len(curves)
+    for one, of_many in zip(alone, found, strict=True):
+        assert list(one) == list(of_many) and one == pytest.approx(of_many, rel=1e-6, abs=1e-9, nan_ok=True)
+    assert np.isnan(found[-1]["dchg_fit_dR"]) and not np.isnan(found[-2]["dchg_fit_dR"])
+    # A reference whose knots lie unevenly is read where np.interp reads it.
+    x, y, q, v = curves[-2]
+    root = np.sqrt(fits._weights(q, v))
+
+    def weighed(p):
+        r = (v - np.interp(p[0] * q + p[1], x, y, left=np.nan, right=np.nan) + 0.04 * p[2]) * root
+        return np.where(np.isnan(r), 0.0, r)
+
+    low, high = (0.5, -255.0, -5.0), (1.2, 255.0, 50.0)
+    p, _ = min((fits.robust(weighed, (s, 0.0, 0.0), low, high, 0.05, rest=1e-4) for s in (1.0, 0.9, 1.1)), key=lambda x: x[1])
+    loss = lambda r: (np.sqrt(1 + (r / 0.05) ** 2) - 1).sum()
+    assert found[-2]["dchg_fit_degenerate_flag"] or loss(weighed([found[-2][c] for c in ("dchg_fit_scale", "dchg_fit_offset", "dchg_fit_dR")])) <= 1.02 * loss(weighed(p))
+
+
+def test_many_robust_fits_end_where_one_does():
+    rng = np.random.default_rng(4)
+    t = np.linspace(0, 5, 60)
+    y = np.array([a * np.exp(-t / b) for a, b in ((2, 1.3), (1.5, 0.9), (2.6, 2.0), (4, 9))]) + rng.normal(0, 0.01, (4, 60))
+    y[:, ::9] += 0.8
+
+    def problem(at):
+        def of(p):
+            e = np.exp(-t / p[:, 1:])
+            return p[:, :1] * e - y[at], np.stack([e, p[:, :1] * e * t / p[:, 1:] ** 2], axis=1)
+
+        return of
+
+    low, high = np.tile([0, 0.1], (4, 1)), np.tile([3, 5], (4, 1))
+    p, loss = fits.robust_many(problem, np.ones((4, 2)), low, high, 0.05, width=2)
+    for k in range(4):
+        one = fits.robust(lambda a: problem([k])(a[None])[0][0], (1, 1), (0, 0.1), (3, 5), 0.05, slopes=lambda a: problem([k])(a[None])[1][0].T)  # noqa: B023
+        assert p[k] == pytest.approx(one[0], rel=1e-6) and loss[k] == pytest.approx(one[1])
+
+
 def test_slopes_and_differences_end_in_the_same_fit():
     q = np.linspace(0, 50, 300)
     shape = lambda x: 4.1 - 0.012 * x - 0.15 * np.tanh((x - 15) / 3)
